@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.chat import OP3_SQL, op3_chat
+from gneiss.llm.html_text import op1_html_text
 from gneiss.llm.minhash import op4_minhash
+from gneiss.llm.url_rules import OP8_SQL, op8_url_rules
+from gneiss.llm.vantage import op2_vantage
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash,)}
+    return {f.__name__: f for f in (op1_html_text, op2_vantage, op3_chat, op4_minhash, op8_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": OP3_SQL, "op8_url_rules": OP8_SQL}
