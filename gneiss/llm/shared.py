@@ -98,12 +98,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased, and offsets of the texts' words."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[raw]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs where ``inside`` holds; a run doesn't reach over the end of a text."""
+    n = len(inside)
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
@@ -112,12 +109,24 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     closes[:-1] &= ~inside[1:]
     tails = offsets[1:][offsets[1:] > 0] - 1
     closes[tails] |= inside[tails]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def hashed_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, A-Z lower-cased."""
+    n = len(raw)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_LOWER[raw] * _powers_of(_BASE, n)[:n], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * _powers_of(_INVERSE, n)[starts])
-    return words, np.searchsorted(starts, offsets)
+    return mixed((sums[ends] - sums[starts]) * _powers_of(_INVERSE, n)[starts])
+
+
+def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased, and offsets of the texts' words."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = spans(~_SPACE[raw], offsets)
+    return hashed_spans(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
 _PLACE = _rng.integers(1, 2**63, size=64, dtype=np.uint64) * _U(2) + _U(1)
