@@ -1,3 +1,296 @@
-from gneiss.catalog.base import Found
+"""Big graphs, link prediction and block models over edges that Spark derives from orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gneiss.catalog.base import PART_EDGES, SUPPLY_EDGES, Found, part_edges, spread, supply_edges, table
+from gneiss.operators import blocks as B
+from gneiss.operators import graphs as G
+from gneiss.operators import sampling, splits
 
 found = query = Found()
+NEAR = "near AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
+P, S = f"{PART_EDGES}, {NEAR}", f"{SUPPLY_EDGES}, {NEAR}"
+
+
+def nation_part(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("block"))
+
+
+NATION = "part AS (SELECT s_suppkey AS node, s_nationkey AS block FROM supplier)"
+
+
+@query(f"""WITH {PART_EDGES}, pairs AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst), r AS (SELECT *, row_number() OVER (ORDER BY md5('4:' || src || ':' || dst), src, dst) - 1 AS i, count(*) OVER () AS n FROM pairs)
+SELECT src, dst, CASE WHEN i < floor(n * 0.05) THEN 'valid' WHEN i < floor(n * 0.05) + floor(n * 0.1) THEN 'test' ELSE 'train' END AS role FROM r""")
+def spl14_split_edges(spark, d):
+    return splits.split_edges(part_edges(spark, d), 0.05, 0.1, 4)
+
+
+@query()
+def spl14_spl16_non_edges(spark, d):
+    """Checked by properties: as many as asked for, ordered pairs, none an edge."""
+    e = part_edges(spark, d)
+    return splits.sampled_non_edges(e, G.nodes_of(e), 1000, 4)
+
+
+@query(f"WITH {PART_EDGES} SELECT src, dst, k, (('0x' || substr(md5('1:' || src || ':' || dst || ':' || k), 1, 12))::BIGINT % 2000)::BIGINT AS neg FROM edges, (SELECT unnest([1, 2])::INT AS k)")
+def smp6_neg_local(spark, d):
+    return sampling.neg_local(part_edges(spark, d).select("src", "dst"), 2000, 2, 1)
+
+
+@query(f"""WITH {SUPPLY_EDGES}, n AS (SELECT src, dst FROM edges) SELECT 0 AS copy, row_number() OVER (ORDER BY src, dst) - 1 AS place, src, dst FROM n
+UNION ALL SELECT 1, row_number() OVER (ORDER BY md5('3:1:' || src || ':' || dst), src, dst) - 1, src, dst FROM n""")
+def smp5_neg_permuted(spark, d):
+    return sampling.neg_permuted(supply_edges(spark, d), 2, 3)
+
+
+@query("""SELECT l_orderkey AS src, l_partkey AS dst, 1 AS label FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_partkey, 0 FROM lineitem WHERE l_linenumber > 1""")
+def smp7_pos_neg_pairs(spark, d):
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    pos = items.where("l_linenumber = 1").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    stored = items.where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("src")).agg(F.collect_list("l_partkey").alias("target_node_neg"))
+    return sampling.pos_neg_pairs(pos, stored)
+
+
+@query(f"""WITH {PART_EDGES}, g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node), s AS (SELECT *, pow(degree, 0.75) / (SELECT sum(pow(degree, 0.75)) FROM g) AS share FROM g)
+SELECT node, degree, round(share, 9) AS share, round(sum(share) OVER (ORDER BY node), 6) AS upto FROM s""")
+def smp8_neg_distribution(spark, d):
+    return sampling.neg_distribution(part_edges(spark, d)).select("node", "degree", F.round("share", 9).alias("share"), F.round("upto", 6).alias("upto"))
+
+
+@query()
+def smp8_draw_nodes(spark, d):
+    """Checked by properties: drawn nodes follow their shares."""
+    return sampling.draw_nodes(part_edges(spark, d), 5000)
+
+
+@query(f"WITH {PART_EDGES}, i AS (SELECT src, dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS o FROM edges) SELECT 2 * o AS place, src, dst, w FROM i UNION ALL SELECT 2 * o + 1, dst, src, w FROM i")
+def grf1_add_inverse(spark, d):
+    from gneiss.plans.rank import with_index
+
+    return G.add_inverse(with_index(part_edges(spark, d).select("src", "dst", "w"), "src", "dst", name="o"), "o").select("place", "src", "dst", "w")
+
+
+@query(f"WITH {PART_EDGES} SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst) GROUP BY ALL")
+def grf2_grf3_undirected(spark, d):
+    return G.to_undirected(part_edges(spark, d))
+
+
+@query(f"WITH {PART_EDGES}, g AS (SELECT src, sum(w) AS d FROM edges GROUP BY src) SELECT e.src, e.dst, round(coalesce(w / sqrt(a.d * b.d), 0), 6) AS w FROM edges e LEFT JOIN g a ON a.src = e.src LEFT JOIN g b ON b.src = e.dst")
+def grf5_normalize_weights(spark, d):
+    return spread(G.normalize_weights(part_edges(spark, d)))
+
+
+@query(f"WITH {PART_EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT src, dst, w::DOUBLE AS w FROM edges WHERE src <> dst UNION ALL SELECT node, node, 1.0::DOUBLE FROM n")
+def grf6_set_loops(spark, d):
+    e = part_edges(spark, d)
+    return G.set_loops(e, G.nodes_of(e))
+
+
+@query(f"WITH {P}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) // 2 FROM near)::BIGINT AS n_edges, round((SELECT count(*) FROM near) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 6) AS density")
+def grf7_graph_stats(spark, d):
+    return spread(G.graph_stats(part_edges(spark, d)))
+
+
+@query(f"WITH {PART_EDGES}, f AS (SELECT src AS node, 1 AS o, 0 AS i, w FROM edges UNION ALL SELECT dst, 0, 1, w FROM edges) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree, sum(w)::BIGINT AS strength FROM f GROUP BY node")
+def grf8_degrees(spark, d):
+    return G.degrees(part_edges(spark, d))
+
+
+@query()
+def grf9_kcore(spark, d):
+    """Checked against peeling in the tests."""
+    return G.kcore(part_edges(spark, d))
+
+
+@query(f"""WITH {S}, hub AS (SELECT src AS node FROM near GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), one AS (SELECT DISTINCT dst AS node FROM near JOIN hub ON src = node)
+SELECT node, 0 AS dist FROM hub UNION ALL SELECT node, 1 FROM one WHERE node NOT IN (SELECT node FROM hub)""")
+def grf10_anchor_ball(spark, d):
+    return G.anchor_ball(supply_edges(spark, d), 1)
+
+
+@query(f"WITH {P} SELECT a.src AS a, b.src AS b, count(*) AS common FROM near a JOIN near b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 3")
+def grf11_common_neighbors(spark, d):
+    return G.wedge_counts(part_edges(spark, d)).where("common >= 3")
+
+
+@query(f"""WITH {S}, g AS (SELECT src AS node, count(*) AS d FROM near GROUP BY src), c AS (SELECT a.src AS a, b.src AS b, count(*) AS k FROM near a JOIN near b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL),
+s AS (SELECT a, b, k / (x.d + y.d - k) AS similarity FROM c JOIN g x ON x.node = a JOIN g y ON y.node = b) SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= (SELECT quantile_cont(similarity, 0.5) FROM s)""")
+def grf12_jaccard(spark, d):
+    return spread(G.jaccard(supply_edges(spark, d), 0.5))
+
+
+@query(f"""WITH {S}, a2 AS (SELECT a.src, b.dst, count(*) AS n FROM near a JOIN near b ON a.dst = b.src GROUP BY ALL), a3 AS (SELECT a.src, b.dst, sum(n) AS n FROM a2 a JOIN near b ON a.dst = b.src GROUP BY ALL)
+SELECT src, dst, round(sum(w), 6) AS w FROM (SELECT src, dst, 0.001::DOUBLE AS w FROM near UNION ALL SELECT src, dst, n * 0.001::DOUBLE ** 2 FROM a2 UNION ALL SELECT src, dst, n * 0.001::DOUBLE ** 3 FROM a3) GROUP BY ALL""")
+def grf13_katz(spark, d):
+    return spread(G.katz(supply_edges(spark, d), 0.001, 3))
+
+
+def _lp(rounds: int) -> str:
+    parts = [P, "l0 AS (SELECT DISTINCT src AS node, src AS block FROM near)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"v{k} AS (SELECT src AS node, block, count(*) AS n FROM near JOIN l{k - 1} ON node = dst GROUP BY src, block), l{k} AS (SELECT node, arg_max(block, (n, -block)) AS block FROM v{k} GROUP BY node)")
+    return "WITH " + ", ".join(parts) + f" SELECT node, block FROM l{rounds}"
+
+
+@query(_lp(3))
+def grf14_label_propagation(spark, d):
+    return G.label_propagation(part_edges(spark, d), 3)
+
+
+@query()
+def grf15_louvain(spark, d):
+    """Checked by modularity in the tests."""
+    return G.louvain(part_edges(spark, d))
+
+
+@query()
+def grf16_sbm28_spectral(spark, d):
+    return G.spectral(part_edges(spark, d), 4)
+
+
+@query(f"WITH {NATION} SELECT a.node AS a, b.node AS b FROM part a JOIN part b ON a.block = b.block AND a.node < b.node")
+def grf17_same_group_pairs(spark, d):
+    return G.same_group_pairs(nation_part(spark, d))
+
+
+@query(f"WITH {P} SELECT a.src AS a, b.src AS b FROM near a JOIN near b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 4")
+def grf18_treatment(spark, d):
+    return G.treatment(part_edges(spark, d), "common_neighbors", 4)
+
+
+EMB = "v AS (SELECT vec_id AS node, label AS block, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("block"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"WITH {EMB}, p AS (SELECT a.node AS a, b.node AS b, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.block = b.block AND a.node <> b.node), r AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank, b, distance FROM p) SELECT a, rank::INT AS rank, b, round(distance, 6) AS distance FROM r WHERE rank <= 5")
+def grf20_grf22_knn(spark, d):
+    return spread(G.knn_in_blocks(vectors(spark, d), "block", 5))
+
+
+@query(f"WITH {EMB}, p AS (SELECT list_distance(a.v, b.v) AS x FROM v a JOIN v b ON a.block = b.block AND a.node < b.node) SELECT round(quantile_cont(x, 0.1), 6) AS threshold FROM p")
+def grf21_distance_threshold(spark, d):
+    a, b = (vectors(spark, d).select("block", F.col("node").alias(n), F.col("v").alias(f"v{n}")) for n in ("a", "b"))
+    met = a.join(b, "block").where("a < b").select(G.distance(F.col("va"), F.col("vb")).alias("x"))
+    return spread(met.agg(F.percentile("x", F.lit(0.1)).alias("threshold")))
+
+
+@query()
+def grf23_grf24_counterfactual(spark, d):
+    """Nearest pairs with the opposite treatment; checked against a loop in the tests."""
+    v = vectors(spark, d)
+    near = G.knn_in_blocks(v, "block", 3).select("a", "b", "distance").unionByName(v.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("distance")))
+    treated = v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).unionByName(v.select((F.col("node") + 1).alias("a"), F.col("node").alias("b")))
+    pairs = v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).where("a % 2 = 0").join(v.select(F.col("node").alias("b")), "b").select("a", "b")
+    return G.counterfactual_pairs(pairs, treated, near, 1.5)
+
+
+@query(f"WITH {EMB} SELECT a.node AS a, b.node AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON b.node = a.node + 1")
+def msg12_score_links(spark, d):
+    v = vectors(spark, d)
+    return spread(G.score_links(v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")), v))
+
+
+@query()
+def grf25_components(spark, d):
+    return G.components(part_edges(spark, d))
+
+
+@query("""WITH h AS (SELECT s_suppkey AS node, md5('6:' || s_suppkey) AS h FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY h, node) - 1 AS i FROM h) SELECT node, (CASE WHEN i < 5 THEN i ELSE ('0x' || substr(h, 1, 8))::BIGINT % 5 END)::INT AS block FROM r""")
+def sbm1_random_partition(spark, d):
+    return B.random_partition(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 5, 6)
+
+
+CELLS = f"""{SUPPLY_EDGES}, {NATION}, m AS (SELECT a.block AS r, b.block AS s, w FROM edges JOIN part a ON a.node = src JOIN part b ON b.node = dst), c AS (SELECT r, s, sum(w) AS e FROM m GROUP BY ALL),
+u AS (SELECT r, s, sum(e) AS e FROM (SELECT r, s, e FROM c UNION ALL SELECT s, r, e FROM c) GROUP BY ALL), z AS (SELECT block, count(*) AS size FROM part GROUP BY block),
+st AS (SELECT block, size, coalesce(o, 0)::BIGINT AS out_degree, coalesce(i, 0)::BIGINT AS in_degree, (coalesce(o, 0) + coalesce(i, 0))::BIGINT AS degree FROM z LEFT JOIN (SELECT r AS block, sum(w) AS o FROM m GROUP BY r) USING (block) LEFT JOIN (SELECT s AS block, sum(w) AS i FROM m GROUP BY s) USING (block))"""
+
+
+@query(f"WITH {CELLS} SELECT r, s, e::BIGINT AS e FROM u")
+def sbm2_block_edges(spark, d):
+    return B.block_edges(supply_edges(spark, d), nation_part(spark, d))
+
+
+@query(f"WITH {CELLS} SELECT * FROM st")
+def sbm3_block_stats(spark, d):
+    return B.block_stats(supply_edges(spark, d), nation_part(spark, d))
+
+
+@query(f"WITH {SUPPLY_EDGES}, {NATION}, g AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node), c AS (SELECT block, coalesce(d, 0) AS degree, count(*) AS n FROM part LEFT JOIN g USING (node) GROUP BY ALL) SELECT block, degree, n, round(n / sum(n) OVER (PARTITION BY block), 6) AS share FROM c")
+def sbm4_block_degree_dist(spark, d):
+    return spread(B.block_degree_dist(supply_edges(spark, d), nation_part(spark, d)))
+
+
+@query(f"WITH {SUPPLY_EDGES}, {NATION}, b AS (SELECT src AS node, dst AS o, w FROM edges WHERE src <> dst UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst) SELECT b.node, block, sum(w)::BIGINT AS k FROM b JOIN part p ON p.node = o GROUP BY ALL")
+def sbm5_node_block_edges(spark, d):
+    return B.node_block_edges(supply_edges(spark, d), nation_part(spark, d))
+
+
+@query("SELECT s_suppkey AS node, n_regionkey AS block FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def sbm6_merge_blocks(spark, d):
+    return B.merge_blocks(nation_part(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("block"), F.col("n_regionkey").alias("into")))
+
+
+def levels(spark, d):
+    return [nation_part(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("block"))]
+
+
+@query(f"WITH {CELLS} SELECT 0 AS level, r, s, e::BIGINT AS e FROM c UNION ALL SELECT 1, a.n_regionkey, b.n_regionkey, sum(e)::BIGINT FROM c JOIN nation a ON a.n_nationkey = r JOIN nation b ON b.n_nationkey = s GROUP BY ALL")
+def sbm8_block_rollup(spark, d):
+    return B.block_rollup(supply_edges(spark, d), levels(spark, d))
+
+
+@query("SELECT s_suppkey AS node, n_regionkey AS block FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def sbm29_compose_levels(spark, d):
+    return B.compose_levels(*levels(spark, d))
+
+
+@query(f"""WITH {CELLS}, x AS (SELECT u.r, u.s, e::DOUBLE AS e, a.size AS nr, b.size AS ns, a.degree AS kr, b.degree AS ks FROM u JOIN st a ON a.block = u.r JOIN st b ON b.block = u.s)
+SELECT 'SKN' AS name, round(sum(e * ln(e / (nr * ns))), 3) AS score FROM x UNION ALL SELECT 'DCKN', round(sum(e * ln(e / (kr::DOUBLE * ks))), 3) FROM x
+UNION ALL SELECT 'SPS', round(-((SELECT sum(w) FROM edges) + (SELECT sum(degree * ln(size)) FROM st) - 0.5 * sum(e * ln(e))), 3) FROM x
+UNION ALL SELECT 'DCP', round(-(-(SELECT sum(w) FROM edges) - (SELECT sum(lgamma(k + 1)) FROM (SELECT sum(w) AS k FROM (SELECT src AS n, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY n)) - 0.5 * sum(e * ln(e / (kr::DOUBLE * ks)))), 3) FROM x""")
+def sbm9_to_sbm13_scores(spark, d):
+    e, p = supply_edges(spark, d), nation_part(spark, d)
+    out = None
+    for name in ("SKN", "DCKN", "SPS", "DCP"):
+        one = B.score(e, p, name).select(F.lit(name).alias("name"), F.round("score", 3).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {P}, pt AS (SELECT p_partkey AS node, p_brand AS block FROM part), z AS (SELECT block, count(*) AS n FROM pt GROUP BY block), e AS (SELECT least(a.block, b.block) AS r, greatest(a.block, b.block) AS s, count(*)::DOUBLE AS e FROM near JOIN pt a ON a.node = src JOIN pt b ON b.node = dst WHERE src < dst GROUP BY ALL),
+g AS (SELECT a.block AS r, b.block AS s, CASE WHEN a.block = b.block THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END::DOUBLE AS p FROM z a JOIN z b ON a.block <= b.block), x AS (SELECT p, coalesce(e, 0) AS e FROM g LEFT JOIN e USING (r, s)), t AS (SELECT sum(n) AS n, count(*) AS b FROM z)
+SELECT round((SELECT sum(lgamma(e + 0.5) + lgamma(p - e + 0.5) - lgamma(p + 1) - 2 * lgamma(0.5)) FROM x) + (SELECT sum(lgamma(n + 0.5)) FROM z) + lgamma(b * 0.5) - b * lgamma(0.5) - lgamma(n + b * 0.5), 2) AS score FROM t""")
+def sbm14_icl(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("block"))
+    return spread(B.icl(part_edges(spark, d), p), 2)
+
+
+@query("""WITH a AS (SELECT s_nationkey AS x, s_suppkey % 7 AS y FROM supplier), j AS (SELECT x, y, count(*) AS c FROM a GROUP BY ALL), n AS (SELECT sum(c) AS n FROM j),
+h AS (SELECT (SELECT -sum(c / n * ln(c / n)) FROM (SELECT sum(c) AS c FROM j GROUP BY x), n) AS h1, (SELECT -sum(c / n * ln(c / n)) FROM (SELECT sum(c) AS c FROM j GROUP BY y), n) AS h2, (SELECT -sum(c / n * ln(c / n)) FROM j, n) AS h12)
+SELECT round(h1, 6) AS h1, round(h2, 6) AS h2, round(h1 + h2 - h12, 6) AS mi, round((h1 + h2 - h12) / sqrt(h1 * h2), 6) AS nmi FROM h""")
+def sbm24_nmi(spark, d):
+    a = nation_part(spark, d)
+    return spread(B.nmi(a, a.select("node", (F.col("node") % 7).alias("block"))))
+
+
+@query()
+def sbm20_em_partition(spark, d):
+    return B.em_partition(supply_edges(spark, d), nation_part(spark, d), 3)
+
+
+@query()
+def sbm21_sbm22_select_blocks(spark, d):
+    """The number of blocks with the best penalised score among hashed partitions."""
+    e = supply_edges(spark, d)
+    nodes = G.nodes_of(e)
+    out = None
+    for b in (2, 3, 4):
+        one = B.score(e, B.random_partition(nodes, b, 1), "SKN").select(F.lit(b).alias("blocks"), "score")
+        out = one if out is None else out.unionByName(one)
+    row = e.agg(F.sum("w")).first()[0]
+    return B.select_blocks(out, nodes.count(), float(row), "BIC")
