@@ -3,10 +3,10 @@
 Two texts are linked if the Jaccard similarity of their word-shingle sets reaches ``least`` percent. Texts with
 equal sets form a class first and only one of each goes on, so exact copies cost nothing. Classes that share a band
 are compared in two passes. The first compares every member of a band's bucket with one member drawn by hash; the
-links found there join most of a large group of near copies. The second takes each bucket that still holds several
-components and compares, in blocks of bounded size, exactly the pairs that lie in different components, since any
-other pair can't change the result. So no bucket is capped, no pair that matters is left out, and what a task emits
-is at most its number of members.
+links found there join most of a large group of near copies. The second takes what still shares a bucket with members
+of another component and compares it, in blocks of bounded size, with the component that is most frequent there and
+with whatever else met that component: every pair that shares a bucket and lies in different components is compared,
+and no other pair can change the result. So no bucket is capped, and a task emits fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from gneiss.llm.shared import hashed_words, mixed, pieces, shingles, table, text
 WIDTH, LEAST = 5, 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6
 SIGNATURE_LEAST = 0.56  # five standard deviations under 0.75 with 128 minima
-BLOCK = 64
+BLOCK = 128
 _U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(11))
 _A = _draw.integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
@@ -154,16 +154,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, sig
     mine = F.coalesce("component", "id").alias("component")
     placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", mine)
     shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    split = shares.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("several")).where("several > 1")
-    split = split.select("bucket", "main", F.ceil(F.col("most") / (BLOCK // 2)).alias("mains"), F.ceil((F.col("all") - F.col("most")) / (BLOCK // 2)).alias("others"))
-    open_ = placed.join(split, "bucket").withColumn("is_main", F.col("component") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+    split = shares.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
+    # Whatever meets a component in any bucket is dealt to that component once, however many bands they share.
+    open_ = placed.join(split, "bucket").select("main", "id", "component").distinct().withColumn("is_main", F.col("component") == F.col("main"))
+    many = lambda is_main: F.ceil(F.count(F.when(F.col("is_main") == is_main, 1)) / BLOCK)
+    open_ = written(open_, "open")
+    open_ = open_.join(open_.groupBy("main").agg(many(True).alias("mains"), many(False).alias("others")), "main")
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     at = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(side).alias("side"))
     beside = F.transform(upto(F.col("others")), lambda k: at(k, -1 - F.col("own"), 1))
     across = F.transform(upto(F.col("mains")), lambda k: at(F.col("own"), -1 - k, 0))
     among = F.transform(upto(F.col("others")), lambda k: F.struct(F.least("own", k).cast("long").alias("x"), F.greatest("own", k).cast("long").alias("y"), F.when(F.col("own") == k, 2).when(F.col("own") < k, 0).otherwise(1).alias("side")))
-    blocks = open_.select("bucket", "id", "component", F.explode(F.when(F.col("is_main"), beside).otherwise(F.concat(across, among))).alias("at")).select("bucket", "at.x", "at.y", "at.side", "id", "component")
-    more = _compared(blocks, signed, ["bucket", "x", "y"], least, signature_least)
+    blocks = open_.select("main", "id", "component", F.explode(F.when(F.col("is_main"), beside).otherwise(F.concat(across, among))).alias("at")).select("main", "at.x", "at.y", "at.side", "id", "component")
+    more = written(_compared(blocks, signed, ["main", "x", "y"], least, signature_least), "more")
     named = components(named.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     of_class = classes.join(named.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("found"))
