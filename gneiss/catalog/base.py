@@ -59,13 +59,17 @@ SUPPLY_EDGES = "edges AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*
 
 def order_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Many small graphs: the lines of an order, chained by line number."""
-    items = table(spark, d, "lineitem")
-    nodes = items.select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").cast("long").alias("node_id"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("z"), (F.ascii("l_returnflag") - 65).alias("label"))
+    from pyspark.sql import Window
+
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("x"), F.min("l_discount").alias("z"), F.min(F.ascii("l_returnflag") - 65).alias("label"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).cast("long")
+    nodes = lines.select(F.col("l_orderkey").alias("graph_id"), place.alias("node_id"), "x", "z", "label")
     bonds = nodes.select("graph_id", F.col("node_id").alias("src")).join(nodes.select("graph_id", (F.col("node_id") - 1).alias("src"), F.col("node_id").alias("dst")), ["graph_id", "src"])
     return nodes, bonds.select("graph_id", "src", "dst")
 
 
-ORDER_GRAPHS = """nodes AS (SELECT l_orderkey AS graph_id, l_linenumber::BIGINT AS node_id, l_quantity AS x, l_discount AS z, ascii(l_returnflag) - 65 AS label FROM lineitem),
+ORDER_GRAPHS = """lines AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS x, min(l_discount) AS z, min(ascii(l_returnflag) - 65) AS label FROM lineitem GROUP BY ALL),
+nodes AS (SELECT l_orderkey AS graph_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS node_id, x, z, label FROM lines),
 bonds AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND b.node_id = a.node_id + 1)"""
 
 
