@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.shared import hashed_words, pieces, table, text_bytes, written
 
 BACKOFF, FLOOR = 0.4, 0.5
-CHUNK, PER_BUCKET = 16 << 20, 12_000_000  # bytes of text in a chunk; characters of text to a bucket
+CHUNK, PER_BUCKET = 8 << 20, 8_000_000  # bytes of text in a chunk; characters of text to a bucket
 BEGIN, END = np.uint64(0x1357_9BDF_0246_8ACE), np.uint64(0x0F1E_2D3C_4B5A_6978)
 _SHAPE = "kind int, key long, chunk long, payload binary"
 
@@ -36,10 +36,12 @@ def _packed(*arrays: np.ndarray) -> bytes:
         if a.dtype.kind != "f":
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
         out.append(np.array([a.dtype.itemsize + 64 * (a.dtype.kind == "f"), len(a)], np.int64).tobytes() + a.tobytes())
-    return b"".join(out)
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 0
     while at < len(data):
         kind, n = np.frombuffer(data, np.int64, 2, at)
