@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
+from gneiss.llm.members import with_ids
 from gneiss.llm.shared import hashed_words, mixed, pieces, shingles, table, text_bytes, written
 
 WIDTH, LEAST = 5, 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6
 SIGNATURE_LEAST = 0.56  # five standard deviations under 0.75 with 128 minima
 BLOCK = 128
+DRAWS = 3  # orders in which members are drawn: more would send a text to more blocks, fewer join less of a group
 _U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(11))
 _A = _draw.integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
@@ -136,12 +138,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, sig
     classes = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
     banded = classes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
-    drawn = F.struct(F.xxhash64("id", "bucket").alias("draw"), "id")
+    drawn = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(DRAWS))).alias("draw"), "id")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min(drawn)["id"].alias("hub"))
     buckets = buckets.where("low < high").dropDuplicates(["size", "low", "high", "mark"])  # the same members in several bands
     members = written(banded.join(buckets.select("bucket", "hub"), "bucket"), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    signed = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_signed(width), "id long, signature binary, shingles binary"), "signed")
+    signed = written(with_ids(texts, ids).mapInArrow(_signed(width), "id long, signature binary, shingles binary"), "signed")
     signed = signed.where("length(shingles) > 0")
 
     spokes = members.where("id <> hub").select("hub", "id").distinct()
