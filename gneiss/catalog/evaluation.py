@@ -436,3 +436,18 @@ def sel10_forest(spark, d):
 def sel11_boosted(spark, d):
     df = scored(spark, d).select("doc_id", "score", "y", F.length("source").cast("double").alias("b"))
     return selection.fit_trees(df, ["score", "b"], "y", "boosted").transform(df).select("doc_id", "y", "prediction")
+
+
+@query("""WITH f AS (SELECT label AS y, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS s FROM embeddings), g AS (SELECT c, s, (c = y)::INT AS y FROM f),
+r AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY s) + (count(*) OVER (PARTITION BY c, s) - 1) / 2 AS k, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS m FROM g),
+p AS (SELECT c, (sum(k * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc FROM r GROUP BY c HAVING sum(y) > 0)
+SELECT round((SELECT (sum(m * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) FROM r), 6) AS micro, round((SELECT avg(auc) FROM p), 6) AS macro""")
+def met2_met3_multiclass_auc(spark, d):
+    return spread(metrics.multiclass_auc(table(spark, d, "embeddings"), "label", "embedding"))
+
+
+@query()
+def sel12_run_grid(spark, d):
+    """Predictions of the forest that cross-validation over given folds chooses."""
+    df = splits.kfold(scored(spark, d).select("doc_id", "score", "y", F.length("source").cast("double").alias("b")), "doc_id", 3, 2)
+    return selection.run_grid(df, ["score", "b"], "y", "fold", (2, 3), 3).transform(df).select("doc_id", "y", "prediction")

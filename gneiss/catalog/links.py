@@ -294,3 +294,57 @@ def sbm21_sbm22_select_blocks(spark, d):
         out = one if out is None else out.unionByName(one)
     row = e.agg(F.sum("w")).first()[0]
     return B.select_blocks(out, nodes.count(), float(row), "BIC")
+
+
+@query(f"""WITH {S}, s2 AS (SELECT DISTINCT a.src, b.dst FROM near a JOIN near b ON a.dst = b.src), reach AS (SELECT * FROM near UNION SELECT * FROM s2)
+SELECT a.src AS a, b.src AS b, count(*) AS common FROM reach a JOIN reach b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 2""")
+def grf11_common_within_two(spark, d):
+    return G.common_neighbors(supply_edges(spark, d), 2, 2)
+
+
+@query(f"WITH {SUPPLY_EDGES}, l AS (SELECT src, dst, w::DOUBLE AS w FROM edges WHERE src <> dst UNION ALL SELECT n, n, 1.0 FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges)), g AS (SELECT src, sum(w) AS d FROM l GROUP BY src) SELECT l.src, l.dst, round(w / sqrt(a.d * b.d), 6) AS w FROM l JOIN g a ON a.src = l.src JOIN g b ON b.src = l.dst")
+def msg3_gcn_norm(spark, d):
+    e = supply_edges(spark, d)
+    return spread(G.gcn_norm(e, G.nodes_of(e)))
+
+
+@query(f"WITH {SUPPLY_EDGES} SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM edges")
+def msg4_row_norm(spark, d):
+    return spread(G.row_norm(supply_edges(spark, d)))
+
+
+@query(f"WITH {P}, g AS (SELECT src, count(*) AS d FROM near GROUP BY src) SELECT n.src, n.dst, round(-1 / sqrt(a.d * b.d), 6) AS w FROM near n JOIN g a ON a.src = n.src JOIN g b ON b.src = n.dst UNION ALL SELECT src, src, 1.0 FROM g")
+def fea23_laplacian(spark, d):
+    return spread(G.laplacian(G.neighbours(part_edges(spark, d)).withColumn("w", F.lit(1.0))))
+
+
+@query("""WITH a AS (SELECT s_nationkey AS x, s_suppkey % 7 AS y FROM supplier), j AS (SELECT x, y, count(*) AS c FROM a GROUP BY ALL), n AS (SELECT sum(c)::DOUBLE AS n FROM j), ax AS (SELECT sum(c)::BIGINT AS x FROM j GROUP BY x), ay AS (SELECT sum(c)::BIGINT AS y FROM j GROUP BY y),
+h AS (SELECT (SELECT -sum(x / n * ln(x / n)) FROM ax, n) AS h1, (SELECT -sum(y / n * ln(y / n)) FROM ay, n) AS h2, (SELECT -sum(c / n * ln(c / n)) FROM j, n) AS h12),
+t AS (SELECT x, y, n, unnest(range(greatest(1, (x + y - n)::BIGINT), least(x, y) + 1)) AS c FROM ax, ay, n), e AS (SELECT sum(c / n * ln(n * c / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(c + 1) - lgamma(x - c + 1) - lgamma(y - c + 1) - lgamma(n - x - y + c + 1))) AS ex FROM t)
+SELECT round(h1 + h2 - h12, 6) AS mi, round(ex, 6) AS expected, round((h1 + h2 - h12 - ex) / ((h1 + h2) / 2 - ex), 5) AS ami FROM h, e""")
+def sbm25_ami(spark, d):
+    a = nation_part(spark, d)
+    return B.ami(a, a.select("node", (F.col("node") % 7).alias("block"))).select(F.round("mi", 6).alias("mi"), F.round("expected", 6).alias("expected"), F.round("ami", 5).alias("ami"))
+
+
+@query()
+def sbm26_nmi_baseline(spark, d):
+    return B.nmi_baseline(nation_part(spark, d), 5, 3)
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS test, o_orderpriority AS inference, o_orderkey AS run, o_totalprice AS value FROM orders) SELECT test, inference, arg_max(run, (value, -run)) AS best_run, max(value) AS best, round(avg(value), 4) AS mean, count(*) AS n FROM r GROUP BY ROLLUP (test, inference)""")
+def sbm27_agg2_summarize_runs(spark, d):
+    runs = table(spark, d, "orders").select(F.col("o_orderstatus").alias("test"), F.col("o_orderpriority").alias("inference"), F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("value"))
+    return B.summarize_runs(runs).withColumn("mean", F.round("mean", 4))
+
+
+@query()
+def sbm19_move_gains(spark, d):
+    """Checked against score differences in the tests."""
+    return B.move_gains(supply_edges(spark, d).where("src <> dst"), nation_part(spark, d))
+
+
+@query()
+def sbm30_scores_by_blocks(spark, d):
+    e = supply_edges(spark, d)
+    return B.scores_by_blocks(e, {2: B.random_partition(G.nodes_of(e), 2, 1), 25: nation_part(spark, d)}, "SKN")

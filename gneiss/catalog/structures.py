@@ -290,3 +290,21 @@ def xpl12_reduce_attention(spark, d):
 def xpl13_unique_rationales(spark, d):
     df = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_discount", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
     return X.unique_rationales(df, "l_partkey", "l_discount", "o").select("l_partkey", "l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH {O}, big AS (SELECT graph_id FROM nodes GROUP BY graph_id HAVING max(node_id) > 3), rings AS (SELECT graph_id, 1 AS ring, node_id FROM nodes JOIN big USING (graph_id) WHERE node_id <= 3),
+k AS (SELECT b.graph_id, 0 AS k, src AS a, dst AS b, unnest([src, dst]) AS node_id FROM bonds b WHERE NOT (graph_id IN (SELECT graph_id FROM big) AND dst <= 3) UNION ALL SELECT graph_id, 1, ring, 0, node_id FROM rings)
+SELECT graph_id, node_id, (dense_rank() OVER (PARTITION BY graph_id ORDER BY k, a, b) - 1)::INT AS cluster FROM k""")
+def fea26_clusters(spark, d):
+    """The first three lines of longer orders as a ring."""
+    nodes, bonds = order_graphs(spark, d)
+    big = nodes.groupBy("graph_id").agg(F.max("node_id").alias("m")).where("m > 3").select("graph_id")
+    rings = nodes.where("node_id <= 3").join(big, "graph_id", "left_semi").select("graph_id", F.lit(1).alias("ring"), "node_id")
+    return E.clusters(bonds, rings)
+
+
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT list(x ORDER BY i) AS v FROM (SELECT i, avg(x) AS x FROM e GROUP BY i)) SELECT p_partkey AS node, round(list_sum(coalesce(x.embedding::DOUBLE[], m.v)), 5) AS total FROM part LEFT JOIN embeddings x ON vec_id = p_partkey, m")
+def msg13_fill_unseen(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("v"))
+    out = M.fill_unseen(table(spark, d, "part").select(F.col("p_partkey").alias("node")), v)
+    return out.select("node", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))

@@ -112,3 +112,10 @@ def mrr(positives: DataFrame, negatives: DataFrame, key: str, score: str = "scor
 
 def over_folds(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def multiclass_auc(df: DataFrame, label: str, probabilities: str) -> DataFrame:
+    """``micro, macro``: AUC of all (row, class) pairs at once, and the mean of one-against-rest AUCs of the classes that have one."""
+    flat = df.select(F.posexplode(probabilities).alias("c", "score"), F.col(label).alias("_y")).select("c", "score", (F.col("c") == F.col("_y")).cast("int").alias("y"))
+    micro = roc_auc(flat.withColumn("_all", F.lit(0)), ["_all"]).select(F.col("auc").alias("micro"))
+    return micro.join(F.broadcast(roc_auc(flat, ["c"]).agg(F.avg("auc").alias("macro"))))

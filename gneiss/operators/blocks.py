@@ -178,3 +178,69 @@ def em_partition(edges: DataFrame, part: DataFrame, rounds: int = 5) -> DataFram
         met = now.join(best, "node", "left").join(keep, "node", "left")
         now = written(met.select("node", F.when(turn & F.col("_keep").isNull(), F.coalesce("to", "block")).otherwise(F.col("block")).alias("block")))
     return now
+
+
+def ami(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``mi, expected, ami``: mutual information less its expectation under random partitions of the same sizes, over the mean entropy less that."""
+    info = written(nmi(a, b))
+    n = a.count()
+    sizes = lambda df, c: df.groupBy("block").agg(F.count("*").cast("long").alias(c)).groupBy(c).agg(F.count("*").alias(f"times_{c}")).withColumn("_one", F.lit(1))
+    # Pairs of block sizes, not of blocks: equal sizes have equal terms.
+    pairs = sizes(a, "x").join(sizes(b, "y"), "_one")
+    low = F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - n)
+    terms = pairs.withColumn("c", F.explode(F.sequence(low, F.least("x", "y"))))
+    f = lambda e: log_factorial(e)
+    total = F.lit(n)
+    weight = f(F.col("x")) + f(F.col("y")) + f(total - F.col("x")) + f(total - F.col("y")) - f(total) - f(F.col("c")) - f(F.col("x") - F.col("c")) - f(F.col("y") - F.col("c")) - f(total - F.col("x") - F.col("y") + F.col("c"))
+    share = F.col("c") / total
+    expected = terms.agg(F.sum(F.col("times_x") * F.col("times_y") * share * F.log(total * F.col("c") / (F.col("x") * F.col("y"))) * F.exp(weight)).alias("expected"))
+    return info.join(F.broadcast(expected)).select("mi", "expected", ((F.col("mi") - F.col("expected")) / F.nullif((F.col("h1") + F.col("h2")) / 2 - F.col("expected"), F.lit(0.0))).alias("ami"))
+
+
+def nmi_baseline(truth: DataFrame, blocks: int, draws: int, seed: int = 0) -> DataFrame:
+    """``draw, nmi`` of random partitions with the truth."""
+    out = None
+    for k in range(draws):
+        one = nmi(truth, random_partition(truth, blocks, seed + k)).select(F.lit(k).alias("draw"), "nmi")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def summarize_runs(runs: DataFrame) -> DataFrame:
+    """Best run by value and mean for each (test, inference), each test, and all, from ``runs(test, inference, run, value)``."""
+    return runs.rollup("test", "inference").agg(F.max_by("run", F.struct("value", -F.col("run"))).alias("best_run"), F.max("value").alias("best"), F.avg("value").alias("mean"), F.count("*").alias("n"))
+
+
+def scores_by_blocks(edges: DataFrame, parts: dict[int, DataFrame], name: str) -> DataFrame:
+    """``blocks, score`` of each partition, and of one block always."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    out = score(edges, nodes.select("node", F.lit(0).alias("block")), name).select(F.lit(1).alias("blocks"), "score")
+    for b, part in parts.items():
+        out = out.unionByName(score(edges, part, name).select(F.lit(b).alias("blocks"), "score"))
+    return out
+
+
+def move_gains(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """``node, block, gain``: change of the DCKN score when a node without loops moves to each block it has edges to.
+
+    With ``f(x) = x log x`` the score is the sum of ``f(e_rs)`` less twice the sum of ``f(k_r)``, so a move changes only the
+    counts of its two blocks with each block the node or those blocks touch.
+    """
+    k = written(node_block_edges(edges, part))
+    e = written(block_edges(edges, part))
+    degree = k.groupBy("node").agg(F.sum("k").alias("d"))
+    ends = e.groupBy(F.col("r").alias("block")).agg(F.sum("e").alias("kr"))
+    moves = k.select("node", F.col("block").alias("to")).join(part.select("node", F.col("block").alias("of")), "node").where("to <> of").join(degree, "node")
+    kv = k.select("node", F.col("block").alias("t"), F.col("k").alias("kt"))
+    count = lambda x, y, name: e.select(F.col("r").alias(x), F.col("s").alias(y), F.col("e").alias(name))
+    own = lambda c, name: k.select("node", F.col("block").alias(c), F.col("k").alias(name))
+    # Blocks apart from the two: only those the node touches change.
+    third = moves.join(kv, "node").where("t <> to and t <> of").join(count("of", "t", "a"), ["of", "t"], "left").join(count("to", "t", "b"), ["to", "t"], "left").fillna(0, ["a", "b"])
+    outer = third.groupBy("node", "to").agg(F.sum(2 * (xlogx(F.col("a") - F.col("kt")) - xlogx(F.col("a")) + xlogx(F.col("b") + F.col("kt")) - xlogx(F.col("b")))).alias("x"))
+    two = moves.join(own("of", "ko"), ["node", "of"], "left").join(own("to", "kn"), ["node", "to"], "left")
+    two = two.join(count("of", "of2", "rr").where("of = of2").drop("of2"), "of", "left").join(count("to", "to2", "ss").where("to = to2").drop("to2"), "to", "left").join(count("of", "to", "rs"), ["of", "to"], "left").fillna(0, ["ko", "kn", "rr", "ss", "rs"])
+    two = two.join(ends.select(F.col("block").alias("of"), F.col("kr").alias("dr")), "of").join(ends.select(F.col("block").alias("to"), F.col("kr").alias("ds")), "to")
+    c = F.col
+    inner = xlogx(c("rr") - 2 * c("ko")) - xlogx(c("rr")) + xlogx(c("ss") + 2 * c("kn")) - xlogx(c("ss")) + 2 * (xlogx(c("rs") + c("ko") - c("kn")) - xlogx(c("rs")))
+    sizes = -2 * (xlogx(c("dr") - c("d")) - xlogx(c("dr")) + xlogx(c("ds") + c("d")) - xlogx(c("ds")))
+    return two.join(outer, ["node", "to"], "left").select("node", c("to").alias("block"), (inner + sizes + F.coalesce("x", F.lit(0.0))).alias("gain"))

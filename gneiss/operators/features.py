@@ -213,3 +213,13 @@ def features(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:
     if missing:
         raise ValueError(f"unknown features: {missing}")
     return df.withColumn("features", F.concat(*(_generators[n](col) for n in names)))
+
+
+def clusters(bonds: DataFrame, rings: DataFrame) -> DataFrame:
+    """``graph_id, node_id, cluster``: each bond outside rings and each ring of ``rings(graph_id, ring, node_id)`` is a cluster."""
+    member = lambda c: rings.select("graph_id", "ring", F.col("node_id").alias(c))
+    inside = bonds.join(member("src"), ["graph_id", "src"]).join(member("dst"), ["graph_id", "ring", "dst"]).select("graph_id", "src", "dst").distinct()
+    single = bonds.select("graph_id", "src", "dst").distinct().join(inside, ["graph_id", "src", "dst"], "left_anti")
+    keyed = single.select("graph_id", F.struct(F.lit(0).cast("long").alias("k"), F.col("src").alias("a"), F.col("dst").alias("b")).alias("key"), F.explode(F.array("src", "dst")).alias("node_id"))
+    keyed = keyed.unionByName(rings.select("graph_id", F.struct(F.lit(1).cast("long").alias("k"), F.col("ring").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("key"), "node_id"))
+    return keyed.withColumn("cluster", F.dense_rank().over(Window.partitionBy("graph_id").orderBy("key")) - 1).select("graph_id", "node_id", "cluster")

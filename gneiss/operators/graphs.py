@@ -295,3 +295,15 @@ def score_links(pairs: DataFrame, vectors: DataFrame, how: str = "dot") -> DataF
     return met.select("a", "b", dot(F.col("va"), F.col("vb")).alias("score"))
 
 
+
+
+def common_neighbors(edges: DataFrame, k: int, hops: int = 3) -> DataFrame:
+    """``a, b, common``: pairs that share at least ``k`` nodes of what each reaches in 1 to ``hops`` steps, itself included where a walk returns."""
+    near = written(neighbours(edges))
+    reach = step = near
+    for _ in range(hops - 1):
+        step = written(step.select("src", F.col("dst").alias("mid")).join(near.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct())
+        reach = reach.union(step)
+    reach = written(reach.distinct())
+    left, right = reach.select(F.col("dst").alias("mid"), F.col("src").alias("a")), reach.select(F.col("dst").alias("mid"), F.col("src").alias("b"))
+    return left.join(right, "mid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= k)

@@ -79,3 +79,17 @@ def fit_trees(df: DataFrame, features: Sequence[str], label: str, kind: str = "f
     extra = {"weightCol": weight} if weight else {}
     tree = made[kind, classes](featuresCol="_x", labelCol=label, seed=0, maxDepth=4, **({"numTrees": 10} if kind == "forest" else {"maxIter": 5}), **extra)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree]).fit(df)
+
+
+def run_grid(df: DataFrame, features: Sequence[str], label: str, fold: str, depths: Sequence[int], folds: int):
+    """A cross-validated forest over ``depths``, with the given fold column."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    tree = RandomForestClassifier(featuresCol="_x", labelCol=label, seed=0, numTrees=5)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree])
+    choices = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).build()
+    return CrossValidator(estimator=pipe, estimatorParamMaps=choices, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol=fold).fit(df)

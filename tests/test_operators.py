@@ -236,3 +236,13 @@ def test_stream_stops_like_the_batch(spark, tmp_path):
     finally:
         q.stop()
     assert {r.run: r.stop_epoch for r in spark.table("stops").collect()} == want
+
+
+def test_gains_are_score_differences(spark):
+    pairs = [(a, b) for a, b in random_edges(4, 14, 50) if a < b]
+    df = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, w long")
+    part = spark.createDataFrame([(n, n % 3) for n in range(14)], "node long, block long")
+    before = blocks.score(df, part, "DCKN").first().score
+    for r in blocks.move_gains(df, part).orderBy("node", "block").limit(4).collect():
+        moved = part.withColumn("block", F.when(F.col("node") == r.node, r.block).otherwise(F.col("block")))
+        assert abs(blocks.score(df, moved, "DCKN").first().score - before - r.gain) < 1e-6
