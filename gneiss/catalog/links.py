@@ -348,3 +348,20 @@ def sbm19_move_gains(spark, d):
 def sbm30_scores_by_blocks(spark, d):
     e = supply_edges(spark, d)
     return B.scores_by_blocks(e, {2: B.random_partition(G.nodes_of(e), 2, 1), 25: nation_part(spark, d)}, "SKN")
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT (SELECT count(*) FROM part)::DOUBLE AS n, (SELECT count(*) FROM z)::DOUBLE AS b, (SELECT sum(w) FROM edges)::DOUBLE AS m), g AS (SELECT x.block AS r, y.block AS s, x.size AS a, y.size AS b2, coalesce(e, 0)::DOUBLE AS e FROM z x JOIN z y ON x.block <= y.block LEFT JOIN u ON u.r = x.block AND u.s = y.block)
+SELECT round((SELECT sum(lgamma(e + 1) - (e + 1) * ln(CASE WHEN r = s THEN 0.5 ELSE 1 END * 2 * m / (n * n) * a * b2 + 1)) FROM g) + (SELECT sum(lgamma(size + 1)) FROM z) - ln(n) + lgamma(b) - lgamma(b + n), 2) AS score FROM t""")
+def sbm15_newman_reinert(spark, d):
+    return spread(B.newman_reinert(supply_edges(spark, d), nation_part(spark, d)), 2)
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT count(*)::DOUBLE AS b, (SELECT sum(w) FROM edges)::DOUBLE AS m FROM z), pr AS (SELECT -(lgamma(b * (b + 1) / 2 + m) - lgamma(m + 1) - lgamma(b * (b + 1) / 2)) AS p FROM t),
+i AS (SELECT sum(CASE WHEN r = s THEN e / 2 * ln(2) + lgamma(e / 2 + 1) ELSE lgamma(e + 1) END) AS x FROM u WHERE r <= s), q AS (SELECT least(src, dst) AS i, greatest(src, dst) AS j, sum(w)::DOUBLE AS a FROM edges GROUP BY ALL),
+o AS (SELECT sum(CASE WHEN i = j THEN a * ln(2) + lgamma(a + 1) ELSE lgamma(a + 1) END) AS y FROM q), k AS (SELECT sum(lgamma(k + 1)) AS k FROM (SELECT n, sum(w) AS k FROM (SELECT src AS n, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY n))
+SELECT 'plain' AS name, round(x - y - (SELECT sum(degree * ln(size)) FROM st) + p, 2) AS score FROM pr, i, o UNION ALL
+SELECT 'uniform', round(k - y + x - (SELECT sum(lgamma(degree + 1) + CASE WHEN degree > 0 THEN lgamma(size + degree) - lgamma(degree + 1) - lgamma(size) ELSE 0 END) FROM st) + p, 2) FROM pr, i, o, k""")
+def sbm16_flat_likelihood(spark, d):
+    e, p = supply_edges(spark, d), nation_part(spark, d)
+    one = lambda name, kind: B.flat_likelihood(e, p, kind).select(F.lit(name).alias("name"), F.round("score", 2).alias("score"))
+    return one("plain", None).unionByName(one("uniform", "uniform"))
