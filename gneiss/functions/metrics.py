@@ -12,6 +12,11 @@ def _safe(num: Column, den: Column, empty: float | None = 0.0) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(empty).cast("double"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's; null where either doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def _counts(y: Column, p: Column) -> tuple[Column, Column, Column]:
     hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return hit((p == 1) & (y == 1)), hit((p == 1) & (y != 1)), hit((p != 1) & (y == 1))
@@ -26,7 +31,7 @@ def simple(name: str, y: Column, s: Column) -> Column:
     made = {
         "accuracy": F.avg((y == p).cast("double")), "precision": _safe(tp, tp + fp), "recall": _safe(tp, tp + fn), "f1": _safe(2 * tp, 2 * tp + fp + fn),
         "positive": F.avg(y), "mse": F.avg((y - s) ** 2), "rmse": F.sqrt(F.avg((y - s) ** 2)), "mae": F.avg(F.abs(y - s)), "r2": 1 - _safe(sse, sst, None),
-        "pearson": F.corr(y, s), "count": n.cast("double"),
+        "pearson": correlation(y, s), "count": n.cast("double"),
     }
     if name.lower() not in made:
         raise ValueError(f"unknown metric: {name}")
@@ -76,7 +81,7 @@ def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataF
 
 
 def spearman(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score") -> DataFrame:
-    return average_rank(average_rank(df, by, y, "_ry"), by, score, "_rs").groupBy(*by).agg(F.corr("_ry", "_rs").alias("spearman"))
+    return average_rank(average_rank(df, by, y, "_ry"), by, score, "_rs").groupBy(*by).agg(correlation(F.col("_ry"), F.col("_rs")).alias("spearman"))
 
 
 def kendall(df: DataFrame, by: Sequence[str], id_: str, y: str = "y", score: str = "score") -> DataFrame:

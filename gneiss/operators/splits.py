@@ -18,15 +18,15 @@ def split_random(df: DataFrame, id_: str, test: float, seed: int = 0) -> DataFra
 def split_stratified(df: DataFrame, id_: str, y: str, test: float, seed: int = 0) -> DataFrame:
     """As :func:`split_random` within each class, ``round(n * test)`` rows of each."""
     ranked = by_class(df, id_, y, seed)
-    sizes = df.groupBy(y).agg(F.round(F.count("*") * test).alias("_cut"))
-    return ranked.join(sizes, ranked[y].eqNullSafe(sizes[y])).drop(sizes[y]).withColumn("role", F.when(F.col("_i") < F.col("_cut"), "test").otherwise("train")).drop("_i", "_cut")
+    sizes = df.groupBy(F.col(y).alias("_y")).agg(F.round(F.count("*") * test).alias("_cut"))
+    return ranked.join(sizes, F.col(y).eqNullSafe(F.col("_y"))).drop("_y").withColumn("role", F.when(F.col("_i") < F.col("_cut"), "test").otherwise("train")).drop("_i", "_cut")
 
 
 def by_class(df: DataFrame, id_: str, y: str, seed: int) -> DataFrame:
     """``_i``: position in its class in hash order. Classes are few and large, so positions come from a global index less the class's first."""
     ranked = with_index(df.withColumn("_h", hash_order(seed, id_)), y, "_h", id_, name="_g")
-    first = ranked.groupBy(y).agg(F.min("_g").alias("_first"))
-    return ranked.join(first, ranked[y].eqNullSafe(first[y])).drop(first[y]).withColumn("_i", F.col("_g") - F.col("_first")).drop("_h", "_g", "_first")
+    first = ranked.groupBy(F.col(y).alias("_y")).agg(F.min("_g").alias("_first"))
+    return ranked.join(first, F.col(y).eqNullSafe(F.col("_y"))).drop("_y").withColumn("_i", F.col("_g") - F.col("_first")).drop("_h", "_g", "_first")
 
 
 def split_group(df: DataFrame, group: str, test: float, balanced: bool = True, seed: int = 0) -> DataFrame:
