@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import decontaminate, minhash, mixing, private, quality
+from gneiss.llm.members import without_ids
 from gneiss.llm.shared import table, written
 
 
@@ -21,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group, and one of rows that repeat a doc_id; null doc_ids stay."""
     verdict = written(minhash.near_duplicates(docs), "verdict")
-    kept = docs.join(verdict.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = without_ids(docs, verdict.where("not kept").select("doc_id").distinct())
     again = verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -31,7 +32,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a consistent run of a benchmark item's template."""
     leaks = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, written(leaks, "leaks"))
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
