@@ -23,9 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which cuts its lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/gneiss/{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage is cut, it outlives executors, and the planner knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/gneiss/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
