@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,28 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.plans.store import shared_folder, written
+
+__all__ = ["hashed_spans", "hashed_words", "mixed", "pieces", "shared_folder", "shingles", "spans", "table", "text_bytes", "written"]
 _U = np.uint64
-_local_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="spark-gneiss-"))
-    return f"file://{_local_folder[0]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: the lineage is cut, and sizes are known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
