@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.shared import hashed_words, pieces, table, text_bytes, written
 
 BACKOFF, FLOOR = 0.4, 0.5
-CHUNK, PER_BUCKET = 8 << 20, 8_000_000  # bytes of text in a chunk; characters of text to a bucket
+CHUNK, PER_BUCKET = 8 << 20, 5_000_000  # bytes of text in a chunk; characters of text to a bucket
 BEGIN, END = np.uint64(0x1357_9BDF_0246_8ACE), np.uint64(0x0F1E_2D3C_4B5A_6978)
 _SHAPE = "kind int, key long, chunk long, payload binary"
 
