@@ -278,10 +278,14 @@ ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most ``sample`` documents of up to 20,000 characters that hold an anchor, by a hash of the text."""
-    near = docs.select(F.col("text").cast("string").alias("text")).where(r"length(text) <= 20000 and text rlike '[@=+]|[0-9]{4}|[0-9][.][0-9]'")
-    chosen = near.orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    return fit([r["text"] for r in chosen])
+    """Weights from at most ``sample`` different texts of up to 20,000 characters that hold an anchor, the first by a hash.
+
+    The last hash of the sample comes first, from hashes alone, so that no task sends more texts than are taken.
+    """
+    near = docs.select(F.col("text").cast("string").alias("text")).where(r"length(text) <= 20000 and text rlike '[@=+]|[0-9]{4}|[0-9][.][0-9]'").withColumn("hash", F.xxhash64("text"))
+    last = near.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    chosen = near.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.first("text").alias("text")).collect()
+    return fit([r["text"] for r in sorted(chosen, key=lambda r: r["hash"])])
 
 
 def private_spans(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -1,5 +1,4 @@
 import corpus_pipeline
-from gneiss.llm.shared import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,7 +31,6 @@ def test_stages_take_effect(spark, tmp_path):
     assert "[EMAIL]" in masked[202][0] and "me.x@host.org" not in masked[202][0] and all(len(t) == n for t, n in masked.values())
     assert set(ids["mixing"]) < set(ids["personal_data"])
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.run(spark, d).collect()) == ids["mixing"]
-    assert shared_folder(spark).startswith("file:")
 
 
 def test_empty_tables(spark, tmp_path):
