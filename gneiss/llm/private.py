@@ -23,6 +23,7 @@ from gneiss.llm.shared import pieces, table
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 LONGEST, AROUND = 5, 3
+AT_ONCE = 256
 SAMPLE, WINDOWS, EPOCHS = 1500, 1500, 12
 
 # The patterns of the contract.
@@ -137,14 +138,15 @@ def features(text: str, start: int, end: int, tokens: int, previous: str) -> np.
     return out
 
 
-def lattice(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
-    """Features of every candidate segment: ``[first token, tokens - 1]``."""
+def lattice(text: str, tokens: list[tuple[int, int]], first: int = 0, stop: int | None = None) -> np.ndarray:
+    """Features of the candidate segments that begin at tokens ``first`` to ``stop``: ``[token - first, tokens - 1]``."""
     n = len(tokens)
-    out = np.zeros((n, LONGEST, N_FEATURES))
-    for i in range(n):
+    stop = n if stop is None else min(stop, n)
+    out = np.zeros((stop - first, LONGEST, N_FEATURES))
+    for i in range(first, stop):
         previous = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
         for k in range(min(LONGEST, n - i)):
-            out[i, k] = features(text, tokens[i][0], tokens[i + k][1], k + 1, previous)
+            out[i - first, k] = features(text, tokens[i][0], tokens[i + k][1], k + 1, previous)
     return out
 
 
@@ -155,21 +157,30 @@ def _scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return s
 
 
-def decode(x: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """``(first token, end token, kind)`` of the best segmentation's segments that aren't outside."""
-    n, s = len(x), _scores(x, weights)
-    kinds, tops = s.argmax(axis=2), s.max(axis=2)
-    best = [0.0] + [-np.inf] * n
-    back = [(0, 0)] * (n + 1)
+def decode(text: str, tokens: list[tuple[int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(first token, end token, kind)`` of the best segmentation's segments that aren't outside.
+
+    Features are made for ``AT_ONCE`` tokens at a time and only each segment's best kind and score are held, so a long
+    window, such as a text of nothing but numbers, needs few bytes a token.
+    """
+    n = len(tokens)
+    kinds, tops = np.zeros((n, LONGEST), np.int8), np.zeros((n, LONGEST))
+    for i in range(0, n, AT_ONCE):
+        s = _scores(lattice(text, tokens, i, i + AT_ONCE), weights)
+        kinds[i : i + AT_ONCE], tops[i : i + AT_ONCE] = s.argmax(axis=2), s.max(axis=2)
+    best = np.full(n + 1, -np.inf)
+    best[0] = 0
+    back = np.zeros(n + 1, np.int8)
     for j in range(1, n + 1):
         for k in range(min(LONGEST, j)):
             score = best[j - 1 - k] + tops[j - 1 - k, k]
             if score > best[j]:
-                best[j], back[j] = score, (j - 1 - k, k)
+                best[j], back[j] = score, k
     out = []
     j = n
     while j:
-        i, k = back[j]
+        k = int(back[j])
+        i = j - 1 - k
         if kinds[i, k]:
             out.append((i, j, int(kinds[i, k])))
         j = i
@@ -230,14 +241,17 @@ def fit(texts: list[str], most: int = WINDOWS, epochs: int = EPOCHS) -> np.ndarr
 
 
 def added_spans(text: str, base: list[tuple[int, str, int]], weights: np.ndarray) -> list[tuple[int, str, int]]:
-    """The model's spans that meet none of ``base``."""
+    """The model's spans that meet none of ``base``, which are sorted by start; both are passed through once."""
     out = []
+    ahead, near = 0, []
     for tokens in windows(text):
-        low, high = tokens[0][0], tokens[-1][1]
-        near = [(a, b) for a, _, b in base if a < high and b > low]
-        for i, j, kind in decode(lattice(text, tokens), weights):
+        for i, j, kind in decode(text, tokens, weights):
             a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(a < d and c < b for c, d in near):
+            while ahead < len(base) and base[ahead][0] < b:
+                near.append(base[ahead])
+                ahead += 1
+            near = [span for span in near if span[2] > a]
+            if not near:
                 out.append((a, KINDS[kind - 1], b))
     return out
 

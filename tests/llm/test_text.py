@@ -57,10 +57,22 @@ def test_segments_of_the_best_labelling():
     weights = private.fit(["call +1 (300) 555-1234 now", "mail a.b@c.org now"] * 20)
     text = "then +1 (388) 555-9876 again"
     tokens = next(private.windows(text))
-    found = [(text[tokens[i][0] : tokens[j - 1][1]], private.KINDS[k - 1]) for i, j, k in private.decode(private.lattice(text, tokens), weights)]
+    found = [(text[tokens[i][0] : tokens[j - 1][1]], private.KINDS[k - 1]) for i, j, k in private.decode(text, tokens, weights)]
     assert found == [("+1 (388) 555-9876", "phone")]
 
 
+def test_long_windows_are_decoded_in_parts(monkeypatch):
+    weights = private.fit(["call +1 (300) 555-1234 now", "mail a.b@c.org now", "password=abc12345def here"] * 20)
+    text = " ".join(["12 a.b@c.org 7 +1 (388) 555-9876", "3 password=xyz98765abc 4"][i % 2] for i in range(90))
+    tokens = next(private.windows(text))
+    assert len(tokens) > 300
+    whole = private.decode(text, tokens, weights)
+    assert len(whole) > 100 and [i for i, _, _ in whole] == sorted(i for i, _, _ in whole)
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(private, "AT_ONCE", size)
+        assert private.decode(text, tokens, weights) == whole
+
+
 def test_templates_and_slots(spark):
     item = "So Mary buys 5 apples for 10 dollars and then Mary sells 2 apples to the farmer of the town"
     docs = [
