@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gneiss.catalog.base import PART_EDGES, SUPPLY_EDGES, Found, part_edges, spread, supply_edges, table
 from gneiss.operators import blocks as B
 from gneiss.operators import graphs as G
+from gneiss.operators import likelihoods as L
 from gneiss.operators import sampling, splits
 
 found = query = Found()
@@ -350,18 +351,97 @@ def sbm30_scores_by_blocks(spark, d):
     return B.scores_by_blocks(e, {2: B.random_partition(G.nodes_of(e), 2, 1), 25: nation_part(spark, d)}, "SKN")
 
 
-@query(f"""WITH {CELLS}, t AS (SELECT (SELECT count(*) FROM part)::DOUBLE AS n, (SELECT count(*) FROM z)::DOUBLE AS b, (SELECT sum(w) FROM edges)::DOUBLE AS m), g AS (SELECT x.block AS r, y.block AS s, x.size AS a, y.size AS b2, coalesce(e, 0)::DOUBLE AS e FROM z x JOIN z y ON x.block <= y.block LEFT JOIN u ON u.r = x.block AND u.s = y.block)
-SELECT round((SELECT sum(lgamma(e + 1) - (e + 1) * ln(CASE WHEN r = s THEN 0.5 ELSE 1 END * 2 * m / (n * n) * a * b2 + 1)) FROM g) + (SELECT sum(lgamma(size + 1)) FROM z) - ln(n) + lgamma(b) - lgamma(b + n), 2) AS score FROM t""")
+def _multisets(n, k):
+    """SQL for the logarithm of the ways to deal k like things to n places."""
+    n, k = f"({n})::DOUBLE", f"({k})::DOUBLE"
+    return f"(CASE WHEN {k} >= {n} + {k} - 1 THEN 0 ELSE lgamma({n} + {k}) - lgamma({k} + 1) - lgamma({n}) END)"
+
+
+_OVERALL = "t AS (SELECT (SELECT count(*) FROM part)::DOUBLE AS n, (SELECT count(*) FROM z)::DOUBLE AS b, (SELECT sum(w) FROM edges)::DOUBLE AS m)"
+_VARIANTS = (("plain", False, False), ("corrected", False, True), ("directed", True, False), ("directed_corrected", True, True))
+
+
+def _of_variants(one):
+    """``name, score`` of a likelihood in both directions, with and without degree correction."""
+    out = None
+    for name, directed, corrected in _VARIANTS:
+        row = one(directed, corrected).select(F.lit(name).alias("name"), F.round("score", 2).alias("score"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _newman_reinert_sql(name, directed, corrected):
+    p, cells, half = ("m / (n * n)", "gd", "1") if directed else ("2 * m / (n * n)", "gu", "CASE WHEN r = s THEN 0.5 ELSE 1 END")
+    more = " + (SELECT sum(degree * ln(size) + lgamma(size) - lgamma(size + degree)) FROM st)" if corrected else ""
+    return f"SELECT '{name}' AS name, round((SELECT sum(lgamma(e + 1) - (e + 1) * ln({half} * {p} * a * b2 + 1)) FROM {cells}, t) + (SELECT sum(lgamma(size + 1)) FROM z) - ln(n) + lgamma(b) - lgamma(b + n){more}, 2) AS score FROM t"
+
+
+@query(f"""WITH {CELLS}, {_OVERALL}, gu AS (SELECT x.block AS r, y.block AS s, x.size AS a, y.size AS b2, coalesce(e, 0)::DOUBLE AS e FROM z x JOIN z y ON x.block <= y.block LEFT JOIN u ON u.r = x.block AND u.s = y.block),
+gd AS (SELECT x.block AS r, y.block AS s, x.size AS a, y.size AS b2, coalesce(e, 0)::DOUBLE AS e FROM z x CROSS JOIN z y LEFT JOIN c ON c.r = x.block AND c.s = y.block)
+{" UNION ALL ".join(_newman_reinert_sql(*v) for v in _VARIANTS)}""")
 def sbm15_newman_reinert(spark, d):
-    return spread(B.newman_reinert(supply_edges(spark, d), nation_part(spark, d)), 2)
+    e, p = supply_edges(spark, d), nation_part(spark, d)
+    return _of_variants(lambda directed, corrected: L.newman_reinert(e, p, directed, corrected))
+
+
+_GRAPH = f"""{CELLS}, {_OVERALL}, pairs AS (SELECT least(src, dst) AS i, greatest(src, dst) AS j, sum(w)::DOUBLE AS a FROM edges GROUP BY ALL), k AS (SELECT n, sum(o)::DOUBLE AS o, sum(i)::DOUBLE AS i FROM (SELECT src AS n, w AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, w FROM edges) GROUP BY n)"""
+
+
+def _graph_sql(directed, corrected):
+    """The graph given blocks (and degrees), the degrees given uniform ways, and the sizes of blocks."""
+    if directed:
+        graph = "(SELECT sum(lgamma(e + 1)) FROM c) - (SELECT sum(lgamma(w + 1)) FROM edges)"
+        ends = " + (SELECT sum(lgamma(o + 1) + lgamma(i + 1)) FROM k) - (SELECT sum(lgamma(out_degree + 1) + lgamma(in_degree + 1)) FROM st)"
+        ways = f" - (SELECT sum({_multisets('size', 'out_degree')} + {_multisets('size', 'in_degree')}) FROM st)"
+    else:
+        graph = "(SELECT sum(CASE WHEN r = s THEN e / 2 * ln(2) + lgamma(e / 2 + 1) ELSE lgamma(e + 1) END) FROM u WHERE r <= s) - (SELECT sum(CASE WHEN i = j THEN a * ln(2) ELSE 0 END + lgamma(a + 1)) FROM pairs)"
+        ends = " + (SELECT sum(lgamma(o + i + 1)) FROM k) - (SELECT sum(lgamma(degree + 1)) FROM st)"
+        ways = f" - (SELECT sum({_multisets('size', 'degree')}) FROM st)"
+    return graph + (ends + ways if corrected else " - (SELECT sum(degree * ln(size)) FROM st)")
+
+
+def _partition_sql(below, blocks):
+    return f"(- lgamma({below} + 1) - {_multisets(f'{below} - {blocks} + 1', f'{blocks} - 1')} - ln({below}))"
 
 
-@query(f"""WITH {CELLS}, t AS (SELECT count(*)::DOUBLE AS b, (SELECT sum(w) FROM edges)::DOUBLE AS m FROM z), pr AS (SELECT -(lgamma(b * (b + 1) / 2 + m) - lgamma(m + 1) - lgamma(b * (b + 1) / 2)) AS p FROM t),
-i AS (SELECT sum(CASE WHEN r = s THEN e / 2 * ln(2) + lgamma(e / 2 + 1) ELSE lgamma(e + 1) END) AS x FROM u WHERE r <= s), q AS (SELECT least(src, dst) AS i, greatest(src, dst) AS j, sum(w)::DOUBLE AS a FROM edges GROUP BY ALL),
-o AS (SELECT sum(CASE WHEN i = j THEN a * ln(2) + lgamma(a + 1) ELSE lgamma(a + 1) END) AS y FROM q), k AS (SELECT sum(lgamma(k + 1)) AS k FROM (SELECT n, sum(w) AS k FROM (SELECT src AS n, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY n))
-SELECT 'plain' AS name, round(x - y - (SELECT sum(degree * ln(size)) FROM st) + p, 2) AS score FROM pr, i, o UNION ALL
-SELECT 'uniform', round(k - y + x - (SELECT sum(lgamma(degree + 1) + CASE WHEN degree > 0 THEN lgamma(size + degree) - lgamma(degree + 1) - lgamma(size) ELSE 0 END) FROM st) + p, 2) FROM pr, i, o, k""")
+def _counts_sql(blocks, directed):
+    return f"(- {_multisets(f'{blocks} * {blocks}' if directed else f'{blocks} * ({blocks} + 1) / 2', 'm')})"
+
+
+def _flat_sql(name, directed, corrected):
+    return f"SELECT '{name}' AS name, round({_graph_sql(directed, corrected)} + (SELECT sum(lgamma(size + 1)) FROM z) + {_counts_sql('b', directed)} + {_partition_sql('n', 'b')}, 2) AS score FROM t"
+
+
+@query(f"WITH {_GRAPH} {' UNION ALL '.join(_flat_sql(*v) for v in _VARIANTS)}")
 def sbm16_flat_likelihood(spark, d):
     e, p = supply_edges(spark, d), nation_part(spark, d)
-    one = lambda name, kind: B.flat_likelihood(e, p, kind).select(F.lit(name).alias("name"), F.round("score", 2).alias("score"))
-    return one("plain", None).unionByName(one("uniform", "uniform"))
+    return _of_variants(lambda directed, corrected: L.flat_likelihood(e, p, "uniform" if corrected else None, directed))
+
+
+@query()
+def sbm16_sbm18_flat_hyperprior(spark, d):
+    """Degree distributions alike: checked against a direct sum in the tests."""
+    e, p = supply_edges(spark, d), nation_part(spark, d)
+    one = lambda name, directed: L.flat_likelihood(e, p, "hyperprior", directed).select(F.lit(name).alias("name"), F.round("score", 2).alias("score"))
+    return one("undirected", False).unionByName(one("directed", True))
+
+
+_UPPER = """p1 AS (SELECT n_nationkey AS node, n_regionkey AS block FROM nation), z1 AS (SELECT block, count(*) AS size FROM p1 GROUP BY block), c1 AS (SELECT a.block AS r, b.block AS s, sum(e) AS e FROM c JOIN p1 a ON a.node = r JOIN p1 b ON b.node = s GROUP BY ALL),
+t1 AS (SELECT (SELECT count(*) FROM p1)::DOUBLE AS n1, (SELECT count(*) FROM z1)::DOUBLE AS b1)"""
+
+
+def _level_sql(cells, sizes, directed):
+    raw = f"SELECT r, s, e FROM {cells}" if directed else f"SELECT least(r, s) AS r, greatest(r, s) AS s, sum(e) AS e FROM {cells} GROUP BY ALL"
+    places = "a.size * b.size" if directed else "CASE WHEN r = s THEN a.size * (a.size + 1) / 2 ELSE a.size * b.size END"
+    return f"(- (SELECT sum({_multisets(places, 'e')}) FROM ({raw}) JOIN {sizes} a ON a.block = r JOIN {sizes} b ON b.block = s) + (SELECT sum(lgamma(size + 1)) FROM {sizes}))"
+
+
+def _hierarchy_sql(name, directed, corrected):
+    low, high = _level_sql("c", "z", directed), _level_sql("c1", "z1", directed)
+    return f"SELECT '{name}' AS name, round({_graph_sql(directed, corrected)} + {low} + {high} + {_partition_sql('n', 'b')} + {_partition_sql('n1', 'b1')} + {_counts_sql('b1', directed)} - ln(b1), 2) AS score FROM t, t1"
+
+
+@query(f"WITH {_GRAPH}, {_UPPER} {' UNION ALL '.join(_hierarchy_sql(*v) for v in _VARIANTS)}")
+def sbm17_hierarchy_likelihood(spark, d):
+    e, parts = supply_edges(spark, d), levels(spark, d)
+    return _of_variants(lambda directed, corrected: L.hierarchy_likelihood(e, parts, "uniform" if corrected else None, directed))

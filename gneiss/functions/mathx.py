@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,11 +33,37 @@ def xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
-def log_partitions(m: int, n: int) -> float:
-    """Logarithm of the number of partitions of m into at most n parts, by the exact recurrence; a scalar for small tables."""
+def _dilogarithm(z: float) -> float:
+    """For 0 <= z <= 1."""
+    if z > 0.5:
+        return math.pi**2 / 6 - (math.log(z) * math.log1p(-z) if z < 1 else 0.0) - _dilogarithm(1 - z)
+    return sum(z**k / k**2 for k in range(1, 60))
+
+
+@lru_cache(maxsize=1 << 16)
+def log_partitions(m: int, n: int, exact_below: int = 1000) -> float:
+    """Logarithm of the number of partitions of m into at most n parts; one part gives 0.
+
+    Below ``exact_below`` by the recurrence. Beyond, for n from the fourth root of m on, by the saddle-point
+    approximation; for fewer parts, nearly all ways have different parts, so ordered ways over n!.
+    """
+    if m <= 0 or n <= 0:
+        return 0.0 if m == 0 else -math.inf
     n = min(n, m)
-    row = [1] + [0] * m
-    for k in range(1, n + 1):
-        for j in range(k, m + 1):
-            row[j] += row[j - k]
-    return math.log(row[m]) if m else 0.0
+    if n == 1:
+        return 0.0
+    if m < exact_below:
+        row = [1] + [0] * m
+        for k in range(1, n + 1):
+            for j in range(k, m + 1):
+                row[j] += row[j - k]
+        return math.log(row[m])
+    if n < m**0.25:
+        return math.lgamma(m) - math.lgamma(n) - math.lgamma(m - n + 1) - math.lgamma(n + 1)
+    u = v = n / math.sqrt(m)
+    for _ in range(1000):
+        last, v = v, u * math.sqrt(_dilogarithm(-math.expm1(-v)))
+        if abs(v - last) < 1e-10 * v:
+            break
+    f = math.log(v) - 1.5 * math.log(2) - math.log(math.pi * u) - 0.5 * math.log1p(-(1 + u * u / 2) * math.exp(-v))
+    return f - math.log(m) + math.sqrt(m) * (2 * v / u - u * math.log(-math.expm1(-v)))

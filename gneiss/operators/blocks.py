@@ -244,45 +244,3 @@ def move_gains(edges: DataFrame, part: DataFrame) -> DataFrame:
     inner = xlogx(c("rr") - 2 * c("ko")) - xlogx(c("rr")) + xlogx(c("ss") + 2 * c("kn")) - xlogx(c("ss")) + 2 * (xlogx(c("rs") + c("ko") - c("kn")) - xlogx(c("rs")))
     sizes = -2 * (xlogx(c("dr") - c("d")) - xlogx(c("dr")) + xlogx(c("ds") + c("d")) - xlogx(c("ds")))
     return two.join(outer, ["node", "to"], "left").select("node", c("to").alias("block"), (inner + sizes + F.coalesce("x", F.lit(0.0))).alias("gain"))
-
-
-def _grid(edges: DataFrame, part: DataFrame) -> DataFrame:
-    """``r, s, a, b, e`` for all block pairs r <= s with sizes a and b; pairs without edges have e = 0. Blocks are few: their square is the model's own size."""
-    sizes = part.groupBy("block").agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-    pairs = sizes.select("_one", F.col("block").alias("r"), F.col("n").alias("a")).join(sizes.select("_one", F.col("block").alias("s"), F.col("n").alias("b")), "_one").where("r <= s").drop("_one")
-    return pairs.join(block_edges(edges, part), ["r", "s"], "left").fillna(0, ["e"])
-
-
-def newman_reinert(edges: DataFrame, part: DataFrame) -> DataFrame:
-    """One row ``score``: integrated likelihood of partition and number of blocks, undirected, without degree correction."""
-    n, m = part.count(), edges.agg(F.sum("w")).first()[0]
-    p = 2.0 * m / (n * n)
-    rate = F.when(F.col("r") == F.col("s"), 0.5).otherwise(1.0) * p * F.col("a") * F.col("b")
-    cells = _grid(edges, part).agg(F.sum(log_factorial(F.col("e")) - (F.col("e") + 1) * F.log(rate + 1)).alias("x"))
-    sizes = part.groupBy("block").agg(F.count("*").alias("n")).agg(F.sum(log_factorial(F.col("n"))).alias("y"), F.count("*").cast("double").alias("b"))
-    return cells.join(F.broadcast(sizes)).select((F.col("x") + F.col("y") - math.log(n) + lgamma(F.col("b")) - lgamma(F.col("b") + n)).alias("score"))
-
-
-def flat_likelihood(edges: DataFrame, part: DataFrame, degrees: str | None = None) -> DataFrame:
-    """One row ``score``: microcanonical log-likelihood of an undirected multigraph. ``degrees``: None (no degree correction) or ``uniform``.
-
-    Multiplicities of node pairs come from the edge table; no node-by-node matrix is made.
-    """
-    stats = written(block_stats(edges, part))
-    blocks, m = stats.count(), edges.agg(F.sum("w")).first()[0]
-    e = F.col("e").cast("double")
-    twice = lambda x: x * math.log(2) + lgamma(x + 1)  # noqa: E731  logarithm of (2x)!!
-    inner = block_edges(edges, part).where("r <= s").agg(F.sum(F.when(F.col("r") == F.col("s"), twice(e / 2)).otherwise(lgamma(e + 1))).alias("x"))
-    pairs = edges.groupBy(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).agg(F.sum("w").cast("double").alias("a"))
-    outer = pairs.agg(F.sum(F.when(F.col("i") == F.col("j"), twice(F.col("a"))).otherwise(lgamma(F.col("a") + 1))).alias("y"))
-    cells = blocks * (blocks + 1) / 2
-    prior = -(math.lgamma(cells + m) - math.lgamma(m + 1) - math.lgamma(cells))
-    if degrees is None:
-        by_block = stats.agg(F.sum(F.col("degree") * F.log("size")).alias("z"))
-        return inner.join(F.broadcast(outer)).join(F.broadcast(by_block)).select((F.col("x") - F.col("y") - F.col("z") + prior).alias("score"))
-    if degrees != "uniform":
-        raise ValueError(f"unknown degree prior: {degrees}")
-    k = edges.select(F.explode(F.array("src", "dst")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k")).agg(F.sum(log_factorial(F.col("k"))).alias("k"))
-    d, n = F.col("degree").cast("double"), F.col("size").cast("double")
-    by_block = stats.agg(F.sum(lgamma(d + 1) + F.when(d > 0, lgamma(n + d) - lgamma(d + 1) - lgamma(n)).otherwise(0.0)).alias("z"))
-    return inner.join(F.broadcast(outer)).join(F.broadcast(k)).join(F.broadcast(by_block)).select((F.col("k") - F.col("y") + F.col("x") - F.col("z") + prior).alias("score"))

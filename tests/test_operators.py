@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import metrics
 from gneiss.functions import sequences as S
 from gneiss.functions.mathx import lgamma, log_binomial, log_partitions
-from gneiss.operators import blocks, explain, features, graphs, rows, sampling, scaling, selection, splits
+from gneiss.operators import blocks, explain, features, graphs, likelihoods, rows, sampling, scaling, selection, splits
 from gneiss.plans.rank import in_intervals, running_sum, with_index
 from gneiss.sources import sinks, tables
 from gneiss.streaming.early_stop import stop_patience_stream
@@ -246,3 +247,43 @@ def test_gains_are_score_differences(spark):
     for r in blocks.move_gains(df, part).orderBy("node", "block").limit(4).collect():
         moved = part.withColumn("block", F.when(F.col("node") == r.node, r.block).otherwise(F.col("block")))
         assert abs(blocks.score(df, moved, "DCKN").first().score - before - r.gain) < 1e-6
+
+
+def test_numbers_of_partitions():
+    assert log_partitions(7, 1) == log_partitions(0, 3) == log_partitions(5000, 1) == 0 and log_partitions(4, 0) == -math.inf
+    for m, n in ((1200, 3), (1200, 6), (1500, 40), (2000, 2000)):
+        exact = log_partitions(m, n, 10**6)
+        assert abs(log_partitions(m, n) - exact) < 0.01 * exact
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_hyperprior_likelihood_is_a_direct_sum(spark, directed):
+    rng = random.Random(7)
+    block = {i: i % 3 for i in range(12)}  # nodes 10 and 11 have no edges
+    rows = [(rng.randrange(10), rng.randrange(10)) for _ in range(40)]
+    e = spark.createDataFrame(rows, "src long, dst long").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    part = spark.createDataFrame(list(block.items()), "node long, block int")
+    f = lambda x: math.lgamma(x + 1)
+    choose = lambda n, k: f(n) - f(k) - f(n - k)
+    twice = lambda x: x * math.log(2) + f(x)
+    out, in_ = Counter(a for a, _ in rows), Counter(b for _, b in rows)
+    sizes = Counter(block.values())
+    want = -choose(9 + 39 if directed else 6 + 39, 40) - f(12) - choose(11, 2) - math.log(12) + sum(f(n) for n in sizes.values())
+    between = Counter((block[a], block[b]) for a, b in rows) if directed else Counter(tuple(sorted((block[a], block[b]))) for a, b in rows)
+    pairs = Counter(rows) if directed else Counter(tuple(sorted(r)) for r in rows)
+    weigh = lambda k, x: twice(x) if k[0] == k[1] and not directed else f(x)
+    want += sum(weigh(k, x) for k, x in between.items()) - sum(weigh(k, x) for k, x in pairs.items())
+    ends = [out, in_] if directed else [out + in_]
+    for k in ends:
+        want += sum(f(x) for x in k.values())
+    for r, n in sizes.items():
+        for k in ends:
+            d = sum(x for i, x in k.items() if block[i] == r)
+            want -= f(d) + log_partitions(d, n)
+        want -= f(n)
+    want += sum(f(c) for c in Counter((b, *(k[i] for k in ends)) for i, b in block.items()).values())
+    assert abs(likelihoods.flat_likelihood(e, part, "hyperprior", directed).first()[0] - want) < 1e-6
+    # A hierarchy of one level replaces the prior of block counts by those of the cells and of the level above.
+    flat, high = (likelihoods.flat_likelihood(e, part, None, directed).first()[0], likelihoods.hierarchy_likelihood(e, [part], None, directed).first()[0])
+    places = lambda k: sizes[k[0]] * sizes[k[1]] if directed or k[0] != k[1] else sizes[k[0]] * (sizes[k[0]] + 1) / 2
+    assert abs(high - flat + sum(choose(places(k) + x - 1, x) for k, x in between.items()) + math.log(3)) < 1e-6
