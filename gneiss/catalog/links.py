@@ -263,12 +263,25 @@ def sbm9_to_sbm13_scores(spark, d):
     return out
 
 
-@query(f"""WITH {P}, pt AS (SELECT p_partkey AS node, p_brand AS block FROM part), z AS (SELECT block, count(*) AS n FROM pt GROUP BY block), e AS (SELECT least(a.block, b.block) AS r, greatest(a.block, b.block) AS s, count(*)::DOUBLE AS e FROM near JOIN pt a ON a.node = src JOIN pt b ON b.node = dst WHERE src < dst GROUP BY ALL),
-g AS (SELECT a.block AS r, b.block AS s, CASE WHEN a.block = b.block THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END::DOUBLE AS p FROM z a JOIN z b ON a.block <= b.block), x AS (SELECT p, coalesce(e, 0) AS e FROM g LEFT JOIN e USING (r, s)), t AS (SELECT sum(n) AS n, count(*) AS b FROM z)
-SELECT round((SELECT sum(lgamma(e + 0.5) + lgamma(p - e + 0.5) - lgamma(p + 1) - 2 * lgamma(0.5)) FROM x) + (SELECT sum(lgamma(n + 0.5)) FROM z) + lgamma(b * 0.5) - b * lgamma(0.5) - lgamma(n + b * 0.5), 2) AS score FROM t""")
+_ICL = [(f"{kind}_{'directed' if directed else 'undirected'}", prior, directed) for kind, prior in (("jeffreys", 0.5), ("uniform", 1.0)) for directed in (False, True)]
+
+
+def _icl_sql(name, prior, directed):
+    return f"SELECT '{name}' AS name, round((SELECT sum(lgamma(e + {prior}) + lgamma(p - e + {prior}) - lgamma(p + 2 * {prior}) + lgamma(2 * {prior}) - 2 * lgamma({prior})) FROM {'xd' if directed else 'xu'}) + (SELECT sum(lgamma(n + {prior})) FROM z) + lgamma(b * {prior}) - b * lgamma({prior}) - lgamma(n + b * {prior}), 2) AS score FROM t"
+
+
+@query(f"""WITH {PART_EDGES}, pt AS (SELECT p_partkey AS node, p_brand AS block FROM part), z AS (SELECT block, count(*)::DOUBLE AS n FROM pt GROUP BY block),
+ed AS (SELECT a.block AS r, b.block AS s, count(*)::DOUBLE AS e FROM edges JOIN pt a ON a.node = src JOIN pt b ON b.node = dst GROUP BY ALL), one AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges),
+eu AS (SELECT least(a.block, b.block) AS r, greatest(a.block, b.block) AS s, count(*)::DOUBLE AS e FROM one JOIN pt a ON a.node = src JOIN pt b ON b.node = dst GROUP BY ALL), t AS (SELECT sum(n) AS n, count(*) AS b FROM z),
+xu AS (SELECT CASE WHEN a.block = b.block THEN a.n * (a.n + 1) / 2 ELSE a.n * b.n END AS p, coalesce(e, 0) AS e FROM z a JOIN z b ON a.block <= b.block LEFT JOIN eu ON r = a.block AND s = b.block), xd AS (SELECT a.n * b.n AS p, coalesce(e, 0) AS e FROM z a CROSS JOIN z b LEFT JOIN ed ON r = a.block AND s = b.block)
+{" UNION ALL ".join(_icl_sql(*v) for v in _ICL)}""")
 def sbm14_icl(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("block"))
-    return spread(B.icl(part_edges(spark, d), p), 2)
+    e, p = part_edges(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("block"))
+    out = None
+    for name, prior, directed in _ICL:
+        one = L.icl(e, p, prior, directed).select(F.lit(name).alias("name"), F.round("score", 2).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""WITH a AS (SELECT s_nationkey AS x, s_suppkey % 7 AS y FROM supplier), j AS (SELECT x, y, count(*) AS c FROM a GROUP BY ALL), n AS (SELECT sum(c) AS n FROM j),
@@ -445,3 +458,15 @@ def _hierarchy_sql(name, directed, corrected):
 def sbm17_hierarchy_likelihood(spark, d):
     e, parts = supply_edges(spark, d), levels(spark, d)
     return _of_variants(lambda directed, corrected: L.hierarchy_likelihood(e, parts, "uniform" if corrected else None, directed))
+
+
+def _mdl_sql(name, directed, corrected):
+    sums = ("o", "i") if directed else ("o + i",)
+    more = "".join(f" - (SELECT sum(c * ln(c / size)) FROM (SELECT block, coalesce({k}, 0) AS k, count(*)::DOUBLE AS c FROM part LEFT JOIN k ON n = node GROUP BY ALL) JOIN z USING (block))" for k in sums) if corrected else ""
+    return f"SELECT '{name}' AS name, round(- (SELECT sum(lgamma(size + 1)) FROM z) + {_multisets('b', 'n')} - {_counts_sql('b', directed)}{more}, 2) AS score FROM t"
+
+
+@query(f"WITH {_GRAPH} {' UNION ALL '.join(_mdl_sql(*v) for v in _VARIANTS)}")
+def sbm21_description_length(spark, d):
+    e, p = supply_edges(spark, d), nation_part(spark, d)
+    return _of_variants(lambda directed, corrected: L.description_length(e, p, directed, corrected))

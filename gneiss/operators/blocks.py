@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.mathx import lgamma, log_factorial, xlogx
+from gneiss.functions.mathx import log_factorial, xlogx
 from gneiss.plans.rank import hash_order, with_index
 from gneiss.plans.store import written
 
@@ -111,41 +111,41 @@ def score(edges: DataFrame, part: DataFrame, name: str, directed: bool = False)
     raise ValueError(f"unknown score: {name}")
 
 
-def icl(edges: DataFrame, part: DataFrame, prior: float = 0.5) -> DataFrame:
-    """Exact integrated likelihood of an undirected simple graph with a Beta prior on each of all block pairs, empty ones too, and a Dirichlet prior on sizes."""
-    stats = written(part.groupBy("block").agg(F.count("*").alias("n")))
-    n, blocks = stats.agg(F.sum("n"), F.count("*")).first()
-    e = block_edges(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("w", F.lit(1)), part).select("r", "s", (F.col("e") / F.when(F.col("r") == F.col("s"), 2).otherwise(1)).alias("e"))
-    # All block pairs: blocks are few, and the grid is their square by definition.
-    one = stats.withColumn("_one", F.lit(1))
-    grid = one.select("_one", F.col("block").alias("r"), F.col("n").alias("a")).join(one.select("_one", F.col("block").alias("s"), F.col("n").alias("b")), "_one").where("r <= s")
-    pairs = F.when(F.col("r") == F.col("s"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b")).cast("double")
-    met = grid.join(e, ["r", "s"], "left").fillna(0.0, ["e"])
-    const = math.lgamma(2 * prior) - 2 * math.lgamma(prior)
-    cell = lgamma(F.col("e") + prior) + lgamma(pairs - F.col("e") + prior) - lgamma(pairs + 2 * prior) + const
-    sizes = stats.agg(F.sum(lgamma(F.col("n").cast("double") + prior)).alias("y"))
-    fixed = math.lgamma(blocks * prior) - blocks * math.lgamma(prior) - math.lgamma(n + blocks * prior)
-    return met.agg(F.sum(cell).alias("x")).join(F.broadcast(sizes)).select((F.col("x") + F.col("y") + fixed).alias("score"))
-
-
-def penalty(name: str, n: int, m: float, blocks: int) -> float:
-    """AIC, BIC (dense: pairs of nodes; sparse: edges), MDL of block counts."""
-    free = blocks * (blocks + 1) / 2
+def penalty(name: str, n: int, m: float, blocks: int, directed: bool = False, corrected: bool = False) -> float:
+    """What a criterion takes off a score for ``blocks`` blocks on ``n`` nodes and ``m`` edges.
+
+    AIC, BIC (``n**2`` places for edges), BIC_SPARSE (``n**3``), ICL (without degree correction only), MDL_FIRST and
+    MDL_TRADITIONAL. MDL needs the partition: see ``likelihoods.description_length``.
+    """
+    cells = blocks * blocks if directed else blocks * (blocks + 1) / 2
     h = lambda x: (1 + x) * math.log(1 + x) - x * math.log(x)
-    made = {"AIC": lambda: free, "BIC": lambda: free / 2 * math.log(n * (n - 1) / 2), "BIC_SPARSE": lambda: free / 2 * math.log(m), "MDL": lambda: m * h(free / m) + n * math.log(blocks) if blocks else 0.0}
-    if name.upper() not in made:
-        raise ValueError(f"unknown penalty: {name}")
+    places = n * n if directed else n * (n - 1) / 2
+    made = {
+        "AIC": lambda: cells + blocks + (blocks if corrected else 0),
+        "BIC": lambda: cells * math.log(n),
+        "BIC_SPARSE": lambda: 1.5 * cells * math.log(n),
+        "ICL": lambda: (blocks - 1) / 2 * math.log(n) + cells / 2 * math.log(places),
+        "MDL_FIRST": lambda: m * h(cells / m) + n * math.log(blocks),
+        "MDL_TRADITIONAL": lambda: m * math.log(blocks) + cells * math.log(m),
+    }
+    if name.upper() not in made or name.upper() == "ICL" and corrected:
+        raise ValueError(f"unknown penalty: {name}{' with degree correction' if corrected else ''}")
     return made[name.upper()]()
 
 
-#: Which penalties suit which score.
-PENALTIES = {"SKN": ("AIC", "BIC", "BIC_SPARSE"), "DCKN": ("AIC", "BIC", "BIC_SPARSE"), "SPS": ("MDL",), "SPD": ("MDL",), "DCP": ("MDL",)}
+_CRITERIA = ("AIC", "MDL", "BIC_SPARSE", "BIC", "MDL_TRADITIONAL", "MDL_FIRST")
+#: Which penalties suit which score; the integrated likelihoods need none.
+PENALTIES = {
+    **dict.fromkeys(("SKN", "SPS", "SPD"), ("ICL", *_CRITERIA)),
+    **dict.fromkeys(("DCKN", "DCP"), _CRITERIA),
+    **dict.fromkeys(("ICL_J", "ICL_U", "NR", "NR_DC", "FLAT", "FLAT_UNIFORM", "FLAT_HYPERPRIOR"), ()),
+}
 
 
-def select_blocks(scores: DataFrame, n: int, m: float, name: str) -> DataFrame:
-    """``blocks, value``: the number of blocks with the largest score less penalty, from ``scores(blocks, score)``."""
+def select_blocks(scores: DataFrame, n: int, m: float, name: str, directed: bool = False, corrected: bool = False, costs: dict[int, float] | None = None) -> DataFrame:
+    """``blocks, value``: the number of blocks with the largest score less penalty, from ``scores(blocks, score)``; ``costs`` by number of blocks replace a named penalty."""
     counts = [r["blocks"] for r in scores.select("blocks").distinct().collect()]  # a row for each number of blocks tried
-    cost = F.create_map(*(F.lit(x) for b in counts for x in (b, penalty(name, n, m, b))))
+    cost = F.create_map(*(F.lit(x) for b in counts for x in (b, float(costs[b] if costs is not None else penalty(name, n, m, b, directed, corrected)))))
     value = F.col("score") - cost[F.col("blocks")]
     return scores.select("blocks", value.alias("value")).agg(F.max_by("blocks", F.struct("value", -F.col("blocks"))).alias("blocks"), F.max("value").alias("value"))
 

@@ -287,3 +287,15 @@ def test_hyperprior_likelihood_is_a_direct_sum(spark, directed):
     flat, high = (likelihoods.flat_likelihood(e, part, None, directed).first()[0], likelihoods.hierarchy_likelihood(e, [part], None, directed).first()[0])
     places = lambda k: sizes[k[0]] * sizes[k[1]] if directed or k[0] != k[1] else sizes[k[0]] * (sizes[k[0]] + 1) / 2
     assert abs(high - flat + sum(choose(places(k) + x - 1, x) for k, x in between.items()) + math.log(3)) < 1e-6
+
+
+def test_penalties():
+    n, m, log = 10, 30, math.log
+    assert blocks.penalty("AIC", n, m, 3) == 9 and blocks.penalty("AIC", n, m, 3, True, True) == 15
+    assert abs(blocks.penalty("BIC", n, m, 3) - 3 * log(100)) < 1e-9 and abs(blocks.penalty("BIC_SPARSE", n, m, 3, True) - 4.5 * log(1000)) < 1e-9
+    assert abs(blocks.penalty("ICL", n, m, 3) - (log(10) + 3 * log(45))) < 1e-9
+    assert abs(blocks.penalty("MDL_TRADITIONAL", n, m, 3) - (30 * log(3) + 6 * log(30))) < 1e-9
+    assert abs(blocks.penalty("MDL_FIRST", n, m, 3) - (30 * (1.2 * log(1.2) - 0.2 * log(0.2)) + 10 * log(3))) < 1e-9
+    with pytest.raises(ValueError):
+        blocks.penalty("ICL", n, m, 3, corrected=True)
+    assert set(blocks.PENALTIES["DCKN"]) == set(blocks.PENALTIES["SKN"]) - {"ICL"}
