@@ -47,17 +47,21 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def declared_links(pages: DataFrame) -> DataFrame:
-    """``u, v``: nodes of a page and of the absolute address that its canonical link or its refresh names."""
+    """``u, v, host, path``: nodes of a page and of the absolute address that its canonical link or its refresh names, and that address's parts."""
     tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag")
     tags = pages.select("url", tags)
     href = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1))
     moved = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*([^\"'>\s]+)", 1))
     named = F.replace(F.coalesce(href, moved), F.lit("&amp;"), F.lit("&"))
-    return tags.select(node_of(F.col("url")).alias("u"), node_of(named).alias("v")).where("u is not null and v is not null and u <> v")
+    links = tags.select(node_of(F.col("url")).alias("u"), named.alias("to")).where("u is not null and to is not null")
+    return links.select("u", node_of(F.col("to")).alias("v"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")).where("v is not null and u <> v")
 
 
 def judged(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` for each row of ``pages(page_id, url, ...)``; ``links(u, v)`` join nodes of :func:`node_of`.
+    """``page_id, host, path, rule, verdict`` for each row of ``pages(page_id, url, ...)``; ``links(u, v, host, path)`` join nodes of :func:`node_of`.
+
+    ``host`` and ``path`` are those of the address behind ``v``: a rule that fits it counts for its aliases, whether or not
+    it is a page of the table.
 
     A null url, or one without ``://``, has an empty host and path; no rule fits it, it has no alias, and it is
     allowed. Repeated rows give repeated results, no rows none.
@@ -66,8 +70,11 @@ def judged(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str, s
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", rule).withColumn("own", verdict)
     named = components(links)
+    _, linked_verdict = rule_for(F.col("host"), F.col("path"), rules)
+    linked = links.select(F.col("v").alias("node"), linked_verdict.alias("own")).where("own is not null").distinct().withColumn("open", F.lit(False))
     # One row for each node, then for each component: hot nodes are counted together before they are dealt out.
-    nodes = base.where("node is not null").groupBy("node").agg(F.max(F.col("own") == "allow").alias("allows"), F.max(F.col("own") == "block").alias("blocks"), F.max(F.col("own").isNull()).alias("open"))
+    held = base.where("node is not null").select("node", "own", F.col("own").isNull().alias("open")).unionByName(linked)
+    nodes = held.groupBy("node").agg(F.max(F.col("own") == "allow").alias("allows"), F.max(F.col("own") == "block").alias("blocks"), F.max("open").alias("open"))
     nodes = nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     blocked = nodes.groupBy("component").agg(F.max("allows").alias("allows"), F.max("blocks").alias("blocks")).where("blocks and not coalesce(allows, false)").select("component")
     carried = nodes.where("open").join(blocked, "component", "left_semi").select("node", F.lit("block").alias("carried"))
@@ -100,10 +107,11 @@ ruled AS (SELECT page_id, host, path, node, {_sql_fits(0)} AS rule, {_sql_fits(1
 tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag FROM pages),
 named AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)
   WHEN regexp_matches(tag, '(?i)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*([^"''>\\s]+)', 1) END, '&amp;', '&') AS href FROM tags),
-links AS (SELECT {_sql_node("url")} AS u, {_sql_node("href")} AS v FROM named),
+links AS (SELECT {_sql_node("url")} AS u, {_sql_node("href")} AS v, {_SQL_HOST.format("href")} AS host, {_SQL_PATH.format("href")} AS path FROM named),
+held AS (SELECT node, own FROM ruled UNION SELECT v, {_sql_fits(1)} FROM links WHERE u <> v),
 both_ways AS (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),
-reached(node, other) AS (SELECT DISTINCT node, node FROM ruled WHERE node IS NOT NULL UNION SELECT r.node, b.v FROM reached r JOIN both_ways b ON r.other = b.u),
-decided AS (SELECT r.node, bool_or(p.own = 'allow') AS allows, bool_or(p.own = 'block') AS blocks FROM reached r JOIN ruled p ON p.node = r.other GROUP BY r.node)
+reached(node, other) AS (SELECT DISTINCT node, node FROM held WHERE node IS NOT NULL UNION SELECT r.node, b.v FROM reached r JOIN both_ways b ON r.other = b.u),
+decided AS (SELECT r.node, bool_or(p.own = 'allow') AS allows, bool_or(p.own = 'block') AS blocks FROM reached r JOIN held p ON p.node = r.other GROUP BY r.node)
 SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN blocks AND NOT coalesce(allows, false) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN decided USING (node)
 """

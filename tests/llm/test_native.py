@@ -66,3 +66,14 @@ def test_rules_and_aliases(spark):
     got = {r.page_id: r.verdict for r in judged(fewer, declared_links(fewer)).collect()}
     assert got[4] == got[5] == got[6] == "block" and got[11] == "allow"
     assert judged(pages.limit(0), declared_links(pages.limit(0))).count() == 0
+
+
+def test_rules_reach_pages_through_addresses_that_are_no_pages(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://one.net/a", link.format("https://shop.com/de/7/")), (2, "http://two.net/a", link.format("http://one.net/a")), (3, "http://three.net/a", link.format("https://shop.com/xx/7")),
+        (4, "http://four.net/a", link.format("https://shop.com/de/8") + link.format("https://b.org/")), (5, "http://five.net/a", link.format("/de/relative")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judged(pages, declared_links(pages)).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow")}
