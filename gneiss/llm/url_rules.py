@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
-from gneiss.llm.shared import table
+from gneiss.llm.shared import table, written
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,7 +83,7 @@ def judged(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str, s
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judged(pages, declared_links(pages))
+    return judged(pages, written(declared_links(pages), "links"))  # read twice below; the pages are searched once
 
 
 _SQL_HOST = "translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), '" + CAPITALS + "', '" + SMALL + "')"
