@@ -4,7 +4,9 @@ Texts become sequences of tokens in which numbers, names and units are typed pla
 numbers or names has the same template. Windows of the benchmark's templates meet those of the documents in a hash
 join; a Bloom filter of fixed size, made from the benchmark, keeps nearly all other windows out of the shuffle. Windows
 that continue each other form a run, and along a run each slot of the question must stand for one value of the document
-and each value for one slot; a run with contradictions doesn't count.
+and each value for one slot; a run with contradictions doesn't count, but leaves other runs alone. Windows of plain words
+go the same way beside them, for verbatim copies of items whose windows are mostly slots. An item shorter than a window
+is one window of its own length, and documents are searched at every length that the benchmark has.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import hashed_spans, pieces, shingles, spans, table, text_bytes
+from gneiss.llm.shared import _PLACE, hashed_spans, mixed, pieces, spans, table, text_bytes
 
 WIDTH, LITERALS, RUN = 8, 4, 3
 BITS = 22  # the filter has 2**22 bits: half a megabyte, whatever the benchmark's size
@@ -45,15 +47,15 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts end to end, what their slots hold (0: a literal token), and the texts' offsets."""
+def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts end to end, what their slots hold (0: a literal token), and the texts' offsets; their words, and the offsets of those."""
     raw, offsets = text_bytes(texts)
     none = np.zeros(0, np.uint64)
     if not len(raw):
-        return none, none, np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(len(offsets), np.int64), none, np.zeros(len(offsets), np.int64)
     starts, ends = spans(_WORD[raw], offsets)
     if not len(starts):
-        return none, none, np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(len(offsets), np.int64), none, np.zeros(len(offsets), np.int64)
     words = hashed_spans(raw, starts, ends)
     at = np.searchsorted(starts, offsets)
     head = np.zeros(len(starts), bool)
@@ -73,7 +75,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lead = np.flatnonzero(~same)
     slot = _joined(words, lead)
     keep = (number | name | unit)[lead]
-    return tokens[lead], np.where(keep, slot | _U(1), _U(0)), np.searchsorted(lead, at)
+    return tokens[lead], np.where(keep, slot | _U(1), _U(0)), np.searchsorted(lead, at), words, at
 
 
 def _joined(words: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -83,28 +85,45 @@ def _joined(words: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return np.add.reduceat(words * (_U(0x9E3779B97F4A7C15) * place.astype(np.uint64) + _U(1)), lead)
 
 
-def _windows(id_column: str, width: int, literals: int, bloom: np.ndarray | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(tokens: np.ndarray, at: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each window of ``abs(form)`` tokens starts, the text it lies in, and its hash, which no other form shares."""
+    size = abs(form)
+    n = max(0, len(tokens) - size + 1)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
+    start = np.flatnonzero(np.arange(n) + size <= at[1:][owner])
+    hashed = np.full(len(start), form * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(size):
+        hashed += tokens[start + k] * _PLACE[k]
+    return start, owner[start], mixed(hashed)
+
+
+def _windows(id_column: str, width: int, literals: int, run: int, forms: list[int] | None, bloom: np.ndarray | None):
+    """Windows of ``forms`` that the filter lets through; without them, an item's own: of ``width``, or a shorter item as one."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            tokens, slots, at = templates(piece.column("text"))
-            hashed, into = shingles(tokens, at, width)
-            counts = np.diff(at)
-            owner = np.repeat(np.arange(len(counts)), np.diff(into))
-            place = np.arange(len(hashed)) - into[:-1][owner]
-            start = at[:-1][owner] + place
-            size = np.minimum(width, counts[owner])
+            tokens, slots, at, words, words_at = templates(piece.column("text"))
             literal = np.concatenate([[0], np.cumsum(slots == 0)])
-            good = literal[start + size] - literal[start] >= literals
-            if bloom is not None:
-                good &= bloom[hashed & _U((1 << BITS) - 1)]
-            hit = np.flatnonzero(good)
-            lists = [slots[start[i] : start[i] + size[i]].view(np.int64) for i in hit]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(id_column).take(pa.array(owner[hit])), pa.array(hashed[hit].view(np.int64)), pa.array(place[hit]), pa.array(lists, pa.list_(pa.int64())), pa.array(counts[owner[hit]] < width + RUN - 1)],
-                [id_column, "window", "place", "slots", "short"],
-            )
-
-    return run
+            for form in [f for size in range(1, width + 1) for f in (size, -size)] if forms is None else forms:
+                size, of = abs(form), at if form > 0 else words_at
+                start, owner, hashed = _keys(tokens if form > 0 else words, of, form)
+                counts = np.diff(of)[owner]
+                good = np.ones(len(start), bool) if form < 0 else literal[start + size] - literal[start] >= literals
+                if forms is None and size < width or form < 0 and size < literals:
+                    good &= counts == size
+                if bloom is not None:
+                    good &= bloom[hashed & _U((1 << BITS) - 1)]
+                hit = np.flatnonzero(good)
+                lists = [slots[start[i] : start[i] + size].view(np.int64) if form > 0 else [] for i in hit]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(id_column).take(pa.array(owner[hit])), pa.array(np.full(len(hit), form)), pa.array(hashed[hit].view(np.int64)), pa.array(start[hit] - of[:-1][owner[hit]]),
+                        pa.array(lists, pa.list_(pa.int64())), pa.array(counts[hit] < width + run - 1),
+                    ],
+                    [id_column, "form", "window", "place", "slots", "short"],
+                )
+
+    return windows
 
 
 _NUMBERS, _UNITS = _hashes(NUMBERS), _hashes(UNITS)
@@ -121,16 +140,24 @@ def _filter_of(windows: DataFrame) -> np.ndarray:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, run: int = RUN) -> DataFrame:
-    """``doc_id, item_id, n_windows``: consistent runs of at least ``run`` windows (a shorter item: one) of an item in a document."""
+    """``doc_id, item_id, n_windows``: consistent runs of at least ``run`` windows (a shorter item: one) of an item in a document.
+
+    Windows are of template tokens, with ``literals`` literals at least, and of plain words; ``n_windows`` is the most of either.
+    """
     items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    shape = "window long, place long, slots array<long>, short boolean"
-    of_items = items.mapInArrow(_windows("item_id", width, literals, None), f"item_id {dict(benchmark.dtypes)['item_id']}, {shape}")
+    shape = "form long, window long, place long, slots array<long>, short boolean"
+    of_items = items.mapInArrow(_windows("item_id", width, literals, run, None, None), f"item_id {dict(benchmark.dtypes)['item_id']}, {shape}")
+    forms = sorted(r["form"] for r in of_items.select("form").distinct().collect())
     texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    of_docs = texts.mapInArrow(_windows("doc_id", width, literals, _filter_of(of_items)), f"doc_id {dict(docs.dtypes)['doc_id']}, {shape}")
+    of_docs = texts.mapInArrow(_windows("doc_id", width, literals, run, forms, _filter_of(of_items)), f"doc_id {dict(docs.dtypes)['doc_id']}, {shape}")
     joined = of_docs.select("doc_id", "window", F.col("place").alias("at"), F.col("slots").alias("held")).join(of_items.distinct(), "window")
     held = F.filter(F.arrays_zip(F.col("slots").alias("slot"), F.col("held").alias("value")), lambda p: p["slot"] != 0)
-    runs = joined.select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place", "short", F.explode_outer(held).alias("pair"))
-    groups = runs.groupBy("doc_id", "item_id", "shift").agg(
+    along = ["doc_id", "item_id", "form", "shift"]
+    hits = joined.select("doc_id", "item_id", "form", (F.col("at") - F.col("place")).alias("shift"), "place", "short", held.alias("held"))
+    # Windows are judged along each stretch without a gap, and all of a shift together.
+    stretch = F.col("place") - F.dense_rank().over(Window.partitionBy(*along).orderBy("place"))
+    hits = hits.withColumn("stretch", stretch).withColumn("stretch", F.explode(F.array("stretch", F.lit(None).cast("long"))))
+    groups = hits.withColumn("pair", F.explode_outer("held")).groupBy(*along, "stretch").agg(
         F.countDistinct("place").alias("n_windows"), F.max("short").alias("short"), F.countDistinct("pair").alias("pairs"), F.countDistinct("pair.slot").alias("slots"), F.countDistinct("pair.value").alias("values")
     )
     sound = (F.col("pairs") == F.col("slots")) & (F.col("pairs") == F.col("values")) & ((F.col("n_windows") >= run) | F.col("short"))
@@ -140,9 +167,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, run: int = RUN) -> DataFrame:
     """``doc_id, contaminated, n_items, n_windows`` for each row of ``docs(doc_id, text, ...)``.
 
-    A null or empty text, and one without a template window, is clean; so is a row with a null doc_id, which can't be
-    told from others. Rows that repeat a doc_id share its verdict. Benchmark items with fewer than ``literals`` literal
-    tokens in every window can't be found. An empty benchmark leaves all clean.
+    A null or empty text is clean; so is a row with a null doc_id, which can't be told from others. Rows that repeat a
+    doc_id share its verdict. Windows with fewer than ``literals`` literal tokens are found only word for word, and items
+    of fewer than ``literals`` words only where they are the whole document. An empty benchmark leaves all clean.
     """
     per_doc = matches(docs, benchmark, width, literals, run).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("n_windows").alias("n_windows"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

@@ -87,6 +87,24 @@ def test_templates_and_slots(spark):
     assert not contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).where("contaminated").count()
 
 
+def test_short_items_verbatim_slots_and_other_runs(spark):
+    long = "So Mary buys 5 apples for 10 dollars and then Mary sells 4 of them for 2 dollars to the old farmer and 1 to the town for 3 pounds"
+    bench = [(1, "What is the capital of France"), (2, "Add 3 Anna 5 Otto 7 Emma 9 Paul 11 Nora 13 Hugo"), (3, long), (4, "Who knows")]
+    docs = [
+        (1, "A quiz had this one. What is the capital of France? Nobody knew, so we went on with the next of them"),
+        (2, "A quiz had \"What is the capital of France\" in it, and nobody knew, so we went on with the next of them"),
+        (3, "A quiz had this one. What is the capital city of France? Nobody knew."),
+        (4, "Somebody wrote: add 3 Anna 5 Otto 7 Emma 9 Paul 11 Nora 13 Hugo and was done with it"),
+        (5, "Somebody wrote: add 4 Anna 5 Otto 7 Emma 8 Paul 11 Nora 12 Hugo and was done with it"),
+        # The second name contradicts the first: in one run, and in two that a changed word keeps apart.
+        (6, "So Anna buys 7 apples for 12 dollars and then Otto sells 9 of them for 6 dollars to the old farmer and 8 to the town for 11 pounds"),
+        (7, "So Anna buys 7 apples for 12 dollars and now Otto sells 9 of them for 6 dollars to the old farmer and 8 to the town for 11 pounds"),
+        (8, "Who knows"), (9, "I ask who knows it"),
+    ]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {r.doc_id for r in contaminated(docs, bench).where("contaminated").collect()} == {1, 2, 4, 7, 8}
+
+
 def test_hashes_are_of_whole_words():
     from gneiss.llm.shared import hashed_words, text_bytes
 
