@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped to lines, one for each block of the page. A line that stands in a menu, header, footer, form,
-advert or the like has length nought, as have lines outside the page's article where the page marks one; so links
-have. Lengths are summed over sliding windows of lines: the text begins where the sum surges from nought and ends
-where it dives to nought, and everything between that isn't such a line is kept.
+advert or the like doesn't count, nor do lines outside the page's article where the page marks one. A whole window of
+such lines is a dive, which ends a stretch of text; every other line is kept, however short. Only on pages that mark no
+article, and whose text surges in some stretch, a window or more of lines that are links and nothing else is left out
+where it comes first in a stretch: a menu that the page doesn't mark.
 """
 
 from __future__ import annotations
@@ -62,31 +63,39 @@ def _is_aside(name: str, attributes: str, inside: bool) -> bool:
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """``(text, characters outside links, counts)`` for each block; ``counts`` is false for what isn't main text."""
-    out: list[tuple[str, int, bool]] = []
-    marked = re.search(r"<(article|main)\b", page, re.I) is not None
+    return _judged(page)[0]
+
+
+def _judged(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
+    """The page's :func:`lines`, and whether an article or main element holds any that counts."""
+    out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, str]] = []  # (element, "aside", "article", "header" or "")
     words: list[str] = []
-    linked, link, at = 0, 0, 0
+    linked: list[int] = []  # places of words in links
+    link, at = 0, 0
 
     def end_of_line() -> None:
-        nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             kinds = [k for _, k in stack]
             heading = any(n in HEADINGS for n, _ in stack)
-            inside = "article" in kinds
-            counts = "aside" not in kinds and (heading or "header" not in kinds) and (inside or not marked)
-            out.append((text, 0 if not counts else max(0, len(text) - linked), counts))
+            counts = "aside" not in kinds and (heading or "header" not in kinds)
+            own = len(text)
+            if linked:
+                for i in linked:
+                    words[i] = " "
+                own = len(" ".join(html.unescape("".join(words)).split()))
+            out.append((text, own, counts, "article" in kinds))
         words.clear()
-        linked = 0
+        linked.clear()
 
     while at < len(page):
         found = _TOKEN.search(page, at)
         stop = found.start() if found else len(page)
         if stop > at:
-            words.append(page[at:stop])
             if link:
-                linked += stop - at
+                linked.append(len(words))
+            words.append(page[at:stop])
         if not found:
             break
         at = found.end()
@@ -141,25 +150,32 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 stack.pop()
             stack.append((name, kind))
     end_of_line()
-    return out
+    marked = any(counts and inside for _, _, counts, inside in out)
+    judged = [(text, n, counts and (inside or not marked)) for text, n, counts, inside in out]
+    return [(text, n if counts else 0, counts) for text, n, counts in judged], marked
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The text between surges and dives, blocks joined by two line feeds."""
+    """The text of all stretches, blocks joined by two line feeds."""
     if not page:
         return ""
-    found = lines(page)
-    marked = re.search(r"<(article|main)\b", page, re.I) is not None
-    sums = [sum(n for _, n, _ in found[i : i + window]) for i in range(len(found))]
+    found, marked = _judged(page)
+    stretches: list[list[tuple[str, int]]] = []
+    gap = window
+    for text, n, counts in found:
+        if not counts:
+            gap += 1
+            continue
+        if gap >= window:
+            stretches.append([])  # after the dive
+        stretches[-1].append((text, n))
+        gap = 0
+    surges = not marked and any(sum(n for _, n in stretch) >= surge for stretch in stretches)
     kept: list[str] = []
-    on = False
-    for i, (text, _, counts) in enumerate(found):
-        if on and not sums[i] and not counts:
-            on = False  # the dive
-        elif not on and counts and sums[i] >= (1 if marked else surge):
-            on = True  # the surge
-        if on and counts:
-            kept.append(text)
+    for stretch in stretches:
+        links = next((i for i, (_, n) in enumerate(stretch) if n), len(stretch))
+        menu = links if links == len(stretch) else links - window + 1  # links close to text stay
+        kept += [text for text, _ in stretch[menu if surges and links >= window else 0 :]]
     return "\n\n".join(kept)
 
 

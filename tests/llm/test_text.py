@@ -27,6 +27,27 @@ def test_without_article_long_lines_are_kept():
     assert main_text(f"<body>{body}</body>") == ("long text here. " * 10).strip() + "\n\nshort."
 
 
+ADVERT, LONG = "<div class='ad'>a</div>" * 3, "long text here. " * 10
+LINKS = "<p><a href='/x'>one</a></p><p><a href='/y'>two</a></p><p><a href='/z'>three</a></p>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body><p>Hello world.</p></body>", ["Hello world."]),
+        (f"<p>Opening.</p>{ADVERT}<p>{LONG}</p>{ADVERT}<p>The end.</p>", ["Opening.", LONG.strip(), "The end."]),
+        ("<article><p>Text</p><aside>ad</aside><p><a href='/s'>Source</a></p></article>", ["Text", "Source"]),
+        (f"<article>{LINKS}<p>Text</p>{ADVERT}{LINKS}</article>", ["one", "two", "three", "Text", "one", "two", "three"]),
+        ("<!-- <article> --><script>'<main>'</script><p>Text</p>", ["Text"]),
+        ("<p>Text</p><div class='comments'><article>Reader</article></div>", ["Text"]),
+        (f"{LINKS}<p>{LONG}</p>{ADVERT}{LINKS}", ["two", "three", LONG.strip()]),
+        (LINKS, ["one", "two", "three"]),
+    ],
+)
+def test_only_what_is_marked_as_other_is_dropped(page, want):
+    assert main_text(page) == "\n\n".join(want)
+
+
 def test_extract_text_frame(spark):
     rows = [(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
