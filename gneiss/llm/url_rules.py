@@ -46,14 +46,47 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return (F.coalesce(*names), F.coalesce(*verdicts)) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its segments ``.`` and ``..`` carried out."""
+    closed = F.when(path.rlike(r"(?:^|/)\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute address that ``target`` names on a page at ``url``; one that begins with a scheme stays as it is."""
+    origin, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    asked = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.when(path.contains("/"), F.lit("")).otherwise("/"))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(rest), asked))
+        .when(rest != "", F.concat(origin, _without_dots(F.concat(folder, rest)), asked))
+        .when(target.startswith("?"), F.concat(origin, path, asked))
+        .otherwise(url)
+    )
+
+
+def _once(column: Column) -> Column:
+    """The column as a generator's: what reads it takes the value, where the planner would copy the expression into each use."""
+    return F.explode(F.array(column))
+
+
 def declared_links(pages: DataFrame) -> DataFrame:
-    """``u, v, host, path``: nodes of a page and of the absolute address that its canonical link or its refresh names, and that address's parts."""
+    """``u, v, host, path``: nodes of a page and of the address that its canonical link or its refresh names, and that address's parts.
+
+    Relative addresses are those of the page's base element, or else of its url.
+    """
+    based = F.regexp_extract("html", r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
     tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag")
-    tags = pages.select("url", tags)
+    tags = pages.select("url", "html", _once(F.replace(based, F.lit("&amp;"), F.lit("&"))).alias("base")).select("url", "html", _once(resolved(F.col("base"), F.col("url"))).alias("base")).select("url", "base", tags)
     href = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    moved = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*([^\"'>\s]+)", 1))
+    moved = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1))
     named = F.replace(F.coalesce(href, moved), F.lit("&amp;"), F.lit("&"))
-    links = tags.select(node_of(F.col("url")).alias("u"), named.alias("to")).where("u is not null and to is not null")
+    links = tags.select("url", "base", _once(named).alias("to")).where("to <> ''").select("url", _once(resolved(F.col("to"), F.col("base"))).alias("to"))
+    links = links.select(_once(node_of(F.col("url"))).alias("u"), "to").where("u is not null")
     return links.select("u", node_of(F.col("to")).alias("v"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")).where("v is not null and u <> v")
 
 

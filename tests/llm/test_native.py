@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.chat import escaped, formatted, read_back, unescaped
 from gneiss.llm.components import components
 from gneiss.llm.members import with_ids, without_ids
-from gneiss.llm.url_rules import declared_links, host_of, judged, path_of
+from gneiss.llm.url_rules import declared_links, host_of, judged, path_of, resolved
 
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
 
@@ -77,3 +77,24 @@ def test_rules_reach_pages_through_addresses_that_are_no_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: (r.rule, r.verdict) for r in judged(pages, declared_links(pages)).collect()}
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow")}
+
+
+def test_targets_are_resolved(spark):
+    cases = [
+        ("https://b.org/x?y", "https://b.org/x?y"), ("//b.org/x", "http://b.org/x"), ("/de/7?u=http://c.net/#f", "http://a.com/de/7?u=http://c.net/#f"), ("7", "http://a.com/d/7"), ("./7/../8", "http://a.com/d/8"),
+        ("../../..", "http://a.com/"), ("?z", "http://a.com/d/p?z"), ("#f", "http://a.com/d/p?q=1"), ("", "http://a.com/d/p?q=1"), ("mailto:x", "mailto:x"), ("..", "http://a.com/"), ("7..8/.x", "http://a.com/d/7..8/.x"),
+    ]
+    got = spark.createDataFrame(cases, "t string, want string").select("t", "want", resolved(F.col("t"), F.lit("http://a.com/d/p?q=1")).alias("got"))
+    assert got.where("not got <=> want").collect() == []
+    assert spark.range(1).select(resolved(F.lit("x"), F.lit("http://a.com"))).first()[0] == "http://a.com/x"
+
+
+def test_relative_and_quoted_links_are_aliases(spark):
+    link, moved = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0;url={}">'
+    rows = [
+        (1, "http://shop.com/xx/7", moved.format("/de/7")), (2, "http://shop.com/xx/8", link.format("../de/8")), (3, "http://one.net/a", link.format("//shop.com/de/9")), (4, "http://two.net/a", moved.format("'https://shop.com/de/7'")),
+        (5, "http://three.net/a", '<base href="http://shop.com/de/">' + link.format("5")), (6, "http://four.net/a", link.format("b?u=http://shop.com/de/7")), (7, "http://four.net/b", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in judged(pages, declared_links(pages)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
