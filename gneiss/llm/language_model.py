@@ -185,7 +185,11 @@ def _join_bigrams(buckets: int):
                 if len(i):
                     there, w2 = np.unique(w[i], return_inverse=True)
                     out.append((3, b, bucket, _packed(words[there], w2, here_chunks, o[i], d[i], t[i], m[i])))
-            out.append((4, bucket, bucket, _packed(contexts, context_count.astype(np.int64))))
+            # A document has one begin, which is never a second word, and one end, which is never a context.
+            begin, context_count = contexts == BEGIN, context_count.astype(np.int64)
+            if begin.any():
+                out.append((4, int(_bucket(np.array([END]), buckets)[0]), bucket, _packed(np.array([END]), context_count[begin])))
+            out.append((4, bucket, bucket, _packed(contexts[~begin], context_count[~begin])))
         return pa.Table.from_arrays(_rows(out), _NAMES) if out else rows.slice(0, 0).select(_NAMES)
 
     return run

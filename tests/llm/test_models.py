@@ -37,6 +37,12 @@ def test_language_scores(spark):
     assert language_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_backing_off_to_the_end_counts_documents(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e f")], "doc_id long, text string")
+    want = 2 * math.log(BACKOFF * FLOOR / 9) + math.log(BACKOFF * 2 / 9)
+    assert all(abs(r.log_score - want) < 1e-9 for r in language_scores(docs).collect())
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, size=(3000, 1))
