@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.splits import by_class
 from gneiss.plans.rank import hash_order, in_intervals, running_sum, with_index
+from gneiss.plans.store import written
 
 
 def balance_classes(df: DataFrame, id_: str, targets: Sequence[str], seed: int = 0) -> DataFrame:
@@ -62,12 +63,16 @@ def neg_distribution(edges: DataFrame, power: float = 0.75) -> DataFrame:
     return running_sum(degree.withColumn("share", F.pow("degree", F.lit(power)) / F.lit(total)), "node", "share", "upto")
 
 
-def draw_nodes(edges: DataFrame, n: int, power: float = 0.75, seed: int = 0, slots: int = 1 << 20) -> DataFrame:
-    """``n`` nodes drawn from :func:`neg_distribution`: hashed slots joined with the shares' intervals."""
-    shares = neg_distribution(edges, power)
-    bounds = shares.select("node", F.floor((F.col("upto") - F.col("share")) * slots).alias("low"), F.floor(F.col("upto") * slots).alias("high"))
-    draws = edges.sparkSession.range(n).withColumn("slot", hashed_number(seed, slots, "id"))
-    return in_intervals(draws, "slot", bounds, "low", "high", slots >> 10).select("id", "node")
+def draw_nodes(edges: DataFrame, n: int, power: float = 0.75, seed: int = 0) -> DataFrame:
+    """``n`` nodes drawn from :func:`neg_distribution`: hashed numbers joined with the shares' intervals.
+
+    Shares are whole numbers of 2**-48, one at least, so that their running sum is exact and leaves no gaps.
+    """
+    weights = neg_distribution(edges, power).select("node", F.greatest(F.round(F.col("share") * float(1 << 48)), F.lit(1)).cast("long").alias("weight"))
+    bounds = written(running_sum(weights, "node", "weight", "high").withColumn("low", F.col("high") - F.col("weight")))
+    nodes, total = bounds.agg(F.count("*"), F.sum("weight")).first()
+    draws = edges.sparkSession.range(n).withColumn("slot", F.conv(F.substring(hash_order(seed, "id"), 1, 15), 16, 10).cast("long") % F.lit(total or 1))
+    return in_intervals(draws, "slot", bounds.select("node", "low", "high"), "low", "high", (total or 1) // min(nodes or 1, 1 << 20)).select("id", "node")
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:

@@ -299,3 +299,10 @@ def test_penalties():
     with pytest.raises(ValueError):
         blocks.penalty("ICL", n, m, 3, corrected=True)
     assert set(blocks.PENALTIES["DCKN"]) == set(blocks.PENALTIES["SKN"]) - {"ICL"}
+
+
+def test_nodes_of_small_shares_are_drawn(spark):
+    # 2**21 nodes of one degree: on a grid of 2**20 slots only every other one could be drawn.
+    edges = spark.range(1 << 20).select((2 * F.col("id")).alias("src"), (2 * F.col("id") + 1).alias("dst"))
+    got = [r.node % 2 for r in sampling.draw_nodes(edges, 1000).collect()]
+    assert len(got) == 1000 and 400 < sum(got) < 600
