@@ -4,11 +4,15 @@ Every document is scored by what the other documents say: its own occurrences ar
 its own evidence. A bigram that occurs elsewhere scores its count over its context's count; any other backs off to
 ``BACKOFF`` times the share of its second word. Begin and end of a document are words of their own.
 
-The bigrams of a chunk of documents are summed by document and packed, a row for each hash bucket of the first word, so
-the one large shuffle moves a few bytes for each bigram. A bucket's task joins the bucket's count table to its bigrams,
-sums scores by document, and sends on what has to back off, by the hash of the second word, to be joined with the word
-counts there. The number of buckets follows the corpus, so a task's memory doesn't; a very common word is one entry a
-document.
+The work is joins and sums of n-gram rows. Words are counted first, in a table dealt by their hash. Then each document is
+exploded to a row for each of its different bigrams, dealt by the bigram's hash, where its count is the sum over equal
+rows. A row then needs one word's count: its context's if the bigram occurs elsewhere, or else its second word's. For the
+``FREQUENT`` commonest words that count comes from a broadcast table of that size, for others from an equi-join with the
+word counts. Scores are summed by document.
+
+No group is large: bigrams that are common in a sample of documents are counted exactly with the words, at most
+``COMMON`` of them, and scored where they are found, so that what is dealt by hash is rare. Which bigrams go that way
+changes where they are scored, not how.
 """
 
 from __future__ import annotations
@@ -18,226 +22,134 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import hashed_words, pieces, table, text_bytes, written
+from gneiss.llm.shared import hashed_words, mixed, pieces, table, text_bytes, written
 
 BACKOFF, FLOOR = 0.4, 0.5
-CHUNK, PER_BUCKET = 8 << 20, 5_000_000  # bytes of text in a chunk; characters of text to a bucket
+FREQUENT, COMMON, SAMPLE = 1 << 16, 1 << 15, 4096  # words and bigrams whose counts every task gets; documents that name the bigrams
+CHUNK, AT_ONCE = 8 << 20, 1 << 17  # bytes of text whose bigrams are sorted together; rows sent at once
 BEGIN, END = np.uint64(0x1357_9BDF_0246_8ACE), np.uint64(0x0F1E_2D3C_4B5A_6978)
-_SHAPE = "kind int, key long, chunk long, payload binary"
+_U = np.uint64
+_ROWS = "first long, second long, row long, n int, own_first int, own_second int, doc_id long, known double"
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays end to end, whole numbers in the narrowest type that holds them."""
-    out = []
-    for a in arrays:
-        if a.dtype.kind != "f":
-            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        out.append(np.array([a.dtype.itemsize + 64 * (a.dtype.kind == "f"), len(a)], np.int64).tobytes() + a.tobytes())
-    raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _sequences(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's words between a begin and an end, and the place in ``counts`` that each belongs to."""
+    ends = np.cumsum(counts + 2)
+    seq = np.empty(ends[-1] if len(ends) else 0, np.uint64)
+    inner = np.ones(len(seq), bool)
+    inner[ends - 1] = inner[ends - counts - 2] = False
+    seq[inner] = words
+    seq[ends - 1], seq[ends - counts - 2] = END, BEGIN
+    return seq, np.repeat(np.arange(len(counts)), counts + 2)
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 0
-    while at < len(data):
-        kind, n = np.frombuffer(data, np.int64, 2, at)
-        t = np.dtype(f"f{kind - 64}" if kind > 64 else f"u{kind}")
-        out.append(np.frombuffer(data, t, n, at + 16))
-        at += 16 + int(n) * t.itemsize
-    return out
+def _bigram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * _U(0x9E3779B97F4A7C15) + second)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> np.uint64(20)) % np.uint64(buckets)
+def _found(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in ``known``, which is sorted; its length where it isn't there."""
+    at = np.searchsorted(known, x)
+    return np.where(known[np.minimum(at, len(known) - 1)] == x, at, len(known)) if len(known) else np.zeros(len(x), np.int64)
 
 
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> list[pa.Array]:
-    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, numbers of words and words of documents that together have about ``size`` bytes."""
+    ids, counts, words, held = [], [], [], 0
+    for piece in pieces(batches, "text"):
+        raw, offsets = text_bytes(piece.column("text"))
+        w, at = hashed_words(raw, offsets)
+        ids.append(piece.column("doc_id").to_numpy(zero_copy_only=False))
+        counts.append(np.diff(at))
+        words.append(w)
+        held += len(raw)
+        if held >= size:
+            yield np.concatenate(ids), np.concatenate(counts), np.concatenate(words)
+            ids, counts, words, held = [], [], [], 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate(counts), np.concatenate(words)
 
 
-_NAMES = ["kind", "key", "chunk", "payload"]
+def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's different bigrams, as hashes."""
+    for _, counts, words in _chunks(batches, CHUNK):
+        seq, owner = _sequences(counts, words)
+        pairs = np.flatnonzero(owner[1:] == owner[:-1])
+        keys = _bigram(seq[pairs], seq[pairs + 1])
+        order = np.lexsort((keys, owner[pairs]))
+        keys, of = keys[order], owner[pairs][order]
+        keys = keys[np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])]
+        for i in range(0, len(keys), AT_ONCE):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + AT_ONCE].view(np.int64))], ["key"])
 
 
-def _chunk_rows(chunk: int, ids: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> list[tuple[int, int, int, bytes]]:
-    """A header with doc_ids and tokens (kind 0), and each bucket's bigrams (kind 1)."""
-    counts = np.concatenate([np.diff(at) for _, at in parts])
-    words = np.concatenate([w for w, _ in parts])
-    n = len(counts)
-    # Each document's words between a begin and an end.
-    ends = np.cumsum(counts + 2)
-    seq = np.empty(ends[-1], np.uint64)
-    inner = np.ones(len(seq), bool)
-    inner[ends - 1] = inner[ends - counts - 2] = False
-    seq[inner] = words
-    seq[ends - 1], seq[ends - counts - 2] = END, BEGIN
-    known, ids_of = np.unique(seq, return_inverse=True)
-    doc = np.repeat(np.arange(n), counts + 2)
-    pairs = np.flatnonzero(doc[1:] == doc[:-1])
-    key = ids_of[pairs].astype(np.uint64) * np.uint64(len(known)) + ids_of[pairs + 1].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], doc[pairs][order]
-    new_pair = np.concatenate([[True], key[1:] != key[:-1]])
-    new = new_pair | np.concatenate([[True], owner[1:] != owner[:-1]])
-    lead = np.flatnonzero(new)
-    times = np.diff(np.append(lead, len(key)))
-    entry_pair = np.cumsum(new_pair)[lead] - 1
-    pair_key = key[new_pair]
-    entry_doc = owner[lead]
-    first, second = (pair_key // np.uint64(len(known))).astype(np.int64), (pair_key % np.uint64(len(known))).astype(np.int64)
-    # How often the document itself has the second word.
-    mine, back, own = np.unique(ids_of.astype(np.int64) * n + doc, return_inverse=True, return_counts=True)
-    own_of = own[np.searchsorted(mine, second[entry_pair] * n + entry_doc)]
-    pair_docs = np.bincount(entry_pair, minlength=len(pair_key))
-    pair_at = np.concatenate([[0], np.cumsum(pair_docs)])
-    out = [(0, chunk % buckets, chunk, _packed(ids.view(np.uint64), counts))]
-    of = _bucket(known[first], buckets).astype(np.int64)
-    by = np.argsort(of, kind="stable")
-    cut = np.searchsorted(of[by], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine_ = by[cut[b] : cut[b + 1]]
-        if not len(mine_):
-            continue
-        contexts, n1 = np.unique(first[mine_], return_counts=True)
-        seconds, w2 = np.unique(second[mine_], return_inverse=True)
-        sizes = pair_docs[mine_]
-        entries = np.repeat(pair_at[mine_] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        out.append((1, b, chunk, _packed(known[contexts], n1, known[seconds], w2, sizes, entry_doc[entries], times[entries], own_of[entries])))
-    return out
-
-
-def _chunks(buckets: int):
+def _counted(common: np.ndarray):
+    """``kind, key, n``: how often a chunk has each word (kind 0), and each of the common bigrams (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        chunk = (task.partitionId() if task else 0) << 32
-        ids: list[np.ndarray] = []
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for piece in pieces(batches, "text"):
-            raw, offsets = text_bytes(piece.column("text"))
-            parts.append(hashed_words(raw, offsets))
-            ids.append(piece.column("doc_id").to_numpy(zero_copy_only=False))
-            size += len(raw)
-            if size >= CHUNK:
-                yield pa.RecordBatch.from_arrays(_rows(_chunk_rows(chunk, np.concatenate(ids), parts, buckets)), _NAMES)
-                chunk, ids, parts, size = chunk + 1, [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays(_rows(_chunk_rows(chunk, np.concatenate(ids), parts, buckets)), _NAMES)
+        for _, counts, words in _chunks(batches, CHUNK):
+            seq, owner = _sequences(counts, words)
+            pairs = np.flatnonzero(owner[1:] == owner[:-1])
+            at = _found(common, _bigram(seq[pairs], seq[pairs + 1]))
+            times = np.bincount(at, minlength=len(common) + 1)[: len(common)]
+            for kind, (keys, n) in enumerate((np.unique(seq, return_counts=True), (common[times > 0], times[times > 0]))):
+                for i in range(0, len(keys), AT_ONCE):
+                    k = keys[i : i + AT_ONCE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + AT_ONCE].astype(np.int64))], ["kind", "key", "n"])
 
     return run
 
 
-def _sums(chunks: np.ndarray, owner: np.ndarray, doc: np.ndarray, score: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """Kind 2: summed scores of a chunk's documents; ``owner`` is in order."""
-    out = []
-    cut = np.searchsorted(owner, np.arange(len(chunks) + 1))
-    for i, chunk in enumerate(chunks):
-        a, b = cut[i], cut[i + 1]
-        if b > a:
-            total = np.bincount(doc[a:b], score[a:b])
-            docs = np.unique(doc[a:b])
-            out.append((2, int(chunk), int(chunk), _packed(docs, total[docs])))
-    return out
-
-
-def _join_bigrams(buckets: int):
-    """A bucket's bigrams meet its count table. Out: headers, scores by document (2), what backs off (3) and word counts (4)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk")
-        kinds, chunks, payloads = rows.column("kind").to_numpy(), rows.column("chunk").to_numpy(), rows.column("payload").to_pylist()
-        out = [(0, int(c), int(c), p) for k, c, p in zip(kinds, chunks, payloads, strict=True) if k == 0]
-        here = np.flatnonzero(kinds == 1)
-        if len(here):
-            bucket = int(rows.column("key")[int(here[0])].as_py())
-            blobs = [_unpacked(payloads[i]) for i in here]
-            cat = lambda i: np.concatenate([b[i] for b in blobs])
-            contexts, ci = np.unique(cat(0), return_inverse=True)
-            words, wi = np.unique(cat(2), return_inverse=True)
-            word_at = np.concatenate([[0], np.cumsum([len(b[2]) for b in blobs])])
-            context = np.repeat(ci, cat(1))
-            word = wi[np.concatenate([b[3].astype(np.int64) + s for b, s in zip(blobs, word_at[:-1], strict=True)])]
-            sizes = cat(4).astype(np.int64)
-            entry = np.repeat(np.arange(len(sizes)), sizes)
-            doc, times, own = cat(5).astype(np.int64), cat(6).astype(np.int64), cat(7).astype(np.int64)
-            owner = np.repeat(np.arange(len(blobs)), [len(b[5]) for b in blobs])
-            _, pair = np.unique(context.astype(np.int64) * len(words) + word, return_inverse=True)
-            pair_count = np.bincount(pair[entry], times)
-            of = context[entry]
-            context_count = np.bincount(of, times)
-            width = int(doc.max()) + 1
-            _, together = np.unique((owner * width + doc) * len(contexts) + of, return_inverse=True)
-            own_context = np.bincount(together, times)[together]
-            rest = pair_count[pair[entry]] - times
-            seen = rest > 0
-            score = np.where(seen, times * np.log(np.where(seen, rest, 1) / np.where(seen, context_count[of] - own_context, 1)), 0.0)
-            here_chunks = chunks[here]
-            out += _sums(here_chunks, owner[seen], doc[seen], score[seen])
-            w, o, d, t, m = word[entry][~seen], owner[~seen], doc[~seen], times[~seen], own[~seen]
-            to = _bucket(words[w], buckets).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                i = by[cut[b] : cut[b + 1]]
-                if len(i):
-                    there, w2 = np.unique(w[i], return_inverse=True)
-                    out.append((3, b, bucket, _packed(words[there], w2, here_chunks, o[i], d[i], t[i], m[i])))
-            # A document has one begin, which is never a second word, and one end, which is never a context.
-            begin, context_count = contexts == BEGIN, context_count.astype(np.int64)
-            if begin.any():
-                out.append((4, int(_bucket(np.array([END]), buckets)[0]), bucket, _packed(np.array([END]), context_count[begin])))
-            out.append((4, bucket, bucket, _packed(contexts[~begin], context_count[~begin])))
-        return pa.Table.from_arrays(_rows(out), _NAMES) if out else rows.slice(0, 0).select(_NAMES)
-
-    return run
-
+def _exploded(words: np.ndarray, word_counts: np.ndarray, common: np.ndarray, common_counts: np.ndarray):
+    """A row for each document with what its common bigrams score, and one for each of its other bigrams."""
+
+    def rows(start: int, ids: np.ndarray, counts: np.ndarray, found: np.ndarray) -> list[np.ndarray]:
+        seq, owner = _sequences(counts, found)
+        known, of = np.unique(seq, return_inverse=True)
+        pairs = np.flatnonzero(owner[1:] == owner[:-1])
+        key = of[pairs] * len(known) + of[pairs + 1]
+        order = np.argsort(key, kind="stable")  # by first and second word, so that equal words lie together
+        key, doc = key[order], owner[pairs][order]
+        lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+        n = np.diff(np.append(lead, len(key)))
+        key, doc = key[lead], doc[lead]
+        first, second = key // len(known), key % len(known)
+        # How often the document itself has the two words.
+        mine, own = np.unique(of * len(counts) + owner, return_counts=True)
+        own_first, own_second = (own[np.searchsorted(mine, w * len(counts) + doc)] for w in (first, second))
+        at, context = _found(common, _bigram(known[first], known[second])), _found(words, known)[first]
+        there = np.append(common_counts, 0)[at] - n
+        scored = (there > 0) & (context < len(words))
+        rest = np.append(word_counts, 1)[context] - own_first
+        score = np.bincount(doc[scored], n[scored] * np.log(there[scored] / rest[scored]), len(counts))
+        first, second, doc, n, own_first, own_second = (x[~scored] for x in (known[first], known[second], doc, n, own_first, own_second))
+        heads = np.arange(len(counts)) + start
+        none = np.zeros(len(doc))
+        columns = [
+            (mixed(heads.astype(np.uint64)), first), (np.zeros(len(heads), np.uint64), second), (heads, doc + start), (counts, n), (np.zeros(len(heads)), own_first), (np.zeros(len(heads)), own_second), (ids, none), (score, none),
+        ]
+        return [np.concatenate([a.astype(t), b.astype(t)]) for (a, b), t in zip(columns, (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int64, np.float64), strict=True)]
 
-def _join_words(total: int):
-    """What backs off to a bucket's words meets their counts. Out: scores by document (2)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk")
-        kinds, payloads = rows.column("kind").to_numpy(), rows.column("payload").to_pylist()
-        known = [_unpacked(p) for k, p in zip(kinds, payloads, strict=True) if k == 4]
-        words = np.concatenate([k[0] for k in known] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([k[1] for k in known] or [np.zeros(0, np.uint64)]).astype(np.float64)
-        order = np.argsort(words)
-        words, counts = np.append(words[order], np.uint64(2**64 - 1)), np.append(counts[order], 0.0)
-        sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for k, p in zip(kinds, payloads, strict=True):
-            if k != 3:
-                continue
-            there, w2, chunks, o, d, t, m = _unpacked(p)
-            at = np.searchsorted(words, there)
-            count = np.where(words[at] == there, counts[at], 0.0)[w2] - m
-            score = t * np.log(BACKOFF * np.maximum(count, FLOOR) / total)
-            for i in np.unique(o):
-                here = o == i
-                docs, back = np.unique(d[here], return_inverse=True)
-                sums.setdefault(int(chunks[i].astype(np.int64)), []).append((docs.astype(np.int64), np.bincount(back, score[here])))
-        out = []
-        for chunk, parts in sorted(sums.items()):
-            docs, back = np.unique(np.concatenate([d for d, _ in parts]), return_inverse=True)
-            out.append((2, chunk, chunk, _packed(docs, np.bincount(back, np.concatenate([s for _, s in parts])))))
-        return pa.Table.from_arrays(_rows(out), _NAMES) if out else rows.slice(0, 0).select(_NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        start = (task.partitionId() if task else 0) << 33
+        for ids, counts, found in _chunks(batches, CHUNK):
+            out = rows(start, ids, counts, found)
+            heads = np.zeros(len(out[0]), bool)
+            heads[: len(counts)] = True
+            start += len(counts)
+            for i in range(0, len(heads), AT_ONCE):
+                part = [x[i : i + AT_ONCE] for x in out]
+                arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in part[:6]]
+                arrays += [pa.array(x, mask=~heads[i : i + AT_ONCE]) for x in part[6:]]
+                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _ROWS.split(", ")])
 
     return run
 
 
-def _by_document(rows: pa.Table) -> pa.Table:
-    """A chunk's sums, one row for each of its documents."""
-    kinds, payloads = rows.column("kind").to_pylist(), rows.column("payload").to_pylist()
-    ids, tokens = _unpacked(next(p for k, p in zip(kinds, payloads, strict=True) if k == 0))
-    score = np.zeros(len(ids))
-    for p in sorted(p for k, p in zip(kinds, payloads, strict=True) if k == 2):  # in one order, so that sums repeat
-        docs, part = _unpacked(p)
-        score[docs] += part
-    return pa.table({"doc_id": pa.array(ids.astype(np.uint64).view(np.int64)), "n_tokens": pa.array(tokens.astype(np.int64)), "log_score": pa.array(score)})
-
-
 def language_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, log_score, mean_score`` for each row of ``docs(doc_id, text, ...)``; other columns are ignored.
 
@@ -246,22 +158,30 @@ def language_scores(docs: DataFrame) -> DataFrame:
     a null doc_id are left out. No rows give none.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(8, -(-chars // PER_BUCKET))
-    packed = texts.mapInArrow(_chunks(buckets), _SHAPE)
-    met = written(packed.repartition(buckets, "key").groupBy("key").applyInArrow(_join_bigrams(buckets), _SHAPE), "bigrams")
-    headers = met.where("kind = 0")
-    total = met.where("kind = 4").mapInArrow(_counted, "n long").agg(F.sum("n")).first()[0] or 1
-    backed = met.where("kind in (3, 4)").groupBy("key").applyInArrow(_join_words(int(total)), _SHAPE)
-    sums = met.where("kind = 2").union(backed).union(headers)
-    out = sums.groupBy("chunk").applyInArrow(_by_document, "doc_id long, n_tokens long, log_score double")
-    return out.withColumn("mean_score", F.col("log_score") / (F.col("n_tokens") + 1))
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [int(_unpacked(p)[1].sum()) for p in batch.column("payload").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n"])
+    step = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    common = some.mapInArrow(_bigrams_of, "key long").groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    common = np.sort(common.column("key").to_numpy().view(np.uint64))
+    counts = written(texts.mapInArrow(_counted(common), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    words = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("count"))
+    total = words.where(F.col("word") != int(BEGIN.view(np.int64))).agg(F.sum("count")).first()[0] or 1
+
+    frequent = words.orderBy(F.desc("count"), "word").limit(FREQUENT)
+    near, pairs = frequent.toArrow(), counts.where("kind = 1").toArrow()
+    sorted_ = lambda t, k, n: (lambda keys, v: (keys[o := np.argsort(keys)], v[o]))(t.column(k).to_numpy().view(np.uint64), t.column(n).to_numpy())
+    frequent = docs.sparkSession.createDataFrame(near.to_pandas(), "word long, count long")  # no more than FREQUENT rows, so it may be broadcast
+    rows = texts.mapInArrow(_exploded(*sorted_(near, "word", "count"), *sorted_(pairs, "key", "n")), _ROWS)
+
+    rest = F.sum("n").over(Window.partitionBy("first", "second")) - F.col("n")
+    met = rows.withColumn("rest", F.when(F.col("known").isNull(), rest)).withColumn("seen", F.col("rest") > 0)
+    met = met.withColumn("word", F.when(F.col("seen"), F.col("first")).when(~F.col("seen"), F.col("second"))).join(F.broadcast(frequent), "word", "left")
+    others = F.col("count") - F.when(F.col("seen"), F.col("own_first")).otherwise(F.col("own_second"))
+    score = F.col("n") * F.when(F.col("seen"), F.log(F.col("rest") / others)).otherwise(F.log(BACKOFF * F.greatest(others, F.lit(FLOOR)) / F.lit(float(total))))
+    tokens = F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0).cast("long")
+    near = met.where("known is not null or count is not null").select("row", "doc_id", tokens.alias("tokens"), F.coalesce("known", score).alias("score"))
+    rare = met.where("known is null and count is null").drop("count").join(words, "word").select("row", "doc_id", F.lit(0).cast("long").alias("tokens"), score.alias("score"))
+    out = near.union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("score").alias("log_score"))
+    return out.select("doc_id", "n_tokens", "log_score", (F.col("log_score") / (F.col("n_tokens") + 1)).alias("mean_score"))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ def brute_scores(rows):
     for (a, _), n in bigrams.items():
         contexts[a] += n
     total = sum(contexts.values())
+    contexts["</b>"] = len(rows)  # an end is no context, but a word that documents have
     out = []
     for seq, counts in own:
         mine, heads, score = Counter(seq), Counter(seq[:-1]), 0.0
