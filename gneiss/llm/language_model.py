@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from gneiss.llm.shared import hashed_words, mixed, pieces, table, text_bytes, written
 
 BACKOFF, FLOOR = 0.4, 0.5
-FREQUENT, COMMON, SAMPLE = 1 << 16, 1 << 15, 4096  # words and bigrams whose counts every task gets; documents that name the bigrams
+FREQUENT, COMMON, SAMPLE = 1 << 18, 1 << 18, 8192  # words and bigrams whose counts every task gets; documents that name the bigrams
 CHUNK, AT_ONCE = 8 << 20, 1 << 17  # bytes of text whose bigrams are sorted together; rows sent at once
 BEGIN, END = np.uint64(0x1357_9BDF_0246_8ACE), np.uint64(0x0F1E_2D3C_4B5A_6978)
 _U = np.uint64
-_ROWS = "first long, second long, row long, n int, own_first int, own_second int, doc_id long, known double"
+_ROWS = "first long, second long, row long, n int, own long, doc_id long, known double"
 
 
 def _sequences(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +50,24 @@ def _bigram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * _U(0x9E3779B97F4A7C15) + second)
 
 
-def _found(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of ``x`` in ``known``, which is sorted; its length where it isn't there."""
-    at = np.searchsorted(known, x)
-    return np.where(known[np.minimum(at, len(known) - 1)] == x, at, len(known)) if len(known) else np.zeros(len(x), np.int64)
+class _Known:
+    """Hashes in order; most others are told from them by a few of their bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.may = keys, np.zeros(1 << 22, bool)
+        self.may[keys >> _U(42)] = True
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Places of ``x``; the number of hashes where it isn't one."""
+        out = np.full(len(x), len(self.keys))
+        may = np.flatnonzero(self.may[x >> _U(42)])
+        at = np.searchsorted(self.keys, x[may])
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == x[may] if len(self.keys) else np.zeros(0, bool)
+        out[may[hit]] = at[hit]
+        return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,29 +100,43 @@ def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + AT_ONCE].view(np.int64))], ["key"])
 
 
-def _counted(common: np.ndarray):
+def _counted(keys: np.ndarray):
     """``kind, key, n``: how often a chunk has each word (kind 0), and each of the common bigrams (kind 1)."""
+    common = _Known(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, counts, words in _chunks(batches, CHUNK):
             seq, owner = _sequences(counts, words)
             pairs = np.flatnonzero(owner[1:] == owner[:-1])
-            at = _found(common, _bigram(seq[pairs], seq[pairs + 1]))
+            at = common.find(_bigram(seq[pairs], seq[pairs + 1]))
             times = np.bincount(at, minlength=len(common) + 1)[: len(common)]
-            for kind, (keys, n) in enumerate((np.unique(seq, return_counts=True), (common[times > 0], times[times > 0]))):
-                for i in range(0, len(keys), AT_ONCE):
-                    k = keys[i : i + AT_ONCE]
+            for kind, (found, n) in enumerate((np.unique(seq, return_counts=True), (common.keys[times > 0], times[times > 0]))):
+                for i in range(0, len(found), AT_ONCE):
+                    k = found[i : i + AT_ONCE]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + AT_ONCE].astype(np.int64))], ["kind", "key", "n"])
 
     return run
 
 
-def _exploded(words: np.ndarray, word_counts: np.ndarray, common: np.ndarray, common_counts: np.ndarray):
-    """A row for each document with what its common bigrams score, and one for each of its other bigrams."""
+def _exploded(words: np.ndarray, word_counts: np.ndarray, bigrams: np.ndarray, bigram_counts: np.ndarray):
+    """A row for each document with what its common bigrams score, and one for each of its other bigrams.
+
+    A frequent word is named by its rank, any other by its hash. ``own`` holds how often the document itself has the two
+    words: in a byte each, the second one's higher, or negative in 31 bits each.
+    """
+    frequent, common = _Known(words), _Known(bigrams)
+    rank = np.empty(len(words), np.uint64)
+    rank[np.argsort(-word_counts, kind="stable")] = np.arange(len(words))
 
     def rows(start: int, ids: np.ndarray, counts: np.ndarray, found: np.ndarray) -> list[np.ndarray]:
         seq, owner = _sequences(counts, found)
         known, of = np.unique(seq, return_inverse=True)
+        place = frequent.find(known)
+        names = np.where(place < len(frequent), np.append(rank, _U(0))[place], known | _U(FREQUENT))
+        by = np.argsort(names)
+        known, place, names = known[by], place[by], names[by]
+        by[by] = np.arange(len(by))
+        of = by[of]
         pairs = np.flatnonzero(owner[1:] == owner[:-1])
         key = of[pairs] * len(known) + of[pairs + 1]
         order = np.argsort(key, kind="stable")  # by first and second word, so that equal words lie together
@@ -117,21 +145,19 @@ def _exploded(words: np.ndarray, word_counts: np.ndarray, common: np.ndarray, co
         n = np.diff(np.append(lead, len(key)))
         key, doc = key[lead], doc[lead]
         first, second = key // len(known), key % len(known)
-        # How often the document itself has the two words.
         mine, own = np.unique(of * len(counts) + owner, return_counts=True)
         own_first, own_second = (own[np.searchsorted(mine, w * len(counts) + doc)] for w in (first, second))
-        at, context = _found(common, _bigram(known[first], known[second])), _found(words, known)[first]
-        there = np.append(common_counts, 0)[at] - n
-        scored = (there > 0) & (context < len(words))
+        there = np.append(bigram_counts, 0)[common.find(_bigram(known[first], known[second]))] - n
+        context = place[first]
+        scored = (there > 0) & (context < len(frequent))
         rest = np.append(word_counts, 1)[context] - own_first
         score = np.bincount(doc[scored], n[scored] * np.log(there[scored] / rest[scored]), len(counts))
-        first, second, doc, n, own_first, own_second = (x[~scored] for x in (known[first], known[second], doc, n, own_first, own_second))
+        own = np.where((own_first < 256) & (own_second < 256), own_first | own_second << 8, -(own_first | own_second << 31))
+        first, second, doc, n, own = (x[~scored] for x in (names[first], names[second], doc, n, own))
         heads = np.arange(len(counts)) + start
         none = np.zeros(len(doc))
-        columns = [
-            (mixed(heads.astype(np.uint64)), first), (np.zeros(len(heads), np.uint64), second), (heads, doc + start), (counts, n), (np.zeros(len(heads)), own_first), (np.zeros(len(heads)), own_second), (ids, none), (score, none),
-        ]
-        return [np.concatenate([a.astype(t), b.astype(t)]) for (a, b), t in zip(columns, (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int64, np.float64), strict=True)]
+        columns = [(mixed(heads.astype(np.uint64)), first), (np.zeros(len(heads), np.uint64), second), (heads, doc + start), (counts, n), (np.zeros(len(heads)), own), (ids, none), (score, none)]
+        return [np.concatenate([a.astype(t), b.astype(t)]) for (a, b), t in zip(columns, (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int64, np.float64), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -143,8 +169,8 @@ def _exploded(words: np.ndarray, word_counts: np.ndarray, common: np.ndarray, co
             start += len(counts)
             for i in range(0, len(heads), AT_ONCE):
                 part = [x[i : i + AT_ONCE] for x in out]
-                arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in part[:6]]
-                arrays += [pa.array(x, mask=~heads[i : i + AT_ONCE]) for x in part[6:]]
+                arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in part[:5]]
+                arrays += [pa.array(x, mask=~heads[i : i + AT_ONCE]) for x in part[5:]]
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _ROWS.split(", ")])
 
     return run
@@ -160,26 +186,29 @@ def language_scores(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     step = max(1, texts.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    common = some.mapInArrow(_bigrams_of, "key long").groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    common = some.mapInArrow(_bigrams_of, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     common = np.sort(common.column("key").to_numpy().view(np.uint64))
     counts = written(texts.mapInArrow(_counted(common), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("count"))
-    total = words.where(F.col("word") != int(BEGIN.view(np.int64))).agg(F.sum("count")).first()[0] or 1
+    total = counts.where(F.col("kind") == 0).where(F.col("key") != int(BEGIN.view(np.int64))).agg(F.sum("n")).first()[0] or 1
 
-    frequent = words.orderBy(F.desc("count"), "word").limit(FREQUENT)
-    near, pairs = frequent.toArrow(), counts.where("kind = 1").toArrow()
-    sorted_ = lambda t, k, n: (lambda keys, v: (keys[o := np.argsort(keys)], v[o]))(t.column(k).to_numpy().view(np.uint64), t.column(n).to_numpy())
-    frequent = docs.sparkSession.createDataFrame(near.to_pandas(), "word long, count long")  # no more than FREQUENT rows, so it may be broadcast
-    rows = texts.mapInArrow(_exploded(*sorted_(near, "word", "count"), *sorted_(pairs, "key", "n")), _ROWS)
+    ordered = lambda t: (lambda keys, n: (keys[o := np.argsort(keys)], n[o]))(t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy())
+    words = ordered(counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toArrow())
+    rows = texts.mapInArrow(_exploded(*words, *ordered(counts.where("kind = 1").select("key", "n").toArrow())), _ROWS)
+    # No more than FREQUENT rows, so they may be broadcast.
+    frequent = docs.sparkSession.createDataFrame(pa.table({"word": np.arange(len(words[0])), "count": -np.sort(-words[1])}).to_pandas(), "word long, count long")
+    others = counts.where("kind = 0").select(F.col("key").bitwiseOR(F.lit(FREQUENT)).alias("word"), F.col("n").alias("count"))
 
     rest = F.sum("n").over(Window.partitionBy("first", "second")) - F.col("n")
     met = rows.withColumn("rest", F.when(F.col("known").isNull(), rest)).withColumn("seen", F.col("rest") > 0)
-    met = met.withColumn("word", F.when(F.col("seen"), F.col("first")).when(~F.col("seen"), F.col("second"))).join(F.broadcast(frequent), "word", "left")
-    others = F.col("count") - F.when(F.col("seen"), F.col("own_first")).otherwise(F.col("own_second"))
-    score = F.col("n") * F.when(F.col("seen"), F.log(F.col("rest") / others)).otherwise(F.log(BACKOFF * F.greatest(others, F.lit(FLOOR)) / F.lit(float(total))))
+    half = lambda c, bits: F.when(F.col("seen"), c.bitwiseAND(F.lit((1 << bits) - 1))).otherwise(F.shiftright(c, bits))
+    own = F.when(F.col("own") < 0, half(-F.col("own"), 31)).otherwise(half(F.col("own"), 8))
+    met = met.select("row", "doc_id", "known", "n", "rest", own.alias("own"), F.when(F.col("seen"), F.col("first")).when(~F.col("seen"), F.col("second")).alias("word"))
+    met = met.join(F.broadcast(frequent), "word", "left")
+    left = F.col("count") - F.col("own")
+    score = F.col("n") * F.when(F.col("rest") > 0, F.log(F.col("rest") / left)).otherwise(F.log(BACKOFF * F.greatest(left, F.lit(FLOOR)) / F.lit(float(total))))
     tokens = F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0).cast("long")
     near = met.where("known is not null or count is not null").select("row", "doc_id", tokens.alias("tokens"), F.coalesce("known", score).alias("score"))
-    rare = met.where("known is null and count is null").drop("count").join(words, "word").select("row", "doc_id", F.lit(0).cast("long").alias("tokens"), score.alias("score"))
+    rare = met.where("known is null and count is null").drop("count").join(others, "word").select("row", "doc_id", F.lit(0).cast("long").alias("tokens"), score.alias("score"))
     out = near.union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("score").alias("log_score"))
     return out.select("doc_id", "n_tokens", "log_score", (F.col("log_score") / (F.col("n_tokens") + 1)).alias("mean_score"))
 
