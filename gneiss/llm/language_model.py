@@ -135,8 +135,7 @@ def _exploded(words: np.ndarray, word_counts: np.ndarray, bigrams: np.ndarray, b
         names = np.where(place < len(frequent), np.append(rank, _U(0))[place], known | _U(FREQUENT))
         by = np.argsort(names)
         known, place, names = known[by], place[by], names[by]
-        by[by] = np.arange(len(by))
-        of = by[of]
+        of = np.argsort(by)[of]
         pairs = np.flatnonzero(owner[1:] == owner[:-1])
         key = of[pairs] * len(known) + of[pairs + 1]
         order = np.argsort(key, kind="stable")  # by first and second word, so that equal words lie together
@@ -154,9 +153,9 @@ def _exploded(words: np.ndarray, word_counts: np.ndarray, bigrams: np.ndarray, b
         score = np.bincount(doc[scored], n[scored] * np.log(there[scored] / rest[scored]), len(counts))
         own = np.where((own_first < 256) & (own_second < 256), own_first | own_second << 8, -(own_first | own_second << 31))
         first, second, doc, n, own = (x[~scored] for x in (names[first], names[second], doc, n, own))
-        heads = np.arange(len(counts)) + start
+        heads = np.arange(len(counts)) + start  # a document's own row is dealt by its number; no word is named 2 * FREQUENT
         none = np.zeros(len(doc))
-        columns = [(mixed(heads.astype(np.uint64)), first), (np.zeros(len(heads), np.uint64), second), (heads, doc + start), (counts, n), (np.zeros(len(heads)), own), (ids, none), (score, none)]
+        columns = [(mixed(heads.astype(np.uint64)), first), (np.full(len(heads), 2 * FREQUENT), second), (heads, doc + start), (counts, n), (np.zeros(len(heads)), own), (ids, none), (score, none)]
         return [np.concatenate([a.astype(t), b.astype(t)]) for (a, b), t in zip(columns, (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int64, np.float64), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +204,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     met = met.select("row", "doc_id", "known", "n", "rest", own.alias("own"), F.when(F.col("seen"), F.col("first")).when(~F.col("seen"), F.col("second")).alias("word"))
     met = met.join(F.broadcast(frequent), "word", "left")
     left = F.col("count") - F.col("own")
-    score = F.col("n") * F.when(F.col("rest") > 0, F.log(F.col("rest") / left)).otherwise(F.log(BACKOFF * F.greatest(left, F.lit(FLOOR)) / F.lit(float(total))))
+    score = F.col("n") * F.when(F.col("rest") > 0, F.log("rest") - F.log(left)).otherwise(F.log(BACKOFF * F.greatest(left, F.lit(FLOOR)) / F.lit(float(total))))
     tokens = F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0).cast("long")
     near = met.where("known is not null or count is not null").select("row", "doc_id", tokens.alias("tokens"), F.coalesce("known", score).alias("score"))
     rare = met.where("known is null and count is null").drop("count").join(others, "word").select("row", "doc_id", F.lit(0).cast("long").alias("tokens"), score.alias("score"))

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -38,6 +39,25 @@ def test_language_scores(spark):
     assert language_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_language_scores_by_every_way(spark, monkeypatch):
+    """Several chunks and partitions, few frequent words and common bigrams: broadcast counts, windows and joins give one score."""
+    from gneiss.llm import language_model
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(6000)]
+    rows = [(i, " ".join(words[(a := rng.randrange(5000)) : a + rng.choice([0, 1, 3, 40, 300])])) for i in range(150)]
+    rows += [(None, "w1 w2"), (3, "w1 w1 " * 400), (3, None), (900, rows[5][1]), (901, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("known", F.lit(1)).repartition(3)
+    known = [r for r in rows if r[0] is not None]
+    want = sorted(zip((i for i, _ in known), brute_scores(known), strict=True))
+    for frequent, common, sample, chunk in ((8, 4, 20, 500), (1, 0, 1, 1 << 20), (1 << 18, 1 << 18, 8192, 2000)):
+        for name, value in (("FREQUENT", frequent), ("COMMON", common), ("SAMPLE", sample), ("CHUNK", chunk), ("AT_ONCE", 64)):
+            monkeypatch.setattr(language_model, name, value)
+        got = sorted((r.doc_id, r.log_score) for r in language_scores(docs).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
 def test_backing_off_to_the_end_counts_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "e f")], "doc_id long, text string")
     want = 2 * math.log(BACKOFF * FLOOR / 9) + math.log(BACKOFF * 2 / 9)
