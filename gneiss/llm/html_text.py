@@ -1,18 +1,21 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block of the page. A line that stands in a menu, header, footer, form,
-advert or the like doesn't count, nor do lines outside the page's article where the page marks one. A whole window of
-such lines is a dive, which ends a stretch of text; every other line is kept, however short. Only on pages that mark no
-article, and whose text surges in some stretch, a window or more of lines that are links and nothing else is left out
-where it comes first in a stretch: a menu that the page doesn't mark.
+Markup is stripped to lines, one for each block of the page. A line weighs its characters outside links, or nothing if
+it stands in a menu, header, footer, form, advert or the like. Sums over windows of ``WINDOW`` lines show where text
+surges. They decide two things that tags alone can't: whether the main text is what the page marks as its article, or
+surges outside it because only teasers or readers' notes are marked so; and whether links that come first are a menu that the
+page doesn't mark, which its text must outweigh. A window without text, where no line counts, is a dive and ends a stretch;
+between surge and dive every line that counts is kept, however short.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.shared import pieces, table
 
 WINDOW = 3
-SURGE = 40
+ELSEWHERE = 4  # the page's article isn't the main text if text surges this many times as high outside it
 
 # Element and class names.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -33,6 +36,7 @@ MARKS = set(
     "breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments disqus respond newsletter subscribe signup "
     "login popup modal overlay widget toolbar pagination pager hidden".split()
 )
+PARTS = set("a the of and all site page main top bottom left right inner outer mobile desktop box bar block list item items link links wrapper wrap container content section area group row col column unit slot button buttons icon icons form field posts post articles text js sticky fixed google".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -41,8 +45,8 @@ _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _ENDS = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 
 
-def _is_aside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds something other than the main text; ``inside``: it stands in the article."""
+def _is_aside(name: str, attributes: str) -> bool:
+    """Whether an element holds something other than the main text: a class names that, and nothing besides it but a place."""
     if name in ASIDE:
         return True
     if not attributes or name in ("html", "body", "main", "article"):
@@ -55,21 +59,46 @@ def _is_aside(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key.lower() in ("class", "id"):
             for word in value.split():
-                parts = re.split(r"[^a-z0-9]+", word)
-                if MARKS & set(parts) and not {"has", "with", "no"} & set(parts):
+                parts = {x.strip("0123456789") for x in re.split(r"[^a-z0-9]+", word)} - {""}
+                if parts & MARKS and parts <= MARKS | PARTS:
                     return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """``(text, characters outside links, counts)`` for each block; ``counts`` is false for what isn't main text."""
-    return _judged(page)[0]
+class _Open:
+    """The elements that are open, with counts of their names and kinds, so that a line costs the same at any depth."""
 
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []  # (element, "aside", "article", "header" or "")
+        self.names: Counter[str] = Counter()
+        self.kinds: Counter[str] = Counter()
+        self.inline: Counter[str] = Counter()  # names of inline elements that have a kind
 
-def _judged(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """The page's :func:`lines`, and whether an article or main element holds any that counts."""
+    def push(self, name: str, kind: str) -> None:
+        self.stack.append((name, kind))
+        self.names[name] += 1
+        self.kinds[kind] += 1
+        self.kinds["heading"] += name in HEADINGS
+        self.inline[name] += bool(kind) and name in INLINE
+
+    def pop(self) -> str:
+        name, kind = self.stack.pop()
+        self.names[name] -= 1
+        self.kinds[kind] -= 1
+        self.kinds["heading"] -= name in HEADINGS
+        self.inline[name] -= bool(kind) and name in INLINE
+        return name
+
+    def close(self, name: str) -> None:
+        if self.names[name]:
+            while self.pop() != name:
+                pass
+
+
+def _lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """``(text, characters outside links, counts, stands in an article)`` for each block."""
     out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, str]] = []  # (element, "aside", "article", "header" or "")
+    open_ = _Open()
     words: list[str] = []
     linked: list[int] = []  # places of words in links
     link, at = 0, 0
@@ -77,15 +106,13 @@ def _judged(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     def end_of_line() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            kinds = [k for _, k in stack]
-            heading = any(n in HEADINGS for n, _ in stack)
-            counts = "aside" not in kinds and (heading or "header" not in kinds)
+            counts = not open_.kinds["aside"] and (open_.kinds["heading"] > 0 or not open_.kinds["header"])
             own = len(text)
             if linked:
                 for i in linked:
                     words[i] = " "
                 own = len(" ".join(html.unescape("".join(words)).split()))
-            out.append((text, own, counts, "article" in kinds))
+            out.append((text, own, counts, open_.kinds["article"] > 0))
         words.clear()
         linked.clear()
 
@@ -117,49 +144,64 @@ def _judged(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name in UNSEEN:
             end_of_line()
             if closing:
-                while stack and any(n == name for n, _ in stack):
-                    if stack.pop()[0] == name:
-                        break
+                open_.close(name)
             else:
-                stack.append((name, "aside"))
+                open_.push(name, "aside")
             continue
         inline = name in INLINE
         kind = ""
         if not closing and name not in VOID:
             if name in ("article", "main"):
                 kind = "article"
-            elif _is_aside(name, attributes or "", True):
-                within = any(k == "article" for _, k in stack)
+            elif _is_aside(name, attributes or ""):
+                within = open_.kinds["article"] > 0
                 kind = "header" if within and (name == "header" or name == "div" and re.search(r"(class|id)\s*=\s*[\"']?[^\"'>]*\bheader\b", attributes or "", re.I)) else "aside"
-        if inline and not kind:
-            if closing and any(n == name and k for n, k in stack):
-                inline = False
-            else:
-                continue
+        if inline and not kind and not (closing and open_.inline[name]):
+            continue
         end_of_line()
         link = 0
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            open_.close(name)
         elif name not in VOID:
+            stack = open_.stack
             if kind == "article":
                 while stack and stack[-1][1] == "aside" and stack[-1][0] in ("nav", "header", "footer", "form", "head"):
-                    stack.pop()  # an element that was never closed
+                    open_.pop()  # an element that was never closed
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", *HEADINGS) and stack and stack[-1][0] == name and not stack[-1][1]:
-                stack.pop()
-            stack.append((name, kind))
+                open_.pop()
+            open_.push(name, kind)
     end_of_line()
-    marked = any(counts and inside for _, _, counts, inside in out)
-    judged = [(text, n, counts and (inside or not marked)) for text, n, counts, inside in out]
+    return out
+
+
+def window_sums(weights: list[int], window: int = WINDOW) -> np.ndarray:
+    """The sum over each ``window`` lines in a row; a shorter page is one window."""
+    sums = np.concatenate([[0], np.cumsum(np.array(weights, np.int64))])
+    return sums[window:] - sums[:-window] if len(weights) >= window else sums[-1:]
+
+
+def _judged(page: str, window: int) -> tuple[list[tuple[str, int, bool]], bool]:
+    found = _lines(page)
+    inside = window_sums([n * (counts and within) for _, n, counts, within in found], window).max()
+    outside = window_sums([n * (counts and not within) for _, n, counts, within in found], window).max()
+    marked = any(counts and within for _, _, counts, within in found) and outside < max(1, ELSEWHERE * inside)
+    judged = [(text, n, counts and (within or not marked)) for text, n, counts, within in found]
     return [(text, n if counts else 0, counts) for text, n, counts in judged], marked
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
+    """``(text, weight, counts)`` for each block; ``counts`` is false for what isn't main text, which weighs nothing.
+
+    Lines outside the page's article don't count, unless text surges ``ELSEWHERE`` times as high there as within it.
+    """
+    return _judged(page, window)[0]
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """The text of all stretches, blocks joined by two line feeds."""
     if not page:
         return ""
-    found, marked = _judged(page)
+    found, marked = _judged(page, window)
     stretches: list[list[tuple[str, int]]] = []
     gap = window
     for text, n, counts in found:
@@ -170,12 +212,12 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             stretches.append([])  # after the dive
         stretches[-1].append((text, n))
         gap = 0
-    surges = not marked and any(sum(n for _, n in stretch) >= surge for stretch in stretches)
+    height = window_sums([n for _, n, _ in found], window).max()
     kept: list[str] = []
     for stretch in stretches:
         links = next((i for i, (_, n) in enumerate(stretch) if n), len(stretch))
-        menu = links if links == len(stretch) else links - window + 1  # links close to text stay
-        kept += [text for text, _ in stretch[menu if surges and links >= window else 0 :]]
+        menu = not marked and links >= window and height > window_sums([len(text) for text, _ in stretch[:links]], window).max()
+        kept += [text for text, _ in stretch[(links if links == len(stretch) else links - window + 1) if menu else 0 :]]  # links close to text stay
     return "\n\n".join(kept)
 
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pyarrow as pa
 import pytest
 
@@ -48,6 +51,43 @@ def test_only_what_is_marked_as_other_is_dropped(page, want):
     assert main_text(page) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 7])
+def test_window_sums_are_those_of_each_window(window):
+    rng = random.Random(window)
+    for n in (0, 1, 2, 3, 40):
+        weights = [rng.choice([0, 0, 5, 80]) for _ in range(n)]
+        want = [sum(weights[i : i + window]) for i in range(n - window + 1)] or [sum(weights)]
+        assert html_text.window_sums(weights, window).tolist() == want
+
+
+def test_the_distribution_decides():
+    """Where an article is a teaser text surges elsewhere; a menu is outweighed by text, unless no window could tell."""
+    teaser = f"<article>More soon</article><div><p>{LONG}</p><p>short.</p></div>"
+    assert main_text(teaser) == f"More soon\n\n{LONG.strip()}\n\nshort."
+    assert main_text(f"<article><p>{LONG}</p></article><div><p>Imprint of the site</p></div>") == LONG.strip()
+    unmarked = f"{LINKS}<p>{LONG}</p>"
+    assert main_text(unmarked) == f"two\n\nthree\n\n{LONG.strip()}" and main_text(unmarked, window=100) == f"one\n\ntwo\n\nthree\n\n{LONG.strip()}"
+    menu = "".join(f"<li><a href='/{i}'>Section number {i}</a></li>" for i in range(9))
+    assert main_text(f"<ul>{menu}</ul><p>Tiny</p>").startswith("Section number 0") and not main_text(f"<ul>{menu}</ul><p>{LONG}</p>").startswith("Section number 0")
+
+
+@pytest.mark.parametrize("name", ["related-work", "header-image", "share-price", "commentary", "advert-free"])
+def test_names_that_only_contain_a_mark_are_kept(name):
+    assert main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a\n\nb"
+
+
+@pytest.mark.parametrize("name", ["comments-list", "ad-banner", "site-header", "cookie_notice", "ad3", "main-nav", "x ad"])
+def test_names_that_are_marks_are_dropped(name):
+    assert main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a"
+
+
+def test_deep_and_long_pages_cost_what_they_are_long():
+    began = time.time()
+    assert main_text("<div>a" * 180_000).count("a") == 180_000 and time.time() - began < 20
+    text = "word " * 400_000
+    assert main_text(f"<article><p>{text}</article>") == text.strip()
+
+
 def test_extract_text_frame(spark):
     rows = [(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
