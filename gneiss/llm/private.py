@@ -308,7 +308,7 @@ def examples() -> list[str]:
         out += [
             f"pay it to {account if i % 2 else spaced} today", f"the number {pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)} is on file", f'then token = "{pick(hexes, 40)}" was set', f"with password={pick(letters + digits, 10)}7 in it", f"key AKIA{pick(capitals + digits, 16)} is live",
             f"mail {pick(letters, 5)}.{i}@{pick(letters, 6)}.org soon", f"from 10.{i}.{i * 7 % 256}.9 came", f"call +1 ({pick(digits, 3)}) 555-{pick(digits, 4)} now", f'the {["token", "secret", "password"][i % 3]}: "{pick(letters + capitals + digits, 18 + i % 9)}Qx7" is', f"use gh{'pousr'[i % 5]}_{pick(letters + capitals + digits, 36)} here", f"see\n-----BEGIN {['RSA ', 'EC ', ''][i % 3]}PRIVATE KEY-----\n{pick(letters + capitals + digits + '+/', 64)}\nand",
-            f"part {pick(capitals, 1)}{pick(digits, 7)} was sent", f"in {1900 + i} and on 0{1 + i % 9}/1{i % 10}/20{10 + i} at 1{i % 10}:30", f"version {i}.{i % 7}.{i % 5} has {pick(digits, 5)} lines", f"order {pick(digits, 12)} costs = {pick(digits, 3)}.50", f"page {i} of {i + 9}, {pick(digits, 3)}-{pick(digits, 4)}", f"{pick(letters, 26)} is a long word, {pick(capitals, 1)}{pick(letters, 27)} too",
+            f"values {' '.join(pick(digits, 1 + (i * k) % 4) for k in range(3 + i % 9))} follow", f"PAGE {i} OF {i + 3} IN PART {pick(digits, 2)}", f"part {pick(capitals, 1)}{pick(digits, 7)} was sent", f"in {1900 + i} and on 0{1 + i % 9}/1{i % 10}/20{10 + i} at 1{i % 10}:30", f"version {i}.{i % 7}.{i % 5} has {pick(digits, 5)} lines", f"order {pick(digits, 12)} costs = {pick(digits, 3)}.50", f"page {i} of {i + 9}, {pick(digits, 3)}-{pick(digits, 4)}", f"{pick(letters, 26)} is a long word, {pick(capitals, 1)}{pick(letters, 27)} too",
         ]
     return out
 
