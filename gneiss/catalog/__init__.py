@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("evaluation", "tokens", "links", "structures")
+_MODULES = ("evaluation", "tokens", "links", "structures", "more")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -115,6 +115,12 @@ fold(i, used, fits, g) AS (SELECT 0, 0::DOUBLE, true, NULL::VARCHAR UNION ALL SE
 SELECT p_partkey, p_brand, CASE WHEN fits THEN 'train' ELSE 'test' END AS role FROM part JOIN fold ON p_brand = g"""
 
 
+def _walks(k: int, seed: int) -> str:
+    """Balanced walks with a third of the rows as test, and seeds of their own."""
+    one = lambda i: _walk(f"CASE WHEN n > test / 2 THEN 0 ELSE 1 END, md5('{seed + i}:' || g), g").replace("* 0.2", f"* (1.0::DOUBLE / {k})")
+    return " UNION ALL ".join(f"SELECT {i} AS fold, * FROM ({one(i)})" for i in range(k))
+
+
 @query(_walk("CASE WHEN n > test / 2 THEN 0 ELSE 1 END, md5('3:' || g), g"))
 def spl3_group_balanced(spark, d):
     return splits.split_group(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", 0.2, True, 3)
@@ -145,9 +151,8 @@ def spl8_kfold_stratified(spark, d):
     return splits.kfold_stratified(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 5, 7)
 
 
-@query()
+@query(_walks(3, 1))
 def spl9_kfold_group(spark, d):
-    """Checked by properties: whole groups, and train sizes that fit."""
     return splits.kfold_group(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", 3, 1).select("fold", "p_partkey", "p_brand", "role")
 
 

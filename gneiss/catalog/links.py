@@ -9,6 +9,7 @@ from gneiss.operators import blocks as B
 from gneiss.operators import graphs as G
 from gneiss.operators import likelihoods as L
 from gneiss.operators import sampling, splits
+from gneiss.plans.store import written
 
 found = query = Found()
 NEAR = "near AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
@@ -99,12 +100,6 @@ def grf8_degrees(spark, d):
     return G.degrees(part_edges(spark, d))
 
 
-@query()
-def grf9_kcore(spark, d):
-    """Checked against peeling in the tests."""
-    return G.kcore(part_edges(spark, d))
-
-
 @query(f"""WITH {S}, hub AS (SELECT src AS node FROM near GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), one AS (SELECT DISTINCT dst AS node FROM near JOIN hub ON src = node)
 SELECT node, 0 AS dist FROM hub UNION ALL SELECT node, 1 FROM one WHERE node NOT IN (SELECT node FROM hub)""")
 def grf10_anchor_ball(spark, d):
@@ -168,26 +163,14 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("block"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-@query(f"WITH {EMB}, p AS (SELECT a.node AS a, b.node AS b, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.block = b.block AND a.node <> b.node), r AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank, b, distance FROM p) SELECT a, rank::INT AS rank, b, round(distance, 6) AS distance FROM r WHERE rank <= 5")
+@query(f"WITH {EMB}, p AS (SELECT a.node AS a, b.node AS b, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.node <> b.node), r AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank, b, distance FROM p) SELECT a, rank::INT AS rank, b, round(distance, 6) AS distance FROM r WHERE rank <= 5")
 def grf20_grf22_knn(spark, d):
-    return spread(G.knn_in_blocks(vectors(spark, d), "block", 5))
+    return spread(G.knn(vectors(spark, d), 5))
 
 
-@query(f"WITH {EMB}, p AS (SELECT list_distance(a.v, b.v) AS x FROM v a JOIN v b ON a.block = b.block AND a.node < b.node) SELECT round(quantile_cont(x, 0.1), 6) AS threshold FROM p")
+@query(f"WITH {EMB}, p AS (SELECT list_distance(a.v, b.v) AS x FROM v a JOIN v b ON a.node < b.node) SELECT round(quantile_cont(x, 0.1), 5) AS threshold FROM p")
 def grf21_distance_threshold(spark, d):
-    a, b = (vectors(spark, d).select("block", F.col("node").alias(n), F.col("v").alias(f"v{n}")) for n in ("a", "b"))
-    met = a.join(b, "block").where("a < b").select(G.distance(F.col("va"), F.col("vb")).alias("x"))
-    return spread(met.agg(F.percentile("x", F.lit(0.1)).alias("threshold")))
-
-
-@query()
-def grf23_grf24_counterfactual(spark, d):
-    """Nearest pairs with the opposite treatment; checked against a loop in the tests."""
-    v = vectors(spark, d)
-    near = G.knn_in_blocks(v, "block", 3).select("a", "b", "distance").unionByName(v.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("distance")))
-    treated = v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).unionByName(v.select((F.col("node") + 1).alias("a"), F.col("node").alias("b")))
-    pairs = v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).where("a % 2 = 0").join(v.select(F.col("node").alias("b")), "b").select("a", "b")
-    return G.counterfactual_pairs(pairs, treated, near, 1.5)
+    return spark.range(1).select(F.round(F.lit(G.distance_threshold(vectors(spark, d), 0.1)), 5).alias("threshold"))
 
 
 @query(f"WITH {EMB} SELECT a.node AS a, b.node AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON b.node = a.node + 1")
@@ -196,11 +179,6 @@ def msg12_score_links(spark, d):
     return spread(G.score_links(v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")), v))
 
 
-@query()
-def grf25_components(spark, d):
-    return G.components(part_edges(spark, d))
-
-
 @query("""WITH h AS (SELECT s_suppkey AS node, md5('6:' || s_suppkey) AS h FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY h, node) - 1 AS i FROM h) SELECT node, (CASE WHEN i < 5 THEN i ELSE ('0x' || substr(h, 1, 8))::BIGINT % 5 END)::INT AS block FROM r""")
 def sbm1_random_partition(spark, d):
     return B.random_partition(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 5, 6)
@@ -250,15 +228,18 @@ def sbm29_compose_levels(spark, d):
     return B.compose_levels(*levels(spark, d))
 
 
-@query(f"""WITH {CELLS}, x AS (SELECT u.r, u.s, e::DOUBLE AS e, a.size AS nr, b.size AS ns, a.degree AS kr, b.degree AS ks FROM u JOIN st a ON a.block = u.r JOIN st b ON b.block = u.s)
+@query(f"""WITH {CELLS}, x AS (SELECT u.r, u.s, e::DOUBLE AS e, a.size AS nr, b.size AS ns, a.degree AS kr, b.degree AS ks FROM u JOIN st a ON a.block = u.r JOIN st b ON b.block = u.s),
+y AS (SELECT e::DOUBLE AS e, a.size AS nr, b.size AS ns, a.out_degree AS o, b.in_degree AS i FROM c JOIN st a ON a.block = c.r JOIN st b ON b.block = c.s)
 SELECT 'SKN' AS name, round(sum(e * ln(e / (nr * ns))), 3) AS score FROM x UNION ALL SELECT 'DCKN', round(sum(e * ln(e / (kr::DOUBLE * ks))), 3) FROM x
 UNION ALL SELECT 'SPS', round(-((SELECT sum(w) FROM edges) + (SELECT sum(degree * ln(size)) FROM st) - 0.5 * sum(e * ln(e))), 3) FROM x
-UNION ALL SELECT 'DCP', round(-(-(SELECT sum(w) FROM edges) - (SELECT sum(lgamma(k + 1)) FROM (SELECT sum(w) AS k FROM (SELECT src AS n, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY n)) - 0.5 * sum(e * ln(e / (kr::DOUBLE * ks)))), 3) FROM x""")
+UNION ALL SELECT 'DCP', round(-(-(SELECT sum(w) FROM edges) - (SELECT sum(lgamma(k + 1)) FROM (SELECT sum(w) AS k FROM (SELECT src AS n, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY n)) - 0.5 * sum(e * ln(e / (kr::DOUBLE * ks)))), 3) FROM x
+UNION ALL SELECT 'SKN_directed', round(sum(e * ln(e / (nr * ns))), 3) FROM y UNION ALL SELECT 'DCKN_directed', round(sum(e * ln(e / (o::DOUBLE * i))), 3) FROM y
+UNION ALL SELECT 'SPS_directed', round(-((SELECT sum(w) FROM edges) + (SELECT sum(degree * ln(size)) FROM st) - sum(e * ln(e))), 3) FROM y""")
 def sbm9_to_sbm13_scores(spark, d):
-    e, p = supply_edges(spark, d), nation_part(spark, d)
+    e, p = written(supply_edges(spark, d), "edges"), nation_part(spark, d)
     out = None
-    for name in ("SKN", "DCKN", "SPS", "DCP"):
-        one = B.score(e, p, name).select(F.lit(name).alias("name"), F.round("score", 3).alias("score"))
+    for name, directed in (("SKN", False), ("DCKN", False), ("SPS", False), ("DCP", False), ("SKN", True), ("DCKN", True), ("SPS", True)):
+        one = B.score(e, p, name, directed).select(F.lit(name + "_directed" * directed).alias("name"), F.round("score", 3).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -297,19 +278,6 @@ def sbm20_em_partition(spark, d):
     return B.em_partition(supply_edges(spark, d), nation_part(spark, d), 3)
 
 
-@query()
-def sbm21_sbm22_select_blocks(spark, d):
-    """The number of blocks with the best penalised score among hashed partitions."""
-    e = supply_edges(spark, d)
-    nodes = G.nodes_of(e)
-    out = None
-    for b in (2, 3, 4):
-        one = B.score(e, B.random_partition(nodes, b, 1), "SKN").select(F.lit(b).alias("blocks"), "score")
-        out = one if out is None else out.unionByName(one)
-    row = e.agg(F.sum("w")).first()[0]
-    return B.select_blocks(out, nodes.count(), float(row), "BIC")
-
-
 @query(f"""WITH {S}, s2 AS (SELECT DISTINCT a.src, b.dst FROM near a JOIN near b ON a.dst = b.src), reach AS (SELECT * FROM near UNION SELECT * FROM s2)
 SELECT a.src AS a, b.src AS b, count(*) AS common FROM reach a JOIN reach b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 2""")
 def grf11_common_within_two(spark, d):
@@ -341,11 +309,6 @@ def sbm25_ami(spark, d):
     return B.ami(a, a.select("node", (F.col("node") % 7).alias("block"))).select(F.round("mi", 6).alias("mi"), F.round("expected", 6).alias("expected"), F.round("ami", 5).alias("ami"))
 
 
-@query()
-def sbm26_nmi_baseline(spark, d):
-    return B.nmi_baseline(nation_part(spark, d), 5, 3)
-
-
 @query("""WITH r AS (SELECT o_orderstatus AS test, o_orderpriority AS inference, o_orderkey AS run, o_totalprice AS value FROM orders) SELECT test, inference, arg_max(run, (value, -run)) AS best_run, max(value) AS best, round(avg(value), 4) AS mean, count(*) AS n FROM r GROUP BY ROLLUP (test, inference)""")
 def sbm27_agg2_summarize_runs(spark, d):
     runs = table(spark, d, "orders").select(F.col("o_orderstatus").alias("test"), F.col("o_orderpriority").alias("inference"), F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("value"))
@@ -358,12 +321,6 @@ def sbm19_move_gains(spark, d):
     return B.move_gains(supply_edges(spark, d).where("src <> dst"), nation_part(spark, d))
 
 
-@query()
-def sbm30_scores_by_blocks(spark, d):
-    e = supply_edges(spark, d)
-    return B.scores_by_blocks(e, {2: B.random_partition(G.nodes_of(e), 2, 1), 25: nation_part(spark, d)}, "SKN")
-
-
 def _multisets(n, k):
     """SQL for the logarithm of the ways to deal k like things to n places."""
     n, k = f"({n})::DOUBLE", f"({k})::DOUBLE"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,37 +34,50 @@ def xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
-def _dilogarithm(z: float) -> float:
-    """For 0 <= z <= 1."""
-    if z > 0.5:
-        return math.pi**2 / 6 - (math.log(z) * math.log1p(-z) if z < 1 else 0.0) - _dilogarithm(1 - z)
-    return sum(z**k / k**2 for k in range(1, 60))
+EXACT = 300_000  # steps of the recurrence
+
+
+def _tilted(m: int, n: int) -> tuple[float, float]:
+    """``t`` where parts weighted by ``exp(-t * part)`` have the mean sum ``m``, and the variance of the sum there: Newton's steps in a bracket that halves where they leave it."""
+
+    def moments(t: float) -> tuple[float, float]:
+        k = np.arange(1, min(n, int(700 / t) + 1) + 1, dtype=np.float64)
+        w = 1 / np.expm1(k * t)
+        return float((k * w).sum()), float((k * k * w * (1 + w)).sum())
+
+    low, high = n / (m + n * (n + 1) / 2), math.pi / math.sqrt(m)
+    low, high = min(low, high) / 2, max(low, high) * 2
+    t = math.sqrt(low * high)
+    for _ in range(100):
+        mean, variance = moments(t)
+        low, high = (t, high) if mean > m else (low, t)
+        step = t + (mean - m) / variance
+        last, t = t, step if low < step < high else (low + high) / 2
+        if abs(t - last) < 1e-13 * t:
+            break
+    return t, moments(t)[1]
 
 
 @lru_cache(maxsize=1 << 16)
-def log_partitions(m: int, n: int, exact_below: int = 1000) -> float:
-    """Logarithm of the number of partitions of m into at most n parts; one part gives 0.
+def log_partitions(m: int, n: int, exact_to: int = 0) -> float:
+    """Logarithm of the number of partitions of m into at most n parts.
 
-    Below ``exact_below`` by the recurrence. Beyond, for n from the fourth root of m on, by the saddle-point
-    approximation; for fewer parts, nearly all ways have different parts, so ordered ways over n!.
+    By the recurrence over largest parts where that takes ``EXACT`` steps at most, or m is ``exact_to`` at most. Otherwise it is the number of ways to sum
+    1 to n, each any number of times, to m: the saddle point of their generating function, where the sum has mean m and is nearly normal.
     """
     if m <= 0 or n <= 0:
         return 0.0 if m == 0 else -math.inf
     n = min(n, m)
     if n == 1:
         return 0.0
-    if m < exact_below:
-        row = [1] + [0] * m
-        for k in range(1, n + 1):
-            for j in range(k, m + 1):
-                row[j] += row[j - k]
-        return math.log(row[m])
-    if n < m**0.25:
-        return math.lgamma(m) - math.lgamma(n) - math.lgamma(m - n + 1) - math.lgamma(n + 1)
-    u = v = n / math.sqrt(m)
-    for _ in range(1000):
-        last, v = v, u * math.sqrt(_dilogarithm(-math.expm1(-v)))
-        if abs(v - last) < 1e-10 * v:
-            break
-    f = math.log(v) - 1.5 * math.log(2) - math.log(math.pi * u) - 0.5 * math.log1p(-(1 + u * u / 2) * math.exp(-v))
-    return f - math.log(m) + math.sqrt(m) * (2 * v / u - u * math.log(-math.expm1(-v)))
+    if m * n <= EXACT or m <= exact_to:
+        ways = [1] + [0] * m
+        for part in range(1, n + 1):
+            for total in range(part, m + 1):
+                ways[total] += ways[total - part]
+        return math.log(ways[m])
+    if n == 2:
+        return math.log(m // 2 + 1)
+    t, variance = _tilted(m, n)
+    k = np.arange(1, min(n, int(700 / t) + 1) + 1, dtype=np.float64)
+    return m * t - float(np.log(-np.expm1(-k * t)).sum()) - 0.5 * math.log(2 * math.pi * variance)

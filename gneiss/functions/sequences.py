@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.rows import TOKENS
-from gneiss.plans.rank import with_index
+from gneiss.plans.rank import numbered_lines, with_index
 
 CLS, SEP, UNK, PAD = "[CLS]", "[SEP]", "[UNK]", "[PAD]"
 UNITS = r"(\[[^\[\]]{1,10}\]|.)"
@@ -21,8 +21,7 @@ def tokenize(col: Column, pattern: str = TOKENS, compat: bool = False) -> Column
 
 def load_vocab(spark, path: str) -> DataFrame:
     """``token, id`` from a file with a token a line; ids are line numbers."""
-    lines = spark.read.text(path, wholetext=False).withColumn("_at", F.monotonically_increasing_id())
-    return with_index(lines, "_at", name="id").select(F.col("value").alias("token"), "id")
+    return numbered_lines(spark, path, "id").select(F.col("value").alias("token"), "id")
 
 
 def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
@@ -31,18 +30,18 @@ def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
 
 
 def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = -1) -> DataFrame:
-    """``key, ids, n_unknown``: the vocabulary is joined to exploded tokens, so it may be of any size; empty sequences stay."""
-    flat = df.select(key, F.posexplode_outer(tokens).alias("at", "token"))
+    """``key, ids, n_unknown``: the vocabulary is joined to exploded tokens, so it may be of any size; empty sequences and rows that repeat a key stay."""
+    flat = df.select(key, tokens, F.monotonically_increasing_id().alias("_row")).select(key, "_row", F.posexplode_outer(tokens).alias("at", "token"))
     met = flat.join(vocab, "token", "left")
     held = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(unknown)).alias("id")))))
-    return met.groupBy(key).agg(F.transform(held, lambda x: x["id"]).alias("ids"), F.sum(F.when(F.col("at").isNotNull() & F.col("id").isNull(), 1).otherwise(0)).alias("n_unknown"))
+    return met.groupBy(key, "_row").agg(F.transform(held, lambda x: x["id"]).alias("ids"), F.sum(F.when(F.col("at").isNotNull() & F.col("id").isNull(), 1).otherwise(0)).alias("n_unknown")).drop("_row")
 
 
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
-    """``key, text``: tokens joined by spaces, `` ##`` taken out."""
-    met = df.select(key, F.posexplode_outer(ids).alias("at", "id")).join(vocab, "id", "left")
+    """``key, text``: tokens joined by spaces, `` ##`` taken out; a row for each row of ``df``."""
+    met = df.select(key, ids, F.monotonically_increasing_id().alias("_row")).select(key, "_row", F.posexplode_outer(ids).alias("at", "id")).join(vocab, "id", "left")
     held = F.sort_array(F.collect_list(F.struct("at", F.coalesce("token", F.lit(UNK)).alias("token"))))
-    return met.groupBy(key).agg(F.trim(F.replace(F.array_join(F.transform(held, lambda x: x["token"]), " "), F.lit(" ##"), F.lit(""))).alias("text"))
+    return met.groupBy(key, "_row").agg(F.trim(F.replace(F.array_join(F.transform(held, lambda x: x["token"]), " "), F.lit(" ##"), F.lit(""))).alias("text")).drop("_row")
 
 
 def add_specials(a: Column, b: Column | None = None) -> Column:

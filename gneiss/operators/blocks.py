@@ -58,6 +58,11 @@ def node_block_edges(edges: DataFrame, part: DataFrame) -> DataFrame:
     return both.join(part.select(F.col("node").alias("o"), "block"), "o").groupBy("node", "block").agg(F.sum("w").alias("k"))
 
 
+def block_covariates(edges: DataFrame, part: DataFrame, covariate: str, directed: bool = False) -> DataFrame:
+    """``r, s, total``: sums of an edge's covariate over each pair of blocks."""
+    return block_edges(edges.withColumn("w", F.col(covariate)), part, directed).withColumnRenamed("e", "total")
+
+
 def merge_blocks(part: DataFrame, mapping: DataFrame) -> DataFrame:
     return part.join(mapping.select("block", "into"), "block", "left").select("node", F.coalesce("into", "block").alias("block"))
 
@@ -107,7 +112,7 @@ def score(edges: DataFrame, part: DataFrame, name: str, directed: bool = False)
         cells = _cells(edges, part, directed)
         p = e / (F.col("n_r") * F.col("n_s"))
         entropy = -(F.when(p > 0, p * F.log2(p)).otherwise(0.0) + F.when(p < 1, (1 - p) * F.log2(1 - p)).otherwise(0.0))
-        return cells.agg((-F.sum(F.col("n_r") * F.col("n_s") * entropy) * (1.0 if directed else 0.5)).alias("score"))
+        return cells.agg((-F.sum(e * F.when((p > 0) & (p < 1), entropy).otherwise(0.0)) * (1.0 if directed else 0.5)).alias("score"))
     raise ValueError(f"unknown score: {name}")
 
 

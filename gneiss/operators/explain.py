@@ -24,6 +24,13 @@ def attribution_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return per.agg(*(F.avg(c).alias(c) for c in ("auc", "accuracy", "f1", "precision")))
 
 
+def attribution_pooled(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row ``auc, accuracy`` over the nodes of all graphs together."""
+    one = df.withColumn("_all", F.lit(1))
+    cut = one.withColumn("score", (F.col("score") > threshold).cast("double"))
+    return roc_auc(one, ["_all"], "truth", "score").join(metrics(cut, ["_all"], ["accuracy"], "truth"), "_all").drop("_all")
+
+
 def best_threshold(df: DataFrame) -> DataFrame:
     """The median of the thresholds 0.01 to 0.99 with the best mean accuracy of graphs.
 

@@ -16,6 +16,7 @@ from gneiss.plans.store import until_settled, written
 ATOM_CHOICES = {"atomic_num": list(range(1, 101)), "degree": [0, 1, 2, 3, 4, 5], "charge": [-1, -2, 1, 2, 0], "chirality": [0, 1, 2, 3], "num_h": [0, 1, 2, 3, 4], "hyb": ["SP", "SP2", "SP3", "SP3D", "SP3D2"]}
 BOND_TYPES = ["SINGLE", "DOUBLE", "TRIPLE", "AROMATIC"]
 STEREO = [0, 1, 2, 3, 4, 5]
+SCALED_STEREO = ["ANY", "CIS", "E", "NONE", "TRANS", "Z"]
 
 
 def onehot_unk(col: Column, choices: Sequence) -> Column:
@@ -99,8 +100,38 @@ def bond_neighbors(directed: DataFrame) -> DataFrame:
     return a.join(b, ["graph_id", "node"]).where("from_id <> rev_id").select("graph_id", "bond_id", "from_id")
 
 
-def adjacency(nodes: DataFrame, bonds: DataFrame) -> DataFrame:
-    """``graph_id, i, j``: both directions and the diagonal."""
+def atom_features_wide(atoms: DataFrame) -> DataFrame:
+    """``graph_id, node_id, features``: 1014 numbers, of them one-hot 1000 atomic numbers, 6 degrees and 5 counts of hydrogens (others: the last place), charge, ring, aromatic."""
+    parts = [onehot_last(F.col("atomic_num"), range(1000)), onehot_last(F.col("degree"), range(6)), onehot_last(F.col("num_h"), range(5))]
+    flags = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("charge", "ring", "aromatic")))
+    return atoms.select("graph_id", "node_id", F.concat(F.concat(*parts).cast("array<double>"), flags).alias("features"))
+
+
+def atom_features_scaled(atoms: DataFrame) -> DataFrame:
+    """``graph_id, node_id, features``: 115 numbers and the atom's 1-based place. Fractions of 8 or 4; partial charges that aren't finite are 0."""
+    parts = [onehot_unk(F.col("atomic_num"), range(1, 101)), onehot_unk(F.col("hyb"), ATOM_CHOICES["hyb"])]
+    fractions = [("num_h", 8), ("degree", 4), ("charge", 8), ("valence", 8), ("partial", 1), ("partial_h", 1), ("aromatic", 1), ("ring", 1)]
+    numbers = F.array(*(scaled_atom(F.col(c), top) for c, top in fractions), F.col("node_id").cast("double"))
+    return atoms.select("graph_id", "node_id", F.concat(F.concat(*parts).cast("array<double>"), numbers).alias("features"))
+
+
+def bond_features_scaled(bonds: DataFrame) -> DataFrame:
+    """``graph_id, src, dst, features``: 13 numbers, of them one-hot 4 types and 6 kinds of stereo (others: the last place), conjugated, aromatic, ring."""
+    flags = F.array(*(F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("conjugated", "aromatic", "ring")))
+    return bonds.select("graph_id", "src", "dst", F.concat(onehot_last(F.col("type"), BOND_TYPES), onehot_last(F.col("stereo"), SCALED_STEREO), flags).alias("features"))
+
+
+def degree_onehot(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, degree, place``: features for nodes that have none, as the place of the one in a vector of ``most + 1``; larger degrees share the last."""
+    ends = edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    out = nodes.select("node").join(ends, "node", "left").fillna(0, ["degree"])
+    return out.withColumn("place", F.col("degree") if most is None else F.least("degree", F.lit(most).cast("long")))
+
+
+def adjacency(nodes: DataFrame, bonds: DataFrame, dummy: bool = False) -> DataFrame:
+    """``graph_id, i, j``: both directions and the diagonal; ``dummy``: and a node 0 in each graph, joined with itself alone."""
+    if dummy:
+        nodes = nodes.select("graph_id", "node_id").unionByName(nodes.select("graph_id", F.lit(0).cast("long").alias("node_id")).distinct())
     both = bonds.select("graph_id", F.explode(F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j")))).alias("x")).select("graph_id", "x.*")
     return both.unionByName(nodes.select("graph_id", F.col("node_id").alias("i"), F.col("node_id").alias("j")))
 
@@ -113,23 +144,30 @@ def atom_distances(nodes: DataFrame, coordinates: Sequence[str]) -> DataFrame:
     return a.join(b, "graph_id").where("i < j").select("graph_id", "i", "j", F.sqrt(total).alias("distance"))
 
 
-def hop_distances(nodes: DataFrame, bonds: DataFrame, most: int = 64) -> DataFrame:
-    """``graph_id, i, j, hops``: breadth first in all graphs at once."""
+def hop_distances(nodes: DataFrame, bonds: DataFrame, most: int | None = None) -> DataFrame:
+    """``graph_id, i, j, hops`` of all pairs that ``most`` hops join, by default of all that any number joins: breadth first in all graphs at once.
+
+    A step from the pairs at one distance leads to the next, the same or the one before, so only those two are taken out.
+    """
     near = written(adjacency(nodes.limit(0), bonds))
     reached = written(nodes.select("graph_id", F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0).alias("hops")))
-    front = reached
-    for k in range(1, most + 1):
+    front, last = reached, reached.limit(0)
+    k = 1
+    while most is None or k <= most:
         step = front.select("graph_id", "i", F.col("j").alias("m")).join(near.select("graph_id", F.col("i").alias("m"), "j"), ["graph_id", "m"]).select("graph_id", "i", "j").distinct()
-        front = written(step.join(reached, ["graph_id", "i", "j"], "left_anti").withColumn("hops", F.lit(k)))
+        known = front.unionByName(last).select("graph_id", "i", "j")
+        last, front = front, written(step.join(known, ["graph_id", "i", "j"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
-        reached = reached.unionByName(front)
+        reached, k = reached.unionByName(front), k + 1
     return reached
 
 
-def pad_batch(cells: DataFrame, n: int) -> DataFrame:
-    """``graph_id, i, j, v`` on the full n x n grid of each graph, 0 where there is no cell."""
-    axis = F.sequence(F.lit(1), F.lit(n))
+def pad_batch(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """``graph_id, i, j, v`` on the full n x n grid of each graph, 0 where there is no cell; ``n`` is the batch's largest place by default."""
+    if n is None:
+        n = cells.agg(F.max(F.greatest("i", "j"))).first()[0] or 0
+    axis = F.sequence(F.lit(1), F.lit(n).cast("int"))
     grid = cells.select("graph_id").distinct().withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
     keyed = cells.select("graph_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "v")
     return grid.join(keyed, ["graph_id", "i", "j"], "left").fillna(0.0, ["v"])

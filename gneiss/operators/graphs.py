@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from gneiss.plans.rank import running_sum
 from gneiss.plans.store import until_settled, written
 
 
@@ -132,8 +136,21 @@ def jaccard(edges: DataFrame, percentile: float | None = None) -> DataFrame:
     sims = met.select("a", "b", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("similarity"))
     if percentile is None:
         return sims
-    cut = sims.agg(F.percentile("similarity", F.lit(percentile))).first()[0]
-    return sims.where(F.col("similarity") >= cut)
+    sims = written(sims)
+    return sims.where(F.col("similarity") >= quantile(sims, "similarity", percentile))
+
+
+def quantile(df: DataFrame, value: str, share: float) -> float | None:
+    """The exact quantile, between two values in proportion, from the counts of different values: those are summed, never held in one task."""
+    counts = running_sum(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_upto")
+    counts = written(counts)
+    n = counts.agg(F.max("_upto")).first()[0]
+    if not n:
+        return None
+    at = share * (n - 1)
+    pick = lambda k: counts.where(F.col("_upto") > k).agg(F.min(value)).first()[0]
+    low = pick(int(at))
+    return low + (pick(min(int(at) + 1, n - 1)) - low) * (at - int(at))
 
 
 def katz(edges: DataFrame, beta: float, terms: int) -> DataFrame:
@@ -160,6 +177,23 @@ def largest_eigenvalue(edges: DataFrame, rounds: int = 10) -> float:
     return value
 
 
+def katz_treatment(edges: DataFrame, k: int, terms: int = 3) -> DataFrame:
+    """``a, b, w``: pairs ``a < b`` whose Katz similarity reaches ``2 * k * total / (n * n - 1)``, where ``total`` sums all similarities of ``n`` nodes.
+
+    ``beta`` is half the inverse of the largest eigenvalue, 0.003 at most.
+    """
+    largest = largest_eigenvalue(edges, 30)
+    sims = written(katz(edges, min(1 / (2 * largest), 0.003) if largest else 0.003, terms))
+    n, total = nodes_of(edges).count(), sims.agg(F.sum("w")).first()[0] or 0.0
+    return sims.where((F.col("src") < F.col("dst")) & (F.col("w") >= 2 * k * total / max(1, n * n - 1))).select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+
+
+def union_edges(train: DataFrame, valid: DataFrame) -> DataFrame:
+    """Edges of both parts, each with its own weight; 1 where a part has none."""
+    weighted = lambda df: df.select("src", "dst", F.col("w").cast("double") if "w" in df.columns else F.lit(1.0).alias("w"))
+    return weighted(train).unionByName(weighted(valid))
+
+
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     """``node, block``: in each round a node takes its neighbours' most frequent label, the smallest of equal ones."""
     near = written(neighbours(edges))
@@ -243,7 +277,7 @@ def treatment(edges: DataFrame, method: str, k: int = 2, seed: int = 0) -> DataF
     if method == "jaccard":
         return jaccard(edges, 0.5).select("a", "b")
     if method == "katz":
-        return katz(edges, 0.003, 3).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        return katz_treatment(edges, k).select("a", "b")
     raise ValueError(f"unknown treatment: {method}")
 
 
@@ -273,6 +307,114 @@ def knn_in_blocks(vectors: DataFrame, block: str, k: int, how: str = "euclid") -
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "rank", "b", "distance")
 
 
+def _blocks_of(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors dealt to blocks as rows and, in a copy for each block, as columns."""
+    blocks = max(1, -(-vectors.count() // size))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return vectors.select("node", "v", own.alias("_r"), spread.alias("_c")), vectors.select("node", "v", spread.alias("_r"), own.alias("_c"))
+
+
+def _distances(a: pa.Table, b: pa.Table, how: str) -> np.ndarray:
+    x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
+    if how == "euclid":
+        return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T))
+    if how == "cosine_l1":
+        x, y = x / np.abs(x).sum(axis=1, keepdims=True), y / np.abs(y).sum(axis=1, keepdims=True)
+        return 1 - x @ y.T
+    return 1 - x @ y.T / np.sqrt(np.outer((x * x).sum(axis=1), (y * y).sum(axis=1)))
+
+
+def knn(vectors: DataFrame, k: int, how: str = "euclid", queries: DataFrame | None = None, size: int = 2048) -> DataFrame:
+    """``a, rank, b, distance``: the ``k`` nearest of all other ``vectors(node, v)`` for each of ``queries``, by default for each vector; exact.
+
+    Blocks of queries meet blocks of vectors in products of matrices, and each gives ``k`` a query. The work is queries times
+    vectors: for many of both give fewer queries, or use :func:`knn_in_blocks` with hash tables.
+    """
+    left, right = _blocks_of(vectors, size)
+    if queries is not None:
+        asked = queries.select(F.col("node").alias("_q")).distinct()
+        left = left.join(asked, F.col("node") == F.col("_q")).select(*(F.col(c).alias(c) for c in left.columns))
+    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "near": pa.array([], pa.float64())})
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return empty
+        ids, others = a.column("node").to_numpy(), b.column("node").to_numpy()
+        d = _distances(a, b, how)
+        d[ids[:, None] == others[None, :]] = np.inf
+        few = min(k + 8, len(others))  # products of matrices may round otherwise than sums in order
+        top = np.argpartition(d, few - 1, axis=1)[:, :few]
+        rows = np.repeat(np.arange(len(ids)), few)
+        near = d[rows, top.ravel()]
+        real = np.isfinite(near)
+        return pa.table({"a": ids[rows[real]], "b": others[top.ravel()[real]], "near": near[real]})
+
+    found = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(search, "a long, b long, near double")
+    close = found.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("near"))).where(F.col("_r") <= k + 8)
+    of = lambda n: vectors.select(F.col("node").alias(n), F.col("v").alias(f"v{n}"))
+    met = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", distance(F.col("va"), F.col("vb"), how).alias("distance"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k).select("a", "rank", "b", "distance")
+
+
+def distance_threshold(vectors: DataFrame, share: float, how: str = "euclid", bins: int = 4096, size: int = 2048) -> float | None:
+    """The quantile ``share`` of the distances of all pairs, by counts in bins and then the distances of the bins that hold it alone."""
+    left, right = _blocks_of(vectors, size)
+    pairs = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c"))
+
+    def of_block(a: pa.Table, b: pa.Table) -> np.ndarray:
+        if not a.num_rows or not b.num_rows:
+            return np.zeros(0)
+        return _distances(a, b, how)[a.column("node").to_numpy()[:, None] < b.column("node").to_numpy()[None, :]]
+
+    def ends(a: pa.Table, b: pa.Table) -> pa.Table:
+        d = of_block(a, b)
+        return pa.table({"low": pa.array([d.min()] if len(d) else [], pa.float64()), "high": pa.array([d.max()] if len(d) else [], pa.float64()), "n": pa.array([len(d)] if len(d) else [], pa.int64())})
+
+    row = pairs.applyInArrow(ends, "low double, high double, n long").agg(F.min("low"), F.max("high"), F.sum("n")).first()
+    if not row[2]:
+        return None
+    low, width, n = row[0], (row[1] - row[0]) / bins or 1.0, row[2]
+    place = lambda d: np.clip(((d - low) / width).astype(np.int64), 0, bins - 1)
+
+    def counted(a: pa.Table, b: pa.Table) -> pa.Table:
+        keys, counts = np.unique(place(of_block(a, b)), return_counts=True)
+        return pa.table({"bin": keys, "n": counts})
+
+    counts = pairs.applyInArrow(counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # ``bins`` rows at most
+    at, upto, wanted, before = share * (n - 1), 0, [], 0
+    for r in counts:
+        if upto <= int(at) + 1 and upto + r["n"] > int(at):
+            before = before if wanted else upto
+            wanted.append(r["bin"])
+        upto += r["n"]
+
+    def kept(a: pa.Table, b: pa.Table) -> pa.Table:
+        d = of_block(a, b)
+        return pa.table({"x": d[np.isin(place(d), wanted)]})
+
+    held = written(pairs.applyInArrow(kept, "x double"))
+    inside = held.count()
+    return quantile(held, "x", (at - before) / (inside - 1) if inside > 1 else 0.0)
+
+
+def factual_pairs(treated: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b`` for each treated pair once, ``a < b``; ``n_treated`` and ``n_untreated`` count both sides of all pairs.
+
+    The untreated side is the complement: pairs of different nodes that aren't here. It isn't listed, as it grows with the square.
+    """
+    pairs = treated.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    n, m = nodes.select("node").distinct().count(), pairs.count()
+    return pairs.select("a", "b", F.lit(m).cast("long").alias("n_treated"), F.lit(n * (n - 1) // 2 - m).cast("long").alias("n_untreated"))
+
+
+def counterfactual_edges(matched: DataFrame, treated: DataFrame) -> DataFrame:
+    """``t, c, d``: the different pairs that stand in for others, ``c < d``, by their own treatment, from :func:`counterfactual_pairs`."""
+    flag = treated.select(F.least("a", "b").alias("c"), F.greatest("a", "b").alias("d")).distinct().withColumn("_t", F.lit(1))
+    pairs = matched.where("matched").select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
+    return pairs.join(flag, ["c", "d"], "left").select(F.coalesce("_t", F.lit(0)).alias("t"), "c", "d")
+
+
 def counterfactual_pairs(pairs: DataFrame, treated: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
     """``a, b, c, d``: for each pair the nearest pair of near nodes with the opposite treatment, within twice the threshold; else itself.
 
@@ -287,11 +429,16 @@ def counterfactual_pairs(pairs: DataFrame, treated: DataFrame, near: DataFrame,
     return pairs.join(best, ["a", "b"], "left").select("a", "b", F.coalesce("x.c", "a").alias("c"), F.coalesce("x.d", "b").alias("d"), F.col("x").isNotNull().alias("matched"))
 
 
-def score_links(pairs: DataFrame, vectors: DataFrame, how: str = "dot") -> DataFrame:
-    """``a, b, score`` by inner product or the sum of the elementwise product's squares (``hadamard``)."""
+def score_links(pairs: DataFrame, vectors: DataFrame, how: str = "dot", matrix: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """``a, b, score`` by inner product, ``bilinear`` with a matrix between, ``symmetric`` (the mean of that in both orders), or the elementwise product as a vector (``hadamard``)."""
     met = pairs.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
     if how == "hadamard":
         return met.select("a", "b", F.zip_with("va", "vb", lambda x, y: x * y).alias("score"))
+    if how in ("bilinear", "symmetric"):
+        rows = F.array(*(F.array(*(F.lit(float(w)) for w in row)) for row in matrix))
+        through = lambda x, y: dot(x, F.transform(rows, lambda row: dot(row, y)))
+        one = through(F.col("va"), F.col("vb"))
+        return met.select("a", "b", (one if how == "bilinear" else (one + through(F.col("vb"), F.col("va"))) / 2).alias("score"))
     return met.select("a", "b", dot(F.col("va"), F.col("vb")).alias("score"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.splits import by_class
+from gneiss.operators.splits import by_class, sampled_non_edges
 from gneiss.plans.rank import hash_order, in_intervals, running_sum, with_index
 from gneiss.plans.store import written
 
@@ -50,6 +50,22 @@ def neg_permuted(negatives: DataFrame, copies: int, seed: int = 0) -> DataFrame:
     return out
 
 
+def neg_global(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``place, src, dst``: ``n`` non-edges; where there are fewer, they are taken again from the first on."""
+    found = with_index(sampled_non_edges(edges, nodes, n, seed), hash_order(seed, "src", "dst"), "src", "dst", name="place")
+    have = found.count()
+    if not have or have >= n:
+        return found.select("place", "src", "dst")
+    again = F.explode(F.sequence(F.lit(0), F.lit(-(-n // have) - 1)))
+    return found.withColumn("_k", again).select((F.col("place") + F.col("_k") * have).alias("place"), "src", "dst").where(F.col("place") < n)
+
+
+def sample_pairs(factual: DataFrame, counterfactual: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` different pairs ``a, b`` of both tables, the first by a hash."""
+    both = factual.select("a", "b").unionByName(counterfactual.select("a", "b")).distinct()
+    return both.orderBy(hash_order(seed, "a", "b"), "a", "b").limit(n)
+
+
 def pos_neg_pairs(edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """``src, dst, label`` from positives and, for each source, its stored ``target_node_neg`` array."""
     pos = edges.select("src", "dst", F.lit(1).alias("label"))

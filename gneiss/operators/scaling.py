@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,20 @@ def invert_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> Data
     return met.withColumns({c: F.col(c) * F.col(f"{c}_std") + F.col(f"{c}_mean") for c in cols}).drop(*(f"{c}_{p}" for c in cols for p in ("mean", "std")))
 
 
+def save_scaler(params: DataFrame, path: str, missing: float | None = 0.0) -> None:
+    """Parameters beside a model: a row for each column, and what missing values become."""
+    names = [c[: -len("_mean")] for c in params.columns if c.endswith("_mean")]
+    rows = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std"), F.lit(missing).cast("double").alias("missing")) for c in names))
+    params.select(F.explode(rows).alias("x")).select("x.*").write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark: SparkSession, path: str, cols: Sequence[str]) -> tuple[DataFrame, float | None]:
+    """One row of parameters of ``cols``, as :func:`fit_scaler` gives them, and the value for missing ones."""
+    rows = spark.read.schema("name string, mean double, std double, missing double").parquet(path)
+    one = lambda c, v: F.max(F.when(F.col("name") == c, F.col(v)))
+    return rows.agg(*(one(c, v).alias(f"{c}_{v}") for c in cols for v in ("mean", "std"))), rows.agg(F.max("missing")).first()[0]
+
+
 def scale_splits(df: DataFrame, features: Sequence[str], targets: Sequence[str], role: str = "role", regression: bool = True) -> DataFrame:
     """Features scaled by the train part's parameters; targets of the train part too, for regression."""
     train = df.where(F.col(role) == "train")

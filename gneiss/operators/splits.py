@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.plans.rank import hash_order, with_index
+from gneiss.plans.rank import hash_order, running_sum, with_index
+from gneiss.plans.store import written
 
 
 def split_random(df: DataFrame, id_: str, test: float, seed: int = 0) -> DataFrame:
@@ -29,26 +31,52 @@ def by_class(df: DataFrame, id_: str, y: str, seed: int) -> DataFrame:
     return ranked.join(first, F.col(y).eqNullSafe(F.col("_y"))).drop("_y").withColumn("_i", F.col("_g") - F.col("_first")).drop("_h", "_g", "_first")
 
 
+WALKED = 100_000  # groups that one task walks through
+
+
+def _walk(room: int):
+    def run(groups: pa.Table) -> pa.Table:
+        groups = groups.sort_by([("place", "ascending")])
+        left, fits = room, []
+        for n in groups.column("n").to_pylist():
+            fits.append(n <= left)
+            left -= n if n <= left else 0
+        return pa.table({"place": groups.column("place"), "fits": pa.array(fits, pa.bool_())})
+
+    return run
+
+
 def split_group(df: DataFrame, group: str, test: float, balanced: bool = True, seed: int = 0) -> DataFrame:
-    """``role``: whole groups, walked in order, go to train while they fit.
+    """``role``: whole groups, walked in order, go to train while they fit; a null is a group like any other.
 
     Unbalanced: the largest first. Balanced: groups over half the test size first, then the others, each in hash order.
-    Only the groups' sizes are folded, in one array.
+    While more than ``WALKED`` groups may still fit, a round takes all before the first misfit by running sums, and drops
+    those that are larger than what is left; the rest is walked in one task.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    n = df.count()
-    train = n - int(n * test)
+    sizes = written(df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n")))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    room = n - int(n * test)
     big = F.when(F.col("n") > int(n * test) / 2, 0).otherwise(1)
-    key = F.struct(big.alias("a"), hash_order(seed, group).alias("b"), F.col(group).alias("g"), "n") if balanced else F.struct((-F.col("n")).alias("a"), F.col(group).alias("g"), "n")
-    walk = F.sort_array(F.collect_list(key))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<g:{dict(df.dtypes)[group]},fits:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["n"] <= train
-        return F.struct((acc["used"] + F.when(fits, x["n"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(F.struct(x["g"].alias("g"), fits.alias("fits")))).alias("out"))
-
-    roles = sizes.agg(F.aggregate(walk, zero, step, lambda a: a["out"]).alias("out")).select(F.explode("out").alias("x")).select(F.col("x.g").alias(group), F.when(F.col("x.fits"), "train").otherwise("test").alias("role"))
-    return df.join(roles, group)
+    order = [big, hash_order(seed, "_group"), "_group"] if balanced else [F.col("n").desc(), "_group"]
+    every = written(with_index(sizes, *order, name="place"))
+    open_, taken = every.select("place", "n"), None
+    while True:
+        open_ = open_.where(F.col("n") <= room)
+        if open_.count() <= WALKED:
+            break
+        sums = written(running_sum(open_, "place", "n", "upto"))
+        misfit = sums.where(F.col("upto") > room).agg(F.min("place")).first()[0]
+        fitting = sums if misfit is None else sums.where(F.col("place") < misfit)
+        taken = fitting.select("place") if taken is None else taken.unionByName(fitting.select("place"))
+        if misfit is None:
+            open_ = open_.limit(0)
+            break
+        room -= fitting.agg(F.sum("n")).first()[0] or 0
+        open_ = written(sums.where(F.col("place") > misfit).select("place", "n"))
+    walked = open_.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_walk(room), "place long, fits boolean").where("fits").select("place")
+    fits = (walked if taken is None else taken.unionByName(walked)).withColumn("_fits", F.lit(True))
+    roles = every.join(fits, "place", "left").select("_group", F.when(F.col("_fits"), "train").otherwise("test").alias("role"))
+    return df.join(roles, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def group_members(df: DataFrame, group: str, id_: str) -> DataFrame:
@@ -107,15 +135,38 @@ def split_edges(edges: DataFrame, valid: float, test: float, seed: int = 0) -> D
 
 
 def sampled_non_edges(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` unordered pairs that aren't edges: pairs of hashed nodes, drawn with room to spare, less the edges, cut in hash order."""
-    count = nodes.count()
-    indexed = with_index(nodes.select("node").distinct(), "node", name="at")
+    """``n`` different unordered pairs that aren't edges, or all of them where there are fewer.
+
+    Pairs of hashed nodes are drawn, less the edges, until there are enough. Where a quarter of all pairs or more would be
+    drawn or are edges, all pairs are fewer than four times those together, so they are listed and cut in hash order.
+    """
+    indexed = written(with_index(nodes.select("node").distinct(), "node", name="at"))
+    count = indexed.count()
+    known = written(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    every = count * (count - 1) // 2
+    n = min(n, every - known.count())
+    if every <= 4 * (n + known.count()):
+        pairs = indexed.select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at") - 1)).alias("at")).where("at >= 0") if count > 1 else indexed.limit(0).select(F.col("node").alias("u"), "at")
+        pairs = pairs.join(indexed.select("at", F.col("node").alias("v")), "at").where("u <> v").select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct()
+        return pairs.join(known, ["src", "dst"], "left_anti").orderBy(hash_order(seed, "src", "dst"), "src", "dst").limit(n)
     pick = lambda k, salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), k.cast("string"))), 1, 12), 16, 10).cast("long") % count
-    drawn = edges.sparkSession.range(2 * n + 100).select("id", pick(F.col("id"), "a").alias("a"), pick(F.col("id"), "b").alias("b"))
-    named = drawn.join(indexed.select(F.col("at").alias("a"), F.col("node").alias("u")), "a").join(indexed.select(F.col("at").alias("b"), F.col("node").alias("v")), "b")
-    pairs = named.where("u <> v").select("id", F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).groupBy("src", "dst").agg(F.min("id").alias("id"))
-    known = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    return pairs.join(known, ["src", "dst"], "left_anti").orderBy("id").limit(n).select("src", "dst")
+    first, have = 0, None
+    while True:
+        drawn = edges.sparkSession.range(first, first + 2 * n + 100).select("id", pick(F.col("id"), "a").alias("a"), pick(F.col("id"), "b").alias("b"))
+        named = drawn.join(indexed.select(F.col("at").alias("a"), F.col("node").alias("u")), "a").join(indexed.select(F.col("at").alias("b"), F.col("node").alias("v")), "b")
+        pairs = named.where("u <> v").select("id", F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).join(known, ["src", "dst"], "left_anti").select("src", "dst", "id")
+        have = written((pairs if have is None else have.unionByName(pairs)).groupBy("src", "dst").agg(F.min("id").alias("id")))
+        if have.count() >= n:
+            return have.orderBy("id").limit(n).select("src", "dst")
+        first += 2 * n + 100
+
+
+def train_negatives(edges: DataFrame, nodes: DataFrame, rate: int, seed: int = 0) -> DataFrame:
+    """``rate`` times as many non-edges as there are edges, where ``rate`` is at most one less than the whole ratio of non-edges to edges, but 1 at least."""
+    m = edges.where("src <> dst").select(F.least("src", "dst"), F.greatest("src", "dst")).distinct().count()
+    count = nodes.select("node").distinct().count()
+    most = (count * (count - 1) // 2 - m) // m - 1 if m else 0
+    return sampled_non_edges(edges, nodes, m * max(1, min(rate, most)), seed)
 
 
 def check_disjoint(split: DataFrame, keys: list[str], role: str = "role") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.plans.store import written
@@ -22,6 +22,12 @@ def with_index(df: DataFrame, *order: str | Column, name: str = "row_idx") -> Da
     return met.withColumn(name, (F.col("_before") + F.col("_id") % width).cast("long")).drop("_id", "_part", "_before")
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str = "at", **options) -> DataFrame:
+    """``value`` and its 0-based position in a file, or in a folder's part files by their names, however Spark reads them."""
+    lines = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return with_index(lines, "_file", "_block", "_line", name=name).select("value", name)
+
+
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """``df`` and the sum of ``value`` over rows up to each in ``order`` (a unique key), in two levels like :func:`with_index`."""
     width = 1 << 33

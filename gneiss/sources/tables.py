@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.plans.rank import in_intervals, running_sum, with_index
+from gneiss.plans.rank import in_intervals, numbered_lines, running_sum, with_index
+from gneiss.plans.store import written
 
 #: Published data sets, their task, split and metric.
 REGISTRY = [
@@ -32,8 +34,7 @@ def read_mapping(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def read_sdf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Atoms, bonds and properties of the records of a structure file, by fixed columns; ids are 1-based positions, empty records leave a gap."""
-    records = spark.read.option("lineSep", "$$$$\n").text(path).withColumn("_at", F.monotonically_increasing_id())
-    lines = with_index(records, "_at", name="_i").select((F.col("_i") + 1).alias("record_id"), F.split("value", "\n").alias("l")).where(F.size("l") > 4)
+    lines = numbered_lines(spark, path, "_i", lineSep="$$$$\n").select((F.col("_i") + 1).alias("record_id"), F.split("value", "\n").alias("l")).where(F.size("l") > 4)
     count = lambda a: F.trim(F.substring(F.get("l", F.lit(3)), a, 3)).cast("int")
     base = lines.select("record_id", "l", count(1).alias("na"), count(4).alias("nb")).where("na > 0")
     number = lambda c, a, n: F.trim(F.substring(c, a, n))
@@ -53,7 +54,7 @@ def join_properties(mols: DataFrame, props: DataFrame, key: str, fallback: str |
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    return with_index(spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()), "_at", name="_i").select((F.col("_i") + 1).alias("line"), "value")
+    return numbered_lines(spark, path, "_i").select((F.col("_i") + 1).alias("line"), "value")
 
 
 def read_tu(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,6 +90,38 @@ def read_hetero(spark: SparkSession, folder: str) -> DataFrame:
     return edges.select(parts[0].alias("head_type"), parts[1].alias("rel"), parts[2].alias("tail_type"), "src", "dst")
 
 
+def read_hetero_nodes(spark: SparkSession, folder: str, file: str, schema: str) -> DataFrame:
+    """``node_type``, ``place`` (0-based row in its type) and the columns of ``schema``, from each ``<type>/<file>`` of a folder."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(f"{folder}/*/{file}").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    placed = with_index(lines, "_file", "_block", "_line", name="_at")
+    first = placed.groupBy("_file").agg(F.min("_at").alias("_first"))
+    row = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "))
+    return placed.join(first, "_file").select(F.element_at(F.split("_file", "/"), -2).alias("node_type"), (F.col("_at") - F.col("_first")).alias("place"), row.alias("_row")).select("node_type", "place", "_row.*")
+
+
+def labels_of_types(labels: DataFrame, has_label: DataFrame) -> DataFrame:
+    """``labels(node_type, ...)`` of the types that ``has_label(node_type, has_label)`` flags."""
+    return labels.join(has_label.where("has_label").select("node_type"), "node_type", "left_semi")
+
+
+def type_offsets(sizes: DataFrame) -> DataFrame:
+    """``node_type, n, start``: first number of each type where types are numbered together, in order of their names."""
+    return running_sum(sizes.select("node_type", "n"), "node_type", "n", "_upto").select("node_type", "n", (F.col("_upto") - F.col("n")).alias("start"))
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """``key, values`` of a JSON object of lists, or of a text with ``key: [a, b]`` or ``key:`` and ``- item`` lines; values are strings."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    asked = F.from_json("value", "map<string,string>")
+    listed = F.coalesce(F.from_json("values", "array<string>"), F.array("values"))
+    as_json = text.where(F.col("value").startswith("{")).select(F.explode(asked).alias("key", "values")).select("key", listed.alias("values"))
+    block = F.regexp_extract_all("value", F.lit(r"(?m)(^[A-Za-z_][^:\n]*:[^\n]*(?:\n[ ]*-[^\n]*)*)"), 1)
+    lines = text.where(~F.col("value").startswith("{")).select(F.explode(block).alias("b")).select(F.trim(F.regexp_extract("b", r"^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract("b", r"^[^:]*:([^\n]*)", 1)).alias("inline"), "b")
+    items = F.when(F.col("inline") != "", F.split(F.regexp_replace("inline", r"^\[|\]$", ""), r"\s*,\s*")).otherwise(F.regexp_extract_all("b", F.lit(r"(?m)^[ ]*-[ ]*(.*?)[ ]*$"), 1))
+    return as_json.unionByName(lines.select("key", F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")).alias("values")))
+
+
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
     """Tables by role as one table with ``role``."""
     out = None
@@ -99,7 +132,41 @@ def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def read_edge_split(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """``role, src, dst, label`` of the folders ``train``, ``valid`` and ``test`` with pairs ``edge`` and ``edge_neg``, or with ``source_node``, ``target_node`` and lists ``target_node_neg``."""
+    out = None
+    for role in ("train", "valid", "test"):
+        df = spark.read.parquet(f"{path}/{role}")
+        if "edge" in df.columns:
+            parts = [df.select(F.col(c)[0].alias("src"), F.col(c)[1].alias("dst"), F.lit(y).alias("label")).where("src is not null") for c, y in (("edge", 1), ("edge_neg", 0)) if c in df.columns]
+        else:
+            parts = [df.select(F.col("source_node").alias("src"), F.col("target_node").alias("dst"), F.lit(1).alias("label"))]
+            if "target_node_neg" in df.columns:
+                parts.append(df.select(F.col("source_node").alias("src"), F.explode("target_node_neg").alias("dst"), F.lit(0).alias("label")))
+        for part in parts:
+            part = part.select(F.lit(role).alias("role"), "src", "dst", "label")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def parsed_structures(df: DataFrame, id_: str, structure: str, parser: Callable[[str], tuple[list[dict], list[dict]] | None]) -> tuple[DataFrame, DataFrame]:
+    """Atoms and bonds by a user's parser, a function from a structure string to rows of each, or None where it is invalid.
+
+    It runs in tasks, on batches; rows need ``atom_idx, atomic_num`` and ``src, dst, type``.
+    """
+    shape = "atoms array<struct<atom_idx:long,atomic_num:int>>, bonds array<struct<src:long,dst:long,type:string>>"
+    key = dict(df.dtypes)[id_]
+
+    def run(batches):
+        for batch in batches:
+            found = [parser(s) if s is not None else None for s in batch.column(1).to_pylist()]
+            good = [i for i, x in enumerate(found) if x is not None]
+            atoms = [[{k: a.get(k) for k in ("atom_idx", "atomic_num")} for a in found[i][0]] for i in good]
+            bonds = [[{k: b.get(k) for k in ("src", "dst", "type")} for b in found[i][1]] for i in good]
+            types = [pa.list_(pa.struct([("atom_idx", pa.int64()), ("atomic_num", pa.int32())])), pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64()), ("type", pa.string())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), pa.array(atoms, types[0]), pa.array(bonds, types[1])], ["graph_id", "atoms", "bonds"])
+
+    both = written(df.select(id_, structure).mapInArrow(run, f"graph_id {key}, {shape}"), "structures")
+    return both.select("graph_id", F.explode("atoms").alias("x")).select("graph_id", "x.*"), both.select("graph_id", F.explode("bonds").alias("x")).select("graph_id", "x.*")
 
 
 def read_network_community(spark: SparkSession, network: str, community: str) -> tuple[DataFrame, DataFrame]:
