@@ -110,12 +110,12 @@ def grf4_union_edges(spark, d):
     return G.union_edges(e.where("year < 1998").select("src", "dst", "w"), e.where("year >= 1998").select("src", "dst"))
 
 
-@query(f"""WITH {S}, g AS (SELECT DISTINCT src AS node FROM near), v0 AS (SELECT node, 1.0::DOUBLE AS x FROM g), {", ".join(f"u{k} AS MATERIALIZED (SELECT n.src AS node, sum(v.x) AS x FROM near n JOIN v{k - 1} v ON v.node = n.dst GROUP BY n.src), v{k} AS MATERIALIZED (SELECT node, x / (SELECT max(x) FROM u{k}) AS x FROM u{k})" for k in range(1, 31))},
+@query(f"""WITH {S.replace("GROUP BY ALL), near", "GROUP BY ALL HAVING count(*) >= 9), near")}, g AS (SELECT DISTINCT src AS node FROM near), v0 AS (SELECT node, 1.0::DOUBLE AS x FROM g), {", ".join(f"u{k} AS MATERIALIZED (SELECT n.src AS node, sum(v.x) AS x FROM near n JOIN v{k - 1} v ON v.node = n.dst GROUP BY n.src), v{k} AS MATERIALIZED (SELECT node, x / (SELECT max(x) FROM u{k}) AS x FROM u{k})" for k in range(1, 31))},
 b AS (SELECT least(1 / (2 * max(x)), 0.003)::DOUBLE AS b FROM u30), a2 AS (SELECT a.src, b.dst, count(*) AS n FROM near a JOIN near b ON a.dst = b.src GROUP BY ALL), a3 AS (SELECT a.src, b.dst, sum(n) AS n FROM a2 a JOIN near b ON a.dst = b.src GROUP BY ALL),
 k AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, b AS w FROM near, b UNION ALL SELECT src, dst, n * b * b FROM a2, b UNION ALL SELECT src, dst, n * b * b * b FROM a3, b) GROUP BY ALL), t AS (SELECT 2 * 2 * sum(w) / ((SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) ** 2 - 1) AS least FROM k)
 SELECT src AS a, dst AS b, round(w, 6) AS w FROM k, t WHERE src < dst AND w >= least""")
 def grf13_katz_treatment(spark, d):
-    return spread(G.katz_treatment(supply_edges(spark, d), 2))
+    return spread(G.katz_treatment(supply_edges(spark, d).where("w >= 9"), 2))
 
 
 @query(f"WITH {NATION}, f AS (SELECT a.node AS a, b.node AS b FROM part a JOIN part b ON a.block = b.block AND a.node < b.node), n AS (SELECT count(*) AS n FROM part), m AS (SELECT count(*) AS m FROM f) SELECT a, b, m AS n_treated, (n * (n - 1) // 2 - m)::BIGINT AS n_untreated FROM f, n, m")
