@@ -172,7 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals:
     joined = of_docs.select("doc_id", "row", "window", F.col("place").alias("at"), F.col("slots").alias("held")).join(of_items, "window")
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("slot"), F.col("held").alias("value")), lambda p: p["slot"] != 0)
     along = ["row", "item", "form", "shift"]
-    hits = joined.select("doc_id", "item_id", "row", "item", "form", (F.col("at") - F.col("place")).alias("shift"), "place", "short", "solid", F.explode_outer(pairs).alias("pair"))
+    hits = joined.select("doc_id", "item_id", "row", "item", "form", (F.col("at") - F.col("place")).alias("shift"), "place", "short", "solid", pairs.alias("pairs"))
+    hits = hits.repartition(*along).select("*", F.explode_outer("pairs").alias("pair"))  # one shuffle for all that follows
     # What a slot holds in a window, and the last window before that where it holds something else.
     slots = hits.groupBy("doc_id", "item_id", *along, "place", "short", "solid", "pair.slot").agg(F.min("pair.value").alias("low"), F.max("pair.value").alias("high"))
     of_slot = Window.partitionBy(*along, "slot").orderBy("place")

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut where ``column`` (text) reaches about ``size`` bytes; a longer text is a piece of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches cut where ``column`` (text) reaches about ``size`` bytes; a longer text is a piece of its own. What a batch took goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -32,6 +32,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,7 +63,9 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 20)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if n <= 1 << 20:  # a longer text's are made anew each time, so that a worker doesn't keep them
+            _powers[base] = have
     return have
 
 
