@@ -26,6 +26,7 @@ WIDTH, LEAST = 5, 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6
 SIGNATURE_LEAST = 0.56  # five standard deviations under 0.75 with 128 minima
 BLOCK = 128
+FILL = 1 << 21  # shingles that a block's members hold on average, at most, unless one member has more
 DRAWS = 3  # orders in which members are drawn: more would send a text to more blocks, fewer join less of a group
 _U = np.uint64
 _draw = np.random.Generator(np.random.PCG64(11))
@@ -84,14 +85,17 @@ def _signed(width: int):
 
 def _links(least: int, signature_least: float):
     """Links within a block between members of different components; as many as join them, no more."""
+    none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
     def run(block: pa.Table) -> pa.Table:
         ids, comps, sides = (block.column(c).to_numpy() for c in ("id", "component", "side"))
         found: list[tuple[int, int]] = []
+        a, b = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        if not len(a) or not len(b):  # a hash may deal no member to one side
+            return none
         signs = np.stack([np.frombuffer(x, np.uint32) for x in block.column("signature").to_pylist()])
         sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets])
-        a, b = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
         alike = np.stack([(signs[b] == signs[i]).sum(axis=1) for i in a])
         may = (alike >= signature_least * signs.shape[1]) & (comps[a][:, None] != comps[b][None, :])
         may &= 100 * np.minimum(sizes[a][:, None], sizes[b][None, :]) >= least * np.maximum(sizes[a][:, None], sizes[b][None, :])
@@ -137,7 +141,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, sig
     known = features.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    banded = classes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    banded = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "hash")).select("id", "n_shingles", F.xxhash64("band", "hash").alias("bucket"))
     drawn = F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(DRAWS))).alias("draw"), "id")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min(drawn)["id"].alias("hub"))
     buckets = buckets.where("low < high").dropDuplicates(["size", "low", "high", "mark"])  # the same members in several bands
@@ -146,20 +150,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, sig
     signed = written(with_ids(texts, ids).mapInArrow(_signed(width), "id long, signature binary, shingles binary"), "signed")
     signed = signed.where("length(shingles) > 0")
 
-    spokes = members.where("id <> hub").select("hub", "id").distinct()
-    parts = spokes.groupBy("hub").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("parts"))
+    spokes = members.where("id <> hub").select("hub", "id", "n_shingles").distinct()
+    parts = spokes.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / (BLOCK - 1), F.sum("n_shingles") / FILL)).alias("parts"))
     dealt = spokes.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(1).alias("side"), "id")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"))
     links = written(_compared(dealt.unionByName(hubs).withColumn("component", F.col("id")), signed, ["hub", "part"], least, signature_least), "links")
     named = components(links)
 
     mine = F.coalesce("component", "id").alias("component")
-    placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", mine)
+    placed = members.join(named.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n_shingles", mine)
     shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = shares.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
     # Whatever meets a component in any bucket is dealt to that component once, however many bands they share.
-    open_ = placed.join(split, "bucket").select("main", "id", "component").distinct().withColumn("is_main", F.col("component") == F.col("main"))
-    many = lambda is_main: F.ceil(F.count(F.when(F.col("is_main") == is_main, 1)) / BLOCK)
+    open_ = placed.join(split, "bucket").select("main", "id", "n_shingles", "component").distinct().withColumn("is_main", F.col("component") == F.col("main"))
+    of = lambda is_main, value: F.when(F.col("is_main") == is_main, value)
+    many = lambda is_main: F.ceil(F.greatest(F.count(of(is_main, F.lit(1))) / BLOCK, F.coalesce(F.sum(of(is_main, F.col("n_shingles"))), F.lit(0)) / FILL))
     open_ = written(open_, "open")
     open_ = open_.join(open_.groupBy("main").agg(many(True).alias("mains"), many(False).alias("others")), "main")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))

@@ -48,6 +48,24 @@ def test_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_small_blocks_give_the_same_groups(spark, monkeypatch):
+    """Blocks cut by what they hold, and by few members, still compare every pair that shares a bucket."""
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(500)}" for _ in range(90)]
+    rows = []
+    for n in range(70):
+        copy = list(base if n % 3 else base[:45])
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(base)
+        rows.append((n, " ".join(copy), ""))
+    want = brute(rows)
+    for block, fill in ((128, 150), (3, 1 << 21)):
+        monkeypatch.setattr("gneiss.llm.minhash.BLOCK", block)
+        monkeypatch.setattr("gneiss.llm.minhash.FILL", fill)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == want
+
+
 def test_odd_rows(spark):
     text = " ".join(f"x{i}" for i in range(30))
     got = near_duplicates(spark.createDataFrame([(None, text, ""), (5, text, ""), (5, text, ""), (7, text, "")], SCHEMA)).collect()
