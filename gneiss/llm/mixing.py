@@ -33,10 +33,10 @@ def topic_of(text: Column) -> Column:
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``tokens`` and the cell's keys ``source, lang, topic``; null keys are empty strings."""
+    """``doc_id, name, source, lang, topic, tokens`` of ``docs``: the cell's keys, of which null ones are empty strings, and what the draw needs."""
     text = F.col("text").cast("string")
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return docs.select("doc_id", key("source"), key("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
+    return docs.select("doc_id", name_of(F.col("doc_id"), text).alias("name"), key("source"), key("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
 
 
 def tempered(cells: DataFrame, axis: str, power: float) -> DataFrame:
@@ -82,9 +82,14 @@ def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return now.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("ratio") * scale)).otherwise(1.0)).drop("ratio")
 
 
-def drawn(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from a hash of the doc_id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
+def name_of(doc_id: Column, text: Column) -> Column:
+    """What a document is drawn by: its doc_id; without one, a hash of its text."""
+    return F.coalesce(doc_id.cast("string"), F.md5(text.cast("string")), F.lit(""))
+
+
+def drawn(name: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from a hash of the name."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
 def odds_of(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -98,11 +103,11 @@ def mixed_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     """``doc_id, source, lang, topic, tokens, probability, sampled`` for each row of ``docs(doc_id, text, source, lang, ...)``.
 
     A null or empty text has no tokens and is kept. Rows that repeat a doc_id are kept or dropped together if they are in
-    one cell. ``targets`` gives ``share`` by source, lang or topic; without it they are the tempered shares of the
+    one cell; rows without a doc_id are drawn by their text, so equal texts of one cell are kept or dropped together. ``targets`` gives ``share`` by source, lang or topic; without it they are the tempered shares of the
     tokens. No rows give none.
     """
     out = cells_of(docs).join(odds_of(docs, targets, budget, rounds), ["source", "lang", "topic"])
-    return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", (drawn(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", (drawn(F.col("name")) < F.col("probability")).alias("sampled"))
 
 
 def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -111,7 +116,7 @@ def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget
     odds = odds.select(*(F.col(c).alias(f"cell_{c}") for c in odds.columns))
     same = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")) == odds[f"cell_{c}"]
     met = docs.join(odds, same("source") & same("lang") & (topic_of(docs["text"].cast("string")) == odds["cell_topic"]))
-    return met.where(drawn(docs["doc_id"]) < F.col("cell_probability")).select(*(docs[c] for c in docs.columns))
+    return met.where(drawn(name_of(docs["doc_id"], docs["text"])) < F.col("cell_probability")).select(*(docs[c] for c in docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +125,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op9_sql() -> str:
     parts = [
-        """placed AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+        """placed AS (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(text), '') AS name, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN (length(text) - length(replace(text, '|', ''))) * 50 > length(text) THEN 'table'
     WHEN length(text) < 1000 THEN 'brief' WHEN length(text) < 8000 THEN 'article' ELSE 'long' END AS topic,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents)""",
@@ -143,7 +148,7 @@ def _op9_sql() -> str:
             f"/ sum(CASE WHEN ratio * scale >= 1 THEN 0 ELSE weight END)) ELSE max(scale) END AS scale FROM r, s{k - 1})"
         )
     parts.append(f"odds AS (SELECT source, lang, topic, round(CASE WHEN tokens > 0 THEN least(1.0, ratio * scale) ELSE 1.0 END, 9) AS probability FROM r, s{SPENDS})")
-    draw = f"(('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / {16**12}.0::DOUBLE)"
+    draw = f"(('0x' || substr(md5('{SEED}:' || name), 1, 12))::BIGINT / {16**12}.0::DOUBLE)"
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, tokens, probability, {draw} < probability AS sampled FROM placed JOIN odds USING (source, lang, topic)"
 
 
