@@ -10,6 +10,7 @@ from gneiss.llm.chat import OP3_SQL, op3_chat
 from gneiss.llm.decontaminate import op7_decontaminate
 from gneiss.llm.html_text import op1_html_text
 from gneiss.llm.language_model import op5_language_model
+from gneiss.llm.merkle import OP11_SQL, op11_merkle
 from gneiss.llm.minhash import op4_minhash
 from gneiss.llm.mixing import OP9_SQL, op9_mixing
 from gneiss.llm.private import op6_private
@@ -19,8 +20,8 @@ from gneiss.llm.vantage import op2_vantage
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_vantage, op3_chat, op4_minhash, op5_language_model, op6_private, op7_decontaminate, op8_url_rules, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_html_text, op2_vantage, op3_chat, op4_minhash, op5_language_model, op6_private, op7_decontaminate, op8_url_rules, op9_mixing, op10_quality, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op8_url_rules": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_chat": OP3_SQL, "op8_url_rules": OP8_SQL, "op9_mixing": OP9_SQL, "op11_merkle": OP11_SQL}
