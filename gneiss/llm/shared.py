@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.plans.store import shared_folder, written
 
-__all__ = ["hashed_spans", "hashed_words", "mixed", "pieces", "shared_folder", "shingles", "spans", "table", "text_bytes", "written"]
+__all__ = ["hash_powers", "hashed_spans", "hashed_words", "mixed", "pieces", "shared_folder", "shingles", "spans", "table", "text_bytes", "written"]
 _U = np.uint64
 
 
@@ -72,6 +72,11 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base of rolling sums, and of its inverse."""
+    return _powers_of(_BASE, n), _powers_of(_INVERSE, n)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and the ``len + 1`` offsets of the texts."""
     texts = pc.fill_null(texts, "")
