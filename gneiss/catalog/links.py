@@ -8,6 +8,7 @@ from gneiss.catalog.base import PART_EDGES, SUPPLY_EDGES, Found, part_edges, spr
 from gneiss.operators import blocks as B
 from gneiss.operators import graphs as G
 from gneiss.operators import likelihoods as L
+from gneiss.operators import nearest as N
 from gneiss.operators import sampling, splits
 from gneiss.plans.store import written
 
@@ -165,12 +166,12 @@ def vectors(spark, d):
 
 @query(f"WITH {EMB}, p AS (SELECT a.node AS a, b.node AS b, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.node <> b.node), r AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank, b, distance FROM p) SELECT a, rank::INT AS rank, b, round(distance, 6) AS distance FROM r WHERE rank <= 5")
 def grf20_grf22_knn(spark, d):
-    return spread(G.knn(vectors(spark, d), 5))
+    return spread(N.knn(vectors(spark, d), 5))
 
 
 @query(f"WITH {EMB}, p AS (SELECT list_distance(a.v, b.v) AS x FROM v a JOIN v b ON a.node < b.node) SELECT round(quantile_cont(x, 0.1), 5) AS threshold FROM p")
 def grf21_distance_threshold(spark, d):
-    return spark.range(1).select(F.round(F.lit(G.distance_threshold(vectors(spark, d), 0.1)), 5).alias("threshold"))
+    return spark.range(1).select(F.round(F.lit(N.distance_threshold(vectors(spark, d), 0.1)), 5).alias("threshold"))
 
 
 @query(f"WITH {EMB} SELECT a.node AS a, b.node AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON b.node = a.node + 1")

@@ -13,6 +13,7 @@ from gneiss.operators import blocks as B
 from gneiss.operators import explain as X
 from gneiss.operators import features as E
 from gneiss.operators import graphs as G
+from gneiss.operators import nearest as N
 from gneiss.operators import sampling, scaling, splits
 from gneiss.plans.store import shared_folder
 from gneiss.sources import tables
@@ -125,27 +126,27 @@ def grf19_factual_pairs(spark, d):
     return G.factual_pairs(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), part)
 
 
-_MATCHED = f"""{EMB}, p AS (SELECT a.node AS a, b.node AS b, list_distance(a.v, b.v) AS x FROM v a JOIN v b ON a.node <> b.node), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY x, b) AS r FROM p), near AS (SELECT a, b, x FROM r WHERE r <= 3 UNION ALL SELECT node, node, 0 FROM v),
-t AS (SELECT node AS a, node + 1 AS b FROM v UNION SELECT node + 1, node FROM v), pr AS (SELECT a.node AS a, b.node AS b FROM v a JOIN v b ON b.node = a.node + 1),
-m AS (SELECT pr.a, pr.b, l.b AS c, q.b AS d, round(l.x + q.x, 9) AS s FROM pr JOIN near l ON l.a = pr.a JOIN near q ON q.a = pr.b WHERE l.b <> q.b AND l.x + q.x <= 3.0), o AS (SELECT m.* FROM m LEFT JOIN t ON t.a = m.c AND t.b = m.d WHERE t.a IS NULL),
-z AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY s, c, d) AS k FROM o)"""
+_MATCHED = f"""{EMB}, p AS (SELECT a.node AS a, b.node AS b, list_distance(a.v, b.v) AS x FROM v a JOIN v b ON a.node < b.node), g AS (SELECT 2 * quantile_cont(x, 0.0005) AS most FROM p), near AS (SELECT a, b, x FROM p, g WHERE x <= most UNION ALL SELECT b, a, x FROM p, g WHERE x <= most UNION ALL SELECT node, node, 0 FROM v),
+t AS (SELECT node AS a, node + 1 AS b FROM v UNION SELECT node + 1, node FROM v), pr AS (SELECT a.node AS a, b.node AS b, (b.node = a.node + 1)::INT AS t FROM v a JOIN v b ON b.node IN (a.node + 1, a.node + 2)),
+m AS (SELECT pr.a, pr.b, pr.t, l.b AS c, q.b AS d, l.x + q.x AS s FROM pr JOIN near l ON l.a = pr.a JOIN near q ON q.a = pr.b, g WHERE l.b <> q.b AND l.x + q.x <= most), o AS (SELECT m.* FROM m LEFT JOIN t x ON x.a = m.c AND x.b = m.d WHERE (x.a IS NOT NULL)::INT <> m.t),
+z AS MATERIALIZED (SELECT a, b, any_value(t) AS t, arg_min({{'c': c, 'd': d}}, (s, c, d)) AS best FROM o GROUP BY a, b)"""
 
 
 def matched(spark, d):
-    """Following vectors as treated pairs, and the nearest untreated pair for each."""
+    """Following vectors as treated pairs, vectors two apart as untreated ones, and the nearest pair of the other kind for each, as far as the closest two thousandth of all distances allow."""
     v = vectors(spark, d)
-    near = G.knn(v, 3).select("a", "b", "distance").unionByName(v.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("distance")))
-    treated = v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).unionByName(v.select((F.col("node") + 1).alias("a"), F.col("node").alias("b")))
-    pairs = v.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(v.select(F.col("node").alias("b")), "b").select("a", "b")
-    return G.counterfactual_pairs(pairs, treated, near, 1.5), treated
+    shift = lambda k, x, y: v.select((F.col("node") + k).alias(x), F.col("node").alias(y))
+    treated = shift(1, "b", "a").unionByName(shift(1, "a", "b"))
+    pairs = v.select(F.col("node").alias("a"), F.explode(F.array(F.col("node") + 1, F.col("node") + 2)).alias("b")).join(v.select(F.col("node").alias("b")), "b").select("a", "b")
+    return N.counterfactual_matches(pairs, treated, v, N.distance_threshold(v, 0.0005)), treated
 
 
-@query(f"WITH {_MATCHED} SELECT pr.a, pr.b, coalesce(c, pr.a) AS c, coalesce(d, pr.b) AS d, c IS NOT NULL AS matched FROM pr LEFT JOIN z ON z.a = pr.a AND z.b = pr.b AND k = 1")
+@query(f"WITH {_MATCHED} SELECT pr.a, pr.b, coalesce(best.c, pr.a) AS c, coalesce(best.d, pr.b) AS d, best IS NOT NULL AS matched FROM pr LEFT JOIN z ON z.a = pr.a AND z.b = pr.b")
 def grf23_grf24_counterfactual(spark, d):
     return matched(spark, d)[0]
 
 
-@query(f"WITH {_MATCHED} SELECT DISTINCT 0 AS t, least(c, d) AS c, greatest(c, d) AS d FROM z WHERE k = 1")
+@query(f"WITH {_MATCHED} SELECT DISTINCT 1 - t AS t, least(best.c, best.d) AS c, greatest(best.c, best.d) AS d FROM z")
 def grf24_counterfactual_edges(spark, d):
     return G.counterfactual_edges(*matched(spark, d))
 

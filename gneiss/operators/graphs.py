@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.nearest import distance, distance_threshold, dot, knn  # noqa: F401  the last for callers of this module
 from gneiss.plans.rank import running_sum
 from gneiss.plans.store import until_settled, written
 
@@ -281,24 +280,6 @@ def treatment(edges: DataFrame, method: str, k: int = 2, seed: int = 0) -> DataF
     raise ValueError(f"unknown treatment: {method}")
 
 
-def l1_unit(v: Column) -> Column:
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x))
-    return F.transform(v, lambda x: x / total)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def distance(a: Column, b: Column, how: str = "euclid") -> Column:
-    """Euclidean; ``cosine``: one less the cosine; ``cosine_l1``: one less the product of vectors of L1 norm 1."""
-    if how == "euclid":
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    if how == "cosine_l1":
-        return 1 - dot(l1_unit(a), l1_unit(b))
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def knn_in_blocks(vectors: DataFrame, block: str, k: int, how: str = "euclid") -> DataFrame:
     """``a, rank, b, distance``: nearest of a node in its block; blocks (hash tables, labels) bound what is compared."""
     a, b = (vectors.select(F.col("node").alias(n), F.col(block).alias("_b"), F.col("v").alias(f"v{n}")) for n in ("a", "b"))
@@ -307,97 +288,6 @@ def knn_in_blocks(vectors: DataFrame, block: str, k: int, how: str = "euclid") -
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "rank", "b", "distance")
 
 
-def _blocks_of(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors dealt to blocks as rows and, in a copy for each block, as columns."""
-    blocks = max(1, -(-vectors.count() // size))
-    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return vectors.select("node", "v", own.alias("_r"), spread.alias("_c")), vectors.select("node", "v", spread.alias("_r"), own.alias("_c"))
-
-
-def _distances(a: pa.Table, b: pa.Table, how: str) -> np.ndarray:
-    x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
-    if how == "euclid":
-        return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T))
-    if how == "cosine_l1":
-        x, y = x / np.abs(x).sum(axis=1, keepdims=True), y / np.abs(y).sum(axis=1, keepdims=True)
-        return 1 - x @ y.T
-    return 1 - x @ y.T / np.sqrt(np.outer((x * x).sum(axis=1), (y * y).sum(axis=1)))
-
-
-def knn(vectors: DataFrame, k: int, how: str = "euclid", queries: DataFrame | None = None, size: int = 2048) -> DataFrame:
-    """``a, rank, b, distance``: the ``k`` nearest of all other ``vectors(node, v)`` for each of ``queries``, by default for each vector; exact.
-
-    Blocks of queries meet blocks of vectors in products of matrices, and each gives ``k`` a query. The work is queries times
-    vectors: for many of both give fewer queries, or use :func:`knn_in_blocks` with hash tables.
-    """
-    left, right = _blocks_of(vectors, size)
-    if queries is not None:
-        asked = queries.select(F.col("node").alias("_q")).distinct()
-        left = left.join(asked, F.col("node") == F.col("_q")).select(*(F.col(c).alias(c) for c in left.columns))
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "near": pa.array([], pa.float64())})
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty
-        ids, others = a.column("node").to_numpy(), b.column("node").to_numpy()
-        d = _distances(a, b, how)
-        d[ids[:, None] == others[None, :]] = np.inf
-        few = min(k + 8, len(others))  # products of matrices may round otherwise than sums in order
-        top = np.argpartition(d, few - 1, axis=1)[:, :few]
-        rows = np.repeat(np.arange(len(ids)), few)
-        near = d[rows, top.ravel()]
-        real = np.isfinite(near)
-        return pa.table({"a": ids[rows[real]], "b": others[top.ravel()[real]], "near": near[real]})
-
-    found = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(search, "a long, b long, near double")
-    close = found.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("near"))).where(F.col("_r") <= k + 8)
-    of = lambda n: vectors.select(F.col("node").alias(n), F.col("v").alias(f"v{n}"))
-    met = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", distance(F.col("va"), F.col("vb"), how).alias("distance"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k).select("a", "rank", "b", "distance")
-
-
-def distance_threshold(vectors: DataFrame, share: float, how: str = "euclid", bins: int = 4096, size: int = 2048) -> float | None:
-    """The quantile ``share`` of the distances of all pairs, by counts in bins and then the distances of the bins that hold it alone."""
-    left, right = _blocks_of(vectors, size)
-    pairs = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c"))
-
-    def of_block(a: pa.Table, b: pa.Table) -> np.ndarray:
-        if not a.num_rows or not b.num_rows:
-            return np.zeros(0)
-        return _distances(a, b, how)[a.column("node").to_numpy()[:, None] < b.column("node").to_numpy()[None, :]]
-
-    def ends(a: pa.Table, b: pa.Table) -> pa.Table:
-        d = of_block(a, b)
-        return pa.table({"low": pa.array([d.min()] if len(d) else [], pa.float64()), "high": pa.array([d.max()] if len(d) else [], pa.float64()), "n": pa.array([len(d)] if len(d) else [], pa.int64())})
-
-    row = pairs.applyInArrow(ends, "low double, high double, n long").agg(F.min("low"), F.max("high"), F.sum("n")).first()
-    if not row[2]:
-        return None
-    low, width, n = row[0], (row[1] - row[0]) / bins or 1.0, row[2]
-    place = lambda d: np.clip(((d - low) / width).astype(np.int64), 0, bins - 1)
-
-    def counted(a: pa.Table, b: pa.Table) -> pa.Table:
-        keys, counts = np.unique(place(of_block(a, b)), return_counts=True)
-        return pa.table({"bin": keys, "n": counts})
-
-    counts = pairs.applyInArrow(counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # ``bins`` rows at most
-    at, upto, wanted, before = share * (n - 1), 0, [], 0
-    for r in counts:
-        if upto <= int(at) + 1 and upto + r["n"] > int(at):
-            before = before if wanted else upto
-            wanted.append(r["bin"])
-        upto += r["n"]
-
-    def kept(a: pa.Table, b: pa.Table) -> pa.Table:
-        d = of_block(a, b)
-        return pa.table({"x": d[np.isin(place(d), wanted)]})
-
-    held = written(pairs.applyInArrow(kept, "x double"))
-    inside = held.count()
-    return quantile(held, "x", (at - before) / (inside - 1) if inside > 1 else 0.0)
-
-
 def factual_pairs(treated: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b`` for each treated pair once, ``a < b``; ``n_treated`` and ``n_untreated`` count both sides of all pairs.
 
@@ -418,7 +308,8 @@ def counterfactual_edges(matched: DataFrame, treated: DataFrame) -> DataFrame:
 def counterfactual_pairs(pairs: DataFrame, treated: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
     """``a, b, c, d``: for each pair the nearest pair of near nodes with the opposite treatment, within twice the threshold; else itself.
 
-    ``near(a, b, distance)`` holds each node's nearest, itself at 0 included; ``treated(a, b)`` has both orders.
+    ``near(a, b, distance)`` holds each node's nearest, itself at 0 included; ``treated(a, b)`` has both orders. What isn't in ``near``
+    isn't looked at: :func:`gneiss.operators.nearest.counterfactual_matches` finds the nearest of all pairs.
     """
     flag = treated.select("a", "b").distinct().withColumn("_t", F.lit(1))
     t = pairs.join(flag, ["a", "b"], "left").fillna(0, ["_t"])
@@ -442,8 +333,6 @@ def score_links(pairs: DataFrame, vectors: DataFrame, how: str = "dot", matrix:
     return met.select("a", "b", dot(F.col("va"), F.col("vb")).alias("score"))
 
 
-
-
 def common_neighbors(edges: DataFrame, k: int, hops: int = 3) -> DataFrame:
     """``a, b, common``: pairs that share at least ``k`` nodes of what each reaches in 1 to ``hops`` steps, itself included where a walk returns."""
     near = written(neighbours(edges))

@@ -86,7 +86,7 @@ def test_neighbours_are_among_all_vectors(spark):
     assert {r.a for r in graphs.knn(df, 2, queries=df.where("node % 50 = 0"), size=70).collect()} == set(range(0, 300, 50))
     pairs = d[np.triu_indices(300, 1)]
     for share in (0.0, 0.1, 0.5, 1.0):
-        assert abs(graphs.distance_threshold(df, share, bins=16, size=70) - np.quantile(pairs, share)) < 1e-9
+        assert abs(graphs.distance_threshold(df, share, size=70) - np.quantile(pairs, share)) < 1e-9
 
 
 def test_spread_about_a_large_mean(spark):
