@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 FILTER = 25
 
 
-def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` with ``_may``: whether a row's doc_id may be among ``ids``."""
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: whether a row's doc_id may be among ``ids``; no row is shuffled."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER))
     place = (F.col("_bit") % 64).cast("int")
     words = ids.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
@@ -24,10 +24,10 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id is in ``ids(doc_id)``."""
-    return _marked(rows, ids).where("_may").drop("_may").join(ids, "doc_id", "left_semi").select(*rows.columns)
+    return marked(rows, ids).where("_may").drop("_may").join(ids, "doc_id", "left_semi").select(*rows.columns)
 
 
 def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id isn't in ``ids(doc_id)``; null doc_ids stay."""
-    marked = _marked(rows, ids)
-    return marked.where("not _may").drop("_may").unionByName(marked.where("_may").drop("_may").join(ids, "doc_id", "left_anti").select(*rows.columns))
+    known = marked(rows, ids)
+    return known.where("not _may").drop("_may").unionByName(known.where("_may").drop("_may").join(ids, "doc_id", "left_anti").select(*rows.columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.members import with_ids, without_ids
+from gneiss.llm.members import marked
 from gneiss.llm.shared import hash_powers, hashed_words, mixed, pieces, table, text_bytes, written
 
 WINDOW = 35
@@ -168,6 +168,7 @@ def _sent(key: np.ndarray, more: np.ndarray, place: np.ndarray, doc: np.ndarray,
     known = places[group] > 1
     doc, mark, first, many = (c[order] for c in (doc, mark, first, many))
     asks, shared = np.flatnonzero(~known), np.flatnonzero(known)
+    asks = asks[np.argsort(order[asks])]  # in the order of the texts, so that rows of a text pack well
     told = heads[places > 1]
     # Neighbouring windows of a text that need no answer are one row.
     shared = shared[np.lexsort((first[shared], mark[shared], doc[shared]))]
@@ -271,13 +272,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, size: int = CHUNK, se
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select(F.col("doc_id").alias("given"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), mark.alias("mark"), "text")
     revealed = written(_shared(texts.select("doc_id", "mark", "text").mapInArrow(_revealing(window, size, segment), _ROWS)), "revealed")
-    may = with_ids(texts.select("doc_id", "mark", "text"), revealed.select("doc_id").distinct()).join(revealed, ["doc_id", "mark"])
+    may = marked(texts, revealed.select("doc_id")).where("_may").select("doc_id", "mark", "text").join(revealed, ["doc_id", "mark"])
     repeated = written(_shared(may.mapInArrow(_comparing(window, size, segment), _ROWS)), "repeated")
-    ids = repeated.select("doc_id").distinct()
+    rows = marked(texts, repeated.select("doc_id"))
     none = F.lit(None).cast("array<struct<first:int,many:int>>").alias("found")
-    columns = ["given", "text", "found"]
-    others = without_ids(texts, ids).select("given", "text", none)
-    return with_ids(texts, ids).join(repeated, ["doc_id", "mark"], "left").select(columns).unionByName(others).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    others = rows.where("not _may").select("given", "text", none)
+    met = rows.where("_may").join(repeated, ["doc_id", "mark"], "left").select("given", "text", "found")
+    return met.unionByName(others).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
