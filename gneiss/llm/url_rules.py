@@ -74,18 +74,36 @@ def _once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+#: What holds no markup of its own: comments, and elements whose text is not the page's.
+HIDDEN = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "template", "textarea", "title", "xmp"))])
+TAG = r"""(?i)(<(?:link|meta|base)\b(?:[^>"']+|"[^"]*"|'[^']*')*>)"""
+CANONICAL = r"(?i)(?:^|\s)canonical(?:$|\s)"
+MOVED = r"(?i)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[\"']?\s*([^\"'\s]+)"
+
+
+def _attribute(name: str) -> str:
+    return rf"""(?i)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted in either way or bare; empty if it has none."""
+    return F.trim(F.replace(F.concat(*(F.regexp_extract(tag, _attribute(name), k) for k in (1, 2, 3))), F.lit("&amp;"), F.lit("&")))
+
+
 def declared_links(pages: DataFrame) -> DataFrame:
     """``u, v, host, path``: nodes of a page and of the address that its canonical link or its refresh names, and that address's parts.
 
-    Relative addresses are those of the page's base element, or else of its url.
+    Comments, scripts, styles, templates, titles and text areas declare nothing. Relative addresses are those of the page's first base
+    element with an address, or else of its url. A null html declares nothing, and a page without a host has no links.
     """
-    based = F.regexp_extract("html", r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    tags = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag")
-    tags = pages.select("url", "html", _once(F.replace(based, F.lit("&amp;"), F.lit("&"))).alias("base")).select("url", "html", _once(resolved(F.col("base"), F.col("url"))).alias("base")).select("url", "base", tags)
-    href = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    moved = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    named = F.replace(F.coalesce(href, moved), F.lit("&amp;"), F.lit("&"))
-    links = tags.select("url", "base", _once(named).alias("to")).where("to <> ''").select("url", _once(resolved(F.col("to"), F.col("base"))).alias("to"))
+    tags = F.filter(F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(TAG), 1), lambda t: t.rlike(r"(?i)^<(?:link|meta|base)\s"))
+    held = pages.select("url", _once(tags).alias("tags"))
+    bases = F.filter("tags", lambda t: t.rlike("(?i)^<base") & (attribute(t, "href") != ""))
+    held = held.where(F.size("tags") > 0).select("url", "tags", _once(F.coalesce(attribute(F.try_element_at(bases, F.lit(1)), "href"), F.lit(""))).alias("base"))
+    held = held.select("url", _once(resolved(F.col("base"), F.col("url"))).alias("base"), F.explode("tags").alias("tag"))
+    href = F.when(F.col("tag").rlike("(?i)^<link") & attribute(F.col("tag"), "rel").rlike(CANONICAL), attribute(F.col("tag"), "href"))
+    moved = F.when(F.col("tag").rlike("(?i)^<meta") & (F.lower(attribute(F.col("tag"), "http-equiv")) == "refresh"), F.regexp_extract(attribute(F.col("tag"), "content"), MOVED, 1))
+    links = held.select("url", "base", _once(F.coalesce(href, moved)).alias("to")).where("to <> ''").select("url", _once(resolved(F.col("to"), F.col("base"))).alias("to"))
     links = links.select(_once(node_of(F.col("url"))).alias("u"), "to").where("u is not null")
     return links.select("u", node_of(F.col("to")).alias("v"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")).where("v is not null and u <> v")
 
@@ -134,12 +152,39 @@ def _sql_fits(value: int) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'" for v, h, p in ordered) + " END"
 
 
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_attribute(tag: str, name: str) -> str:
+    groups = " || ".join(f"regexp_extract({tag}, {_q(_attribute(name))}, {k})" for k in (1, 2, 3))
+    return f"trim(replace({groups}, '&amp;', '&'))"
+
+
+def _sql_plain(path: str) -> str:
+    step = "CASE WHEN x = '..' THEN CASE WHEN contains(kept, '/') THEN regexp_replace(kept, '/[^/]*$', '') ELSE kept END WHEN x = '.' THEN kept ELSE kept || '/' || x END"
+    closed = f"CASE WHEN regexp_matches({path}, '(?:^|/)\\.\\.?$') THEN {path} || '/' ELSE {path} END"
+    return f"CASE WHEN regexp_matches({path}, '(?:^|/)\\.\\.?(?:/|$)') THEN list_reduce(string_split({closed}, '/'), lambda kept, x: {step}) ELSE {path} END"
+
+
+def _sql_resolved(target: str, url: str) -> str:
+    """:func:`resolved` in SQL."""
+    origin, path = f"regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)", _SQL_PATH.format(url)
+    asked, rest = f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)", f"regexp_extract({target}, '(?s)^([^?#]*)', 1)"
+    folder = f"(regexp_extract({path}, '(?s)^(.*/)', 1) || CASE WHEN contains({path}, '/') THEN '' ELSE '/' END)"
+    return f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {target} WHEN starts_with({target}, '//') THEN regexp_extract({url}, '(?s)^(.*?:)//', 1) || {target}
+  WHEN starts_with({target}, '/') THEN {origin} || {_sql_plain(rest)} || {asked} WHEN {rest} <> '' THEN {origin} || {_sql_plain(f"({folder} || {rest})")} || {asked} WHEN starts_with({target}, '?') THEN {origin} || {path} || {asked} ELSE {url} END"""
+
+
 OP8_SQL = f"""
 WITH RECURSIVE base AS (SELECT page_id, url, {_SQL_HOST.format("url")} AS host, {_SQL_PATH.format("url")} AS path, {_sql_node("url")} AS node FROM pages),
 ruled AS (SELECT page_id, host, path, node, {_sql_fits(0)} AS rule, {_sql_fits(1)} AS own FROM base),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag FROM pages),
-named AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)
-  WHEN regexp_matches(tag, '(?i)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*([^"''>\\s]+)', 1) END, '&amp;', '&') AS href FROM tags),
+tags AS (SELECT url, list_filter(regexp_extract_all(regexp_replace(html, {_q(HIDDEN)}, ' ', 'g'), {_q(TAG)}, 1), lambda t: regexp_matches(t, '(?i)^<(?:link|meta|base)\\s')) AS tags FROM pages),
+based AS (SELECT url, tags, coalesce({_sql_attribute("list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base') AND " + _sql_attribute("t", "href") + " <> '')[1]", "href")}, '') AS base FROM tags WHERE len(tags) > 0),
+spread AS (SELECT url, {_sql_resolved("base", "url")} AS base, unnest(tags) AS tag FROM based),
+told AS (SELECT url, base, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches({_sql_attribute("tag", "rel")}, {_q(CANONICAL)}) THEN {_sql_attribute("tag", "href")}
+  WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_sql_attribute("tag", "http-equiv")}) = 'refresh' THEN regexp_extract({_sql_attribute("tag", "content")}, {_q(MOVED)}, 1) END AS href FROM spread),
+named AS (SELECT url, {_sql_resolved("href", "base")} AS href FROM told WHERE href <> ''),
 links AS (SELECT {_sql_node("url")} AS u, {_sql_node("href")} AS v, {_SQL_HOST.format("href")} AS host, {_SQL_PATH.format("href")} AS path FROM named),
 held AS (SELECT node, own FROM ruled UNION SELECT v, {_sql_fits(1)} FROM links WHERE u <> v),
 both_ways AS (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.chat import escaped, formatted, read_back, unescaped
 from gneiss.llm.components import components
 from gneiss.llm.members import with_ids, without_ids
-from gneiss.llm.url_rules import declared_links, host_of, judged, path_of, resolved
+from gneiss.llm.url_rules import OP8_SQL, declared_links, host_of, judged, path_of, resolved
 
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
 
@@ -98,3 +98,25 @@ def test_relative_and_quoted_links_are_aliases(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in judged(pages, declared_links(pages)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+
+
+def test_links_that_only_look_like_links_and_the_sql(spark):
+    """Comments, scripts, styles and titles declare nothing; rel holds tokens; quotes hold brackets. SQL and expressions agree on all pages."""
+    import duckdb
+
+    bad, also = '<link rel="canonical" href="https://shop.com/de/7">', '<LINK href=https://shop.com/de/7 REL=canonical>'
+    rows = [
+        (1, "http://p1.net/", f"<!-- {bad} -->"), (2, "http://p2.net/", f"<script>var t='{bad}';</script>"), (3, "http://p3.net/", f"<style>{bad}</style><title>{bad}</title><template>{bad}</template>"), (4, "http://p4.net/", f"<!-- open {bad}"),
+        (5, "http://p5.net/", '<link title="a > b" rel="alternate canonical" href="https://shop.com/de/7">'), (6, "http://p6.net/", also), (7, "http://p7.net/", "<link rel='canonical' href='/x' data-href='https://shop.com/de/1'>"), (8, "http://p8.net/", bad.replace("canonical", "canonical-not")),
+        (9, "http://p9.net/", f"<!-- a --><p>{bad}"), (10, "http://p10.net/", "<meta content=\"3; URL='https://shop.com/de/7?a=1&amp;b=2'\" http-equiv='Refresh'>"), (11, "http://p11.net/", f"<base target=_top><base href='https://shop.com/de/'><link rel=canonical href=9>"), (12, "no host", bad),
+        (13, "http://p13.net/d/e", '<link rel=canonical href="../../.././de/..">'), (14, "http://shop.com/fr", '<link rel="canonical" href="./../de/x?y#z">'), (15, "http://p15.net/a", '<link rel="canonical" href="?q=1">'), (15, "http://p15.net/a?q=1", bad), (16, None, bad), (17, "http://p17.net/", None),
+        (18, "http://p18.net/", '<link rel="canonical" href="//shop.com/de/7">' + "<i a='x'>" * 3000), (19, "http://p19.net/" + "a" * 5000, bad), (20, "http://p20.net/", '<link rel="canonical" href="">'), (21, "http://p21.net/b", "<textarea>" + bad),
+    ]
+    rows += [(100 + i, f"http://hub{i}.net/", '<link rel="canonical" href="http://hub.net/">') for i in range(60)] + [(99, "http://hub.net/", bad)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("node", F.lit(1)).withColumn("host", F.lit("h"))
+    got = sorted(tuple(r) for r in judged(pages, declared_links(pages)).collect())
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url", "html").toArrow())
+    assert got == sorted(con.execute(OP8_SQL).fetchall())
+    blocked = {r[0] for r in got if r[4] == "block"}
+    assert blocked == {5, 6, 9, 10, 11, 14, 15, 18, 19, 99, *range(100, 160)}
