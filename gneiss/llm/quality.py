@@ -141,12 +141,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Trees for ``labels(doc_id, quality)``, fitted to at most ``sample`` rows that aren't held out."""
+    """Trees for ``labels(doc_id, quality)``, fitted to at most ``sample`` labelled documents that aren't held out, the first by a hash.
+
+    A doc_id that several rows of ``docs`` bear stands for the one whose text comes first by its hash, so rows that repeat change nothing.
+    A label that repeats counts once, one that contradicts itself twice; null labels and ids are left out.
+    """
     chosen = labels.where(~held_out(F.col("doc_id"))).where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # At most `sample` rows of 16 bytes, so a broadcast is bounded.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("text", "quality").mapInArrow(_counted, "x array<double>, quality double").limit(2 * sample).toArrow()
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # ``sample`` rows at most
+    found = rows.select("text", "quality").mapInArrow(_counted, "x array<double>, quality double").toArrow()
     if not found.num_rows:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = pa.concat_arrays([c.flatten() for c in found.column("x").chunks]).to_numpy().reshape(-1, len(NAMES))
