@@ -1,11 +1,12 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block of the page. A line weighs its characters outside links, or nothing if
-it stands in a menu, header, footer, form, advert or the like. Sums over windows of ``WINDOW`` lines show where text
-surges. They decide two things that tags alone can't: whether the main text is what the page marks as its article, or
-surges outside it because only teasers or readers' notes are marked so; and whether links that come first are a menu that the
-page doesn't mark, which its text must outweigh. A window without text, where no line counts, is a dive and ends a stretch;
-between surge and dive every line that counts is kept, however short.
+Markup is stripped to lines, one for each block of the page. What stands in a menu, footer, form, advert or the like is taken out. A
+line weighs its characters outside links; in the page's article it weighs at least a surge, unless text surges
+``ELSEWHERE`` times as high outside it, because only teasers or readers' notes are marked so. If links outweigh all other text, they are what
+the page is about and weigh too. Sums over windows of ``WINDOW`` lines locate the text: it surges where a window holds
+``SHARE`` of the page's fullest one, or ``SURGE`` characters if that is less. It dives where ``LIST`` lines or more follow that no surge holds up: a
+menu, a list of links, a footer or a header that nothing marks, of which nothing is kept. Between surge and dive every
+line stays, however short. In front of a surge stay the lines of its window, and links behind the last text go.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from gneiss.llm.shared import pieces, table
 
 WINDOW = 3
 ELSEWHERE = 4  # the page's article isn't the main text if text surges this many times as high outside it
+SHARE, SURGE = 0.2, 150  # of the fullest window, and characters in a window, from which text surges: the lesser counts
+LIST = 6  # lines without a surge that are something else
 
 # Element and class names.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -34,9 +37,9 @@ ASIDE = set("nav header footer aside form menu dialog button fieldset".split())
 MARKS = set(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice nav navbar navigation menu "
     "breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments disqus respond newsletter subscribe signup "
-    "login popup modal overlay widget toolbar pagination pager hidden".split()
+    "login popup modal overlay widget toolbar pagination pager hidden alert alerts announcement reaction reactions reply replies discussion feedback".split()
 )
-PARTS = set("a the of and all site page main top bottom left right inner outer mobile desktop box bar block list item items link links wrapper wrap container content section area group row col column unit slot button buttons icon icons form field posts post articles text js sticky fixed google".split())
+PARTS = set("a the of and all site page main top bottom left right inner outer mobile desktop box bar block list item items link links wrapper wrap container content section area group row col column unit slot button buttons icon icons form field posts post articles text js sticky fixed google reader readers user users visitor visitors small medium large big wide tall info warning success danger".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -197,28 +200,44 @@ def lines(page: str, window: int = WINDOW) -> list[tuple[str, int, bool]]:
     return _judged(page, window)[0]
 
 
+def text_lines(weights: list[int], window: int = WINDOW, marked: bool = False) -> list[bool]:
+    """Which of the lines with these weights lie between surge and dive; in a ``marked`` article each line holds up a surge."""
+    n = len(weights)
+    sums = window_sums(weights, window)
+    level = min(SHARE * sums.max(), SURGE)
+    if marked or not n:
+        return [True] * n
+    # A line holds up a surge if it is in a full window and no lighter than such a window's mean line.
+    full = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(sums >= max(level, 1))
+    np.add.at(full, at, 1)
+    np.add.at(full, np.minimum(at + window, n), -1)
+    holds = np.flatnonzero((np.cumsum(full[:-1]) > 0) & (np.array(weights) * window >= level))
+    kept = np.zeros(n, bool)
+    if not len(holds):
+        return kept.tolist()
+    kept[holds] = True
+    for a, b in zip(holds[:-1].tolist(), holds[1:].tolist(), strict=True):
+        if b - a - 1 < LIST:
+            kept[a:b] = True
+    first, last = int(holds[0]), int(holds[-1])
+    if first < LIST:
+        kept[max(0, first - window + 1) : first] = True
+    if n - 1 - last < LIST:
+        kept[last + 1 : n - next((i for i, w in enumerate(reversed(weights[last:])) if w))] = True
+    return kept.tolist()
+
+
 def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The text of all stretches, blocks joined by two line feeds."""
+    """The lines between surges and dives, joined by two line feeds."""
     if not page:
         return ""
     found, marked = _judged(page, window)
-    stretches: list[list[tuple[str, int]]] = []
-    gap = window
-    for text, n, counts in found:
-        if not counts:
-            gap += 1
-            continue
-        if gap >= window:
-            stretches.append([])  # after the dive
-        stretches[-1].append((text, n))
-        gap = 0
-    height = window_sums([n for _, n, _ in found], window).max()
-    kept: list[str] = []
-    for stretch in stretches:
-        links = next((i for i, (_, n) in enumerate(stretch) if n), len(stretch))
-        menu = not marked and links >= window and height > window_sums([len(text) for text, _ in stretch[:links]], window).max()
-        kept += [text for text, _ in stretch[(links if links == len(stretch) else links - window + 1) if menu else 0 :]]  # links close to text stay
-    return "\n\n".join(kept)
+    found = [(text, n) for text, n, counts in found if counts]
+    height = window_sums([n for _, n in found], window).max()
+    linked = window_sums([0 if n else len(text) for text, n in found], window).max()
+    weights = [n if height > linked else len(text) for text, n in found]
+    return "\n\n".join(text for (text, _), kept in zip(found, text_lines(weights, window, marked), strict=True) if kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,64 @@ def test_the_distribution_decides():
     assert main_text(f"<ul>{menu}</ul><p>Tiny</p>").startswith("Section number 0") and not main_text(f"<ul>{menu}</ul><p>{LONG}</p>").startswith("Section number 0")
 
 
+PROSE = [f"Paragraph {i} tells at some length what happened on the day, and why nobody at the time thought it worth writing down." for i in range(6)]
+SHORT = [f"Imprint line {i}" for i in range(7)]
+
+
+def blocks(texts, link=False):
+    return "".join(f"<div><a href='/{i}'>{t}</a></div>" if link else f"<div>{t}</div>" for i, t in enumerate(texts))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "{a}{b}{menu}", "{menu}{a}{b}", "{a}{menu}{b}", "{a}{b}{short}", "{short}{a}{b}", "{menu}{a}{short}{b}{menu}", "{short}{menu}{a}{b}{menu}{short}",
+        "{a}<div class='reader-reactions'>" + PROSE[0] + "</div>{b}", "{a}<div class='ad-slot-large'>Buy</div>{b}", "{a}<div class='alert alert-info'>Cookie notice</div>{b}",
+    ],
+)
+def test_surges_and_dives_choose_the_text_of_pages_without_marks(page):
+    """Menus before, between and after text, footers, headers; and what classes name inside it."""
+    menu = blocks([f"Section number {i}" for i in range(12)], link=True)
+    html = page.format(a=blocks(PROSE[:3]), b=blocks(PROSE[3:]), menu=menu, short=blocks(SHORT))
+    assert main_text(html) == "\n\n".join(PROSE)
+    assert main_text(f"<article>{html}</article>").count("Paragraph") == 6
+    if "menu" in page or "short" in page:  # without windows every line that isn't marked would stay
+        assert len(main_text(html)) < len("\n\n".join(t for t, _, counts in html_text.lines(html) if counts))
+
+
+def plain_choice(weights, window):
+    """Surges, dives and what stays, line by line."""
+    n = len(weights)
+    windows = [range(s, s + window) for s in range(n - window + 1)] or [range(n)]
+    sums = [sum(weights[i] for i in w) for w in windows]
+    level = min(0.2 * max(sums), 150)
+    holds = [i for i in range(n) if weights[i] * window >= level and any(i in w and x >= max(level, 1) for w, x in zip(windows, sums, strict=True))]
+    kept = []
+    for i in range(n):
+        before, after = [k for k in holds if k < i], [k for k in holds if k > i]
+        if i in holds:
+            kept.append(True)
+        elif not holds:
+            kept.append(False)
+        elif before and after:
+            kept.append(after[0] - before[-1] - 1 < 6)
+        elif after:
+            kept.append(after[0] < 6 and after[0] - i < window)
+        else:
+            kept.append(n - 1 - before[-1] < 6 and any(weights[i:]))
+    return kept
+
+
+def test_the_choice_of_lines_line_by_line():
+    rng = random.Random(4)
+    for _ in range(3000):
+        weights = [rng.choice([0, 0, 3, 20, 60, 90, 400]) for _ in range(rng.randrange(30))]
+        for window in (1, 3, 5):
+            if weights:
+                assert html_text.text_lines(weights, window) == plain_choice(weights, window)
+    assert html_text.text_lines([]) == [] and html_text.text_lines([0, 0, 0], marked=True) == [True] * 3
+
+
 @pytest.mark.parametrize("name", ["related-work", "header-image", "share-price", "commentary", "advert-free"])
 def test_names_that_only_contain_a_mark_are_kept(name):
     assert main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a\n\nb"
