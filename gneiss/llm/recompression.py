@@ -31,7 +31,7 @@ CHUNK = 6 << 20  # bytes of text that are counted together
 SEGMENT = 1 << 20  # windows of a text that are looked at together
 _U = np.uint64
 _SEEDS = np.random.Generator(np.random.PCG64(13)).integers(1, 2**63, size=8, dtype=np.uint64) * _U(2) + _U(1)
-_ROWS = "key long, more int, doc_id long, mark long, first int, many int, n int"
+_ROWS = "key long, tail long, doc_id long, mark long, many int, n int"  # tail: 31 more bits of the key, and the first window
 _PLACE = _U(24)
 
 
@@ -177,16 +177,17 @@ def _sent(key: np.ndarray, more: np.ndarray, place: np.ndarray, doc: np.ndarray,
     opens[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (f[1:] != f[:-1] + c[:-1])
     at = np.flatnonzero(opens)
     ends = np.append(at[1:], len(f)) - 1
+    tail = lambda more, first: (more.astype(np.int64) << 32) | first
+    nought = np.zeros(len(told), np.int64)
     cols = [
         np.concatenate([k[asks], mixed(d[at].astype(np.uint64) * _SEEDS[0] + f[at].astype(np.uint64) * _SEEDS[1] + r[at].astype(np.uint64)), k[told]]).view(np.int64),
-        np.concatenate([m[asks], np.zeros(len(at), np.int32), m[told]]),
-        np.concatenate([doc[asks], d[at], np.zeros(len(told), np.int64)]),
-        np.concatenate([mark[asks], r[at], np.zeros(len(told), np.int64)]),
-        np.concatenate([first[asks], f[at], np.zeros(len(told), np.int64)]).astype(np.int32),
-        np.concatenate([many[asks], f[ends] + c[ends] - f[at] if len(at) else f, np.zeros(len(told), np.int64)]).astype(np.int32),
+        np.concatenate([tail(m[asks], first[asks]), f[at], tail(m[told], nought)]),
+        np.concatenate([doc[asks], d[at], nought]),
+        np.concatenate([mark[asks], r[at], nought]),
+        np.concatenate([many[asks], f[ends] + c[ends] - f[at] if len(at) else f, nought]).astype(np.int32),
         np.concatenate([~again[asks], np.full(len(at), 2), np.full(len(told), 2)]).astype(np.int32),
     ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "more", "doc_id", "mark", "first", "many", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "tail", "doc_id", "mark", "many", "n"])
 
 
 def _revealing(window: int, size: int, segment: int):
@@ -236,8 +237,8 @@ def _comparing(window: int, size: int, segment: int):
 
 def _shared(rows: DataFrame) -> DataFrame:
     """``doc_id, mark, found``: for each text its stretches of windows whose key occurs more than once."""
-    total = F.sum("n").over(Window.partitionBy("key", "more"))
-    kept = rows.withColumn("total", total).where("total > 1 and many > 0")
+    total = F.sum("n").over(Window.partitionBy("key", F.shiftright("tail", 32)))
+    kept = rows.withColumn("total", total).where("total > 1 and many > 0").withColumn("first", F.col("tail").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     return kept.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "many")).alias("found"))
 
 
