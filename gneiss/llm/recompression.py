@@ -27,7 +27,7 @@ from gneiss.llm.shared import hash_powers, hashed_words, mixed, pieces, table, t
 WINDOW = 35
 ROUNDS = ("runs", "pairs", "pairs", "runs", "pairs", "pairs")
 WIDEST = 12  # words of a pair's symbol, at most, so that windows hold several
-CHUNK = 6 << 20  # bytes of text that are counted together
+CHUNK = 5 << 19  # bytes of text that are counted together
 SEGMENT = 1 << 20  # windows of a text that are looked at together
 _U = np.uint64
 _SEEDS = np.random.Generator(np.random.PCG64(13)).integers(1, 2**63, size=8, dtype=np.uint64) * _U(2) + _U(1)
