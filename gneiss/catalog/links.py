@@ -30,13 +30,6 @@ def spl14_split_edges(spark, d):
     return splits.split_edges(part_edges(spark, d), 0.05, 0.1, 4)
 
 
-@query()
-def spl14_spl16_non_edges(spark, d):
-    """Checked by properties: as many as asked for, ordered pairs, none an edge."""
-    e = part_edges(spark, d)
-    return splits.sampled_non_edges(e, G.nodes_of(e), 1000, 4)
-
-
 @query(f"WITH {PART_EDGES} SELECT src, dst, k, (('0x' || substr(md5('1:' || src || ':' || dst || ':' || k), 1, 12))::BIGINT % 2000)::BIGINT AS neg FROM edges, (SELECT unnest([1, 2])::INT AS k)")
 def smp6_neg_local(spark, d):
     return sampling.neg_local(part_edges(spark, d).select("src", "dst"), 2000, 2, 1)
@@ -118,6 +111,12 @@ def grf12_jaccard(spark, d):
     return spread(G.jaccard(supply_edges(spark, d), 0.5))
 
 
+@query(f"""WITH {P}, g AS (SELECT src AS node, count(*) AS d FROM near GROUP BY src), c AS (SELECT a.src AS a, b.src AS b, count(*) AS k FROM near a JOIN near b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL)
+SELECT a, b, round(k / (x.d + y.d - k), 6) AS similarity FROM c JOIN g x ON x.node = a JOIN g y ON y.node = b WHERE k >= 0.1 * (x.d + y.d - k)""")
+def grf12_jaccard_join(spark, d):
+    return spread(G.jaccard_join(part_edges(spark, d), 0.1))
+
+
 @query(f"""WITH {S}, a2 AS (SELECT a.src, b.dst, count(*) AS n FROM near a JOIN near b ON a.dst = b.src GROUP BY ALL), a3 AS (SELECT a.src, b.dst, sum(n) AS n FROM a2 a JOIN near b ON a.dst = b.src GROUP BY ALL)
 SELECT src, dst, round(sum(w), 6) AS w FROM (SELECT src, dst, 0.001::DOUBLE AS w FROM near UNION ALL SELECT src, dst, n * 0.001::DOUBLE ** 2 FROM a2 UNION ALL SELECT src, dst, n * 0.001::DOUBLE ** 3 FROM a3) GROUP BY ALL""")
 def grf13_katz(spark, d):
@@ -316,10 +315,18 @@ def sbm27_agg2_summarize_runs(spark, d):
     return B.summarize_runs(runs).withColumn("mean", F.round("mean", 4))
 
 
-@query()
+_F = "CASE WHEN {0} > 0 THEN {0} * ln({0}) ELSE 0 END"
+
+
+@query(f"""WITH {SUPPLY_EDGES}, {NATION}, x AS (SELECT src, dst, w::DOUBLE AS w FROM edges WHERE src <> dst UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst), k AS MATERIALIZED (SELECT x.src AS node, p.block AS t, sum(w) AS k FROM x JOIN part p ON p.node = x.dst GROUP BY ALL),
+e AS MATERIALIZED (SELECT p.block AS r, t AS s, sum(k) AS e FROM k JOIN part p USING (node) GROUP BY ALL), z AS (SELECT r, sum(e) AS z FROM e GROUP BY r), m AS MATERIALIZED (SELECT k.node, p.block AS o, k.t AS b FROM k JOIN part p USING (node) WHERE k.t <> p.block),
+d AS (SELECT node, b, r, s, sum(v) AS v FROM (SELECT m.node, b, unnest([{{'r': o, 's': t, 'v': -k}}, {{'r': t, 's': o, 'v': -k}}, {{'r': b, 's': t, 'v': k}}, {{'r': t, 's': b, 'v': k}}], recursive := true) FROM m JOIN k ON k.node = m.node) GROUP BY ALL),
+cells AS (SELECT node, b, sum({_F.format("(coalesce(e, 0) + v)")} - {_F.format("coalesce(e, 0)")}) AS g FROM d LEFT JOIN e USING (r, s) GROUP BY ALL), n AS (SELECT node, sum(k) AS n FROM k GROUP BY node),
+ends AS (SELECT m.node, m.b, -2 * ({_F.format("(zo.z - n)")} - {_F.format("zo.z")} + {_F.format("(zb.z + n)")} - {_F.format("zb.z")}) AS g FROM m JOIN n USING (node) JOIN z zo ON zo.r = m.o JOIN z zb ON zb.r = m.b)
+SELECT node, b AS block, round(cells.g + ends.g, 5) AS gain FROM cells JOIN ends USING (node, b)""")
 def sbm19_move_gains(spark, d):
-    """Checked against score differences in the tests."""
-    return B.move_gains(supply_edges(spark, d).where("src <> dst"), nation_part(spark, d))
+    """The change of every cell of every move, summed in SQL; checked against score differences in the tests."""
+    return spread(B.move_gains(supply_edges(spark, d).where("src <> dst"), nation_part(spark, d)), 5)
 
 
 def _multisets(n, k):

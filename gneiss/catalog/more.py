@@ -85,20 +85,34 @@ def fea15_adjacency_dummy(spark, d):
     return E.adjacency(*order_graphs(spark, d), dummy=True)
 
 
-_PAIRS = "one AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst), n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), free AS (SELECT a.node AS src, b.node AS dst FROM n a JOIN n b ON a.node < b.node EXCEPT SELECT src, dst FROM one)"
-@query(f"WITH {SUPPLY_EDGES}, {_PAIRS}, f AS (SELECT src, dst, row_number() OVER (ORDER BY md5('4:' || src || ':' || dst), src, dst) - 1 AS i, count(*) OVER () AS m FROM free) SELECT (i + k * m)::BIGINT AS place, src, dst FROM f, range(0, 1000) r(k) WHERE i < 400 AND i + k * m < 400")
+def drawn_sql(seed: int) -> str:
+    """SQL for all non-edges by the number that is turned into them: halves of the number are swapped and mixed with a hash four times."""
+    rounds = [f"r{k + 1} AS (SELECT k, mask, r AS l, xor(l, ('0x' || substr(md5('{seed}:{k}:' || r), 1, 8))::BIGINT & mask) AS r FROM r{k})" for k in range(4)]
+    return f"""one AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS place FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)),
+size AS (SELECT greatest(1, length(bin(count(*) - 1))) AS bits FROM n), r0 AS (SELECT k, (1::BIGINT << bits) - 1 AS mask, k >> bits AS l, k & ((1::BIGINT << bits) - 1) AS r FROM (SELECT unnest(range(1::BIGINT << (2 * bits))) AS k, bits FROM size)), {", ".join(rounds)},
+free AS (SELECT k, a.node AS src, b.node AS dst FROM r4 JOIN n a ON a.place = l JOIN n b ON b.place = r LEFT JOIN one o ON o.src = a.node AND o.dst = b.node WHERE l < r AND o.src IS NULL)"""
+
+
+@query(f"WITH {SUPPLY_EDGES}, {drawn_sql(4)}, f AS (SELECT src, dst, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS m FROM free) SELECT (i + k * m)::BIGINT AS place, src, dst FROM f, range(0, 1000) r(k) WHERE i < 400 AND i + k * m < 400")
 def smp4_neg_global(spark, d):
     e = supply_edges(spark, d)
     return sampling.neg_global(e, G.nodes_of(e), 400, 4)
 
 
-@query(f"""WITH {SUPPLY_EDGES}, {_PAIRS}, m AS (SELECT count(*) AS m, greatest(1, least(2, (SELECT count(*) FROM free) // count(*) - 1)) AS rate FROM one)
-SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY md5('5:' || src || ':' || dst), src, dst) AS i FROM free) JOIN m ON i <= m * rate""")
+@query(f"""WITH {SUPPLY_EDGES}, {drawn_sql(5)}, m AS (SELECT count(*) AS m, greatest(1, least(2, (SELECT count(*) FROM free) // count(*) - 1)) AS rate FROM one)
+SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY k) AS i FROM free) JOIN m ON i <= m * rate""")
 def spl16_train_negatives(spark, d):
     e = supply_edges(spark, d)
     return splits.train_negatives(e, G.nodes_of(e), 2, 5)
 
 
+@query(f"WITH {PART_EDGES}, {drawn_sql(4)} SELECT src, dst FROM free ORDER BY k LIMIT 1000")
+def spl14_spl16_non_edges(spark, d):
+    """On a sparse graph, by the same rule."""
+    e = part_edges(spark, d)
+    return splits.sampled_non_edges(e, G.nodes_of(e), 1000, 4)
+
+
 @query(f"WITH {NATION}, f AS (SELECT a.node AS a, b.node AS b FROM part a JOIN part b ON a.block = b.block AND a.node < b.node UNION SELECT node, node + 1 FROM part) SELECT a, b FROM f ORDER BY md5('6:' || a || ':' || b), a, b LIMIT 50")
 def smp10_sample_pairs(spark, d):
     part = nation_part(spark, d)
@@ -291,3 +305,22 @@ def src9_labels_of_types(spark, d):
     regions = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("node_type"), (F.col("r_regionkey") > 1).alias("has_label"))
     labels = table(spark, d, "nation").join(regions.drop("has_label"), "n_regionkey").select("node_type", F.col("n_nationkey").alias("place"), F.col("n_name").alias("label"))
     return tables.labels_of_types(labels, regions.select("node_type", "has_label"))
+
+
+@query("SELECT l_orderkey AS graph_id, l_linenumber AS node_id, round(avg(l_quantity * l_discount + l_tax * l_quantity), 6) AS score FROM lineitem GROUP BY ALL")
+def xpl9_dot_scores(spark, d):
+    """Quantity and tax as activations, discount and quantity as their gradients; a line's rows are layers."""
+    layers = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("node_id"), F.array("l_quantity", "l_tax").cast("array<double>").alias("activation"), F.array("l_discount", "l_quantity").cast("array<double>").alias("gradient"))
+    return spread(X.dot_scores(layers))
+
+
+@query("SELECT l_orderkey AS graph_id, l_suppkey AS node_id, round(sum((l_tax + 1) * l_quantity) / 10, 6) AS score FROM lineitem GROUP BY ALL")
+def xpl10_path_scores(spark, d):
+    steps = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_suppkey").alias("node_id"), (F.col("l_tax") + 1).alias("gradient"), F.col("l_quantity").alias("difference"))
+    return spread(X.path_scores(steps, 10))
+
+
+@query("SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 'test' WHEN '2-HIGH' THEN 'valid' ELSE 'train' END AS role FROM orders")
+def spl12_split_defined(spark, d):
+    """Three parts by the values of a column."""
+    return splits.split_defined(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "1-URGENT", valid="2-HIGH")

@@ -7,6 +7,7 @@ are sums over them.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,21 +168,40 @@ def nmi(a: DataFrame, b: DataFrame) -> DataFrame:
     return row.select("h1", "h2", mi.alias("mi"), F.when((F.col("h1") > 1e-12) & (F.col("h2") > 1e-12), mi / F.sqrt(F.col("h1") * F.col("h2"))).otherwise(0.0).alias("nmi"))
 
 
-def _gain(x: Column) -> Column:
-    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+def em_partition(edges: DataFrame, part: DataFrame, rounds: int | None = None, name: str = "DCKN", least: float = 0.001) -> DataFrame:
+    """``node, block`` by synchronous rounds: each node takes the block with the largest gain of the score ``name``, if that is over ``least``.
 
-
-def em_partition(edges: DataFrame, part: DataFrame, rounds: int = 5) -> DataFrame:
-    """Synchronous rounds: nodes of one hash half move to the block with the most edges for its size; the last node never leaves a block."""
-    now = written(part)
-    for r in range(rounds):
-        sizes = now.groupBy("block").agg(F.count("*").alias("n"))
-        k = node_block_edges(edges, now).join(sizes, "block").withColumn("v", F.col("k") / F.col("n"))
-        best = k.groupBy("node").agg(F.max_by("block", F.struct("v", -F.col("block"))).alias("to"))
-        keep = now.groupBy("block").agg(F.min("node").alias("node")).select("node", F.lit(True).alias("_keep"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        met = now.join(best, "node", "left").join(keep, "node", "left")
-        now = written(met.select("node", F.when(turn & F.col("_keep").isNull(), F.coalesce("to", "block")).otherwise(F.col("block")).alias("block")))
+    Gains are those of :func:`move_gains`, of moves one at a time. Moves made together can undo each other, so a round counts only if
+    the score of all rises; else half of its moves are made, by a hash, then a quarter, and in the end the single best one, which
+    rises by its gain. Rounds end when no move gains. A node that is alone in its block stays, and the smallest of a block's nodes stays if all would
+    leave, so no block is lost.
+    """
+    now = written(part.select("node", "block"))
+    value = score(edges, now, name).first()[0]
+    done = 0
+    while rounds is None or done < rounds:
+        best = move_gains(edges, now, name).where(F.col("gain") > least).groupBy("node").agg(F.max_by("block", F.struct("gain", -F.col("block"))).alias("to"), F.max("gain").alias("gain"))
+        met = now.join(best, "node", "left")
+        leaves = met.groupBy("block").agg(F.count("*").alias("n"), F.count("to").alias("m"), F.min("node").alias("_stays"))
+        able = met.where("to is not null").join(leaves, "block").where("n > 1 and not (n = m and node = _stays)").select("node", "to", "gain")
+        able = written(able)
+        if able.isEmpty():
+            return now
+        share = 1
+        while True:
+            turn = F.pmod(F.xxhash64("node", F.lit(done)), F.lit(share)) == 0
+            if share > 64:
+                one = able.agg(F.max_by(F.struct("node", "to"), F.struct("gain", -F.col("node"))).alias("m")).first()["m"]
+                turn = F.col("node") == one["node"]
+            new = written(now.join(able.where(turn).select("node", "to"), "node", "left").select("node", F.coalesce("to", "block").alias("block")))
+            got = score(edges, new, name).first()[0]
+            if got > value:
+                now, value = new, got
+                break
+            if share > 64:
+                return now
+            share *= 2
+        done += 1
     return now
 
 
@@ -225,27 +245,65 @@ def scores_by_blocks(edges: DataFrame, parts: dict[int, DataFrame], name: str) -
     return out
 
 
-def move_gains(edges: DataFrame, part: DataFrame) -> DataFrame:
-    """``node, block, gain``: change of the DCKN score when a node without loops moves to each block it has edges to.
+def _dense_cell(e: Column, places: Column) -> Column:
+    """What a pair of blocks with ``e`` edge ends in ``places`` adds to twice the score SPD."""
+    p = e / F.nullif(places, F.lit(0))
+    entropy = -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
+    return F.when((e > 0) & (p < 1), -e * entropy).otherwise(0.0)
+
 
-    With ``f(x) = x log x`` the score is the sum of ``f(e_rs)`` less twice the sum of ``f(k_r)``, so a move changes only the
-    counts of its two blocks with each block the node or those blocks touch.
+def move_gains(edges: DataFrame, part: DataFrame, name: str = "DCKN", blocks: Sequence[int] | None = None) -> DataFrame:
+    """``node, block, gain``: change of the undirected score ``name`` when a node moves to each block it has edges to, or to each of ``blocks``.
+
+    SKN, DCKN, SPS and DCP are sums of ``x log x`` of the counts of pairs of blocks, and of a term of each block's size or degree. So
+    a move changes those of its two blocks, and of pairs of one of these with blocks that the node has edges to. SPD also divides by
+    sizes: what all pairs of a block change by when it grows or shrinks by a node is summed for each block once, and corrected where the
+    node has edges. A loop moves with its node. A node that is alone in its block may leave it. Nodes of ``edges`` have a block.
     """
+    name = name.upper()
     k = written(node_block_edges(edges, part))
     e = written(block_edges(edges, part))
-    degree = k.groupBy("node").agg(F.sum("k").alias("d"))
-    ends = e.groupBy(F.col("r").alias("block")).agg(F.sum("e").alias("kr"))
-    moves = k.select("node", F.col("block").alias("to")).join(part.select("node", F.col("block").alias("of")), "node").where("to <> of").join(degree, "node")
-    kv = k.select("node", F.col("block").alias("t"), F.col("k").alias("kt"))
-    count = lambda x, y, name: e.select(F.col("r").alias(x), F.col("s").alias(y), F.col("e").alias(name))
-    own = lambda c, name: k.select("node", F.col("block").alias(c), F.col("k").alias(name))
-    # Blocks apart from the two: only those the node touches change.
-    third = moves.join(kv, "node").where("t <> to and t <> of").join(count("of", "t", "a"), ["of", "t"], "left").join(count("to", "t", "b"), ["to", "t"], "left").fillna(0, ["a", "b"])
-    outer = third.groupBy("node", "to").agg(F.sum(2 * (xlogx(F.col("a") - F.col("kt")) - xlogx(F.col("a")) + xlogx(F.col("b") + F.col("kt")) - xlogx(F.col("b")))).alias("x"))
+    loops = edges.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("l"))
+    nodes = part.join(k.groupBy("node").agg(F.sum("k").alias("d")), "node", "left").join(loops, "node", "left").fillna(0, ["d", "l"])
+    nodes = written(nodes.select("node", F.col("block").alias("of"), "l", (F.col("d") + 2 * F.col("l")).alias("d")))
+    stats = written(part.groupBy("block").agg(F.count("*").alias("n")).join(e.groupBy(F.col("r").alias("block")).agg(F.sum("e").alias("kr")), "block", "left").fillna(0, ["kr"]))
+    if blocks is None:
+        moves = k.select("node", F.col("block").alias("to")).join(nodes, "node").where("to <> of")
+    else:
+        moves = nodes.withColumn("to", F.explode(F.array(*(F.lit(b) for b in blocks)))).where("to <> of")
+    moves = moves.join(stats.select(F.col("block").alias("of"), F.col("n").alias("no"), F.col("kr").alias("dr")), "of")
+    moves = moves.join(stats.select(F.col("block").alias("to"), F.col("n").alias("nt"), F.col("kr").alias("ds")), "to", "left").fillna(0, ["nt", "ds"])
+    count = lambda x, y, c: e.select(F.col("r").alias(x), F.col("s").alias(y), F.col("e").alias(c))
+    own = lambda c, value: k.select("node", F.col("block").alias(c), F.col("k").alias(value))
+    c = F.col
     two = moves.join(own("of", "ko"), ["node", "of"], "left").join(own("to", "kn"), ["node", "to"], "left")
     two = two.join(count("of", "of2", "rr").where("of = of2").drop("of2"), "of", "left").join(count("to", "to2", "ss").where("to = to2").drop("to2"), "to", "left").join(count("of", "to", "rs"), ["of", "to"], "left").fillna(0, ["ko", "kn", "rr", "ss", "rs"])
-    two = two.join(ends.select(F.col("block").alias("of"), F.col("kr").alias("dr")), "of").join(ends.select(F.col("block").alias("to"), F.col("kr").alias("ds")), "to")
-    c = F.col
-    inner = xlogx(c("rr") - 2 * c("ko")) - xlogx(c("rr")) + xlogx(c("ss") + 2 * c("kn")) - xlogx(c("ss")) + 2 * (xlogx(c("rs") + c("ko") - c("kn")) - xlogx(c("rs")))
-    sizes = -2 * (xlogx(c("dr") - c("d")) - xlogx(c("dr")) + xlogx(c("ds") + c("d")) - xlogx(c("ds")))
-    return two.join(outer, ["node", "to"], "left").select("node", c("to").alias("block"), (inner + sizes + F.coalesce("x", F.lit(0.0))).alias("gain"))
+    touched = moves.join(k.select("node", c("block").alias("t"), c("k").alias("kt")), "node").where("t <> to and t <> of").join(count("of", "t", "a"), ["of", "t"], "left").join(count("to", "t", "b"), ["to", "t"], "left").fillna(0, ["a", "b"])
+    rr, ss, rs = c("rr") - 2 * c("ko") - 2 * c("l"), c("ss") + 2 * c("kn") + 2 * c("l"), c("rs") + c("ko") - c("kn")
+    if name == "SPD":
+        sized = e.join(stats.select(c("block").alias("r"), c("n").alias("nr")), "r").join(stats.select(c("block").alias("s"), c("n").alias("ns")), "s").where("r <> s")
+        cell = _dense_cell
+        change = lambda by: F.sum(cell(c("e"), (c("nr") + by) * c("ns")) - cell(c("e"), c("nr") * c("ns")))
+        base = written(sized.groupBy(c("r").alias("block")).agg(change(-1).alias("less"), change(1).alias("more")))
+        third = touched.join(stats.select(c("block").alias("t"), c("n").alias("m")), "t")
+        # Beside the sums for whole blocks: cells that the node has edges to.
+        less, more = (c("no") - 1) * c("m"), (c("nt") + 1) * c("m")
+        outer = third.groupBy("node", "to").agg(F.sum(2 * (cell(c("a") - c("kt"), less) - cell(c("a"), less) + cell(c("b") + c("kt"), more) - cell(c("b"), more))).alias("x"))
+        met = two.join(base.select(c("block").alias("of"), "less"), "of", "left").join(base.select(c("block").alias("to"), "more"), "to", "left").fillna(0.0, ["less", "more"])
+        no, nt = c("no"), c("nt")
+        # The cell of the two blocks is in both sums, with one size changed; it is taken out of them and counted with both.
+        both = 2 * (cell(rs, (no - 1) * (nt + 1)) - cell(c("rs"), no * nt)) - 2 * (cell(c("rs"), (no - 1) * nt) - cell(c("rs"), no * nt)) - 2 * (cell(c("rs"), no * (nt + 1)) - cell(c("rs"), no * nt))
+        inner = cell(rr, (no - 1) * (no - 1)) - cell(c("rr"), no * no) + cell(ss, (nt + 1) * (nt + 1)) - cell(c("ss"), nt * nt)
+        gain = (inner + both + 2 * (c("less") + c("more")) + F.coalesce("x", F.lit(0.0))) / 2
+        return met.join(outer, ["node", "to"], "left").select("node", c("to").alias("block"), gain.alias("gain"))
+    outer = touched.groupBy("node", "to").agg(F.sum(2 * (xlogx(c("a") - c("kt")) - xlogx(c("a")) + xlogx(c("b") + c("kt")) - xlogx(c("b")))).alias("x"))
+    inner = xlogx(rr) - xlogx(c("rr")) + xlogx(ss) - xlogx(c("ss")) + 2 * (xlogx(rs) - xlogx(c("rs")))
+    if name in ("DCKN", "DCP"):
+        sizes = -2 * (xlogx(c("dr") - c("d")) - xlogx(c("dr")) + xlogx(c("ds") + c("d")) - xlogx(c("ds")))
+    elif name in ("SKN", "SPS"):
+        of_size = lambda degree, n: F.when(n > 0, degree * F.log(F.greatest(n, F.lit(1)))).otherwise(0.0)
+        sizes = -2 * (of_size(c("dr") - c("d"), c("no") - 1) - of_size(c("dr"), c("no")) + of_size(c("ds") + c("d"), c("nt") + 1) - of_size(c("ds"), c("nt")))
+    else:
+        raise ValueError(f"unknown score: {name}")
+    half = 0.5 if name in ("SPS", "DCP") else 1.0
+    return two.join(outer, ["node", "to"], "left").select("node", c("to").alias("block"), ((inner + sizes + F.coalesce("x", F.lit(0.0))) * half).alias("gain"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions.metrics import metrics, roc_auc
 from gneiss.operators.features import wl_key
-from gneiss.plans.store import until_settled
+from gneiss.plans.store import until_settled, written
 
 
 def merge_bond_scores(nodes: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -65,16 +65,24 @@ def mark_bonds(bonds: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def parts_of(nodes: DataFrame, bonds: DataFrame) -> DataFrame:
-    """``graph_id, node_id, part``: connected parts of chosen nodes within their graphs, named by the smallest node."""
-    chosen = nodes.select("graph_id", "node_id")
+    """``graph_id, node_id, part``: connected parts of chosen nodes within their graphs, named by the smallest node.
+
+    Neighbours' minima, then jumps to the part's part, so that a chain takes rounds in the logarithm of its length.
+    """
+    chosen = nodes.select("graph_id", "node_id").distinct()
     ends = bonds.select("graph_id", "src", "dst").join(chosen.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi").join(chosen.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi")
-    both = ends.unionByName(ends.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = written(ends.unionByName(ends.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
 
     def step(now: DataFrame) -> DataFrame:
         low = both.join(now.select("graph_id", F.col("node_id").alias("dst"), "part"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.min("part").alias("_m"))
-        return now.join(low, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("part", F.coalesce("_m", "part")).alias("part"))
-
-    return until_settled(chosen.withColumn("part", F.col("node_id")), step, lambda df: df.agg(F.sum("part")).first()[0])
+        met = written(now.join(low, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "part", F.least("part", F.coalesce("_m", "part")).alias("_to")))
+        # What a part's namesake has found goes to all of the part, and what its new namesake bears.
+        hook = met.groupBy("graph_id", F.col("part").alias("_of")).agg(F.min("_to").alias("_h"))
+        moved = met.join(hook.withColumnRenamed("_of", "part"), ["graph_id", "part"]).select("graph_id", "node_id", F.least("_to", "_h").alias("part"))
+        jump = moved.select("graph_id", F.col("node_id").alias("part"), F.col("part").alias("_j"))
+        return moved.join(jump, ["graph_id", "part"]).select("graph_id", "node_id", F.col("_j").alias("part"))
+
+    return until_settled(chosen.withColumn("part", F.col("node_id")), step, lambda df: df.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0])
 
 
 def top_fragments(nodes: DataFrame, bonds: DataFrame, key: str, eps: float, k: int, least: int = 2) -> DataFrame:

@@ -139,6 +139,30 @@ def jaccard(edges: DataFrame, percentile: float | None = None) -> DataFrame:
     return sims.where(F.col("similarity") >= quantile(sims, "similarity", percentile))
 
 
+def jaccard_join(edges: DataFrame, least: float) -> DataFrame:
+    """``a, b, similarity`` of all pairs ``a < b`` whose neighbour sets have a Jaccard similarity of ``least`` (above 0) or more.
+
+    Neighbours are ordered from the rarest to the commonest. Two sets that are alike share one of the first ``d - ceil(least * d) + 1`` of
+    each, so only those are indexed: a hub is last in all sets and hardly ever meets all that it joins. Candidates also need sizes
+    in proportion, and are counted along the smaller set's neighbours by an equi-join. Long lists are split by adaptive execution.
+    """
+    near = written(neighbours(edges))
+    degree = near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    size = lambda name, d: degree.select(F.col("node").alias(name), F.col("d").alias(d))
+    placed = near.join(size("dst", "df"), "dst").join(size("src", "d"), "src")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("df", "dst"))
+    first = written(placed.withColumn("i", place).where(F.col("i") <= F.col("d") - F.ceil(F.col("d") * least - 1e-9) + 1).select("src", "dst", "d", "i"))
+    side = lambda n: first.select("dst", F.col("src").alias(n), F.col("d").alias(f"d{n}"), F.col("i").alias(f"i{n}"))
+    # What follows both places bounds what can still be shared.
+    rest = 1 + F.least(F.col("da") - F.col("ia"), F.col("db") - F.col("ib")) + F.least("ia", "ib") - 1
+    fits = (F.least("da", "db") >= least * F.greatest("da", "db") - 1e-9) & (rest * (1 + least) >= least * (F.col("da") + F.col("db")) - 1e-9)
+    pairs = side("a").join(side("b"), "dst").where("a < b").where(fits).select("a", "b", "da", "db").distinct()
+    pairs = written(pairs.select("a", "b", "da", "db", F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("u"), F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("v")))
+    met = pairs.join(near.select(F.col("src").alias("u"), F.col("dst").alias("m")), "u").join(near.select(F.col("src").alias("v"), F.col("dst").alias("m")), ["v", "m"])
+    counts = met.groupBy("a", "b", "da", "db").agg(F.count("*").alias("common"))
+    return counts.select("a", "b", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def quantile(df: DataFrame, value: str, share: float) -> float | None:
     """The exact quantile, between two values in proportion, from the counts of different values: those are summed, never held in one task."""
     counts = running_sum(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_upto")
@@ -226,29 +250,74 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.col("inside") / m2 - (F.col("ends") / m2) ** 2).alias("modularity"))
 
 
-def louvain(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """``node, block`` by synchronous local moves: a node joins the neighbouring block with the largest gain; alternate halves move, so that two can't swap for ever."""
-    near = written(neighbours(edges))
-    degree = near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
-    m2 = near.count()
-    now = degree.select("node", "d", F.col("node").alias("block"))
-    for r in range(rounds):
-        sizes = now.groupBy("block").agg(F.sum("d").alias("size"))
-        links = near.join(now.select(F.col("node").alias("dst"), F.col("block").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.count("*").alias("k"))
-        met = links.join(now, "node").join(sizes.withColumnRenamed("block", "to"), "to")
-        gain = F.col("k") - F.col("d") * (F.col("size") - F.when(F.col("to") == F.col("block"), F.col("d")).otherwise(0)) / m2
-        best = met.groupBy("node").agg(F.max_by("to", F.struct(gain, -F.col("to"))).alias("to"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        now = written(now.join(best, "node", "left").select("node", "d", F.when(turn, F.coalesce("to", "block")).otherwise(F.col("block")).alias("block")))
-    return now.select("node", "block")
+def _weighted_modularity(edges: DataFrame, now: DataFrame) -> float:
+    """Of ``edges(src, dst, w)`` in both directions, a loop once with twice its weight, under ``now(node, block, d)``."""
+    met = edges.join(now.select(F.col("node").alias("src"), F.col("block").alias("r")), "src").join(now.select(F.col("node").alias("dst"), F.col("block").alias("s")), "dst")
+    inside, m2 = met.agg(F.sum(F.when(F.col("r") == F.col("s"), F.col("w"))), F.sum("w")).first()
+    if not m2:
+        return 0.0
+    return (inside or 0.0) / m2 - now.groupBy("block").agg(F.sum("d").alias("d")).agg(F.sum((F.col("d") / m2) ** 2)).first()[0]
 
 
-def spectral(edges: DataFrame, k: int) -> DataFrame:
-    """``node, block`` by power-iteration clustering."""
-    from pyspark.ml.clustering import PowerIterationClustering
+def _moved(edges: DataFrame, now: DataFrame, m2: float, least: float) -> tuple[DataFrame, float]:
+    """Rounds of synchronous moves to the neighbouring block with the largest gain, as long as modularity rises by ``least``.
 
-    pairs = neighbours(edges).where("src < dst").withColumn("w", F.lit(1.0))
-    return PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="w").assignClusters(pairs).select(F.col("id").alias("node"), F.col("cluster").alias("block"))
+    A round moves all nodes that gain; if that lowers modularity, as when two swap, half of them by a hash, a quarter, and so on.
+    """
+    value = _weighted_modularity(edges, now)
+    r, part = 0, 1
+    while True:
+        sizes = now.groupBy("block").agg(F.sum("d").alias("size"))
+        links = edges.where("src <> dst").join(now.select(F.col("node").alias("dst"), F.col("block").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("w").alias("k"))
+        met = links.join(now, "node").join(sizes.withColumnRenamed("block", "to"), "to")
+        gain = F.col("k") - F.col("d") * (F.col("size") - F.when(F.col("to") == F.col("block"), F.col("d")).otherwise(0)) / m2
+        best = met.groupBy("node").agg(F.max_by("to", F.struct(gain, -F.col("to"))).alias("to"), F.max(gain).alias("g"), F.max(F.when(F.col("to") == F.col("block"), gain)).alias("own"))
+        # A node without edges inside its block has its own degree to set against.
+        alone = now.join(sizes, "block").select("node", (-F.col("d") * (F.col("size") - F.col("d")) / m2).alias("stay"))
+        better = written(best.join(alone, "node").where(F.col("g") > F.coalesce("own", "stay") + 1e-12).select("node", "to"))
+        if better.isEmpty():
+            return now, value
+        while True:
+            turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(part)) == 0
+            new = written(now.join(better.where(turn), "node", "left").select("node", F.coalesce("to", "block").alias("block"), "d"))
+            got = _weighted_modularity(edges, new)
+            r += 1
+            if got > value + least:
+                now, value, part = new, got, max(1, part // 2)
+                break
+            if part > 64:
+                return now, value
+            part *= 2
+
+
+def louvain(edges: DataFrame, least: float = 1e-4) -> DataFrame:
+    """``node, block``: communities by levels of modularity, each named by its smallest node.
+
+    A level moves nodes between blocks as long as modularity rises by ``least`` a round, then contracts each block to a node whose loop
+    holds its inner edges. Levels end when one moves nothing, so modularity never falls. The graph is undirected and simple.
+    """
+    near = written(neighbours(edges).withColumn("w", F.lit(1.0)))
+    m2 = float(near.count())
+    of = None
+    while True:
+        degree = near.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
+        start = written(degree.select("node", F.col("node").alias("block"), "d"))
+        now, _ = _moved(near, start, m2, least) if m2 else (start, 0.0)
+        names = now.groupBy("block").agg(F.min("node").alias("name"))
+        level = written(now.join(names, "block").select("node", F.col("name").alias("block")))
+        of = level if of is None else written(of.join(level.select(F.col("node").alias("block"), F.col("block").alias("_up")), "block").select("node", F.col("_up").alias("block")))
+        if level.where("node <> block").isEmpty():
+            return of
+        met = near.join(level.select(F.col("node").alias("src"), F.col("block").alias("r")), "src").join(level.select(F.col("node").alias("dst"), F.col("block").alias("s")), "dst")
+        near = written(met.groupBy(F.col("r").alias("src"), F.col("s").alias("dst")).agg(F.sum("w").alias("w")))
+
+
+def spectral(edges: DataFrame, k: int, how: str = "normalized", seed: int = 0, least: float = 1e-4) -> DataFrame:
+    """``node, block``: k-means on the ``k`` leading eigenvectors of the graph, rows scaled to length 1, from :mod:`gneiss.operators.spectra`; its rounds end when no eigenvalue moves by ``least``."""
+    from gneiss.operators import spectra
+
+    vectors, _ = spectra.eigenvectors(edges, k, how, least=least)
+    return spectra.clustered(vectors, k, seed)
 
 
 def same_group_pairs(partition: DataFrame) -> DataFrame:

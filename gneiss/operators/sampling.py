@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators.splits import by_class, sampled_non_edges
-from gneiss.plans.rank import hash_order, in_intervals, running_sum, with_index
+from gneiss.operators.splits import by_class, numbered_non_edges
+from gneiss.plans.rank import first_by_hash, hash_order, in_intervals, running_sum, with_index
 from gneiss.plans.store import written
 
 
@@ -52,7 +52,7 @@ def neg_permuted(negatives: DataFrame, copies: int, seed: int = 0) -> DataFrame:
 
 def neg_global(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``place, src, dst``: ``n`` non-edges; where there are fewer, they are taken again from the first on."""
-    found = with_index(sampled_non_edges(edges, nodes, n, seed), hash_order(seed, "src", "dst"), "src", "dst", name="place")
+    found = written(numbered_non_edges(edges, nodes, n, seed))
     have = found.count()
     if not have or have >= n:
         return found.select("place", "src", "dst")
@@ -63,7 +63,7 @@ def neg_global(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> Dat
 def sample_pairs(factual: DataFrame, counterfactual: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` different pairs ``a, b`` of both tables, the first by a hash."""
     both = factual.select("a", "b").unionByName(counterfactual.select("a", "b")).distinct()
-    return both.orderBy(hash_order(seed, "a", "b"), "a", "b").limit(n)
+    return first_by_hash(both, n, seed, "a", "b")
 
 
 def pos_neg_pairs(edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -92,5 +92,5 @@ def draw_nodes(edges: DataFrame, n: int, power: float = 0.75, seed: int = 0) ->
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
-    """``n`` rows without replacement, the first in hash order."""
-    return df.orderBy(hash_order(seed, *ids), *ids).limit(n)
+    """``n`` rows without replacement, the first in hash order of ``ids``; of rows with equal ids that only some fit, any."""
+    return first_by_hash(df, n, seed, *ids)

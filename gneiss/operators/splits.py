@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.plans.rank import hash_order, running_sum, with_index
@@ -134,31 +134,46 @@ def split_edges(edges: DataFrame, valid: float, test: float, seed: int = 0) -> D
     return ranked.select("src", "dst", F.when(F.col("_i") < a, "valid").when(F.col("_i") < b, "test").otherwise("train").alias("role"))
 
 
-def sampled_non_edges(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` different unordered pairs that aren't edges, or all of them where there are fewer.
+def _drawn_pairs(spark: SparkSession, first: int, last: int, bits: int, seed: int) -> DataFrame:
+    """``id, i, j`` for the numbers from ``first`` to ``last``: each number is another pair of ``bits`` bits each, by four rounds that swap and mix halves with a hash."""
+    mask = (1 << bits) - 1
+    df = spark.range(first, last).select("id", F.shiftright("id", bits).alias("i"), F.col("id").bitwiseAND(F.lit(mask)).alias("j"))
+    for r in range(4):
+        mixed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{r}:"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
+        df = df.select("id", F.col("j").alias("i"), F.col("i").bitwiseXOR(mixed.bitwiseAND(F.lit(mask))).alias("j"))
+    return df
+
 
-    Pairs of hashed nodes are drawn, less the edges, until there are enough. Where a quarter of all pairs or more would be
-    drawn or are edges, all pairs are fewer than four times those together, so they are listed and cut in hash order.
+def numbered_non_edges(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``place, src, dst``: ``n`` different unordered pairs of ``nodes`` that aren't edges, or all of them where there are fewer.
+
+    The numbers from 0 on are turned into pairs one to one; pairs that are ordered, exist and aren't edges are taken as they come. The rule is
+    the same for dense and sparse graphs, no pair is drawn twice, and as many numbers are drawn as the shares of edges and of other pairs
+    ask for, and more if that was too few. Up to 2**31 nodes.
     """
     indexed = written(with_index(nodes.select("node").distinct(), "node", name="at"))
     count = indexed.count()
-    known = written(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    every = count * (count - 1) // 2
-    n = min(n, every - known.count())
-    if every <= 4 * (n + known.count()):
-        pairs = indexed.select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at") - 1)).alias("at")).where("at >= 0") if count > 1 else indexed.limit(0).select(F.col("node").alias("u"), "at")
-        pairs = pairs.join(indexed.select("at", F.col("node").alias("v")), "at").where("u <> v").select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct()
-        return pairs.join(known, ["src", "dst"], "left_anti").orderBy(hash_order(seed, "src", "dst"), "src", "dst").limit(n)
-    pick = lambda k, salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), k.cast("string"))), 1, 12), 16, 10).cast("long") % count
-    first, have = 0, None
-    while True:
-        drawn = edges.sparkSession.range(first, first + 2 * n + 100).select("id", pick(F.col("id"), "a").alias("a"), pick(F.col("id"), "b").alias("b"))
-        named = drawn.join(indexed.select(F.col("at").alias("a"), F.col("node").alias("u")), "a").join(indexed.select(F.col("at").alias("b"), F.col("node").alias("v")), "b")
-        pairs = named.where("u <> v").select("id", F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).join(known, ["src", "dst"], "left_anti").select("src", "dst", "id")
-        have = written((pairs if have is None else have.unionByName(pairs)).groupBy("src", "dst").agg(F.min("id").alias("id")))
-        if have.count() >= n:
-            return have.orderBy("id").limit(n).select("src", "dst")
-        first += 2 * n + 100
+    end = lambda name, at: indexed.select(F.col("node").alias(name), F.col("at").alias(at))
+    known = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    known = written(known.join(end("src", "i"), "src").join(end("dst", "j"), "dst").select("i", "j"))
+    free = count * (count - 1) // 2 - known.count()
+    n = min(n, free)
+    bits = max(1, (count - 1).bit_length())
+    first, whole, have, found = 0, 1 << (2 * bits), None, 0
+    while found < n:
+        last = min(whole, first + int((n - found) * whole / free * 1.05) + 1000)
+        new = _drawn_pairs(edges.sparkSession, first, last, bits, seed).where("i < j").where(F.col("j") < count).join(known, ["i", "j"], "left_anti")
+        have = written(new if have is None else have.unionByName(new))
+        first, found = last, have.count()
+    if have is None:
+        return indexed.select(F.col("at").alias("place"), F.col("node").alias("src"), F.col("node").alias("dst")).limit(0)
+    taken = with_index(have, "id", name="place").where(F.col("place") < n)
+    return taken.join(end("src", "i"), "i").join(end("dst", "j"), "j").select("place", "src", "dst")
+
+
+def sampled_non_edges(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``src, dst`` of :func:`numbered_non_edges`."""
+    return numbered_non_edges(edges, nodes, n, seed).select("src", "dst")
 
 
 def train_negatives(edges: DataFrame, nodes: DataFrame, rate: int, seed: int = 0) -> DataFrame:

@@ -51,3 +51,19 @@ def hash_order(seed: int | str, *ids: str | Column) -> Column:
     """A reproducible random order: md5 of the seed and the ids; the same in any SQL engine."""
     cols = [F.col(i) if isinstance(i, str) else i for i in ids]
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *(c.cast("string") for c in cols))))
+
+
+def first_by_hash(df: DataFrame, n: int, seed: int | str, *ids: str, digits: int = 5) -> DataFrame:
+    """The first ``n`` rows of ``df`` by :func:`hash_order` of ``ids``, or all where there are fewer, without a sort of the table or a task that holds ``n``.
+
+    Rows are counted by the first ``digits`` of their hashes. Those before the digits that hold the n-th row are kept as they are; only
+    the rows that share its digits are brought in order, in range partitions.
+    """
+    hashed = written(df.withColumn("_h", hash_order(seed, *ids)))
+    counts = written(running_sum(hashed.groupBy(F.substring("_h", 1, digits).alias("_d")).agg(F.count("*").alias("_n")), "_d", "_n", "_upto"))
+    edge = counts.where(F.col("_upto") >= n).agg(F.min(F.struct("_d", (F.col("_upto") - F.col("_n")).alias("before")))).first()[0]
+    if edge is None:
+        return hashed.drop("_h")
+    own = F.substring("_h", 1, digits)
+    last = with_index(hashed.where(own == edge["_d"]), "_h", *ids, name="_i").where(F.col("_i") < n - edge["before"])
+    return hashed.where(own < edge["_d"]).drop("_h").unionByName(last.drop("_h", "_i"))

@@ -30,14 +30,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def until_settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Callable[[DataFrame], object], most: int = 100) -> DataFrame:
+def until_settled(df: DataFrame, step: Callable[[DataFrame], DataFrame], mark: Callable[[DataFrame], object]) -> DataFrame:
     """``step`` again and again until ``mark`` (a small aggregate) stays the same; each round is written."""
     now = written(df)
     seen = mark(now)
-    for _ in range(most):
+    while True:
         now = written(step(now))
         got = mark(now)
         if got == seen:
             return now
         seen = got
-    raise RuntimeError(f"not settled in {most} rounds")
