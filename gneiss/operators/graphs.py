@@ -265,7 +265,7 @@ def _moved(edges: DataFrame, now: DataFrame, m2: float, least: float) -> tuple[D
     A round moves all nodes that gain; if that lowers modularity, as when two swap, half of them by a hash, a quarter, and so on.
     """
     value = _weighted_modularity(edges, now)
-    r, part = 0, 1
+    r, part = 0, 2
     while True:
         sizes = now.groupBy("block").agg(F.sum("d").alias("size"))
         links = edges.where("src <> dst").join(now.select(F.col("node").alias("dst"), F.col("block").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("w").alias("k"))
@@ -285,12 +285,12 @@ def _moved(edges: DataFrame, now: DataFrame, m2: float, least: float) -> tuple[D
             if got > value + least:
                 now, value, part = new, got, max(1, part // 2)
                 break
-            if part > 64:
+            if part > 16:
                 return now, value
             part *= 2
 
 
-def louvain(edges: DataFrame, least: float = 1e-4) -> DataFrame:
+def louvain(edges: DataFrame, least: float = 1e-3) -> DataFrame:
     """``node, block``: communities by levels of modularity, each named by its smallest node.
 
     A level moves nodes between blocks as long as modularity rises by ``least`` a round, then contracts each block to a node whose loop
@@ -312,7 +312,7 @@ def louvain(edges: DataFrame, least: float = 1e-4) -> DataFrame:
         near = written(met.groupBy(F.col("r").alias("src"), F.col("s").alias("dst")).agg(F.sum("w").alias("w")))
 
 
-def spectral(edges: DataFrame, k: int, how: str = "normalized", seed: int = 0, least: float = 1e-4) -> DataFrame:
+def spectral(edges: DataFrame, k: int, how: str = "normalized", seed: int = 0, least: float = 1e-3) -> DataFrame:
     """``node, block``: k-means on the ``k`` leading eigenvectors of the graph, rows scaled to length 1, from :mod:`gneiss.operators.spectra`; its rounds end when no eigenvalue moves by ``least``."""
     from gneiss.operators import spectra
 

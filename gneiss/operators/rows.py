@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a structure string is written with. Atoms in brackets, atoms of two letters and of one, aromatic ones, signs, ring numbers.
-BRACKETED, TWO_LETTERS, ATOMS, AROMATIC, SIGNS, RING = r"\[[^\[\]]+\]", ("Br", "Cl"), "BCNOPSFI", "bcnops", "().=#-+\\/:~@?>*$", "%[0-9]{2}|[0-9]"
-TOKENS = "(" + "|".join((BRACKETED, *TWO_LETTERS, f"[{ATOMS}{AROMATIC}]", f"[{re.escape(SIGNS)}]", RING)) + ")"
+#: What a structure string is written with. Atoms in brackets, atoms of two letters and of one, aromatic ones, signs, ring numbers; the triple bond stands alone.
+BRACKETED, TWO_LETTERS, ATOMS, AROMATIC, SIGNS, RING = r"\[[^\[\]]+\]", ("Br", "Cl"), "BCNOPSFI", "bcnops", "().=-+\\/:~@?>*$", "%[0-9]{2}|[0-9]"
+TOKENS = "(" + "|".join((BRACKETED, *TWO_LETTERS, f"[{ATOMS}{AROMATIC}]", f"[{re.escape(SIGNS)}]", "#", RING)) + ")"
 HEAVY = r"\[[^\[\]]*[A-GI-Za-z][^\[\]]*\]|Br|Cl|[NOSPFIBCbcnosp]"
 
 

@@ -32,33 +32,37 @@ def _products(df: DataFrame, left: Sequence[Column], right: Sequence[Column]) ->
     return np.array([x or 0.0 for x in row]).reshape(len(left), len(right))
 
 
-def _iterated(start: DataFrame, keys: Sequence[str], k: int, apply: Callable[[DataFrame], DataFrame], symmetric: bool, rounds: int, least: float) -> tuple[DataFrame, np.ndarray]:
-    """Columns that span the leading invariant subspace of ``apply``, turned to its eigenvectors where ``symmetric``, and its eigenvalues."""
-    cols, seen = [F.col(c) for c in _names(k)], None
-
-    def orthonormal(df: DataFrame) -> DataFrame:
-        for _ in range(2):  # once more, as the first pass loses digits where columns are nearly alike
-            gram = _products(df, cols, cols)
-            factor = np.linalg.cholesky(gram + 1e-14 * (np.trace(gram) + 1e-300) * np.eye(k))
-            df = _mixed(df, keys, np.linalg.inv(factor).T)
-        return df
-
-    now = written(orthonormal(written(start)))
-    for _ in range(rounds):
-        image = written(apply(now))
-        both = now.join(image.select(*keys, *(F.col(c).alias(f"y{c[1:]}") for c in _names(k))), list(keys))
-        small = _products(both, cols, [F.col(f"y{i}") for i in range(k)])
-        values = np.sort(np.linalg.eigvalsh((small + small.T) / 2))[::-1] if symmetric else np.array(sorted(np.linalg.eigvals(small), key=lambda z: (-abs(z), -z.real, -z.imag)))
-        if seen is not None and np.abs(values - seen).max() < least:
-            break
-        seen, now = values, written(orthonormal(image))
-    if symmetric:
-        image = apply(now)
-        both = now.join(image.select(*keys, *(F.col(c).alias(f"y{c[1:]}") for c in _names(k))), list(keys))
-        small = _products(both, cols, [F.col(f"y{i}") for i in range(k)])
-        _, turn = np.linalg.eigh((small + small.T) / 2)
-        now = _mixed(now, keys, turn[:, ::-1])
-    return now, values
+def _iterated(start: DataFrame, keys: Sequence[str], k: int, apply: Callable[[DataFrame], DataFrame], steps: int, symmetric: bool, rounds: int, least: float) -> tuple[DataFrame, np.ndarray]:
+    """Columns that span the leading invariant subspace of ``apply``, turned to its eigenvectors where ``symmetric``, and its eigenvalues.
+
+    A round applies the operator ``steps`` times, more than once only if it is symmetric without negative eigenvalues, and takes one aggregate.
+    """
+    cols, images, seen = [F.col(c) for c in _names(k)], [F.col(f"y{i}") for i in range(k)], None
+
+    def orthonormal(df: DataFrame, gram: np.ndarray) -> DataFrame:
+        factor = np.linalg.cholesky(gram + 1e-14 * (np.trace(gram) + 1e-300) * np.eye(k))
+        return _mixed(df, keys, np.linalg.inv(factor).T)
+
+    start = written(start)
+    now = written(orthonormal(start, _products(start, cols, cols)))
+    while True:
+        image = now
+        for _ in range(steps):
+            image = apply(image)
+        image = image.select(*keys, *(F.col(c).alias(f"y{c[1:]}") for c in _names(k)))
+        both = written(now.join(image, list(keys)))
+        small = _products(both, [*cols, *images], images)
+        gram, small = small[k:], small[:k]
+        if symmetric:
+            powers, turn = np.linalg.eigh((small + small.T) / 2)
+            values, turn = np.maximum(powers[::-1], 0) ** (1 / steps), turn[:, ::-1]
+        else:
+            values = np.array(sorted(np.linalg.eigvals(small), key=lambda z: (-abs(z), -z.real, -z.imag)))
+        rounds -= 1
+        if rounds < 1 or seen is not None and np.abs(values - seen).max() < least:
+            return (_mixed(now, keys, turn) if symmetric else now), values
+        seen = values
+        now = orthonormal(both.select(*keys, *(y.alias(f"x{i}") for i, y in enumerate(images))), gram)
 
 
 def _start(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -86,7 +90,7 @@ def eigenvectors(edges: DataFrame, k: int, how: str = "normalized", rounds: int
             met = weighted.join(x.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(*(F.sum(F.col("w") * F.col(c)).alias(f"s{c[1:]}") for c in _names(k)))
             return x.join(met, "node").select("node", *(((F.col(c) + F.col(f"s{c[1:]}")) / 2).alias(c) for c in _names(k)))
 
-        vectors, values = _iterated(_start(degree, ["node"], k), ["node"], k, apply, True, rounds, least)
+        vectors, values = _iterated(_start(degree, ["node"], k), ["node"], k, apply, 3, True, rounds, least)
         return vectors, 2 * values - 1
     if how != "non_backtracking":
         raise ValueError(f"unknown operator: {how}")
@@ -97,7 +101,7 @@ def eigenvectors(edges: DataFrame, k: int, how: str = "normalized", rounds: int
         back = x.select(F.col("src").alias("dst"), F.col("dst").alias("src"), *(F.col(c).alias(f"r{c[1:]}") for c in _names(k)))
         return x.select("src", "dst").join(sums, "dst").join(back, ["src", "dst"]).select("src", "dst", *((F.col(f"s{i}") - F.col(f"r{i}")).alias(f"x{i}") for i in range(k)))
 
-    on_edges, values = _iterated(_start(near, ["src", "dst"], k), ["src", "dst"], k, follow, False, rounds, least)
+    on_edges, values = _iterated(_start(near, ["src", "dst"], k), ["src", "dst"], k, follow, 1, False, rounds, least)
     return on_edges.groupBy(F.col("src").alias("node")).agg(*(F.sum(c).alias(c) for c in _names(k))), values
 
 
