@@ -322,6 +322,15 @@ def met19_kendall(spark, d):
     return spread(metrics.kendall(df, ["g"], "i"))
 
 
+@query("""WITH c AS (SELECT l_returnflag AS g, l_suppkey AS i, l_quantity AS y, l_discount AS s, count(*) AS n FROM lineitem GROUP BY ALL), k AS (SELECT g, y, s, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (SELECT a.g, a.n * b.n AS n, sign(a.y - b.y)::INT AS dy, sign(a.s - b.s)::INT AS ds FROM k a JOIN k b ON a.g = b.g UNION ALL SELECT a.g, -a.n::HUGEINT * b.n, sign(a.y - b.y)::INT, sign(a.s - b.s)::INT FROM c a JOIN c b ON a.g = b.g AND a.i = b.i)
+SELECT g, round(sum(n * dy * ds)::DOUBLE / nullif(sqrt(sum(n * abs(dy))::DOUBLE * sum(n * abs(ds))::DOUBLE), 0), 6) AS kendall FROM p GROUP BY g""")
+def met19_kendall_large_groups(spark, d):
+    """All pairs of lines of different suppliers in the few groups that hold all lines."""
+    df = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("i"), F.col("l_quantity").alias("y"), F.col("l_discount").alias("score"))
+    return spread(metrics.kendall(df, ["g"], "i"))
+
+
 @query(f"WITH {SCORES}, r AS (SELECT source, lang, avg(score) AS v FROM scored GROUP BY ALL) SELECT lang, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM r GROUP BY lang")
 def met20_over_folds(spark, d):
     per = scored(spark, d).groupBy("source", "lang").agg(F.avg("score").alias("v"))
@@ -456,3 +465,19 @@ def sel12_run_grid(spark, d):
     """Predictions of the forest that cross-validation over given folds chooses."""
     df = splits.kfold(scored(spark, d).select("doc_id", "score", "y", F.length("source").cast("double").alias("b")), "doc_id", 3, 2)
     return selection.run_grid(df, ["score", "b"], "y", "fold", (2, 3), 3).transform(df).select("doc_id", "y", "prediction")
+
+
+@query(f"WITH {SCORES} SELECT doc_id, depth::INT AS depth, y, true AS known FROM scored, (SELECT unnest([2, 3]) AS depth)")
+def sel10_out_of_fold(spark, d):
+    """A prediction for each row and depth, from the forest of the other folds; ``known`` where it is a class with a chance between 0 and 1."""
+    df = splits.kfold(scored(spark, d).select("doc_id", "score", "y", F.length("source").cast("double").alias("b")), "doc_id", 3, 2)
+    held = selection.out_of_fold(df.withColumnRenamed("score", "a"), ["a", "b"], "y", "fold", depths=(2, 3))
+    return held.select("doc_id", "depth", "y", (F.col("prediction").isin(0.0, 1.0) & F.col("score").between(0, 1)).alias("known"))
+
+
+@query()
+def sel12_grid_winner(spark, d):
+    """The depth whose held-out AUC is best over the folds; checked in the tests."""
+    df = splits.kfold(scored(spark, d).select("doc_id", "score", "y", F.length("source").cast("double").alias("b")), "doc_id", 3, 2)
+    held = selection.out_of_fold(df.withColumnRenamed("score", "a"), ["a", "b"], "y", "fold", depths=(2, 3))
+    return selection.select_winner(selection.grid_scores(held, "y", "fold"), "auc")

@@ -204,6 +204,11 @@ def sbm4_block_degree_dist(spark, d):
     return spread(B.block_degree_dist(supply_edges(spark, d), nation_part(spark, d)))
 
 
+@query(f"WITH {SUPPLY_EDGES}, {NATION}, i AS (SELECT dst AS node, count(*) AS i FROM edges GROUP BY dst), o AS (SELECT src AS node, count(*) AS o FROM edges GROUP BY src), c AS (SELECT block, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, count(*) AS n FROM part LEFT JOIN i USING (node) LEFT JOIN o USING (node) GROUP BY ALL) SELECT block, in_degree, out_degree, n, round(n / sum(n) OVER (PARTITION BY block), 6) AS share FROM c")
+def sbm4_block_joint_degrees(spark, d):
+    return spread(B.block_joint_degrees(supply_edges(spark, d), nation_part(spark, d)))
+
+
 @query(f"WITH {SUPPLY_EDGES}, {NATION}, b AS (SELECT src AS node, dst AS o, w FROM edges WHERE src <> dst UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst) SELECT b.node, block, sum(w)::BIGINT AS k FROM b JOIN part p ON p.node = o GROUP BY ALL")
 def sbm5_node_block_edges(spark, d):
     return B.node_block_edges(supply_edges(spark, d), nation_part(spark, d))

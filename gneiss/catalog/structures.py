@@ -138,6 +138,13 @@ def fea18_pad_batch(spark, d):
     return E.pad_batch(E.adjacency(nodes.limit(0), bonds).withColumn("v", F.lit(1.0)))
 
 
+@query(f"WITH {O}, {BOTH}, m AS (SELECT graph_id % 1000 AS batch, max(dst) AS m FROM bonds GROUP BY ALL), g AS (SELECT DISTINCT graph_id, graph_id % 1000 AS batch FROM bonds), c AS (SELECT batch, graph_id, unnest(range(1, m + 1)) AS i, m FROM g JOIN m USING (batch)), k AS (SELECT batch, graph_id, i, unnest(range(1, m + 1)) AS j FROM c) SELECT batch::BIGINT AS batch, graph_id, k.i::INT AS i, k.j::INT AS j, CASE WHEN b.i IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS v FROM k LEFT JOIN both_ways b USING (graph_id, i, j)")
+def fea18_pad_by_batch(spark, d):
+    """Each batch of graphs padded to its own largest."""
+    nodes, bonds = order_graphs(spark, d)
+    return E.pad_batch(E.adjacency(nodes.limit(0), bonds).withColumn("v", F.lit(1.0)).withColumn("batch", F.col("graph_id") % 1000), batch="batch")
+
+
 @query(f"WITH {O}, r AS (SELECT graph_id, x, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS r FROM nodes), h AS (SELECT graph_id, list(x ORDER BY r) AS v FROM r WHERE r <= 4 GROUP BY graph_id) SELECT graph_id, v || list_transform(range(4 - len(v)), lambda i: 0.0::DOUBLE) AS values, list_transform(range(1, 5), lambda i: (i <= len(v))::INT) AS mask FROM h")
 def fea19_dense_batch(spark, d):
     return E.to_dense_batch(order_graphs(spark, d)[0], "x", 4)

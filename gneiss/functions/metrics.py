@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.plans.inversions import BLOCK, count_inversions
+from gneiss.plans.rank import with_index
+from gneiss.plans.store import written
+
 
 def _safe(num: Column, den: Column, empty: float | None = 0.0) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(empty).cast("double"))
@@ -95,11 +100,64 @@ def spearman(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "score
     return average_rank(average_rank(df, by, y, "_ry"), by, score, "_rs").groupBy(*by).agg(correlation(F.col("_ry"), F.col("_rs")).alias("spearman"))
 
 
-def kendall(df: DataFrame, by: Sequence[str], id_: str, y: str = "y", score: str = "score") -> DataFrame:
-    """Tau-b over the pairs of a group; for the small groups (atoms of a structure) it is meant for."""
-    a, b = df.select(*by, F.col(id_).alias("i"), F.col(y).alias("y1"), F.col(score).alias("s1")), df.select(*by, F.col(id_).alias("j"), F.col(y).alias("y2"), F.col(score).alias("s2"))
-    met = a.join(b, list(by)).where("i < j").select(*by, F.signum(F.col("y1") - F.col("y2")).alias("dy"), F.signum(F.col("s1") - F.col("s2")).alias("ds"))
-    return met.groupBy(*by).agg((F.sum(F.col("dy") * F.col("ds")) / F.nullif(F.sqrt(F.sum(F.abs("dy")) * F.sum(F.abs("ds"))), F.lit(0.0))).alias("kendall"))
+SUMS = ("pairs", "num", "dy", "ds")
+
+
+def _alike(by: Sequence[str]) -> Column:
+    """Keys equal to those that :func:`_renamed` gave other names, null to null."""
+    return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)), F.lit(True))
+
+
+def _renamed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+
+
+def _sums_by_pairs(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by..., pairs, num, dy, ds`` of small groups: all pairs, those in one direction less those in opposite ones, and pairs that differ in ``_y`` and in ``_s``."""
+    other = _renamed(df, by).withColumnsRenamed({"_who": "_j", "_y": "_y2", "_s": "_s2"})
+    met = df.join(other, _alike(by) & (F.col("_who") < F.col("_j"))).select(*by, F.signum(F.col("_y") - F.col("_y2")).alias("dy"), F.signum(F.col("_s") - F.col("_s2")).alias("ds"))
+    return met.groupBy(*by).agg(F.count("*").cast("double").alias("pairs"), F.sum(F.col("dy") * F.col("ds")).alias("num"), F.sum(F.abs("dy")).alias("dy"), F.sum(F.abs("ds")).alias("ds"))
+
+
+def _sums_by_inversions(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
+    """The same of large groups, over all pairs of their rows, from numbers of ties and inversions."""
+    cells = df.groupBy(*by, "_y", "_s").agg(F.count("*").alias("w"))
+    placed = written(with_index(with_index(cells, *by, "_y", "_s", name="a"), *by, "_s", "_y", name="b"), "orders")
+    starts = placed.groupBy(*by).agg(F.min("a").alias("group"))
+    flips = count_inversions(placed.join(_renamed(starts, by), _alike(by)).select("group", "a", "b", "w"), block)
+    # What a number of equal or inverted pairs adds to pairs, num, dy and ds.
+    signs = {(): (1, 1, 1, 1), ("_y",): (0, -1, -1, 0), ("_s",): (0, -1, 0, -1), ("_y", "_s"): (0, 1, 0, 0)}
+
+    def part(found: DataFrame, pairs: Column, sign: tuple[int, ...]) -> DataFrame:
+        return found.select(*by, *((pairs * k).alias(n) for n, k in zip(SUMS, sign, strict=True)))
+
+    parts = [part(placed.groupBy(*by, *cols).agg(F.sum("w").alias("t")), F.col("t") * (F.col("t") - 1) / 2, sign) for cols, sign in signs.items()]
+    parts.append(part(flips.join(starts, "group"), F.col("inversions").cast("double"), (0, -2, 0, 0)))
+    return _summed(reduce(DataFrame.unionByName, parts), by)
+
+
+def _summed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.groupBy(*by).agg(*(F.sum(n).alias(n) for n in SUMS))
+
+
+def kendall(df: DataFrame, by: Sequence[str], id_: str, y: str = "y", score: str = "score", few: int = 32, block: int = BLOCK) -> DataFrame:
+    """``by..., kendall``: tau-b over the pairs of a group of any size.
+
+    Groups of up to ``few`` rows list their pairs; for larger ones ties and inversions are counted instead, less those among rows of one id.
+    Rows without label, score or id take no part, nor do NaN ones; two rows of one id are no pair; null keys are one group. Groups without
+    a pair are left out; where all labels or all scores are equal the value is null.
+    """
+    known = df.select(*by, F.col(id_).alias("_who"), F.col(y).alias("_y"), F.col(score).alias("_s")).dropna(subset=["_who", "_y", "_s"])
+    large = _renamed(known.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > few).drop("_n"), by)
+    many = written(known.join(large, _alike(by), "left_semi"), "many")
+    key = [*by, "_who"]
+    again = _renamed(many.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), key)
+    twins = _sums_by_inversions(many.join(again, _alike(key), "left_semi"), key, block)
+    apart = twins.select(*by, *((-F.col(n)).alias(n) for n in SUMS))
+    parts = [_sums_by_pairs(known.join(large, _alike(by), "left_anti"), by), _sums_by_inversions(many, by, block), apart]
+    sums = _summed(reduce(DataFrame.unionByName, parts), by)
+    spread = F.sqrt(F.col("dy") * F.col("ds"))
+    return sums.where("pairs > 0").select(*by, (F.col("num") / F.nullif(spread, F.lit(0.0))).alias("kendall"))
 
 
 def multitask(df: DataFrame, classification: bool = True) -> DataFrame:

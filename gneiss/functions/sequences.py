@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.rows import TOKENS
 from gneiss.plans.rank import numbered_lines, with_index
+from gneiss.plans.store import written
 
 CLS, SEP, UNK, PAD = "[CLS]", "[SEP]", "[UNK]", "[PAD]"
 UNITS = r"(\[[^\[\]]{1,10}\]|.)"
@@ -29,9 +30,14 @@ def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
     return with_index(df.select(F.explode(tokens).alias("token")).distinct(), "token", name="id")
 
 
+def _with_row(df: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` and an id of the row, written, as a stage that runs again after a lost executor could number rows otherwise."""
+    return written(df.select(*cols, F.monotonically_increasing_id().alias("_row")), "rows")
+
+
 def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = -1) -> DataFrame:
     """``key, ids, n_unknown``: the vocabulary is joined to exploded tokens, so it may be of any size; empty sequences and rows that repeat a key stay."""
-    flat = df.select(key, tokens, F.monotonically_increasing_id().alias("_row")).select(key, "_row", F.posexplode_outer(tokens).alias("at", "token"))
+    flat = _with_row(df, key, tokens).select(key, "_row", F.posexplode_outer(tokens).alias("at", "token"))
     met = flat.join(vocab, "token", "left")
     held = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(unknown)).alias("id")))))
     return met.groupBy(key, "_row").agg(F.transform(held, lambda x: x["id"]).alias("ids"), F.sum(F.when(F.col("at").isNotNull() & F.col("id").isNull(), 1).otherwise(0)).alias("n_unknown")).drop("_row")
@@ -39,7 +45,7 @@ def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int
 
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
     """``key, text``: tokens joined by spaces, `` ##`` taken out; a row for each row of ``df``."""
-    met = df.select(key, ids, F.monotonically_increasing_id().alias("_row")).select(key, "_row", F.posexplode_outer(ids).alias("at", "id")).join(vocab, "id", "left")
+    met = _with_row(df, key, ids).select(key, "_row", F.posexplode_outer(ids).alias("at", "id")).join(vocab, "id", "left")
     held = F.sort_array(F.collect_list(F.struct("at", F.coalesce("token", F.lit(UNK)).alias("token"))))
     return met.groupBy(key, "_row").agg(F.trim(F.replace(F.array_join(F.transform(held, lambda x: x["token"]), " "), F.lit(" ##"), F.lit(""))).alias("text")).drop("_row")
 

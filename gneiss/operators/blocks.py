@@ -52,6 +52,14 @@ def block_degree_dist(edges: DataFrame, part: DataFrame) -> DataFrame:
     return counts.join(part.groupBy("block").agg(F.count("*").alias("_all")), "block").select("block", "degree", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
+def block_joint_degrees(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """``block, in_degree, out_degree, n, share`` of nodes by both their degrees; nodes without edges have 0 and 0."""
+    ends = F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    degree = edges.select(F.explode(ends).alias("x")).select("x.*").groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    counts = part.join(degree, "node", "left").fillna(0, ["in_degree", "out_degree"]).groupBy("block", "in_degree", "out_degree").agg(F.count("*").alias("n"))
+    return counts.join(part.groupBy("block").agg(F.count("*").alias("_all")), "block").select("block", "in_degree", "out_degree", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
 def node_block_edges(edges: DataFrame, part: DataFrame) -> DataFrame:
     """``node, block, k``: weight of a node's edges to each block, loops apart."""
     ends = edges.where("src <> dst")

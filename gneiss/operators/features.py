@@ -163,14 +163,23 @@ def hop_distances(nodes: DataFrame, bonds: DataFrame, most: int | None = None) -
     return reached
 
 
-def pad_batch(cells: DataFrame, n: int | None = None) -> DataFrame:
-    """``graph_id, i, j, v`` on the full n x n grid of each graph, 0 where there is no cell; ``n`` is the batch's largest place by default."""
-    if n is None:
-        n = cells.agg(F.max(F.greatest("i", "j"))).first()[0] or 0
-    axis = F.sequence(F.lit(1), F.lit(n).cast("int"))
-    grid = cells.select("graph_id").distinct().withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
-    keyed = cells.select("graph_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "v")
-    return grid.join(keyed, ["graph_id", "i", "j"], "left").fillna(0.0, ["v"])
+def pad_batch(cells: DataFrame, n: int | None = None, batch: str | None = None) -> DataFrame:
+    """``[batch,] graph_id, i, j, v`` on the full n x n grid of each graph, 0 where there is no cell.
+
+    ``n`` is the largest place by default: with ``batch``, that of each batch by itself, so that a large graph pads only those that it is
+    batched with. A graph belongs to one batch.
+    """
+    by = [batch] if batch else []
+    keyed = cells.select(*by, "graph_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "v")
+    graphs = keyed.select(*by, "graph_id").distinct()
+    if n is not None:
+        graphs = graphs.withColumn("_n", F.lit(n))
+    else:
+        top = keyed.groupBy(*by).agg(F.max(F.greatest("i", "j")).alias("_n"))
+        graphs = graphs.join(top, batch) if batch else graphs.join(F.broadcast(top))
+    axis = F.sequence(F.lit(1), F.col("_n"))
+    grid = graphs.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis)).drop("_n")
+    return grid.join(keyed, [*by, "graph_id", "i", "j"], "left").fillna(0.0, ["v"])
 
 
 def to_dense_batch(nodes: DataFrame, value: str, n: int) -> DataFrame:

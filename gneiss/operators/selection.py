@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.metrics import roc_auc
+from gneiss.plans.store import written
+
 SMALLER_IS_BETTER = {"rmse", "mae", "mse", "loss"}
 
 
@@ -68,7 +73,7 @@ def argmin_blocks(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.agg(F.min_by(key, F.struct(value, key)).alias(key), F.min(value).alias(value))
 
 
-def fit_trees(df: DataFrame, features: Sequence[str], label: str, kind: str = "forest", classes: bool = True, weight: str | None = None):
+def fit_trees(df: DataFrame, features: Sequence[str], label: str, kind: str = "forest", classes: bool = True, weight: str | None = None, depth: int = 4):
     """A fitted Spark ML pipeline of a forest or of boosted trees."""
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
@@ -77,10 +82,33 @@ def fit_trees(df: DataFrame, features: Sequence[str], label: str, kind: str = "f
 
     made = {("forest", True): C.RandomForestClassifier, ("forest", False): R.RandomForestRegressor, ("boosted", True): C.GBTClassifier, ("boosted", False): R.GBTRegressor}
     extra = {"weightCol": weight} if weight else {}
-    tree = made[kind, classes](featuresCol="_x", labelCol=label, seed=0, maxDepth=4, **({"numTrees": 10} if kind == "forest" else {"maxIter": 5}), **extra)
+    tree = made[kind, classes](featuresCol="_x", labelCol=label, seed=0, maxDepth=depth, **({"numTrees": 10} if kind == "forest" else {"maxIter": 5}), **extra)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), tree]).fit(df)
 
 
+def out_of_fold(df: DataFrame, features: Sequence[str], label: str, fold: str, kind: str = "forest", classes: bool = True, depths: Sequence[int] = (4,), weight: str | None = None) -> DataFrame:
+    """Rows of ``df`` with ``depth, prediction``, and ``score`` (the chance of class 1) where there are classes: each from trees that saw none of its fold.
+
+    One row for each row and depth. Rows without a fold, label or feature take no part. Folds and depths are few; every fit runs on Spark.
+    """
+    known = written(df.dropna(subset=[*features, label, fold]), "folds")
+    places = [r[0] for r in known.select(fold).distinct().orderBy(fold).collect()]
+    chance = vector_to_array("probability")[1] if classes else None
+    parts = []
+    for depth in depths:
+        for k in places:
+            model = fit_trees(known.where(F.col(fold) != k), features, label, kind, classes, weight, depth)
+            held = model.transform(known.where(F.col(fold) == k))
+            parts.append(held.select(*df.columns, F.lit(depth).alias("depth"), "prediction", *([chance.alias("score")] if classes else [])))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def grid_scores(held: DataFrame, label: str, fold: str) -> DataFrame:
+    """``config_id, outer_k, value``: AUC of every depth and fold of :func:`out_of_fold`, in the form of :func:`select_winner`."""
+    auc = roc_auc(held, ["depth", fold], label, "score")
+    return auc.select(F.col("depth").alias("config_id"), F.col(fold).alias("outer_k"), F.col("auc").alias("value"))
+
+
 def run_grid(df: DataFrame, features: Sequence[str], label: str, fold: str, depths: Sequence[int], folds: int):
     """A cross-validated forest over ``depths``, with the given fold column."""
     from pyspark.ml import Pipeline

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import metrics, sequences
-from gneiss.operators import features, graphs, sampling, splits
+from gneiss.operators import features, graphs, sampling, selection, splits
 from gneiss.plans.rank import numbered_lines
 from gneiss.sources import tables
 
@@ -47,6 +47,50 @@ def test_batches_are_padded_to_their_largest(spark):
     assert got.count() == 72 and got.agg(F.sum("v")).first()[0] == 12.0
 
 
+def test_batches_are_padded_by_themselves(spark):
+    cells = spark.createDataFrame([("a", 1, 1, 2, 5.0), ("a", 2, 3, 1, 7.0), ("b", 3, 1, 1, 2.0)], "batch string, graph_id long, i long, j long, v double")
+    got = features.pad_batch(cells, batch="batch")
+    assert {(r.batch, r.n, r.v) for r in got.groupBy("batch").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect()} == {("a", 18, 12.0), ("b", 1, 2.0)}
+
+
+def test_kendall_by_inversions(spark):
+    """Like all pairs, with blocks that a group spans, ties, nulls, repeated ids, a null key and groups of one row."""
+    rng = random.Random(1)
+    sizes = {0: 60, 1: 150, 2: 120, 3: 1, 4: 2}
+    rows = [(g or None, i if g == 2 else rng.randrange(200), rng.choice([1.0, 2.0, None, float(i % 17), -0.5]), float(rng.randrange(30))) for g, n in sizes.items() for i in range(n)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        known = [r for r in rows if r[0] == g and r[2] is not None]
+        signs = [(np.sign(a[2] - b[2]), np.sign(a[3] - b[3])) for k, a in enumerate(known) for b in known[:k] if a[1] != b[1]]
+        if signs:
+            spread = (sum(abs(p) for p, _ in signs) * sum(abs(q) for _, q in signs)) ** 0.5
+            want[g] = sum(p * q for p, q in signs) / spread if spread else None
+    df = spark.createDataFrame(rows, "g long, i long, y double, score double")
+    for few, block in ((0, 7), (100, 1000)):
+        got = {r.g: r.kendall for r in metrics.kendall(df, ["g"], "i", few=few, block=block).collect()}
+        assert got == pytest.approx(want)
+    assert metrics.kendall(df.limit(0), ["g"], "i").count() == 0
+
+
+def test_kendall_of_a_large_group(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("y"), ((F.col("id") + n // 2) % n).alias("score"))
+    half = n // 2  # the two halves change places: all pairs between them are inverted
+    assert metrics.kendall(df, ["g"], "y", block=1 << 14).first()["kendall"] == pytest.approx(1 - 4 * half * half / (n * (n - 1)))
+
+
+def test_trees_are_judged_on_folds_they_have_not_seen(spark):
+    """Labels follow ``x`` in all folds but the last, where they are turned round: only a model that saw that fold could be right there."""
+    df = spark.createDataFrame([(i, float(i % 2), i // 50) for i in range(200)], "id long, x double, fold int")
+    df = df.withColumn("y", F.when(F.col("fold") == 3, 1 - F.col("x")).otherwise(F.col("x")))
+    for kind in ("forest", "boosted"):
+        held = selection.out_of_fold(df, ["x"], "y", "fold", kind, depths=(1, 2))
+        assert held.count() == 400 and held.select("id", "depth").distinct().count() == 400
+        assert held.where("fold = 3 and prediction = y").count() == 0 and held.where("fold < 3 and prediction <> y").count() == 0
+    scores = {(r.config_id, r.outer_k): r.value for r in selection.grid_scores(held, "y", "fold").collect()}
+    assert scores == {(d, k): float(k < 3) for d in (1, 2) for k in range(4)}
+
+
 def test_non_edges_of_a_dense_graph_are_all_found(spark):
     rng = random.Random(0)
     pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)]
