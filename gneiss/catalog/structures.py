@@ -266,9 +266,21 @@ def xpl8_random_scores(spark, d):
     return spread(X.random_scores(order_graphs(spark, d)[0], 4), 9)
 
 
-@query()
+WL = "".join(
+    f"""a{k} AS (SELECT e.f, e.i, array_to_string(list(w.key ORDER BY w.key), ',') AS s FROM near e JOIN w{k} w ON w.f = e.f AND w.i = e.j GROUP BY ALL),
+w{k + 1} AS (SELECT f, i, md5(key || '|' || coalesce(s, '')) AS key FROM w{k} LEFT JOIN a{k} USING (f, i)), """
+    for k in range(3)
+)
+
+
+@query(f"""WITH {O}, hit AS (SELECT graph_id, node_id, label FROM nodes WHERE abs(z) > 0.05),
+runs AS (SELECT *, graph_id || ':' || (node_id - row_number() OVER (PARTITION BY graph_id ORDER BY node_id)) AS f FROM hit),
+big AS (SELECT f, node_id AS i, label FROM runs WHERE f IN (SELECT f FROM runs GROUP BY f HAVING count(*) > 1)),
+near AS (SELECT a.f, a.i, b.i AS j FROM big a JOIN big b ON a.f = b.f AND abs(a.i - b.i) = 1), w0 AS (SELECT f, i, md5(label::VARCHAR) AS key FROM big),
+{WL}k AS (SELECT f, md5(count(*) || ':' || array_to_string(list(key ORDER BY key), ',')) AS wl FROM w3 GROUP BY f)
+SELECT wl, count(*) AS n FROM k GROUP BY wl ORDER BY n DESC, wl LIMIT 10""")
 def xpl5_top_fragments(spark, d):
-    """Runs of discounted lines, by the flags along them; checked against a loop in the tests."""
+    """Runs of discounted lines, by the flags along them: lines of an order are a chain, so its parts are runs."""
     nodes, bonds = order_graphs(spark, d)
     return X.top_fragments(nodes.select("graph_id", "node_id", "label", F.col("z").alias("score")), bonds, "label", 0.05, 10)
 

@@ -131,6 +131,21 @@ def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """``outer_k, inner_k, row_id, role`` of a JSON list of folds, in the form of ``nested_cv``.
+
+    Each fold is ``{"test": [...], "model_selection": [{"train": [...], "validation": [...]}, ...]}``; its test rows have a null inner_k. A missing or
+    null list has no rows. The format is one JSON value, so one task parses it; :func:`gneiss.sources.sinks.save_splits` keeps splits of any size.
+    """
+    shape = "array<struct<test: array<bigint>, model_selection: array<struct<train: array<bigint>, validation: array<bigint>>>>>"
+    text = spark.read.text(path, wholetext=True)
+    outer = text.select(F.posexplode(F.from_json("value", shape, {"mode": "FAILFAST"})).alias("outer_k", "o"))
+    inner = outer.select("outer_k", F.posexplode("o.model_selection").alias("inner_k", "i"))
+    test = outer.select("outer_k", F.lit(None).cast("int").alias("inner_k"), F.explode("o.test").alias("row_id"), F.lit("test").alias("role"))
+    parts = [inner.select("outer_k", "inner_k", F.explode(f"i.{of}").alias("row_id"), F.lit(role).alias("role")) for of, role in (("train", "train"), ("validation", "valid"))]
+    return test.unionByName(parts[0]).unionByName(parts[1])
+
+
 def read_edge_split(spark: SparkSession, path: str) -> DataFrame:
     """``role, src, dst, label`` of the folders ``train``, ``valid`` and ``test`` with pairs ``edge`` and ``edge_neg``, or with ``source_node``, ``target_node`` and lists ``target_node_neg``."""
     out = None

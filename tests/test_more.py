@@ -1,6 +1,7 @@
 """What once lost rows or numbered them wrongly: files in parts, long chains, dense graphs, repeated keys, many groups; and readers of files."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import metrics, sequences
 from gneiss.operators import features, graphs, sampling, selection, splits
 from gneiss.plans.rank import numbered_lines
+from gneiss.plans.store import shared_folder, tables_removed, written
 from gneiss.sources import tables
 
 
@@ -53,6 +55,25 @@ def test_batches_are_padded_by_themselves(spark):
     assert {(r.batch, r.n, r.v) for r in got.groupBy("batch").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect()} == {("a", 18, 12.0), ("b", 1, 2.0)}
 
 
+def test_nested_splits_from_json(spark, tmp_path):
+    (tmp_path / "s.json").write_text('[{"test": [4, 2], "model_selection": [{"train": [0, 1], "validation": [3]}, {"train": [3], "validation": [0, 1]}]},\n {"test": [], "model_selection": [{"train": [5], "validation": null}]}]')
+    got = {tuple(r) for r in tables.read_splits(spark, str(tmp_path / "s.json")).collect()}
+    assert got == {(0, None, 4, "test"), (0, None, 2, "test"), (0, 0, 0, "train"), (0, 0, 1, "train"), (0, 0, 3, "valid"), (0, 1, 3, "train"), (0, 1, 0, "valid"), (0, 1, 1, "valid"), (1, 0, 5, "train")}
+
+
+def test_written_tables_are_removed_with_their_scope(spark, tmp_path):
+    outside = written(spark.range(3))
+    folder = Path(shared_folder(spark).removeprefix("file://")) / "gneiss"
+    before = set(folder.iterdir())
+    with tables_removed(spark):
+        with tables_removed(spark):
+            inner = written(spark.range(5)).count()
+        graphs.kcore(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).write.parquet(f"{tmp_path}/kept")
+        assert set(folder.iterdir()) > before
+    assert inner == 5 and outside.count() == 3 and set(folder.iterdir()) == before
+    assert spark.read.parquet(f"{tmp_path}/kept").count() == 3
+
+
 def test_kendall_by_inversions(spark):
     """Like all pairs, with blocks that a group spans, ties, nulls, repeated ids, a null key and groups of one row."""
     rng = random.Random(1)
