@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import hops
 from gneiss.plans.store import until_settled, written
 
 #: Choices of the atom and bond encodings.
@@ -145,12 +146,26 @@ def atom_distances(nodes: DataFrame, coordinates: Sequence[str]) -> DataFrame:
 
 
 def hop_distances(nodes: DataFrame, bonds: DataFrame, most: int | None = None) -> DataFrame:
-    """``graph_id, i, j, hops`` of all pairs that ``most`` hops join, by default of all that any number joins: breadth first in all graphs at once.
+    """``graph_id, i, j, hops`` of all pairs that ``most`` hops join, by default of all that any number joins, each pair once.
 
-    A step from the pairs at one distance leads to the next, the same or the one before, so only those two are taken out.
+    ``i`` is one of ``nodes``, ``j`` also an end that only bonds name. Graphs of few rows walk by bitsets (:mod:`gneiss.operators.hops`), a row
+    each; larger ones by joins, breadth first in all at once. Rows with a null id or end are left out.
     """
-    near = written(adjacency(nodes.limit(0), bonds))
-    reached = written(nodes.select("graph_id", F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0).alias("hops")))
+    ends = bonds.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(False).alias("node"))
+    items = nodes.select("graph_id", F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(True).alias("node")).unionByName(ends).dropna()
+    items = written(items)
+    large = written(items.groupBy("graph_id").count().where(F.col("count") > hops.SMALL).select("graph_id"))
+    if large.isEmpty():
+        return hops.small_graphs(items, most)
+    own = items.join(large, "graph_id", "left_semi")
+    return hops.small_graphs(items.join(large, "graph_id", "left_anti"), most).unionByName(_hops_by_joins(own, most))
+
+
+def _hops_by_joins(items: DataFrame, most: int | None) -> DataFrame:
+    """A step from the pairs at one distance leads to the next, the same or the one before, so only those two are taken out."""
+    bonds = items.where("not node").select("graph_id", F.col("i").alias("src"), F.col("j").alias("dst"))
+    near = written(adjacency(items.limit(0).withColumnRenamed("i", "node_id"), bonds).distinct())
+    reached = written(items.where("node").select("graph_id", "i", "j", F.lit(0).alias("hops")).distinct())
     front, last = reached, reached.limit(0)
     k = 1
     while most is None or k <= most:

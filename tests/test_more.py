@@ -43,6 +43,42 @@ def test_hops_have_no_limit(spark):
     assert got.count() == n * n and got.where("hops <> abs(i - j)").count() == 0 and features.hop_distances(nodes, bonds, 2).agg(F.max("hops")).first()[0] == 2
 
 
+def plain_hops(nodes, bonds, most):
+    near = {}
+    for g, a, b in bonds:
+        near.setdefault((g, a), set()).add(b)
+        near.setdefault((g, b), set()).add(a)
+    out = set()
+    for g, start in set(nodes):
+        seen, front, k = {start}, [start], 0
+        while front:
+            out |= {(g, start, x, k) for x in front}
+            front = {y for x in front for y in near.get((g, x), ()) if y not in seen} if most is None or k < most else set()
+            seen |= front
+            k += 1
+    return out
+
+
+@pytest.mark.parametrize("small,most", [(512, None), (512, 3), (40, None), (40, 2)])
+def test_hops_of_packed_graphs_and_by_joins(spark, monkeypatch, small, most):
+    """Graphs of many sizes, in several parts, with loops, repeated rows, nodes alone, ends that are no nodes, and nulls."""
+    monkeypatch.setattr(features.hops, "SMALL", small)
+    monkeypatch.setattr(features.hops, "PACK", 3000)
+    rng = np.random.default_rng(3)
+    nodes, bonds = [("g0", "x"), ("g0", "x"), ("alone", "y")], [("g0", "x", "x"), ("g0", "x", "z"), ("g0", "z", "w"), ("ends", "p", "q"), ("g0", None, "x"), (None, "a", "b")]
+    for g, n in enumerate([1, 2, 5, 9, 30, 70, 130]):
+        nodes += [(f"r{g}", f"n{i}") for i in range(n)]
+        bonds += [(f"r{g}", f"n{a}", f"n{b}") for a, b in rng.integers(0, n, (n, 2))]
+    got = features.hop_distances(spark.createDataFrame(nodes, "graph_id string, node_id string"), spark.createDataFrame(bonds, "graph_id string, src string, dst string"), most)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain_hops(nodes, [b for b in bonds if None not in b], most)
+
+
+def test_hops_of_nothing(spark):
+    nodes, bonds = spark.createDataFrame([], "graph_id long, node_id long"), spark.createDataFrame([], "graph_id long, src long, dst long")
+    assert features.hop_distances(nodes, bonds).count() == 0
+
+
 def test_batches_are_padded_to_their_largest(spark):
     cells = spark.createDataFrame([(1, 1, 2, 5.0), (2, 6, 1, 7.0)], "graph_id long, i long, j long, v double")
     got = features.pad_batch(cells)
