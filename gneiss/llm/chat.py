@@ -8,6 +8,8 @@ The loss mask holds the spans (code points) of the texts of the assistant's bloc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from gneiss.llm.shared import table
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 END, SEP = "<|end|>", "<|sep|>"
 LEARNED = "assistant"
+RUN, PAGE = 256, 4096  # turns whose spans are added up together, code points of a page
 SAMPLE = "</s>[INST] ok [/INST]"
 
 
@@ -45,6 +48,15 @@ def formatted(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
     parts = F.transform("turns", lambda x, i: F.struct(open_(x, i).alias("open"), escaped(x["text"]).alias("text"), F.when(last(i), F.lit(END)).otherwise(F.lit("")).alias("shut"), (x["role"] == learned).alias("learned"), same(i).alias("same")))
     held = held.select("conv_id", parts.alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["open"], p["text"], p["shut"])), "")
+    return held.select("conv_id", text.alias("formatted"), _loss_spans(F.col("parts")).alias("loss_spans"))
+
+
+def _loss_spans(parts: Column) -> Column:
+    """Where the learned texts stand, in code points.
+
+    Spans of ``RUN`` turns at a time are added up from nought, then moved to where their run begins, so an array that grows is copied for a run
+    of turns or for a number a run, not for each turn of a long conversation.
+    """
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -54,7 +66,15 @@ def formatted(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
         kept = F.when(p["learned"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct((start + length + F.length(p["shut"])).alias("at"), kept.alias("spans"))
 
-    return held.select("conv_id", text.alias("formatted"), F.aggregate("parts", zero, step, lambda a: a["spans"]).alias("loss_spans"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda r: F.aggregate(F.slice(parts, r * RUN + 1, RUN), zero, step))
+    heads = lambda held: F.aggregate(held, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+    moved = lambda x: F.flatten(F.transform(x["runs"], lambda r, i: F.transform(r["spans"], lambda s: F.struct((s["start"] + F.get(x["heads"], i)).alias("start"), s["length"].alias("length")))))
+    return _once(_once(runs, lambda held: F.struct(held.alias("runs"), heads(held).alias("heads"))), moved)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once for a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -63,7 +83,14 @@ def read_back(df: DataFrame) -> DataFrame:
     role = lambda b: unescaped(F.regexp_extract(b, r"(?s)^<\|(.*?)\|>", 1))
     texts = lambda b: F.split(F.regexp_replace(b, r"(?s)^<\|.*?\|>", ""), r"<\|sep\|>")
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(texts(b), lambda t: F.struct(role(b).alias("role"), unescaped(t).alias("text")))))
-    learned = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s["start"] + 1, s["length"]))), "")
+
+    def under(pages: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / PAGE).cast("int"), F.floor((s["start"] + s["length"]) / PAGE).cast("int")
+        return F.substring(F.array_join(F.slice(pages, first + 1, last - first + 1), ""), s["start"] - first * PAGE + 1, s["length"])
+
+    # A span is cut from the pages that it meets, as finding a place in a string means to walk there from the string's start.
+    pages = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    learned = _once(pages, lambda held: F.array_join(F.transform("loss_spans", lambda s: unescaped(under(held, s))), ""))
     return df.select("conv_id", "formatted", turns.alias("turns"), learned.alias("learned"))
 
 

@@ -120,3 +120,13 @@ def test_links_that_only_look_like_links_and_the_sql(spark):
     assert got == sorted(con.execute(OP8_SQL).fetchall())
     blocked = {r[0] for r in got if r[4] == "block"}
     assert blocked == {5, 6, 9, 10, 11, 14, 15, 18, 19, 99, *range(100, 160)}
+
+
+def test_long_conversations_and_texts_over_pages(spark):
+    """Ten thousand turns, runs of them and pages of text, characters of four bytes: turns and mask come back."""
+    turn = lambda i: (9, i, ("user", "assistant", "assistant", "system")[i * i % 4 if i % 7 else 1], "é😀<|x|>"[: i % 8] + f"t{i}\\" + "z" * (5000 if i % 2500 == 1 else i % 30), "")
+    rows = [turn(i) for i in range(10_000)] + [(10, i, "assistant", "😀" * n, "") for i, n in enumerate([4096, 0, 4083, 4096, 1, 9000])] + [(11, i, "assistant", f"{i}", "") for i in range(256)]
+    got = {r.conv_id: r for r in read_back(formatted(spark.createDataFrame(rows, TURNS))).collect()}
+    for conv in (9, 10, 11):
+        want = [(r[2], r[3]) for r in rows if r[0] == conv]
+        assert [tuple(t) for t in got[conv].turns] == want and got[conv].learned == "".join(t for role, t in want if role == "assistant")
