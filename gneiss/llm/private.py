@@ -105,8 +105,8 @@ def _calls(text: str, start: int, end: int) -> bool:
 
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
     """Token spans around what calls for a window; windows that would meet are one. Tokens lose punctuation around them."""
-    if not (_ANCHOR.search(text) or "-----" in text or _LONG.search(text)):
-        return
+    if not (_ANCHOR.search(text) or "-----" in text or _LONG.search(text) or _CUES[0].search(text)):
+        return  # no token calls for one
     before: list[tuple[int, int]] = []
     open_: list[tuple[int, int]] = []
     quiet = 0

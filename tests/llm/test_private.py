@@ -1,5 +1,6 @@
 """Detectors against the contract's patterns, the dynamic program against all segmentations, and kinds of unseen shapes."""
 
+import itertools
 import random
 import re
 
@@ -96,3 +97,32 @@ def test_frames(spark):
     assert len(got) == 5 and got[0] == got[1] and (got[0].n_email, got[0].n_ip) == (1, 1) and "mail [EMAIL] or [IP] x" in got[0].masked
     assert [(r.spans, r.masked) for r in got if r.doc_id in (2, 3)] == [("", None), ("", "")]
     assert private_spans(docs.limit(0), private.learned(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_gradient_is_that_of_all_segmentations(seed):
+    rng = np.random.default_rng(seed)
+    n, kinds = 4, len(private.KINDS) + 1
+    x, weights = rng.normal(size=(n, private.LONGEST, 3)), rng.normal(size=(kinds, 3))
+    may = rng.random((n, private.LONGEST)) < 0.7
+    may[:, 0] = True
+    ways = []
+    for cut in cuts(n, private.LONGEST):
+        if all(may[a, b - a - 1] for a, b in cut):
+            ways += itertools.product(*([(a, b, k) for k in range(0 if b == a + 1 else 1, kinds)] for a, b in cut))
+    held = np.zeros((len(ways), kinds, 3))
+    for i, way in enumerate(ways):
+        for a, b, k in way:
+            held[i, k] += x[a, b - a - 1]
+    score = (held * weights).sum(axis=(1, 2))
+    share = np.exp(score - np.logaddexp.reduce(score))
+    gold = list(ways[int(rng.integers(len(ways)))])
+    want = held[ways.index(tuple(gold))] - np.tensordot(share, held, 1)
+    assert private._gradient(x, may, gold, weights) == pytest.approx(want)
+
+
+def test_a_word_that_announces_a_secret_opens_a_window_by_itself():
+    alone = list(private.windows("my password is correcthorsebattery and more words follow here"))
+    with_digit = list(private.windows("my password is correcthorsebattery and more words follow here" + " w" * 20 + " 7"))
+    assert len(alone) == 1 and alone[0] == with_digit[0]
+    assert not list(private.windows("nothing that calls for a window is in here"))
