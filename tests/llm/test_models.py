@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from gneiss.llm import quality
 from gneiss.llm.language_model import BACKOFF, FLOOR, language_scores
 from gneiss.llm.mixing import mixed_sources, raked, sampled, tempered
 from gneiss.llm.quality import Forest, fit, held_out, learned, scored
@@ -124,3 +126,36 @@ def test_raking_reaches_the_targets(spark):
     for axis, shares in targets.items():
         for r in shares.collect():
             assert abs(sum(x.weight for x in rows if x[axis] == r[0]) - r.share) < 1e-6
+
+
+def _walked(forest, row):
+    total = forest.base
+    for at in forest.roots:
+        while forest.left[at] != at:
+            at = forest.left[at] if row[forest.feature[at]] <= forest.cut[at] else forest.right[at]
+        total += forest.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_flat_traversal_is_a_walk_from_each_root():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(700, 4)), 1)
+    forest = fit(x, (x[:, 0] * x[:, 1] + rng.normal(size=700) > 0).astype(float), trees=12, depth=3)
+    assert len(forest.roots) == 12 and forest.score(x) == pytest.approx([_walked(forest, row) for row in x])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_a_split_is_the_best_of_all_cuts(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = (x[:, seed % 3] + rng.normal(size=300) > 0.3).astype(float)
+    forest = fit(x, y, trees=1, depth=1)
+    p = y.mean()
+    weight = lambda rows: ((p - y[rows]).sum(), rows.sum() * p * (1 - p))
+    gain = lambda rows: weight(rows)[0] ** 2 / (weight(rows)[1] + quality.RIDGE)
+    best = max((gain(low) + gain(~low), j, cut) for j in range(3) for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) if min((low := x[:, j] <= cut).sum(), (~low).sum()) >= quality.LEAST_ROWS)
+    low = x[:, forest.feature[0]] <= forest.cut[0]
+    assert gain(low) + gain(~low) == pytest.approx(best[0])
+    for rows, leaf in ((low, forest.left[0]), (~low, forest.right[0])):
+        g, h = weight(rows)
+        assert forest.value[leaf] == pytest.approx(-quality.RATE * g / (h + quality.RIDGE))
