@@ -20,12 +20,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group, and one of rows that repeat a doc_id; null doc_ids stay."""
+    """The document with the smallest doc_id of each group; null doc_ids stay. Of rows that repeat a doc_id the first stays, by a hash of the text and then by all columns of ``documents``."""
     verdict = written(minhash.near_duplicates(docs), "verdict")
     kept = without_ids(docs, verdict.where("not kept").select("doc_id").distinct())
     again = verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        first = F.min_by(F.struct(*kept.columns), F.struct(F.xxhash64("text"), "text", "source", "lang", "n_chars")).alias("row")
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("row.*"))
     return kept.select(*docs.columns)
 
 
