@@ -37,3 +37,13 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_row_that_stays_of_a_repeated_id_is_always_the_same(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(6)]
+    rows = [(1, t, "en", s, n) for t, s, n in [(texts[0], "a", 1), (texts[1], "a", 1), (texts[1], None, 2), (None, "a", 0), (texts[2], "b", 1)]] + [(2, texts[3], "en", "a", 1), (None, texts[4], None, None, None), (None, texts[5], None, None, None)]
+    got = []
+    for part in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(part, SCHEMA).repartition(3)
+        got.append({tuple(r) for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()})
+    assert got[0] == got[1] == got[2] and sorted(str(r[0]) for r in got[0]) == ["1", "2", "None", "None"] and got[0] < set(rows)
