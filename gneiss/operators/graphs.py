@@ -326,8 +326,11 @@ def same_group_pairs(partition: DataFrame) -> DataFrame:
 
 
 def treatment(edges: DataFrame, method: str, k: int = 2, seed: int = 0) -> DataFrame:
-    """Treated pairs ``a < b`` by one of: kcore, anchor_nodes, common_neighbors, jaccard, katz, propagation, louvain, spectral, components, sbm."""
-    from gneiss.operators.blocks import random_partition
+    """Treated pairs ``a < b`` by one of: kcore, anchor_nodes, common_neighbors, jaccard, katz, propagation, louvain, spectral, components, sbm.
+
+    ``sbm`` infers ``k`` blocks: a random partition, improved by moves that gain score until none does.
+    """
+    from gneiss.operators.blocks import em_partition, random_partition
 
     blocks = {
         "kcore": lambda: kcore(edges).where("core > 0").select("node", F.col("core").alias("block")),
@@ -336,7 +339,7 @@ def treatment(edges: DataFrame, method: str, k: int = 2, seed: int = 0) -> DataF
         "louvain": lambda: louvain(edges),
         "spectral": lambda: spectral(edges, k),
         "components": lambda: components(edges).select("node", F.col("component").alias("block")),
-        "sbm": lambda: random_partition(nodes_of(edges), k, seed),
+        "sbm": lambda: em_partition(edges, random_partition(nodes_of(edges), k, seed)),
     }
     if method in blocks:
         return same_group_pairs(blocks[method]())

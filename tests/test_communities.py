@@ -117,3 +117,22 @@ def test_parts_of_a_long_chain(spark):
     bonds = spark.range(n - 1).select(F.lit(1).alias("graph_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src <> 2500")
     got = explain.parts_of(nodes, bonds).groupBy("graph_id", "part").count().collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 2501), (1, 2501, 2499), (2, 0, 1), (2, 1, 1), (2, 2, 1)]
+
+
+@pytest.mark.parametrize(
+    "method,k,want",
+    [("kcore", 2, "all"), ("anchor_nodes", 1, "ball"), ("common_neighbors", 4, "cliques"), ("jaccard", 2, "alike"), ("propagation", 3, "cliques"), ("louvain", 2, "cliques"), ("spectral", 2, "cliques"), ("components", 2, "all"), ("sbm", 2, "cliques")],
+)
+def test_each_treatment_of_two_joined_cliques(spark, method, k, want):
+    """The bridge joins 0 and 8, the nodes of largest degree. Of 70 similar pairs 42 have the median similarity: those of the other nodes."""
+    cliques = {(8 * c + i, 8 * c + j) for c in range(2) for j in range(8) for i in range(j)}
+    pairs = {"cliques": cliques, "alike": {x for x in cliques if not {0, 8} & set(x)}, "all": {(i, j) for j in range(16) for i in range(j)}, "ball": {(i, j) for j in range(9) for i in range(j)}}[want]
+    got = [(r.a, r.b) for r in graphs.treatment(frame(spark, sorted(cliques) + [(0, 8)]), method, k).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+
+
+def test_treatment_by_katz_and_unknown_ones(spark):
+    df = frame(spark, [(i, j) for j in range(6) for i in range(j)] + [(5, 6), (6, 7)])
+    assert {tuple(r) for r in graphs.treatment(df, "katz", 2).collect()} == {(r.a, r.b) for r in graphs.katz_treatment(df, 2).collect()}
+    with pytest.raises(ValueError):
+        graphs.treatment(df, "none")
