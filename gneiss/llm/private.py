@@ -43,6 +43,7 @@ _SECRETS = re.compile(
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _CUES = [re.compile(x, re.I) for x in (r"password|passwd|pwd|secret|token|api.?key|credential|private key", r"phone|tel\b|tel\.|call|mobil|fax", r"iban|account|konto|ssn|social|passport|compte|cuenta", r"card|visa|credit|karte|tarjeta|carte")]
+_ANNOUNCING = ("password", "passwd", "pwd", "secret", "token", "api", "credential", "private key")  # one is in whatever the first cue finds
 _ANCHOR = re.compile(r"[0-9@=]")
 _LONG = re.compile(r"[A-Za-z+/_-]{24}")
 _TOKEN = re.compile(r"\S{1,256}")
@@ -103,9 +104,15 @@ def _calls(text: str, start: int, end: int) -> bool:
     return end - start < 24 and _CUES[0].search(text, start, end) is not None
 
 
+def _announces(text: str) -> bool:
+    """Whether a word in the text announces a secret. Plain searches come first, as the pattern is slow; three letters match it that lower case doesn't show."""
+    low = text.lower()
+    return (any(word in low for word in _ANNOUNCING) or any(c in text for c in "\u0130\u0131\u017f")) and _CUES[0].search(text) is not None
+
+
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
     """Token spans around what calls for a window; windows that would meet are one. Tokens lose punctuation around them."""
-    if not (_ANCHOR.search(text) or "-----" in text or _LONG.search(text) or _CUES[0].search(text)):
+    if not (_ANCHOR.search(text) or "-----" in text or _LONG.search(text) or _announces(text)):
         return  # no token calls for one
     before: list[tuple[int, int]] = []
     open_: list[tuple[int, int]] = []
