@@ -138,7 +138,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int, size: int, segment:
 
     for piece in pieces(batches, "text"):
         raw, offsets = text_bytes(piece.column("text"))
-        words, at = hashed_words(raw, offsets)
+        words, at = hashed_words(raw, offsets, fold=False)
         docs, marks = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
         found = piece.column("found") if "found" in piece.schema.names else None
         for k in np.flatnonzero(np.diff(at) >= window).tolist():

@@ -52,6 +52,15 @@ def test_removal(spark, window, size, segment):
     assert sum(r[2] for r in want) > 2000
 
 
+def test_words_are_compared_unchanged(spark):
+    """Sequences that differ in case alone aren't repeats; those of the same case are."""
+    words = [f"Word{k}" for k in range(40)]
+    rows = [(1, " ".join(words), "", 0), (2, " ".join(words).lower(), "", 0), (3, " ".join(words).upper(), "", 0), (4, "x " + " ".join(words[:39]), "", 0), (5, " ".join(words[1:]).replace("Word20", "word20"), "", 0)]
+    got = {tuple(r) for r in without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == set(plain(rows, 35))
+    assert {r[0]: r[2] for r in got} == {1: 39, 2: 0, 3: 0, 4: 39, 5: 0}
+
+
 def test_an_empty_table_and_one_row(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     assert without_repeats(spark.createDataFrame([(1, "a b", "", 0)], SCHEMA).where("doc_id = 1")).first()["n_removed"] == 0
