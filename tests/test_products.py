@@ -42,3 +42,12 @@ def test_what_a_task_holds_of_a_dense_graph_is_bounded(spark, monkeypatch):
     assert w[False] == pytest.approx(1e-3 + (n - 2) * 1e-6 + ((n - 1) * (n - 2) + 1) * 1e-9)
     assert w[True] == pytest.approx((n - 1) * 1e-6 + (n - 1) * (n - 2) * 1e-9)
     assert not joined
+
+
+def test_no_key_of_a_join_has_a_whole_blocks_pairs(spark):
+    """Each pair of a block comes once, whatever the parts; the join has keys for each two parts, where it had one a block."""
+    part = spark.range(100).select(F.col("id").alias("node"), (F.col("id") % 3).alias("block")).where("block < 2 or node < 4")
+    rows = [(r["node"], r["block"]) for r in part.collect()]
+    want = sorted((a, b) for a, x in rows for b, y in rows if x == y and a < b)
+    for size in (1, 7, 1024):
+        assert sorted((r["a"], r["b"]) for r in G.same_group_pairs(part, size).collect()) == want
