@@ -87,11 +87,11 @@ def parts_of(nodes: DataFrame, bonds: DataFrame) -> DataFrame:
 
 def top_fragments(nodes: DataFrame, bonds: DataFrame, key: str, eps: float, k: int, least: int = 2) -> DataFrame:
     """``wl, n``: the k most frequent connected parts of at least ``least`` nodes whose scores pass ``eps``."""
-    chosen = nodes.where(F.abs("score") > eps)
+    chosen = written(nodes.where(F.abs("score") > eps).select("graph_id", "node_id", key), "chosen")
     parts = parts_of(chosen, bonds)
     big = parts.groupBy("graph_id", "part").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     id_ = F.concat_ws(":", "graph_id", "part")
-    held = parts.join(big, ["graph_id", "part"]).join(nodes.select("graph_id", "node_id", key), ["graph_id", "node_id"])
+    held = parts.join(big, ["graph_id", "part"]).join(chosen, ["graph_id", "node_id"])
     inner = bonds.join(parts.select("graph_id", F.col("node_id").alias("src"), "part"), ["graph_id", "src"]).join(parts.select("graph_id", F.col("node_id").alias("dst"), F.col("part").alias("_p")), ["graph_id", "dst"]).where("part = _p")
     keys = wl_key(held.select(id_.alias("graph_id"), "node_id", key), inner.select(id_.alias("graph_id"), "src", "dst"), key)
     return keys.groupBy("wl").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "wl").limit(k)
