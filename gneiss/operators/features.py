@@ -192,9 +192,14 @@ def pad_batch(cells: DataFrame, n: int | None = None, batch: str | None = None)
     else:
         top = keyed.groupBy(*by).agg(F.max(F.greatest("i", "j")).alias("_n"))
         graphs = graphs.join(top, batch) if batch else graphs.join(F.broadcast(top))
+    # A row of a graph's grid holds its cells; only rows are shuffled, not the grid.
     axis = F.sequence(F.lit(1), F.col("_n"))
-    grid = graphs.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis)).drop("_n")
-    return grid.join(keyed, [*by, "graph_id", "i", "j"], "left").fillna(0.0, ["v"])
+    lines = graphs.withColumn("i", F.explode(axis))
+    kept = keyed.groupBy(*by, "graph_id", "i").agg(F.collect_list(F.struct("j", F.coalesce("v", F.lit(0.0)).alias("v"))).alias("_c"))
+    held = F.filter(F.coalesce("_c", F.array().cast("array<struct<j:int,v:double>>")), lambda c: c["j"].between(1, F.col("_n")))
+    met = lines.join(kept, [*by, "graph_id", "i"], "left").select(*by, "graph_id", "i", "_n", held.alias("_c"))
+    free = F.transform(F.array_except(axis, F.transform("_c", lambda c: c["j"])), lambda j: F.struct(j.alias("j"), F.lit(0.0).alias("v")))
+    return met.select(*by, "graph_id", "i", F.explode(F.concat("_c", free)).alias("_x")).select(*by, "graph_id", "i", "_x.j", "_x.v")
 
 
 def to_dense_batch(nodes: DataFrame, value: str, n: int) -> DataFrame:

@@ -35,3 +35,14 @@ def test_edges_are_computed_once(spark, counted, monkeypatch):
     monkeypatch.setattr(links, "nation_part", lambda *_: part)
     links.sbm16_flat_likelihood(spark, "").count()
     assert times() == 3
+
+
+def test_padding_shuffles_rows_not_the_grid(spark):
+    """Cells that occur twice or lie outside the grid as before; the grid isn't joined cell by cell."""
+    cells = spark.createDataFrame([(1, 1, 1, 2.0), (1, 1, 1, 3.0), (1, 3, 2, None), (2, 1, 2, 5.0), (2, 0, 1, 9.0)], "graph_id long, i long, j long, v double")
+    padded = features.pad_batch(cells)
+    got = sorted((r.graph_id, r.i, r.j, r.v) for r in padded.collect())
+    want = [(g, i, j, 0.0) for g in (1, 2) for i in (1, 2, 3) for j in (1, 2, 3) if (g, i, j) not in {(1, 1, 1), (2, 1, 2)}]
+    assert got == sorted([*want, (1, 1, 1, 2.0), (1, 1, 1, 3.0), (2, 1, 2, 5.0)])
+    plan = padded._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("Generate explode(concat(")[0] and "array_except" in plan
