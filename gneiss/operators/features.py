@@ -33,7 +33,8 @@ def onehot_label(col: Column, n: int) -> Column:
 def onehot_last(col: Column, choices: Sequence) -> Column:
     """As :func:`onehot_unk` without a place of its own for others: they take the last choice's."""
     at = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(c) for c in choices)), col), F.lit(0)), F.lit(len(choices)))
-    return F.transform(F.sequence(F.lit(1), F.lit(len(choices))), lambda i: (i == at).cast("int"))
+    at = at.cast("int")
+    return F.concat(F.array_repeat(F.lit(0), at - 1), F.array(F.lit(1)), F.array_repeat(F.lit(0), F.lit(len(choices)) - at))
 
 
 def atom_features(atoms: DataFrame) -> DataFrame:
