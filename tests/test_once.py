@@ -46,3 +46,12 @@ def test_padding_shuffles_rows_not_the_grid(spark):
     assert got == sorted([*want, (1, 1, 1, 2.0), (1, 1, 1, 3.0), (2, 1, 2, 5.0)])
     plan = padded._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan.split("Generate explode(concat(")[0] and "array_except" in plan
+
+
+def test_core_rounds_broadcast_nothing(spark, monkeypatch):
+    from gneiss.operators import graphs
+
+    monkeypatch.setattr(graphs, "until_settled", lambda df, step, mark: step(df))
+    one = graphs.kcore(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long"))
+    assert {tuple(r) for r in one.collect()} == {(1, 2), (2, 2), (3, 2), (4, 1)}
+    assert "Broadcast" not in one._jdf.queryExecution().executedPlan().toString()
