@@ -1,4 +1,5 @@
-"""Leading eigenvectors of graphs by orthogonal iteration: vectors are columns of written tables, products are joins with the edges.
+"""Leading eigenvectors of graphs by orthogonal iteration: vectors are columns of written tables; the normalized adjacency is applied part by part
+(:mod:`gneiss.operators.parts`), the non-backtracking operator by joins with the edges.
 
 Only Gram matrices of ``k`` by ``k`` numbers reach the driver. A round applies the operator and makes the columns orthonormal with the
 Cholesky factor of their Gram matrix; rounds end when the eigenvalues of the projected operator stand still.
@@ -9,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.parts import Part, packed, states, visited
 from gneiss.plans.store import written
 
 
@@ -32,12 +35,13 @@ def _products(df: DataFrame, left: Sequence[Column], right: Sequence[Column]) ->
     return np.array([x or 0.0 for x in row]).reshape(len(left), len(right))
 
 
-def _iterated(start: DataFrame, keys: Sequence[str], k: int, apply: Callable[[DataFrame], DataFrame], steps: int, symmetric: bool, rounds: int, least: float) -> tuple[DataFrame, np.ndarray]:
-    """Columns that span the leading invariant subspace of ``apply``, turned to its eigenvectors where ``symmetric``, and its eigenvalues.
+def _iterated(start: DataFrame, keys: Sequence[str], k: int, images: Callable[[DataFrame], DataFrame], steps: int, symmetric: bool, rounds: int, least: float) -> tuple[DataFrame, np.ndarray]:
+    """Columns that span the leading invariant subspace of an operator, turned to its eigenvectors where ``symmetric``, and its eigenvalues.
 
-    A round applies the operator ``steps`` times, more than once only if it is symmetric without negative eigenvalues, and takes one aggregate.
+    ``images`` gives columns ``y`` beside ``x``: the operator applied ``steps`` times, more than once only if it is symmetric without negative
+    eigenvalues. A round takes one aggregate.
     """
-    cols, images, seen = [F.col(c) for c in _names(k)], [F.col(f"y{i}") for i in range(k)], None
+    cols, after, seen = [F.col(c) for c in _names(k)], [F.col(f"y{i}") for i in range(k)], None
 
     def orthonormal(df: DataFrame, gram: np.ndarray) -> DataFrame:
         factor = np.linalg.cholesky(gram + 1e-14 * (np.trace(gram) + 1e-300) * np.eye(k))
@@ -46,12 +50,8 @@ def _iterated(start: DataFrame, keys: Sequence[str], k: int, apply: Callable[[Da
     start = written(start)
     now = written(orthonormal(start, _products(start, cols, cols)))
     while True:
-        image = now
-        for _ in range(steps):
-            image = apply(image)
-        image = image.select(*keys, *(F.col(c).alias(f"y{c[1:]}") for c in _names(k)))
-        both = written(now.join(image, list(keys)))
-        small = _products(both, [*cols, *images], images)
+        both = written(images(now))
+        small = _products(both, [*cols, *after], after)
         gram, small = small[k:], small[:k]
         if symmetric:
             powers, turn = np.linalg.eigh((small + small.T) / 2)
@@ -62,12 +62,12 @@ def _iterated(start: DataFrame, keys: Sequence[str], k: int, apply: Callable[[Da
         if rounds < 1 or seen is not None and np.abs(values - seen).max() < least:
             return (_mixed(now, keys, turn) if symmetric else now), values
         seen = values
-        now = orthonormal(both.select(*keys, *(y.alias(f"x{i}") for i, y in enumerate(images))), gram)
+        now = orthonormal(both.select(*keys, *(y.alias(f"x{i}") for i, y in enumerate(after))), gram)
 
 
-def _start(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+def _start(df: DataFrame, keys: Sequence[str], k: int, *kept: str) -> DataFrame:
     number = lambda i: F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(1 << 20)) / float(1 << 19) - 1.0
-    return df.select(*keys, *(number(i).alias(f"x{i}") for i in range(k)))
+    return df.select(*keys, *kept, *(number(i).alias(f"x{i}") for i in range(k)))
 
 
 def eigenvectors(edges: DataFrame, k: int, how: str = "normalized", rounds: int = 200, least: float = 1e-7) -> tuple[DataFrame, np.ndarray]:
@@ -81,17 +81,26 @@ def eigenvectors(edges: DataFrame, k: int, how: str = "normalized", rounds: int
 
     near = written(neighbours(edges))
     if how == "normalized":
-        degree = near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
-        weighted = near.join(degree.select(F.col("node").alias("src"), F.col("d").alias("a")), "src").join(degree.select(F.col("node").alias("dst"), F.col("d").alias("b")), "dst")
-        weighted = written(weighted.select("src", "dst", (1 / F.sqrt(F.col("a") * F.col("b"))).alias("w")))
+        graph, xs, ys = packed(near), _names(k), [f"y{i}" for i in range(k)]
+        schema = ", ".join(["node long, d double, parts array<long>", *(f"{c} double" for c in [*xs, *ys])])
 
-        def apply(x: DataFrame) -> DataFrame:
+        def half(part: Part, ends: pa.Table, own: pa.Array) -> pa.Table:
             """Half of the operator and of the vector itself, so that the largest eigenvalues are the largest in absolute value too."""
-            met = weighted.join(x.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(*(F.sum(F.col("w") * F.col(c)).alias(f"s{c[1:]}") for c in _names(k)))
-            return x.join(met, "node").select("node", *(((F.col(c) + F.col(f"s{c[1:]}")) / 2).alias(c) for c in _names(k)))
-
-        vectors, values = _iterated(_start(degree, ["node"], k), ["node"], k, apply, 3, True, rounds, least)
-        return vectors, 2 * values - 1
+            scale = 1 / np.sqrt(ends.column("d").to_numpy())
+            here = ends.select(["node", "d", "parts", *xs]).take(own)
+            for c in ys:
+                y = ends.column(c).to_numpy()
+                here = here.append_column(c, pa.array((y[part.rows] + scale[part.rows] * np.add.reduceat((y * scale)[part.at], part.starts)) / 2))
+            return here
+
+        def images(now: DataFrame) -> DataFrame:
+            both = now.select("*", *(F.col(x).alias(y) for x, y in zip(xs, ys, strict=True)))
+            for _ in range(3):
+                both = visited(graph, both, ["d", *ys], xs, half, schema)
+            return both
+
+        vectors, values = _iterated(_start(states(graph), ["node"], k, "d", "parts"), ["node", "d", "parts"], k, images, 3, True, rounds, least)
+        return vectors.select("node", *xs), 2 * values - 1
     if how != "non_backtracking":
         raise ValueError(f"unknown operator: {how}")
 
@@ -101,7 +110,10 @@ def eigenvectors(edges: DataFrame, k: int, how: str = "normalized", rounds: int
         back = x.select(F.col("src").alias("dst"), F.col("dst").alias("src"), *(F.col(c).alias(f"r{c[1:]}") for c in _names(k)))
         return x.select("src", "dst").join(sums, "dst").join(back, ["src", "dst"]).select("src", "dst", *((F.col(f"s{i}") - F.col(f"r{i}")).alias(f"x{i}") for i in range(k)))
 
-    on_edges, values = _iterated(_start(near, ["src", "dst"], k), ["src", "dst"], k, follow, 1, False, rounds, least)
+    def after(x: DataFrame) -> DataFrame:
+        return x.join(follow(x).select("src", "dst", *(F.col(f"x{i}").alias(f"y{i}") for i in range(k))), ["src", "dst"])
+
+    on_edges, values = _iterated(_start(near, ["src", "dst"], k), ["src", "dst"], k, after, 1, False, rounds, least)
     return on_edges.groupBy(F.col("src").alias("node")).agg(*(F.sum(c).alias(c) for c in _names(k))), values
 
 
