@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gneiss.plans.inversions import BLOCK, count_inversions
+from gneiss.plans.inversions import BLOCK, count_inversions, weighted_inversions
 from gneiss.plans.rank import with_index
 from gneiss.plans.store import written
 
@@ -136,23 +140,61 @@ def _sums_by_inversions(df: DataFrame, by: Sequence[str], block: int) -> DataFra
     return _summed(reduce(DataFrame.unionByName, parts), by)
 
 
+def _sums_in_tasks(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same of groups that a task can hold many of: a group's rows come in one row and are counted with those of others."""
+    rows = df.groupBy(*by).agg(F.collect_list(F.struct("_y", "_s")).alias("_rows")).where(F.size("_rows") > 1)
+
+    def tied(*ranks: np.ndarray) -> np.ndarray:
+        """Pairs of equal ranks by group, which the first ranks begin with."""
+        order = np.lexsort(ranks[::-1])
+        first = np.flatnonzero(np.any([np.diff(r[order], prepend=-1) != 0 for r in ranks], axis=0))
+        n = np.diff(np.append(first, len(order)))
+        return np.bincount(ranks[0][order][first], n * (n - 1) / 2)
+
+    def counted(batches):
+        for b in batches:
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("_rows")).to_numpy())])
+            low = 0
+            while low < b.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + (1 << 16), side="right")) - 1)  # groups of few rows together
+                part = b.slice(low, high - low)
+                held = part.column("_rows").flatten()
+                group = np.repeat(np.arange(high - low), np.diff(ends[low : high + 1]))
+                y, s = (np.unique(held.field(i).to_numpy(zero_copy_only=False), return_inverse=True)[1] for i in (0, 1))
+                order = np.lexsort((s, y, group))
+                found = weighted_inversions(group[order] * (s.max() + 1) + s[order], np.ones(len(order), np.int64))
+                pairs, flips = tied(group), np.bincount(group[order], found)
+                dy, ds = pairs - tied(group, y), pairs - tied(group, s)
+                sums = [pairs, dy + ds - pairs + tied(group, y, s) - 2 * flips, dy, ds]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in by), *map(pa.array, sums)], [*by, *SUMS])
+                low = high
+
+    return rows.mapInArrow(counted, StructType([*rows.select(*by).schema.fields, *(StructField(n, DoubleType()) for n in SUMS)]))
+
+
 def _summed(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(*(F.sum(n).alias(n) for n in SUMS))
 
 
-def kendall(df: DataFrame, by: Sequence[str], id_: str, y: str = "y", score: str = "score", few: int = 32, block: int = BLOCK) -> DataFrame:
+def kendall(df: DataFrame, by: Sequence[str], id_: str, y: str = "y", score: str = "score", few: int = 32, block: int = BLOCK, most: int = 2048) -> DataFrame:
     """``by..., kendall``: tau-b over the pairs of a group of any size.
 
-    Groups of up to ``few`` rows list their pairs; for larger ones ties and inversions are counted instead, less those among rows of one id.
+    Groups of up to ``few`` rows list their pairs; for larger ones ties and inversions are counted instead, less those among rows of one id,
+    which tasks count where an id has up to ``most`` rows of a group.
     Rows without label, score or id take no part, nor do NaN ones; two rows of one id are no pair; null keys are one group. Groups without
     a pair are left out; where all labels or all scores are equal the value is null.
     """
     known = df.select(*by, F.col(id_).alias("_who"), F.col(y).alias("_y"), F.col(score).alias("_s")).dropna(subset=["_who", "_y", "_s"])
-    large = _renamed(known.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > few).drop("_n"), by)
+    # Written, so that the planner knows how few they are: rows of few large groups aren't shuffled by group.
+    large = _renamed(written(known.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > few).drop("_n"), "large"), by)
     many = written(known.join(large, _alike(by), "left_semi"), "many")
     key = [*by, "_who"]
-    again = _renamed(many.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), key)
-    twins = _sums_by_inversions(many.join(again, _alike(key), "left_semi"), key, block)
+    often = written(many.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n"), "often")
+    if often.isEmpty():
+        twins = _sums_in_tasks(many, key)
+    else:
+        often = _renamed(often, key)
+        twins = _sums_in_tasks(many.join(often, _alike(key), "left_anti"), key).unionByName(_sums_by_inversions(many.join(often, _alike(key), "left_semi"), key, block))
     apart = twins.select(*by, *((-F.col(n)).alias(n) for n in SUMS))
     parts = [_sums_by_pairs(known.join(large, _alike(by), "left_anti"), by), _sums_by_inversions(many, by, block), apart]
     sums = _summed(reduce(DataFrame.unionByName, parts), by)
