@@ -37,3 +37,23 @@ def test_non_backtracking(spark):
     got, found = spectra.eigenvectors(df, 3, "non_backtracking")
     assert np.abs(found.real - np.real(values)).max() < 1e-3
     assert blocks.nmi(spectra.clustered(got, 3), truth).first().nmi >= 0.95
+
+
+def test_a_part_sends_one_row_to_each_part(spark):
+    """What is shuffled in a step has a row for each two parts; before, it had one for each node and part."""
+    _, pairs = planted(3)
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    static, n = spectra._routed(spectra.packed(spectra_near(df), 60))
+    assert 3 < n < 30
+    rows = static.collect()
+    assert all(len(set(r.targets)) == len(r.targets) == len(r.sizes) <= n and sum(r.sizes) == len(r.picked) for r in rows)
+    ends = {r.part: set(r.ends) for r in spectra.packed(spectra_near(df), 60).collect()}
+    for r in rows:
+        at = 0
+        for target, size in zip(r.targets, r.sizes, strict=True):
+            assert {r.own[i] for i in r.picked[at : at + size]} == ends[target] & set(r.own)
+            at += size
+
+
+def spectra_near(df):
+    return graphs.neighbours(df)
