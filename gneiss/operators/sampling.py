@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators.splits import by_class, numbered_non_edges
-from gneiss.plans.rank import first_by_hash, hash_order, in_intervals, running_sum, with_index
+from gneiss.plans.rank import first_by_hash, first_different_by_hash, hash_order, in_intervals, running_sum, with_index
 from gneiss.plans.store import written
 
 
@@ -62,8 +62,8 @@ def neg_global(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> Dat
 
 def sample_pairs(factual: DataFrame, counterfactual: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` different pairs ``a, b`` of both tables, the first by a hash."""
-    both = factual.select("a", "b").unionByName(counterfactual.select("a", "b")).distinct()
-    return first_by_hash(both, n, seed, "a", "b")
+    both = factual.select("a", "b").unionByName(counterfactual.select("a", "b"))
+    return first_different_by_hash(both, n, seed, "a", "b")
 
 
 def pos_neg_pairs(edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
