@@ -30,11 +30,11 @@ def onehot_label(col: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (F.when(col == 0, n).otherwise(col) == i).cast("int"))
 
 
-def onehot_last(col: Column, choices: Sequence) -> Column:
-    """As :func:`onehot_unk` without a place of its own for others: they take the last choice's."""
+def onehot_last(col: Column, choices: Sequence, zero: float = 0) -> Column:
+    """As :func:`onehot_unk` without a place of its own for others: they take the last choice's. ``zero`` gives the places' type."""
     at = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(c) for c in choices)), col), F.lit(0)), F.lit(len(choices)))
     at = at.cast("int")
-    return F.concat(F.array_repeat(F.lit(0), at - 1), F.array(F.lit(1)), F.array_repeat(F.lit(0), F.lit(len(choices)) - at))
+    return F.concat(F.array_repeat(F.lit(zero), at - 1), F.array(F.lit(type(zero)(1))), F.array_repeat(F.lit(zero), F.lit(len(choices)) - at))
 
 
 def atom_features(atoms: DataFrame) -> DataFrame:
@@ -104,9 +104,10 @@ def bond_neighbors(directed: DataFrame) -> DataFrame:
 
 def atom_features_wide(atoms: DataFrame) -> DataFrame:
     """``graph_id, node_id, features``: 1014 numbers, of them one-hot 1000 atomic numbers, 6 degrees and 5 counts of hydrogens (others: the last place), charge, ring, aromatic."""
-    parts = [onehot_last(F.col("atomic_num"), range(1000)), onehot_last(F.col("degree"), range(6)), onehot_last(F.col("num_h"), range(5))]
+    # Doubles from the start: a cast would go over a thousand places one by one.
+    parts = [onehot_last(F.col("atomic_num"), range(1000), 0.0), onehot_last(F.col("degree"), range(6), 0.0), onehot_last(F.col("num_h"), range(5), 0.0)]
     flags = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("charge", "ring", "aromatic")))
-    return atoms.select("graph_id", "node_id", F.concat(F.concat(*parts).cast("array<double>"), flags).alias("features"))
+    return atoms.select("graph_id", "node_id", F.concat(*parts, flags).alias("features"))
 
 
 def atom_features_scaled(atoms: DataFrame) -> DataFrame:
